@@ -56,19 +56,19 @@ def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
         bucket = F.least(F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)),
                          F.lit(numeric_buckets - 1)).cast("int")
         n_buckets = numeric_buckets
-    b = "_bucket"
+    b = "__bucket"
     keyed = df.withColumn(b, bucket)
-    counts = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_n"))
+    counts = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("__cnt"))
     running = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(running), F.lit(0)))
     if total_name:
-        offsets = offsets.withColumn(total_name, F.sum("_n").over(Window.partitionBy(*by)))
-    offsets = offsets.drop("_n")
+        offsets = offsets.withColumn(total_name, F.sum("__cnt").over(Window.partitionBy(*by)))
+    offsets = offsets.drop("__cnt")
     # The offset table has at most n_buckets rows per group of `by`.
     if not by:
         offsets = F.broadcast(offsets) if n_buckets <= 1 << 20 else offsets
     w = Window.partitionBy(*by, b).orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
-    ranked = keyed.withColumn("_rn", F.row_number().over(w))
+    ranked = keyed.withColumn("__rn", F.row_number().over(w))
     out = ranked.join(offsets, on=[*by, b], how="inner")
-    return out.withColumn(name, (F.col("_rn") + F.col("_offset")).cast("bigint")).drop(
-        "_rn", "_offset", b)
+    return out.withColumn(name, (F.col("__rn") + F.col("__off")).cast("bigint")).drop(
+        "__rn", "__off", b)

@@ -59,3 +59,110 @@ SELECT d.doc_id, len(d.toks)::BIGINT AS n_tokens, coalesce(s.n_known, 0)::BIGINT
        {", ".join(r6(f"coalesce(s{i}, 0) / greatest(len(d.toks), 1)") + f" AS f{i}" for i in range(WV_DIM))}
 FROM d LEFT JOIN s USING (doc_id)
 """
+
+
+# --------------------------------------------------------------------------
+# Fixture views as SQL
+WS = WS_CLASS
+ARTICLES = ("(SELECT doc_id, CASE quality WHEN 1 THEN 'human' ELSE 'gpt' END AS type, text "
+            "FROM documents JOIN labels USING (doc_id))")
+WIKIHOW = (f"(SELECT doc_id, '  ' || split_part(text, chr(10), 1) || '  ' || doc_id::VARCHAR AS title, "
+           f"source AS headline, lang AS sectionLabel, "
+           f"CASE WHEN doc_id % {S.WIKIHOW_NULL_EVERY} = 0 THEN NULL ELSE text END AS text FROM documents)")
+DIRTY = (f"(SELECT doc_id, lang AS type, CASE WHEN doc_id % {S.DIRTY_NULL_EVERY} = 0 THEN NULL "
+         f"WHEN doc_id % {S.DIRTY_BLANK_EVERY} = 0 THEN ' ' || chr(9) || ' ' ELSE text END AS text FROM documents)")
+FEATURES = (f"(SELECT vec_id, label, CASE WHEN vec_id % {S.TEST_EVERY} = 0 THEN 'test' ELSE 'train' END AS split, "
+            f"embedding FROM embeddings)")
+
+
+def shuffle_key(id_expr: str, seed: int = 42) -> str:
+    return f"md5('{seed}:' || ({id_expr})::VARCHAR)"
+
+
+WIKI_CLEAN = f"""(
+  SELECT doc_id, original_row_number,
+         regexp_replace(regexp_replace(regexp_replace(title, '^[{WS}]+|[{WS}]+$', '', 'g'),
+                        '[{WS}]+', ' ', 'g'), '\\p{{Nd}}+$', '') AS title,
+         headline, sectionLabel, wc::VARCHAR || ' words' AS length
+  FROM (SELECT *, len(regexp_extract_all(text, '[^{WS}]+')) AS wc
+        FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS original_row_number
+              FROM {WIKIHOW} WHERE text IS NOT NULL))
+  WHERE wc >= 40)"""
+
+ORACLE["wikihow_subset"] = f"""
+SELECT doc_id, original_row_number::BIGINT AS original_row_number, title, headline, sectionLabel, length
+FROM (SELECT *, row_number() OVER (ORDER BY {shuffle_key('doc_id')}, doc_id) AS rn FROM {WIKI_CLEAN})
+WHERE rn <= 200
+"""
+
+_P = [p.replace("'", "''") for p in PROMPT_PARTS]
+ORACLE["prompt_queries"] = f"""
+SELECT doc_id, '{_P[0]}' || title || '{_P[1]}' || length || '{_P[2]}' || headline || '{_P[3]}'
+       || sectionLabel || '{_P[4]}' AS query
+FROM {WIKI_CLEAN}
+"""
+
+ORACLE["type_counts"] = f"SELECT type, count(*)::BIGINT AS n FROM {ARTICLES} GROUP BY type"
+
+ORACLE["conditional_counts"] = f"""
+SELECT count(*)::BIGINT AS n_articles, count(*) FILTER (WHERE type = 'gpt')::BIGINT AS n_gpt,
+       count(*) FILTER (WHERE type = 'human')::BIGINT AS n_human, count(DISTINCT type)::BIGINT AS n_types
+FROM {ARTICLES}
+"""
+
+ORACLE["class_index"] = f"""
+WITH m AS (SELECT type, (row_number() OVER (ORDER BY type) - 1)::BIGINT AS label
+           FROM (SELECT DISTINCT type FROM {ARTICLES}))
+SELECT doc_id, type, label FROM {ARTICLES} JOIN m USING (type)
+"""
+
+ORACLE["relabel_dense"] = f"""
+WITH f AS (SELECT vec_id, split, (label * 3 + 1)::BIGINT AS raw_label FROM {FEATURES}),
+m AS (SELECT raw_label, (row_number() OVER (ORDER BY raw_label) - 1)::BIGINT AS label
+      FROM (SELECT DISTINCT raw_label FROM f))
+SELECT vec_id, split, raw_label, label FROM f JOIN m USING (raw_label)
+"""
+
+ORACLE["unmapped_types"] = """
+SELECT lang AS type, count(*)::BIGINT AS n FROM documents
+WHERE lang NOT IN ('en', 'fr') GROUP BY lang
+"""
+
+ORACLE["shuffle_head"] = f"""
+SELECT doc_id, rn::BIGINT AS row_no
+FROM (SELECT doc_id, row_number() OVER (ORDER BY {shuffle_key('doc_id')}, doc_id) AS rn FROM documents)
+WHERE rn <= 100
+"""
+
+ORACLE["train_test_split"] = f"""
+SELECT doc_id, rn::BIGINT AS row_no,
+       CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT doc_id, row_number() OVER (ORDER BY {shuffle_key('doc_id')}, doc_id) AS rn,
+             count(*) OVER () AS n FROM documents)
+"""
+
+ORACLE["stratified_sample"] = f"""
+SELECT doc_id, type, rn::BIGINT AS row_no
+FROM (SELECT doc_id, type, row_number() OVER (PARTITION BY type ORDER BY {shuffle_key('doc_id')}, doc_id) AS rn
+      FROM {ARTICLES} WHERE type IN ('human', 'gpt'))
+WHERE rn <= 50
+"""
+
+BATCHED = """(SELECT doc_id, rn::BIGINT AS row_no, ((rn - 1) // 64)::BIGINT AS batch_no,
+                     ceil(n / 64)::BIGINT AS n_batches
+              FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n
+                    FROM documents))"""
+
+ORACLE["batch_slices"] = f"SELECT doc_id, row_no, batch_no, n_batches FROM {BATCHED}"
+
+ORACLE["resume_pending"] = f"SELECT doc_id, batch_no FROM {BATCHED} WHERE batch_no NOT IN (0, 1, 2)"
+
+ORACLE["blank_null_filter"] = f"""
+SELECT doc_id, type, md5(text) AS text_md5 FROM {DIRTY}
+WHERE text IS NOT NULL AND regexp_matches(text, '[^{WS}]')
+"""
+
+ORACLE["literal_type"] = f"""
+SELECT doc_id, 'llama' AS type, length(text)::BIGINT AS n_chars FROM {DIRTY}
+WHERE text IS NOT NULL AND regexp_matches(text, '[^{WS}]')
+"""

@@ -40,3 +40,117 @@ def article_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     wv = V.hash_word_vectors(toks.select(F.explode("tokens").alias("token")), WV_DIM).checkpointed()
     vecs = V.article_mean_vectors(toks, wv, ["doc_id"])
     return vecs.select("doc_id", "n_tokens", "n_known", *expand("features", WV_DIM))
+
+
+# --------------------------------------------------------------------------
+# Cleaning, sampling, splitting (P1, P2, P9, C*, D*, A4, B3, E1-E5)
+from articlelab.operators import cleaning as C  # noqa: E402
+from articlelab.operators import labels as L  # noqa: E402
+from articlelab.operators import sampling as D  # noqa: E402
+
+WIKIHOW_N = 200
+STRATA = ("human", "gpt")
+STRATUM_N = 50
+BATCH = 64
+RESUME_FROM = 3
+SHORT_CLASS_MAP = {"en": 0, "fr": 1}
+
+
+@query
+def wikihow_subset(spark, sf_dir):
+    """C5 D6 G1-G3 C7 D3."""
+    return C.wikihow_subset(S.wikihow(spark, sf_dir), WIKIHOW_N).select(
+        "doc_id", "original_row_number", "title", "headline", "sectionLabel", "length")
+
+
+@query
+def prompt_queries(spark, sf_dir):
+    """G4 prompts over every cleaned WikiHow row."""
+    return C.with_prompts(C.wikihow_clean(S.wikihow(spark, sf_dir))).select("doc_id", "query")
+
+
+@query
+def type_counts(spark, sf_dir):
+    """Rows per article type."""
+    return S.articles(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query
+def conditional_counts(spark, sf_dir):
+    """Total, per-type conditional counts, distinct types."""
+    a = S.articles(spark, sf_dir)
+    return a.agg(F.count(F.lit(1)).cast("bigint").alias("n_articles"),
+                 F.count_if(F.col("type") == "gpt").cast("bigint").alias("n_gpt"),
+                 F.count_if(F.col("type") == "human").cast("bigint").alias("n_human"),
+                 F.countDistinct("type").cast("bigint").alias("n_types"))
+
+
+@query
+def class_index(spark, sf_dir):
+    """E4 + F1: class number = position of the type in the sorted types."""
+    a = S.articles(spark, sf_dir)
+    return L.apply_class_map(a, L.class_map(a)).select("doc_id", "type", "label")
+
+
+@query
+def relabel_dense(spark, sf_dir):
+    """F2 + F7: labels 3k+1 re-indexed to 0..K-1 over train and test together."""
+    f = S.features(spark, sf_dir).select("vec_id", "split", (F.col("label") * 3 + 1).cast("bigint").alias("raw_label"))
+    return L.dense_labels(f, "raw_label", "label").select("vec_id", "split", "raw_label", "label")
+
+
+@query
+def unmapped_types(spark, sf_dir):
+    """C13 + S3: document languages without a class number in a short map."""
+    d = S.table(spark, sf_dir, "documents").select(F.col("lang").alias("type"))
+    return L.unmapped(d, L.literal_map(spark, SHORT_CLASS_MAP)).select("type", "n")
+
+
+@query
+def shuffle_head(spark, sf_dir):
+    """D1 + D2: first 100 documents after the seeded shuffle."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id")
+    return D.shuffled_head(d, "doc_id", 100).select("doc_id", "row_no")
+
+
+@query
+def train_test_split(spark, sf_dir):
+    """D4 (+ D1, D6): exact 80/20 split by shuffled position."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id")
+    return D.train_test_split(d, "doc_id").select("doc_id", "row_no", "split")
+
+
+@query
+def stratified_sample(spark, sf_dir):
+    """D5 + S1: exactly 50 human and 50 gpt articles."""
+    a = S.articles(spark, sf_dir).select("doc_id", "type")
+    return D.stratified_sample(a, "doc_id", "type", STRATA, STRATUM_N).select("doc_id", "type", "row_no")
+
+
+@query
+def batch_slices(spark, sf_dir):
+    """A4 + E5: file-order row numbers, 64-row batches, batch count."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id")
+    return D.numbered_batches(d, "doc_id", BATCH).select("doc_id", "row_no", "batch_no", "n_batches")
+
+
+@query
+def resume_pending(spark, sf_dir):
+    """Rows still to embed when batches 0..2 are already written."""
+    b = D.numbered_batches(S.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", BATCH)
+    finished = b.where(F.col("batch_no") < RESUME_FROM).select("batch_no")
+    return D.pending_batches(b, finished).select("doc_id", "batch_no")
+
+
+@query
+def blank_null_filter(spark, sf_dir):
+    """C5 + C6: drop null and blank texts."""
+    d = C.drop_blank_text(C.drop_null_text(S.dirty(spark, sf_dir)))
+    return d.select("doc_id", "type", F.md5("text").alias("text_md5"))
+
+
+@query
+def literal_type(spark, sf_dir):
+    """The clean-up of the batched encoder with a literal type."""
+    d = C.clean_articles(S.dirty(spark, sf_dir), literal_type="llama")
+    return d.select("doc_id", "type", F.length("text").cast("bigint").alias("n_chars"))
