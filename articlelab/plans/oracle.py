@@ -166,3 +166,106 @@ ORACLE["literal_type"] = f"""
 SELECT doc_id, 'llama' AS type, length(text)::BIGINT AS n_chars FROM {DIRTY}
 WHERE text IS NOT NULL AND regexp_matches(text, '[^{WS}]')
 """
+
+
+# --------------------------------------------------------------------------
+# Tokens, vocabulary, pooling, importance
+def _joined(st: str) -> str:
+    return f"array_to_string(list_transform({st}, lambda s: array_to_string(s, ' ')), chr(10))"
+
+
+ORACLE["sentence_tokens"] = f"""
+SELECT doc_id, len(st)::BIGINT AS n_sentences, len(flatten(st))::BIGINT AS n_tokens, md5({_joined('st')}) AS tokens_md5
+FROM (SELECT doc_id, {sql_sentence_tokens('text')} AS st FROM documents)
+"""
+
+ORACLE["contraction_fix"] = f"""
+SELECT conv_id, turn, len(t)::BIGINT AS n_tokens,
+       ((length(j) - length(replace(j, ' n''t ', ''))) // 5)::BIGINT AS n_contractions,
+       md5(replace(j, ' n''t ', 'n ''t ')) AS fixed_md5
+FROM (SELECT conv_id, turn, t, array_to_string(t, ' ') AS j
+      FROM (SELECT conv_id, turn, {sql_flat_tokens('text', lower=False)} AS t FROM conversations))
+"""
+
+ORACLE["boundary_tokens"] = f"""
+SELECT conv_id, turn, len(w)::BIGINT AS n_sentences, len(flatten(w))::BIGINT AS n_tokens, md5({_joined('w')}) AS tokens_md5
+FROM (SELECT conv_id, turn, list_transform({sql_sentence_tokens('text')}, lambda s: ['{BOS}'] || s || ['{EOS}']) AS w
+      FROM conversations)
+"""
+
+
+def vocab_sql(table: str, lower: bool = True) -> str:
+    return (f"(SELECT DISTINCT token FROM (SELECT unnest({sql_flat_tokens('text', lower)}) AS token FROM {table} "
+            f"UNION ALL SELECT '{BOS}' UNION ALL SELECT '{EOS}'))")
+
+
+ORACLE["vocabulary"] = f"SELECT token FROM {vocab_sql('documents')}"
+
+ORACLE["vocab_update"] = f"""
+WITH known AS (SELECT token FROM {vocab_sql('benchmark')} WHERE {sql_has_vec()}),
+fresh AS (SELECT token FROM {vocab_sql('documents')} WHERE {sql_has_vec()} AND token NOT IN (SELECT token FROM known))
+SELECT token, 'known' AS origin FROM known UNION ALL SELECT token, 'new' AS origin FROM fresh
+"""
+
+ORACLE["first_k_vectors"] = f"""
+SELECT token, rn::BIGINT AS row_no
+FROM (SELECT token, row_number() OVER (ORDER BY md5(token), token) AS rn
+      FROM {vocab_sql('documents')} WHERE {sql_has_vec()})
+WHERE rn <= 1000 OR token IN ('{BOS}', '{EOS}')
+"""
+
+BENCH_KEPT = f"""(
+  SELECT item_id, sent_no, n_words, CASE WHEN len(k) > 0 THEN k ELSE ['{EOS}'] END AS kept
+  FROM (SELECT item_id, sent_no, len(w) AS n_words, list_filter(w, lambda x: right(md5(x), 1) <> '0') AS k
+        FROM (SELECT item_id, generate_subscripts(st, 1) - 1 AS sent_no, ['{BOS}'] || unnest(st) || ['{EOS}'] AS w
+              FROM (SELECT item_id, {sql_sentence_tokens('text', lower=False)} AS st FROM benchmark))))"""
+
+ORACLE["oov_fallback"] = f"""
+SELECT item_id, sent_no::BIGINT AS sent_no, n_words::BIGINT AS n_words, len(kept)::BIGINT AS n_kept,
+       md5(array_to_string(kept, ' ')) AS kept_md5
+FROM {BENCH_KEPT}
+"""
+
+ORACLE["vocab_coverage"] = f"""
+SELECT sum(n_words)::BIGINT AS n_words, sum(len(kept))::BIGINT AS n_kept,
+       {r6('sum(len(kept)) * 100.0 / sum(n_words)')} AS pct
+FROM {BENCH_KEPT}
+"""
+
+_VEC_LIST = "[" + ", ".join(f"('0x' || substr(md5(token), {1 + 3 * i}, 3))::INTEGER / 4095.0 - 0.5"
+                            for i in range(WV_DIM)) + "]"
+
+ORACLE["word_importance"] = f"""
+WITH t AS (SELECT item_id, ['{BOS}'] || {sql_words('text', lower=False)} || ['{EOS}'] AS w FROM benchmark),
+e AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM t),
+k AS (SELECT item_id, token, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS tok_no
+      FROM e WHERE {sql_has_vec()}),
+v AS (SELECT item_id, tok_no, unnest({_VEC_LIST}) AS val, unnest(range({WV_DIM})) AS dim FROM k),
+win AS (SELECT item_id, tok_no FROM (
+          SELECT *, row_number() OVER (PARTITION BY item_id, dim ORDER BY val DESC, tok_no) AS rn FROM v)
+        WHERE rn = 1),
+cnt AS (SELECT item_id, tok_no, count(*) AS n FROM win GROUP BY item_id, tok_no)
+SELECT k.item_id, k.tok_no::BIGINT AS tok_no, k.token, coalesce(cnt.n, 0)::BIGINT AS n,
+       {r6(f'coalesce(cnt.n, 0) * 100.0 / {WV_DIM}')} AS pct
+FROM k LEFT JOIN cnt USING (item_id, tok_no)
+"""
+
+
+def conv_pool_sql(agg: str) -> str:
+    return f"""
+WITH s AS (SELECT conv_id, turn, generate_subscripts(st, 1) AS sent_no, unnest(st) AS toks
+           FROM (SELECT conv_id, turn, {sql_sentence_tokens('text')} AS st FROM conversations)),
+t AS (SELECT conv_id, turn, sent_no, unnest(toks) AS token FROM s),
+wv AS (SELECT token, {sql_hash_vec_cols()} FROM (SELECT DISTINCT token FROM t) WHERE {sql_has_vec()}),
+sv AS (SELECT conv_id, turn, sent_no, {", ".join(f"{agg}(v{i}) AS a{i}" for i in range(WV_DIM))}
+       FROM t JOIN wv USING (token) GROUP BY conv_id, turn, sent_no),
+dv AS (SELECT conv_id, turn, count(*) AS n_sentences, {", ".join(f"avg(a{i}) AS m{i}" for i in range(WV_DIM))}
+       FROM sv GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, coalesce(dv.n_sentences, 0)::BIGINT AS n_sentences,
+       {", ".join(r6(f"coalesce(m{i}, 0)") + f" AS f{i}" for i in range(WV_DIM))}
+FROM conversations c LEFT JOIN dv USING (conv_id, turn)
+"""
+
+
+ORACLE["sentence_mean_vectors"] = conv_pool_sql("avg")
+ORACLE["max_pool"] = conv_pool_sql("max")

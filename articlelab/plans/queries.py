@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from articlelab.functions import text as T
 from articlelab.operators import vectors as V
-from articlelab.plans.common import expand
+from articlelab.plans.common import expand, r6
 from articlelab.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,130 @@ def literal_type(spark, sf_dir):
     """The clean-up of the batched encoder with a literal type."""
     d = C.clean_articles(S.dirty(spark, sf_dir), literal_type="llama")
     return d.select("doc_id", "type", F.length("text").cast("bigint").alias("n_chars"))
+
+
+# --------------------------------------------------------------------------
+# Tokens, vocabulary, pooling, importance
+from articlelab.operators import vocab as W  # noqa: E402
+
+FIRST_K = 1000
+CONV_IDS = ["conv_id", "turn"]
+
+
+def _joined_sentences(col):
+    return F.array_join(F.transform(col, lambda s: F.array_join(s, " ")), "\n")
+
+
+@query
+def sentence_tokens(spark, sf_dir):
+    """G5-G8 + C15: sentence and word tokens of every document."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", T.sentence_tokens("text").alias("st"))
+    return d.select("doc_id", F.size("st").cast("bigint").alias("n_sentences"),
+                    F.size(F.flatten("st")).cast("bigint").alias("n_tokens"),
+                    F.md5(_joined_sentences(F.col("st"))).alias("tokens_md5"))
+
+
+@query
+def contraction_fix(spark, sf_dir):
+    """G9 + G10: contraction fix on the joined token string of each turn."""
+    c = S.table(spark, sf_dir, "conversations").select(*CONV_IDS, T.flat_tokens("text", lower=False).alias("t"))
+    j = c.select(*CONV_IDS, "t", T.join_tokens("t").alias("j"))
+    n_fix = (F.length("j") - F.length(F.replace(F.col("j"), F.lit(T.CONTRACTION_FROM), F.lit("")))) / len(T.CONTRACTION_FROM)
+    return j.select(*CONV_IDS, F.size("t").cast("bigint").alias("n_tokens"),
+                    n_fix.cast("bigint").alias("n_contractions"),
+                    F.md5(T.fix_contractions("j")).alias("fixed_md5"))
+
+
+@query
+def boundary_tokens(spark, sf_dir):
+    """Every sentence of every turn wrapped in <p> ... </p>."""
+    c = S.table(spark, sf_dir, "conversations").select(
+        *CONV_IDS, F.transform(T.sentence_tokens("text"), lambda s: T.with_boundaries(s)).alias("w"))
+    return c.select(*CONV_IDS, F.size("w").cast("bigint").alias("n_sentences"),
+                    F.size(F.flatten("w")).cast("bigint").alias("n_tokens"),
+                    F.md5(_joined_sentences(F.col("w"))).alias("tokens_md5"))
+
+
+def _vocab(spark, sf_dir, name, lower=True):
+    t = S.table(spark, sf_dir, name).select(T.flat_tokens("text", lower).alias("tokens"))
+    return W.corpus_vocabulary(t)
+
+
+@query
+def vocabulary(spark, sf_dir):
+    """Distinct tokens of the documents plus <p> and </p>."""
+    return _vocab(spark, sf_dir, "documents")
+
+
+@query
+def vocab_update(spark, sf_dir):
+    """F5 + F3: benchmark vocabulary extended by the new document words
+    that have a vector."""
+    known, corpus = _vocab(spark, sf_dir, "benchmark"), _vocab(spark, sf_dir, "documents")
+    wv = V.hash_word_vectors(known.unionByName(corpus), WV_DIM).checkpointed()
+    return W.vocab_update(known, corpus, wv).select("token", "origin")
+
+
+@query
+def first_k_vectors(spark, sf_dir):
+    """First 1,000 rows of the word-vector file (file order = md5 of
+    the token) plus the boundary tokens."""
+    wv = V.hash_word_vectors(_vocab(spark, sf_dir, "documents"), WV_DIM)
+    f = wv.df.withColumn("_file_key", F.md5("token"))
+    return W.first_k_vectors(f, "_file_key", FIRST_K).select("token", "row_no")
+
+
+def _benchmark_kept(spark, sf_dir):
+    b = S.table(spark, sf_dir, "benchmark").select(
+        "item_id", F.posexplode(T.sentence_tokens("text", lower=False)).alias("sent_no", "tokens"))
+    vocab = W.corpus_vocabulary(b.select("tokens"))
+    wv = V.hash_word_vectors(vocab, WV_DIM).checkpointed()
+    return W.kept_sentences(b, ["item_id"], wv)
+
+
+@query
+def oov_fallback(spark, sf_dir):
+    """per benchmark sentence, <p> + words with a vector + </p>;
+    an emptied sentence becomes [</p>]."""
+    k = _benchmark_kept(spark, sf_dir)
+    return k.select("item_id", F.col("sent_no").cast("bigint").alias("sent_no"),
+                    F.col("n_words").cast("bigint").alias("n_words"),
+                    F.size("kept").cast("bigint").alias("n_kept"),
+                    F.md5(F.array_join("kept", " ")).alias("kept_md5"))
+
+
+@query
+def vocab_coverage(spark, sf_dir):
+    """Percentage of benchmark words (boundary tokens included) kept."""
+    c = W.coverage(_benchmark_kept(spark, sf_dir))
+    return c.select("n_words", "n_kept", r6(F.col("pct")).alias("pct"))
+
+
+@query
+def word_importance(spark, sf_dir):
+    """Share of vector dimensions whose maximum each token holds."""
+    b = S.table(spark, sf_dir, "benchmark").select("item_id", T.word_tokens("text", lower=False).alias("tokens"))
+    wv = V.hash_word_vectors(W.corpus_vocabulary(b), WV_DIM).checkpointed()
+    w = W.word_importance(b, ["item_id"], wv)
+    return w.select("item_id", "tok_no", "token", "n", r6(F.col("pct")).alias("pct"))
+
+
+def _conversation_pool(spark, sf_dir, pool):
+    c = S.table(spark, sf_dir, "conversations").select(*CONV_IDS, T.sentence_tokens("text").alias("sentences"))
+    rows = V.sentence_token_rows(c, CONV_IDS)
+    wv = V.hash_word_vectors(rows.select("token"), WV_DIM).checkpointed()
+    sv = V.pooled_sentence_vectors(rows, wv, CONV_IDS, pool)
+    doc = V.mean_of_sentences(sv, WV_DIM, CONV_IDS)
+    return doc.select(*CONV_IDS, "n_sentences", *expand("features", WV_DIM))
+
+
+@query
+def sentence_mean_vectors(spark, sf_dir):
+    """E8 + E7: mean-pooled sentence vectors, averaged per turn."""
+    return _conversation_pool(spark, sf_dir, "mean")
+
+
+@query
+def max_pool(spark, sf_dir):
+    """E9 + E7: max-pooled sentence vectors, averaged per turn."""
+    return _conversation_pool(spark, sf_dir, "max")
