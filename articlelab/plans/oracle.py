@@ -269,3 +269,134 @@ FROM conversations c LEFT JOIN dv USING (conv_id, turn)
 
 ORACLE["sentence_mean_vectors"] = conv_pool_sql("avg")
 ORACLE["max_pool"] = conv_pool_sql("max")
+
+
+# --------------------------------------------------------------------------
+# Metrics over stored scores and run records
+SCORES = f"""(SELECT vec_id, label, CASE WHEN vec_id % {S.TEST_EVERY} = 0 THEN 'test' ELSE 'train' END AS split,
+       (vec_id // {S.EVAL_BATCH})::BIGINT AS batch_id, e::BIGINT AS epoch,
+       list_transform(embedding[(e - 1) * 10 + 1 : e * 10], lambda x: x::DOUBLE) AS logits
+  FROM embeddings CROSS JOIN range(1, {S.SCORE_EPOCHS + 1}) AS t(e))"""
+
+SCORED = f"""(SELECT *, list_position(logits, m) - 1 AS pred,
+       ln(list_sum(list_transform(logits, lambda x: exp(x - m)))) + m - logits[label + 1] AS loss,
+       1.0 / list_sum(list_transform(logits, lambda x: exp(x - m))) AS p_max
+  FROM (SELECT *, list_max(logits) AS m FROM {SCORES}))"""
+
+BATCHES = f"""(SELECT split, epoch, batch_id, count(*) AS n,
+       sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS correct, sum(loss) AS sum_loss, avg(loss) AS mean_loss
+  FROM {SCORED} GROUP BY split, epoch, batch_id)"""
+
+EPOCHS = f"""(SELECT split, epoch, sum(n) AS n, sum(correct) AS correct, sum(correct) / sum(n) AS accuracy,
+       avg(mean_loss) AS loss, sum(sum_loss) / sum(n) AS row_loss
+  FROM {BATCHES} GROUP BY split, epoch)"""
+
+CONF = f"""(SELECT split, epoch, label::BIGINT AS true_label, pred::BIGINT AS pred_label, count(*)::BIGINT AS n
+  FROM {SCORED} GROUP BY split, epoch, label, pred)"""
+
+ORACLE["predictions"] = f"""
+SELECT vec_id, epoch, split, label::BIGINT AS label, pred::BIGINT AS pred, {r6('p_max')} AS p_max FROM {SCORED}
+"""
+
+ORACLE["epoch_metrics"] = f"""
+SELECT split, epoch, n::BIGINT AS n, correct::BIGINT AS correct, {r6('accuracy')} AS accuracy,
+       {r6('loss')} AS loss, {r6('row_loss')} AS row_loss FROM {EPOCHS}
+"""
+
+ORACLE["batch_mean_loss"] = f"""
+SELECT split, epoch, batch_id, n::BIGINT AS n, {r6('mean_loss')} AS mean_loss FROM {BATCHES}
+"""
+
+ORACLE["confusion_long"] = f"SELECT * FROM {CONF}"
+
+ORACLE["confusion_dense"] = f"""
+WITH c AS {CONF},
+l AS (SELECT DISTINCT x FROM (SELECT true_label AS x FROM c UNION ALL SELECT pred_label FROM c)),
+k AS (SELECT DISTINCT split, epoch FROM c)
+SELECT k.split, k.epoch, a.x AS true_label, b.x AS pred_label, coalesce(c.n, 0)::BIGINT AS n
+FROM k CROSS JOIN l AS a CROSS JOIN l AS b
+LEFT JOIN c ON c.split = k.split AND c.epoch = k.epoch AND c.true_label = a.x AND c.pred_label = b.x
+"""
+
+ORACLE["confusion_at_epoch"] = f"""
+SELECT split, epoch, true_label, pred_label, n
+FROM (SELECT *, max(epoch) OVER (PARTITION BY split) AS last FROM {CONF})
+WHERE epoch = least(5, last)
+"""
+
+ORACLE["weighted_f1_by_epoch"] = f"""
+WITH c AS {CONF},
+r AS (SELECT split, epoch, true_label AS cl, n AS sup, 0 AS prd, CASE WHEN true_label = pred_label THEN n ELSE 0 END AS tp FROM c
+      UNION ALL SELECT split, epoch, pred_label, 0, n, 0 FROM c),
+pc AS (SELECT split, epoch, cl, sum(sup) AS sup, sum(prd) AS prd, sum(tp) AS tp FROM r GROUP BY split, epoch, cl)
+SELECT split, epoch,
+       {r6('sum(CASE WHEN sup + prd > 0 THEN 2.0 * tp / (sup + prd) ELSE 0 END * sup) / sum(sup)')} AS f1,
+       sum(sup)::BIGINT AS n
+FROM pc GROUP BY split, epoch
+"""
+
+ORACLE["final_metrics"] = f"""
+SELECT split, max(epoch) AS epoch, {r6('arg_max(accuracy, epoch)')} AS accuracy, {r6('arg_max(loss, epoch)')} AS loss
+FROM {EPOCHS} GROUP BY split
+"""
+
+PAGE_PATHS = r"""(SELECT page_id, '/runs/' || regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1) || '/'
+       || replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '.', '_') || '.csv' AS path FROM pages)"""
+
+ORACLE["run_names"] = rf"""
+SELECT page_id, path,
+       CASE WHEN ok THEN regexp_extract(base, '^(\w+)_(\w+)', 2) END AS ds_name,
+       CASE WHEN ok THEN regexp_extract(base, '^(\w+)_(\w+)', 1) END AS embedder_name,
+       ok AS matched,
+       CASE WHEN ok THEN lower(regexp_extract(base, '^(\w+)_(\w+)', 2) || '_' || regexp_extract(base, '^(\w+)_(\w+)', 1)
+                               || '_simplemlp') || '.json' END AS run_id
+FROM (SELECT *, regexp_matches(base, '^(\w+)_(\w+)') AS ok
+      FROM (SELECT page_id, path, split_part(regexp_extract(path, '([^/]*)$', 1), '.', 1) AS base FROM {PAGE_PATHS}))
+"""
+
+RUNS = f"""(SELECT CASE WHEN epoch = 6 AND batch_id = 0 THEN 'W2V' || epoch ELSE 'W2V' || epoch || '_' || split END
+              AS embedder_name, epoch, split, batch_id,
+            CASE WHEN epoch = 3 AND split = 'test' AND batch_id = 0 THEN NULL ELSE correct / n END AS accuracy,
+            mean_loss AS loss FROM {BATCHES})"""
+
+
+def _emb_type(name: str) -> str:
+    return f"lower(split_part({name}, '_', 1))"
+
+
+def _cls_type(name: str) -> str:
+    return (f"lower(CASE WHEN strpos({name}, '_') > 0 THEN substr({name}, strpos({name}, '_') + 1) "
+            f"ELSE 'unknown' END)")
+
+
+ORACLE["embedder_parts"] = f"""
+SELECT embedder_name, {_emb_type('embedder_name')} AS embedding_type, {_cls_type('embedder_name')} AS class_type
+FROM (SELECT DISTINCT embedder_name FROM {RUNS})
+"""
+
+ORACLE["missing_metrics"] = f"""
+SELECT embedder_name, epoch, split, batch_id,
+       ((accuracy IS NULL)::INT + (loss IS NULL)::INT)::BIGINT AS n_missing,
+       concat_ws(',', CASE WHEN accuracy IS NULL THEN 'accuracy' END, CASE WHEN loss IS NULL THEN 'loss' END) AS missing
+FROM {RUNS}
+"""
+
+VALID_RUNS = f"""(SELECT *, {_emb_type('embedder_name')} AS embedding_type, {_cls_type('embedder_name')} AS class_type
+  FROM {RUNS} WHERE accuracy IS NOT NULL AND loss IS NOT NULL)"""
+
+ORACLE["accuracy_by_embedding"] = f"""
+SELECT embedding_type, class_type, {r6('avg(accuracy)')} AS mean_accuracy, count(accuracy)::BIGINT AS n_runs,
+       {r6('stddev_samp(accuracy)')} AS std_accuracy
+FROM {VALID_RUNS} GROUP BY embedding_type, class_type
+"""
+
+ORACLE["boost_accuracy_by_embedding"] = f"""
+SELECT embedding_type, {r6('avg(accuracy)')} AS mean_accuracy, count(accuracy)::BIGINT AS n_runs,
+       {r6('stddev_samp(accuracy)')} AS std_accuracy
+FROM {VALID_RUNS} GROUP BY embedding_type
+"""
+
+ORACLE["runs_json_roundtrip"] = f"""
+SELECT c.split, c.epoch, c.true_label, c.pred_label, c.n, {r6('e.accuracy')} AS accuracy
+FROM {CONF} AS c JOIN {EPOCHS} AS e USING (split, epoch)
+"""

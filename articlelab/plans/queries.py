@@ -281,3 +281,160 @@ def sentence_mean_vectors(spark, sf_dir):
 def max_pool(spark, sf_dir):
     """E9 + E7: max-pooled sentence vectors, averaged per turn."""
     return _conversation_pool(spark, sf_dir, "max")
+
+
+# --------------------------------------------------------------------------
+# Metrics over stored scores, run records
+from articlelab.operators import metrics as M  # noqa: E402
+from articlelab.operators import runs as R  # noqa: E402
+
+KEYS = ["split", "epoch"]
+INSPECT_EPOCH = 5
+MODEL_NAME = "SimpleMLP"
+
+
+def _scored(spark, sf_dir):
+    return M.score_rows(S.scores(spark, sf_dir))
+
+
+@query
+def predictions(spark, sf_dir):
+    """H1 + H2: softmax winner and its probability."""
+    s = _scored(spark, sf_dir)
+    return s.select("vec_id", "epoch", "split", F.col("label").cast("bigint").alias("label"),
+                    F.col("pred").cast("bigint").alias("pred"), r6(F.col("p_max")).alias("p_max"))
+
+
+@query
+def epoch_metrics(spark, sf_dir):
+    """Per split and epoch, accuracy and losses."""
+    m = M.epoch_metrics(_scored(spark, sf_dir), KEYS)
+    return m.select(*KEYS, "n", "correct", r6(F.col("accuracy")).alias("accuracy"),
+                    r6(F.col("loss")).alias("loss"), r6(F.col("row_loss")).alias("row_loss"))
+
+
+@query
+def batch_mean_loss(spark, sf_dir):
+    """E10 + D8: mean loss of every 32-row batch."""
+    b = M.batch_losses(_scored(spark, sf_dir), KEYS)
+    return b.select(*KEYS, "batch_id", "n", r6(F.col("mean_loss")).alias("mean_loss"))
+
+
+@query
+def confusion_long(spark, sf_dir):
+    """Confusion counts in long form."""
+    return M.confusion(_scored(spark, sf_dir), KEYS)
+
+
+@query
+def confusion_dense(spark, sf_dir):
+    """Zero-filled confusion grid over the full label set."""
+    return M.dense_confusion(M.confusion(_scored(spark, sf_dir), KEYS), KEYS).select(
+        *KEYS, "true_label", "pred_label", "n")
+
+
+@query
+def confusion_at_epoch(spark, sf_dir):
+    """Confusion of epoch 5 (the last epoch if there are fewer)."""
+    c = M.confusion(_scored(spark, sf_dir), KEYS)
+    return M.at_epoch(c, INSPECT_EPOCH, group=["split"]).select(*KEYS, "true_label", "pred_label", "n")
+
+
+@query
+def weighted_f1_by_epoch(spark, sf_dir):
+    """E14 + E15: support-weighted F1 per split and epoch."""
+    f = M.weighted_f1(M.confusion(_scored(spark, sf_dir), KEYS), KEYS)
+    return f.select(*KEYS, r6(F.col("f1")).alias("f1"), "n")
+
+
+@query
+def final_metrics(spark, sf_dir):
+    """Accuracy and loss of the last epoch per split."""
+    m = M.epoch_metrics(_scored(spark, sf_dir), KEYS)
+    f = M.final_values(m, ["split"], ["accuracy", "loss"])
+    return f.select("split", "epoch", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("loss")).alias("loss"))
+
+
+def _page_paths(spark, sf_dir):
+    p = S.table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    lang = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^/?#]+)", 1)
+    return p.select("page_id", F.concat(F.lit("/runs/"), lang, F.lit("/"),
+                                        F.replace(host, F.lit("."), F.lit("_")), F.lit(".csv")).alias("path"))
+
+
+@query
+def run_names(spark, sf_dir):
+    """G12 + G14: dataset and encoder names from embedded-table paths
+    (built from page URLs), and the run file name."""
+    p = _page_paths(spark, sf_dir)
+    ds, enc, ok = R.names_from_path("path")
+    out = p.select("page_id", "path", ds.alias("ds_name"), enc.alias("embedder_name"), ok.alias("matched"))
+    return out.withColumn("run_id", F.when(F.col("matched"), F.concat(
+        R.run_identifier("ds_name", "embedder_name", F.lit(MODEL_NAME)), F.lit(".json"))))
+
+
+@query
+def embedder_parts(spark, sf_dir):
+    """Embedding type and class type of every run name."""
+    r = S.runs(spark, sf_dir).select("embedder_name").distinct()
+    emb, cls = R.split_embedder("embedder_name")
+    return r.select("embedder_name", emb.alias("embedding_type"), cls.alias("class_type"))
+
+
+def _runs_checked(spark, sf_dir):
+    return R.with_missing(S.runs(spark, sf_dir), ["accuracy", "loss"])
+
+
+@query
+def missing_metrics(spark, sf_dir):
+    """C14 + J2: which required metrics each run lacks."""
+    r = _runs_checked(spark, sf_dir)
+    return r.select("embedder_name", "epoch", "split", "batch_id",
+                    F.size("missing").cast("bigint").alias("n_missing"),
+                    F.array_join("missing", ",").alias("missing"))
+
+
+def _valid_runs(spark, sf_dir):
+    r = _runs_checked(spark, sf_dir).where(F.size("missing") == 0)
+    emb, cls = R.split_embedder("embedder_name")
+    return r.withColumn("embedding_type", emb).withColumn("class_type", cls)
+
+
+@query
+def accuracy_by_embedding(spark, sf_dir):
+    """Accuracy by embedding type x class type over valid runs."""
+    t = R.accuracy_table(_valid_runs(spark, sf_dir), ["embedding_type", "class_type"])
+    return t.select("embedding_type", "class_type", r6(F.col("mean_accuracy")).alias("mean_accuracy"),
+                    "n_runs", r6(F.col("std_accuracy")).alias("std_accuracy"))
+
+
+@query
+def boost_accuracy_by_embedding(spark, sf_dir):
+    """Accuracy by embedding type."""
+    t = R.accuracy_table(_valid_runs(spark, sf_dir), ["embedding_type"])
+    return t.select("embedding_type", r6(F.col("mean_accuracy")).alias("mean_accuracy"),
+                    "n_runs", r6(F.col("std_accuracy")).alias("std_accuracy"))
+
+
+@query
+def runs_json_roundtrip(spark, sf_dir):
+    """J1 + B4 + A9: scores -> network-run record (series + confusion maps,
+    outer key = predicted) -> JSON text -> typed record -> long form."""
+    s = _scored(spark, sf_dir)
+    m = M.epoch_metrics(s, KEYS)
+    rec = R.network_run_records(m, M.confusion(s, KEYS), [], {})
+    rec = rec.select(F.lit("fixture").alias("original_dataset_name"),
+                     F.lit("hash8_scores").alias("embedder_name"), "experiment_result")
+    back = R.record_from_json(R.record_to_json(rec, rec.columns), R.NETWORK_RUN_DDL)
+    er = back.select("experiment_result.*")
+    parts = []
+    for split, cm, acc in (("train", "training_classification_results", "training_accuracies"),
+                           ("test", "testing_classification_results", "testing_accuracies")):
+        conf = R.confusion_from_record(er.select(cm), [], cm, outer_is="pred")
+        accs = R.series_from_record(er.select(acc), [], {"accuracy": acc}).select(
+            "epoch", F.col("value").alias("accuracy"))
+        parts.append(conf.join(accs, "epoch").withColumn("split", F.lit(split)))
+    out = parts[0].unionByName(parts[1])
+    return out.select("split", F.col("epoch").cast("bigint").alias("epoch"), "true_label", "pred_label", "n",
+                      r6(F.col("accuracy")).alias("accuracy"))

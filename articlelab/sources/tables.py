@@ -68,7 +68,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, label, split, batch_id, epoch, logits ARRAY<DOUBLE>):
     six "epochs" of ten class scores cut from each embedding row."""
     e = table(spark, sf_dir, "embeddings")
-    epochs = F.sequence(F.lit(1), F.lit(SCORE_EPOCHS))
+    epochs = F.sequence(F.lit(1), F.lit(SCORE_EPOCHS)).cast("array<bigint>")
     return (e.select(
                 "vec_id", "label", "embedding",
                 F.when(F.col("vec_id") % TEST_EVERY == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
@@ -86,3 +86,27 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "label",
         F.when(F.col("vec_id") % TEST_EVERY == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
         F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+
+
+# Fixed rule of the run fixture: one embedder name without "_" and one
+# missing metric (FIXTURES.md "runs").
+RUN_PREFIX = "W2V"
+RUN_NO_UNDERSCORE = (6, 0)          # (epoch, batch_id)
+RUN_NULL_ACCURACY = (3, "test", 0)  # (epoch, split, batch_id)
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(embedder_name, epoch, split, batch_id, accuracy, loss): one "run"
+    per scored (epoch, split, batch) of the score fixture."""
+    from articlelab.operators.metrics import batch_losses, score_rows
+    b = batch_losses(score_rows(scores(spark, sf_dir)), ["epoch", "split"])
+    e, bid = RUN_NO_UNDERSCORE
+    ne, ns, nb = RUN_NULL_ACCURACY
+    name = (F.when((F.col("epoch") == e) & (F.col("batch_id") == bid),
+                   F.concat(F.lit(RUN_PREFIX), F.col("epoch").cast("string")))
+            .otherwise(F.concat(F.lit(RUN_PREFIX), F.col("epoch").cast("string"), F.lit("_"), F.col("split"))))
+    acc = (F.when((F.col("epoch") == ne) & (F.col("split") == ns) & (F.col("batch_id") == nb),
+                  F.lit(None).cast("double"))
+           .otherwise(F.col("correct") / F.col("n")))
+    return b.select(name.alias("embedder_name"), "epoch", "split", "batch_id",
+                    acc.alias("accuracy"), F.col("mean_loss").alias("loss"))
