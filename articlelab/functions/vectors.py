@@ -45,10 +45,11 @@ def has_hash_vector(token) -> Column:
     return F.substring(F.md5(_c(token)), 32, 1) != F.lit(HASH_OOV_LAST_DIGIT)
 
 
-def softmax(z) -> Column:
-    """H1: numerically stable softmax of an array column."""
+def softmax(z, m=None) -> Column:
+    """H1: numerically stable softmax of an array column (``m`` = its max,
+    pass a column to avoid recomputing it per element)."""
     z = _c(z)
-    m = F.array_max(z)
+    m = F.array_max(z) if m is None else _c(m)
     e = F.transform(z, lambda x: F.exp(x - m))
     s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
     return F.transform(e, lambda x: x / s)
@@ -60,19 +61,24 @@ def argmax(z) -> Column:
     return (F.array_position(z, F.array_max(z)) - 1).cast("int")
 
 
-def cross_entropy(z, label) -> Column:
-    """Row loss ``logsumexp(z) - z[label]`` on raw scores."""
+def logsumexp(z, m=None) -> Column:
     z = _c(z)
-    m = F.array_max(z)
-    lse = F.log(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))) + m
-    return lse - F.element_at(z, _c(label) + 1)
+    m = F.array_max(z) if m is None else _c(m)
+    return F.log(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))) + m
+
+
+def cross_entropy(z, label, m=None) -> Column:
+    """Row loss ``logsumexp(z) - z[label]`` on raw scores."""
+    return logsumexp(z, m) - F.element_at(_c(z), _c(label) + 1)
 
 
-def min_max_scale(v) -> Column:
+def min_max_scale(v, lo=None, hi=None) -> Column:
     """H3: scale to [0, 1]; a constant vector gives null (0/0 in the
-    reference)."""
+    reference). Pass ``lo``/``hi`` columns so they are not recomputed per
+    element inside the lambda."""
     v = _c(v)
-    lo, hi = F.array_min(v), F.array_max(v)
+    lo = F.array_min(v) if lo is None else _c(lo)
+    hi = F.array_max(v) if hi is None else _c(hi)
     return F.when(hi > lo, F.transform(v, lambda x: (x - lo) / (hi - lo)))
 
 

@@ -26,12 +26,18 @@ def score_rows(df: DataFrame, logits: str = "logits", label: str = "label",
     applies the loss to softmax outputs, as the reference's networks do
     (softmax twice, Q16)."""
     z = F.col(logits)
-    z_loss = softmax(z) if output == "reference" else z
-    return (df.withColumn("pred", argmax(z))
-              .withColumn("p_max", F.lit(1.0) / F.aggregate(
-                  z, F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max(z))))
-              .withColumn("loss", cross_entropy(z_loss, label))
-              .withColumn("correct", (F.col("pred") == F.col(label)).cast("bigint")))
+    staged = df.withColumn("_m", F.array_max(z))
+    if output == "reference":
+        staged = staged.withColumn("_p", softmax(z, "_m"))
+        loss = cross_entropy("_p", label)
+    else:
+        loss = cross_entropy(z, label, "_m")
+    return (staged.withColumn("pred", argmax(z))
+                  .withColumn("p_max", F.lit(1.0) / F.aggregate(
+                      z, F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_m"))))
+                  .withColumn("loss", loss)
+                  .withColumn("correct", (F.col("pred") == F.col(label)).cast("bigint"))
+                  .drop("_m", "_p"))
 
 
 def batch_losses(scored: DataFrame, keys: Sequence[str], batch: str = "batch_id") -> DataFrame:

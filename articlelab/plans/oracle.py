@@ -8,6 +8,7 @@ template text, fixture constants) that both sides must agree on.
 from __future__ import annotations
 
 from articlelab.functions.text import BOS, EOS, PROMPT_PARTS, SENTENCE_BOUNDARY, WORD_PATTERN, WS_CLASS
+from articlelab.functions.vectors import resize_weights
 from articlelab.sources import tables as S
 
 ORACLE: dict[str, str] = {}
@@ -400,3 +401,59 @@ ORACLE["runs_json_roundtrip"] = f"""
 SELECT c.split, c.epoch, c.true_label, c.pred_label, c.n, {r6('e.accuracy')} AS accuracy
 FROM {CONF} AS c JOIN {EPOCHS} AS e USING (split, epoch)
 """
+
+
+# --------------------------------------------------------------------------
+# Images and the embedded table
+UNIT = """(SELECT vec_id, lo, hi, CASE WHEN hi > lo THEN list_transform(v, lambda x: (x - lo) / (hi - lo)) END AS u
+  FROM (SELECT vec_id, v, list_min(v) AS lo, list_max(v) AS hi
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)))"""
+
+
+def _image_stats_sql(side: int) -> str:
+    return (f"len(p)::BIGINT AS n_pixels, {r6('list_sum(p) / len(p) / 255.0')} AS pix_mean, "
+            f"{r6(f'list_sum(list_transform(range({side}), lambda i: p[i * {side} + i + 1])) / {side} / 255.0')} AS trace_mean, "
+            f"{r6('list_max(p) / 255.0')} AS pix_max")
+
+
+def _outer(u: str) -> str:
+    return f"flatten(list_transform({u}, lambda a: list_transform({u}, lambda b: a * b * 255.0)))"
+
+
+ORACLE["minmax_outer"] = f"""
+SELECT vec_id, {r6('lo')} AS vmin, {r6('hi')} AS vmax, {_image_stats_sql(64)}
+FROM (SELECT vec_id, lo, hi, {_outer('u')} AS p FROM {UNIT})
+"""
+
+_RESAMPLED = "[" + ", ".join(" + ".join(f"u[{j + 1}] * {w!r}::DOUBLE" for j, w in pairs)
+                             for pairs in resize_weights(64, 100)) + "]"
+RESIZED = f"(SELECT vec_id, {_outer('r')} AS p FROM (SELECT vec_id, {_RESAMPLED} AS r FROM {UNIT}))"
+
+ORACLE["resize_image"] = f"SELECT vec_id, {_image_stats_sql(100)} FROM {RESIZED}"
+
+ORACLE["normalise_image"] = f"""
+SELECT vec_id, {r6('list_sum(q) / len(q)')} AS mean, {r6('list_min(q)')} AS min, {r6('list_max(q)')} AS max
+FROM (SELECT vec_id, list_transform(p, lambda x: (x / 255.0 - 0.5) / 0.5) AS q FROM {RESIZED})
+"""
+
+EMBEDDED = f"""
+WITH a AS {ARTICLES},
+sp AS (SELECT doc_id, type, text, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split
+       FROM (SELECT *, row_number() OVER (ORDER BY {shuffle_key('doc_id')}, doc_id) AS rn, count(*) OVER () AS n FROM a)),
+d AS (SELECT doc_id, split, type, {sql_flat_tokens('text')} AS toks FROM sp),
+t AS (SELECT doc_id, split, unnest(toks) AS token FROM d),
+wv AS (SELECT token, {sql_hash_vec_cols()} FROM (SELECT DISTINCT token FROM t WHERE split = 'train') WHERE {sql_has_vec()}),
+s AS (SELECT t.doc_id, {", ".join(f"sum(v{i}) AS s{i}" for i in range(WV_DIM))} FROM t JOIN wv USING (token) GROUP BY t.doc_id),
+m AS (SELECT type, (row_number() OVER (ORDER BY type) - 1)::BIGINT AS label FROM (SELECT DISTINCT type FROM a)),
+e AS (SELECT d.doc_id, d.split, m.label, len(d.toks) AS nt, {", ".join(f"coalesce(s{i}, 0) AS s{i}" for i in range(WV_DIM))}
+      FROM d JOIN m USING (type) LEFT JOIN s USING (doc_id))
+"""
+
+ORACLE["embedded_table"] = EMBEDDED + f"""
+SELECT doc_id, split, label, {", ".join(r6(f"s{i} / greatest(nt, 1)") + f" AS f{i}" for i in range(WV_DIM))} FROM e
+"""
+
+ORACLE["feature_metadata"] = EMBEDDED + f"""
+SELECT split, {WV_DIM}::BIGINT AS min_width, {WV_DIM}::BIGINT AS max_width, count(DISTINCT label)::BIGINT AS n_classes,
+       count(*)::BIGINT AS n_rows FROM e GROUP BY split
+"""

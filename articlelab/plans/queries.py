@@ -438,3 +438,76 @@ def runs_json_roundtrip(spark, sf_dir):
     out = parts[0].unionByName(parts[1])
     return out.select("split", F.col("epoch").cast("bigint").alias("epoch"), "true_label", "pred_label", "n",
                       r6(F.col("accuracy")).alias("accuracy"))
+
+
+# --------------------------------------------------------------------------
+# Images (H3-H6, E24) and the embedded table
+from articlelab.functions import vectors as FV  # noqa: E402
+from articlelab.operators import encode as EN  # noqa: E402
+from articlelab.operators import images as IM  # noqa: E402
+
+FEATURE_DIM = 64
+
+
+def _image_stats(img: str, side: int):
+    p = F.col(f"{img}.pixels")
+    n = F.size(p)
+    return [n.cast("bigint").alias("n_pixels"),
+            r6(FV.array_sum(p) / n / F.lit(FV.PIXEL_SCALE)).alias("pix_mean"),
+            r6(FV.array_sum(IM.diagonal(p, side)) / F.lit(side) / F.lit(FV.PIXEL_SCALE)).alias("trace_mean"),
+            r6(F.array_max(p) / F.lit(FV.PIXEL_SCALE)).alias("pix_max")]
+
+
+@query
+def minmax_outer(spark, sf_dir):
+    """E24 + H3 + H4: min/max of each vector and its 64 x 64 outer-product image."""
+    f = S.features(spark, sf_dir)
+    img = IM.with_image(f.select("vec_id", "features", F.array_min("features").alias("vmin"),
+                                 F.array_max("features").alias("vmax")), "features", FEATURE_DIM,
+                        resize=False, out="img")
+    return img.select("vec_id", r6(F.col("vmin")).alias("vmin"), r6(F.col("vmax")).alias("vmax"),
+                      *_image_stats("img", FEATURE_DIM))
+
+
+@query
+def resize_image(spark, sf_dir):
+    """H5: the image resized to 100 x 100 (separable resample)."""
+    f = S.features(spark, sf_dir)
+    img = IM.with_image(f.select("vec_id", "features"), "features", FEATURE_DIM, resize=True, out="img")
+    return img.select("vec_id", *_image_stats("img", FV.IMAGE_SIDE))
+
+
+@query
+def normalise_image(spark, sf_dir):
+    """H6: resized image normalised to -1..1."""
+    f = S.features(spark, sf_dir)
+    img = IM.with_image(f.select("vec_id", "features"), "features", FEATURE_DIM, out="img")
+    img = img.select("vec_id", IM.normalised_image("img").alias("img"))
+    p = F.col("img.pixels")
+    return img.select("vec_id", r6(FV.array_sum(p) / F.size(p)).alias("mean"),
+                      r6(F.array_min(p)).alias("min"), r6(F.array_max(p)).alias("max"))
+
+
+def _embedded(spark, sf_dir):
+    a = D.train_test_split(S.articles(spark, sf_dir), "doc_id").drop("row_no")
+    enc = EN.MeanWordVectorEncoder(WV_DIM).fit(a.where(F.col("split") == "train"))
+    return EN.embedded_table(a, enc)
+
+
+@query
+def embedded_table(spark, sf_dir):
+    """Flagship (P10 = D4 + M5 + M3 + F1 + C12): labelled articles, exact
+    seeded 80/20 split, vocabulary fitted on the train split only, mean
+    word vectors, class numbers fitted once."""
+    e = _embedded(spark, sf_dir)
+    return e.select("doc_id", "split", "label", *expand("features", WV_DIM))
+
+
+@query
+def feature_metadata(spark, sf_dir):
+    """C12 + C17: vector width range and class count of the embedded table."""
+    e = _embedded(spark, sf_dir)
+    return e.groupBy("split").agg(F.min(F.size("features")).cast("bigint").alias("min_width"),
+                                  F.max(F.size("features")).cast("bigint").alias("max_width"),
+                                  F.countDistinct("label").cast("bigint").alias("n_classes"),
+                                  F.count(F.lit(1)).cast("bigint").alias("n_rows"))
