@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from articlelab.functions import text as T
 from articlelab.operators import vectors as V
@@ -127,7 +128,7 @@ class SentenceEncoder(Encoder):
         sents = df.select(*ids, F.posexplode(T.sentence_tokens(text_col)).alias("sent_no", "toks")).select(
             *ids, "sent_no", T.join_tokens("toks").alias("sentence"))
         fn, dim = self.fn, self.dim
-        schema = sents.drop("sentence").schema.add("vec", "array<double>")
+        schema = sents.drop("sentence").schema.add("vec", ArrayType(DoubleType()))
 
         def encode(batches):
             for pdf in batches:

@@ -511,3 +511,80 @@ def feature_metadata(spark, sf_dir):
                                   F.max(F.size("features")).cast("bigint").alias("max_width"),
                                   F.countDistinct("label").cast("bigint").alias("n_classes"),
                                   F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+# --------------------------------------------------------------------------
+# Trainers, user encoders, streaming (rows-only checks: M1, M6-M10, T1)
+from articlelab.session import scratch_path  # noqa: E402
+from articlelab.streaming import incremental as ST  # noqa: E402
+from articlelab.train import networks as NN  # noqa: E402
+from articlelab.train import samme as SA  # noqa: E402
+
+EPOCHS = 10
+LEARNING_RATE = 0.001
+N_CLASSES = 10
+
+
+def _train_network(spark, sf_dir, cls):
+    f = S.features(spark, sf_dir)
+    model = cls(FEATURE_DIM, N_CLASSES, learning_rate=LEARNING_RATE)
+    res = NN.train(model, f, epochs=EPOCHS)
+    return NN.history_frame(spark, res)
+
+
+@query
+def softmax_regression(spark, sf_dir):
+    """M8 + M11: data-parallel softmax regression, per-epoch history."""
+    return _train_network(spark, sf_dir, NN.SoftmaxRegression)
+
+
+@query
+def mlp(spark, sf_dir):
+    """M9 + M11: one-hidden-layer network with Adam, per-epoch history."""
+    return _train_network(spark, sf_dir, NN.SimpleMLP)
+
+
+@query
+def samme(spark, sf_dir):
+    """M10 + F7 + E11 + E12: SAMME stumps on the train split, test predictions."""
+    f = L.dense_labels(S.features(spark, sf_dir), "label", "label")
+    k = f.select("label").distinct().count()
+    model = SA.fit(f.where(F.col("split") == "train"), k)
+    test = f.where(F.col("split") == "test")
+    return model.decision(test).select("vec_id", F.col("label").cast("bigint").alias("label"),
+                                       F.col("pred").cast("bigint").alias("pred"))
+
+
+@query
+def word2vec_train(spark, sf_dir):
+    """M1 + E6: Spark ML Word2Vec (100 dims, window 5, min count 1) on the
+    document sentences, then article vectors with the learnt vectors."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    enc = EN.Word2VecEncoder(dim=100).fit(d)
+    v = enc.transform(d, ["doc_id"])
+    return v.select("doc_id", "n_tokens", r6(F.sqrt(FV.array_sum(F.transform("features", lambda x: x * x))))
+                    .alias("norm"))
+
+
+@query
+def user_encoder(spark, sf_dir):
+    """M6 + D9 + E7: a user sentence encoder run per Arrow batch, mean per document."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    enc = EN.SentenceEncoder(dim=16)
+    return enc.transform(d, ["doc_id"]).select("doc_id", *expand("features", 16))
+
+
+@query
+def incremental_embed(spark, sf_dir):
+    """T1 + M7: stream the documents file through the encoder (available-now
+    trigger, checkpointed, idempotent per micro-batch)."""
+    docs = S.table(spark, sf_dir, "documents")
+    sink, ckpt = scratch_path(spark, "embed-sink"), scratch_path(spark, "embed-ckpt")
+
+    def embed(batch):
+        toks = batch.select("doc_id", T.flat_tokens("text").alias("tokens"))
+        wv = V.hash_word_vectors(toks.select(F.explode("tokens").alias("token")), WV_DIM).checkpointed()
+        return V.article_mean_vectors(toks, wv, ["doc_id"]).select("doc_id", "n_tokens", *expand("features", WV_DIM))
+
+    ST.embed_stream(spark, sf_dir, docs.schema, sink, ckpt, embed, glob="documents.parquet")
+    return ST.read_sink(spark, sink).select("doc_id", "n_tokens", *[f"f{i}" for i in range(WV_DIM)])
