@@ -59,23 +59,62 @@ def split_sentences(text, newlines_to_space: bool = True) -> Column:
     return F.split(marked, _SENT_MARK)
 
 
+def _lower_all(tokens: Column) -> Column:
+    """Lower-case every token with one ``lower`` call on the joined list
+    (no per-element lambda, so the stage keeps whole-stage codegen).
+    The separator is a control character no token contains; lower-casing
+    is per character, so this equals lower-casing each token. Tokens are
+    never empty, so ``array_remove(.., '')`` only drops the artefact of an
+    empty list, and ``tokens`` is referenced once (no duplicated regex)."""
+    return F.array_remove(F.split(F.lower(F.array_join(tokens, _SENT_MARK)), _SENT_MARK), "")
+
+
+# Characters whose lower-casing depends on their neighbours or changes the
+# token split (dotted capital I -> "i" + combining dot; capital sigma ->
+# final/medial sigma). Texts containing one take the exact per-token path.
+_CONTEXT_CASE = "[\u0130\u03a3]"
+
+
+def _regex_words(s) -> Column:
+    return F.regexp_extract_all(s, F.lit(WORD_PATTERN), 0)
+
+
 def word_tokens(sentence, lower: bool = True) -> Column:
-    """ARRAY<STRING> of word tokens, punctuation kept as tokens."""
-    toks = F.regexp_extract_all(_c(sentence), F.lit(WORD_PATTERN), 0)
-    return F.transform(toks, lambda w: F.lower(w)) if lower else toks
+    """ARRAY<STRING> of word tokens, punctuation kept as tokens.
+    Lower-casing is per token; for ordinary text that equals tokenising the
+    lower-cased text, which is the fast path."""
+    s = _c(sentence)
+    if not lower:
+        return _regex_words(s)
+    return F.when(s.rlike(_CONTEXT_CASE), _lower_all(_regex_words(s))).otherwise(_regex_words(F.lower(s)))
 
 
 def sentence_tokens(text, lower: bool = True, newlines_to_space: bool = True) -> Column:
     """G5-G8 + C15: ARRAY<ARRAY<STRING>>, one token list per non-empty
-    sentence."""
-    per_sentence = F.transform(split_sentences(text, newlines_to_space),
-                               lambda s: word_tokens(s, lower))
-    return F.filter(per_sentence, lambda s: F.size(s) > 0)
+    sentence. Sentence boundaries (``.!?`` and spaces) do not change under
+    lower-casing, so the fast path lower-cases the whole text first."""
+    t = _c(text)
+
+    def per_sentence(src):
+        return F.filter(F.transform(split_sentences(src, newlines_to_space), _regex_words),
+                        lambda s: F.size(s) > 0)
+
+    if not lower:
+        return per_sentence(t)
+    # exact path: lower-case all tokens in one call on the joined lists
+    raw = per_sentence(t)
+    sep2 = "\u0002"
+    joined = F.lower(F.array_join(F.transform(raw, lambda s: F.array_join(s, _SENT_MARK)), sep2))
+    exact = F.filter(F.transform(F.split(joined, sep2), lambda s: F.array_remove(F.split(s, _SENT_MARK), "")),
+                     lambda s: F.size(s) > 0)
+    return F.when(t.rlike(_CONTEXT_CASE), exact).otherwise(per_sentence(F.lower(t)))
 
 
 def flat_tokens(text, lower: bool = True) -> Column:
-    """All tokens of a text, sentence boundaries ignored."""
-    return F.flatten(sentence_tokens(text, lower))
+    """All tokens of a text. Sentence boundaries only fall on spaces, which
+    never belong to a token, so this is one regex pass over the whole text
+    (equal to flattening :func:`sentence_tokens`)."""
+    return word_tokens(text, lower)
 
 
 def drop_blank_tokens(tokens) -> Column:

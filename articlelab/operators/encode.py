@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from articlelab.functions import text as T
 from articlelab.operators import vectors as V
 from articlelab.operators.labels import apply_class_map, class_map
+from articlelab.operators.rows import explode_rows
 
 
 class Encoder:
@@ -58,7 +59,7 @@ class MeanWordVectorEncoder(Encoder):
 
     def fit(self, df: DataFrame, text_col: str = "text") -> "MeanWordVectorEncoder":
         """M5: vocabulary from the training text only."""
-        toks = df.select(F.explode(T.flat_tokens(text_col)).alias("token"))
+        toks = explode_rows(df, [], T.flat_tokens(text_col))
         self.vectors = V.hash_word_vectors(toks, self.dim).checkpointed()
         return self
 
@@ -81,7 +82,7 @@ class Word2VecEncoder(Encoder):
 
     def fit(self, df: DataFrame, text_col: str = "text") -> "Word2VecEncoder":
         from pyspark.ml.feature import Word2Vec
-        sents = df.select(F.explode(T.sentence_tokens(text_col)).alias("sentence"))
+        sents = explode_rows(df, [], T.sentence_tokens(text_col), "sentence")
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, windowSize=self.window,
                        seed=self.seed, maxIter=self.max_iter, inputCol="sentence", outputCol="v",
                        numPartitions=self.partitions or sents.sparkSession.sparkContext.defaultParallelism)
@@ -125,7 +126,7 @@ class SentenceEncoder(Encoder):
 
     def transform(self, df: DataFrame, ids: Sequence[str], text_col: str = "text") -> DataFrame:
         ids = list(ids)
-        sents = df.select(*ids, F.posexplode(T.sentence_tokens(text_col)).alias("sent_no", "toks")).select(
+        sents = explode_rows(df, ids, T.sentence_tokens(text_col), "toks", pos="sent_no").select(
             *ids, "sent_no", T.join_tokens("toks").alias("sentence"))
         fn, dim = self.fn, self.dim
         schema = sents.drop("sentence").schema.add("vec", ArrayType(DoubleType()))

@@ -47,9 +47,10 @@ class WordVectors:
         return self.est_bytes() <= budget
 
     def checkpointed(self) -> "WordVectors":
-        """Cut the lineage (reliable checkpoint in the shared folder) and
-        measure the size; used for vocabularies derived from a corpus."""
-        df = self.df.checkpoint(eager=True)
+        """Cut the lineage (a table written to the shared checkpoint folder)
+        and measure the size; used for vocabularies derived from a corpus."""
+        from articlelab.session import materialize
+        df = materialize(self.df, "word-vectors")
         return WordVectors(df, self.dim, df.count())
 
 
@@ -72,14 +73,16 @@ def attach_vectors(rows: DataFrame, wv: WordVectors, how: str = "left",
     key = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols] or [F.col("token")]), F.lit(salt))
     left = rows.withColumn("_salt", key.cast("int"))
     right = wv.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return left.join(right, on=["token", "_salt"], how=how).drop("_salt")
+    # explicit sort-merge: a table measured over budget must never be
+    # broadcast because of an optimistic static size estimate
+    return left.join(right.hint("merge"), on=["token", "_salt"], how=how).drop("_salt")
 
 
 def keep_known(rows: DataFrame, wv: WordVectors) -> DataFrame:
     """rows whose token has a vector (semi join, no vector columns)."""
     if wv.broadcastable():
         return rows.join(F.broadcast(wv.df.select("token")), "token", "left_semi")
-    return rows.join(wv.df.select("token"), "token", "left_semi")
+    return rows.join(wv.df.select("token").hint("merge"), "token", "left_semi")
 
 
 def _zeros(dim: int) -> Column:
@@ -131,19 +134,18 @@ def article_mean_vectors(docs: DataFrame, wv: WordVectors, ids: Sequence[str],
     with map-side partial sums. Output: ids, n_tokens, n_known, features.
     """
     ids = list(ids)
-    base = docs.select(*ids, F.size(tokens_col).cast("bigint").alias("n_tokens"),
-                       F.explode_outer(tokens_col).alias("token"))
+    # the token array is referenced once (explode); counts come from the aggregate
+    base = docs.select(*ids, F.explode_outer(tokens_col).alias("token"))
     if wv.broadcastable():
         joined = attach_vectors(base, wv, "left")
-        weight = F.lit(1.0)
+        weight = F.when(F.col("token").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
     else:
-        pre = base.groupBy(*ids, "token").agg(F.count(F.lit(1)).cast("double").alias("_w"),
-                                              F.max("n_tokens").alias("n_tokens"))
+        pre = base.groupBy(*ids, "token").agg(F.count("token").cast("double").alias("_w"))
         joined = attach_vectors(pre, wv, "left", salt_cols=ids)
         weight = F.col("_w")
     known = F.when(F.col("vec").isNotNull(), weight).otherwise(F.lit(0.0))
     agg = joined.groupBy(*ids).agg(
-        F.max("n_tokens").alias("n_tokens"),
+        F.sum(weight).cast("bigint").alias("n_tokens"),
         F.sum(known).cast("bigint").alias("n_known"),
         sum_vectors("vec", wv.dim, weight).alias("_sum"))
     denom = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")

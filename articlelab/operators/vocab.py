@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from articlelab.functions.text import BOS, EOS, with_boundaries
 from articlelab.operators.keys import with_row_number
+from articlelab.operators.rows import explode_rows
 from articlelab.operators.vectors import WordVectors, attach_vectors
 
 
@@ -22,7 +23,7 @@ def corpus_vocabulary(token_lists: DataFrame, col: str = "tokens",
                       bos: str = BOS, eos: str = EOS) -> DataFrame:
     """Distinct tokens of a corpus plus the two boundary tokens."""
     spark = token_lists.sparkSession
-    words = token_lists.select(F.explode(col).alias("token"))
+    words = explode_rows(token_lists, [], col)
     bounds = spark.range(1).select(F.explode(F.array(F.lit(bos), F.lit(eos))).alias("token"))
     return words.unionByName(bounds).distinct()
 
@@ -32,7 +33,7 @@ def vocab_update(known: DataFrame, corpus_vocab: DataFrame, wv: WordVectors) ->
     (F3), added to the known ones: ``(token, origin)`` with origin
     ``known`` or ``new``."""
     vec_tokens = wv.df.select("token")
-    vt = F.broadcast(vec_tokens) if wv.broadcastable() else vec_tokens
+    vt = F.broadcast(vec_tokens) if wv.broadcastable() else vec_tokens.hint("merge")
     known_v = known.select("token").join(vt, "token", "left_semi")
     fresh = (corpus_vocab.select("token").join(known_v, "token", "left_anti")
              .join(vt, "token", "left_semi"))
@@ -60,8 +61,8 @@ def kept_sentences(sent_tokens: DataFrame, ids: Sequence[str], wv: WordVectors,
     """
     ids = list(ids)
     wrapped = sent_tokens.select(*ids, "sent_no", with_boundaries("tokens", bos, eos).alias("w"))
-    rows = wrapped.select(*ids, "sent_no", F.size("w").alias("n_words"),
-                          F.posexplode("w").alias("pos", "token"))
+    rows = explode_rows(wrapped.select(*ids, "sent_no", "w", F.size("w").alias("n_words")),
+                        [*ids, "sent_no", "n_words"], "w", pos="pos")
     known = attach_vectors(rows, WordVectors(wv.df.select("token", F.lit(True).alias("_k")),
                                              wv.dim, wv.n_rows), "left",
                            salt_cols=[*ids, "sent_no"])
@@ -88,7 +89,7 @@ def word_importance(items: DataFrame, ids: Sequence[str], wv: WordVectors,
     position; ``pct = 100 * n / dim``. Work is per item, JVM-side."""
     ids = list(ids)
     dim = wv.dim
-    rows = items.select(*ids, F.posexplode(with_boundaries(tokens_col, bos, eos)).alias("pos", "token"))
+    rows = explode_rows(items, ids, with_boundaries(tokens_col, bos, eos), pos="pos")
     joined = attach_vectors(rows, wv, "inner", salt_cols=ids)
     sent = joined.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "vec"))).alias("s"))
 

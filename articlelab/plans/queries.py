@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from articlelab.functions import text as T
 from articlelab.operators import vectors as V
+from articlelab.operators.rows import explode_rows
 from articlelab.plans.common import expand, r6
 from articlelab.sources import tables as S
 
@@ -37,7 +38,7 @@ def _doc_tokens(spark, sf_dir):
 def article_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F6 + E6 (+ G5-G8): mean word vector of every document."""
     toks = _doc_tokens(spark, sf_dir)
-    wv = V.hash_word_vectors(toks.select(F.explode("tokens").alias("token")), WV_DIM).checkpointed()
+    wv = V.hash_word_vectors(explode_rows(toks, [], "tokens"), WV_DIM).checkpointed()
     vecs = V.article_mean_vectors(toks, wv, ["doc_id"])
     return vecs.select("doc_id", "n_tokens", "n_known", *expand("features", WV_DIM))
 
@@ -228,8 +229,8 @@ def first_k_vectors(spark, sf_dir):
 
 
 def _benchmark_kept(spark, sf_dir):
-    b = S.table(spark, sf_dir, "benchmark").select(
-        "item_id", F.posexplode(T.sentence_tokens("text", lower=False)).alias("sent_no", "tokens"))
+    b = explode_rows(S.table(spark, sf_dir, "benchmark"), ["item_id"],
+                     T.sentence_tokens("text", lower=False), "tokens", pos="sent_no")
     vocab = W.corpus_vocabulary(b.select("tokens"))
     wv = V.hash_word_vectors(vocab, WV_DIM).checkpointed()
     return W.kept_sentences(b, ["item_id"], wv)
@@ -583,7 +584,7 @@ def incremental_embed(spark, sf_dir):
 
     def embed(batch):
         toks = batch.select("doc_id", T.flat_tokens("text").alias("tokens"))
-        wv = V.hash_word_vectors(toks.select(F.explode("tokens").alias("token")), WV_DIM).checkpointed()
+        wv = V.hash_word_vectors(explode_rows(toks, [], "tokens"), WV_DIM).checkpointed()
         return V.article_mean_vectors(toks, wv, ["doc_id"]).select("doc_id", "n_tokens", *expand("features", WV_DIM))
 
     ST.embed_stream(spark, sf_dir, docs.schema, sink, ckpt, embed, glob="documents.parquet")

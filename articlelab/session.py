@@ -67,3 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     import uuid
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "table"):
+    """Cut the lineage by writing ``df`` as parquet into the shared
+    checkpoint folder and reading it back: one job computes and writes it
+    (``Dataset.checkpoint`` would compute the plan twice), and a lost
+    executor later re-reads files instead of recomputing the plan."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -3,8 +3,8 @@
 Each round fits Spark ML's ``DecisionTreeClassifier(maxDepth=1)`` on the
 weighted training rows, measures the weighted error with one aggregate,
 re-weights the rows (``w * exp(alpha * miss)``, normalised) and cuts the
-lineage with a reliable ``checkpoint()`` in the shared checkpoint folder,
-so a lost executor recomputes at most one round. The vote is the argmax
+lineage by writing the weighted rows to the shared checkpoint folder, so a
+lost executor recomputes at most one round. The vote is the argmax
 of the summed ``alpha`` per class, evaluated JVM-side.
 
 Stump split points come from Spark's binned features (``maxBins``), so
@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articlelab.session import ensure_checkpoint_dir
+from articlelab.session import ensure_checkpoint_dir, materialize
 
 # Defaults of the reference's boosting call (library defaults).
 N_ROUNDS = 50
@@ -61,7 +61,8 @@ def fit(train: DataFrame, n_classes: int, n_rounds: int = N_ROUNDS, learning_rat
     ensure_checkpoint_dir(train.sparkSession)
     n = train.count()
     data = (train.select(array_to_vector(features).alias("fv"), F.col(label).cast("double").alias("y"))
-            .withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True))
+            .withColumn("w", F.lit(1.0 / n)))
+    data = materialize(data, "samme-weights")
     model = SammeModel(n_classes=n_classes)
     for m in range(n_rounds):
         dt = DecisionTreeClassifier(maxDepth=1, featuresCol="fv", labelCol="y", weightCol="w",
@@ -87,5 +88,5 @@ def fit(train: DataFrame, n_classes: int, n_rounds: int = N_ROUNDS, learning_rat
         reweighted = scored.withColumn(
             "w", F.col("w") * F.exp(F.when(F.col("miss"), F.lit(alpha)).otherwise(F.lit(0.0))))
         total = reweighted.agg(F.sum("w")).first()[0]
-        data = reweighted.select("fv", "y", (F.col("w") / F.lit(total)).alias("w")).checkpoint(eager=True)
+        data = materialize(reweighted.select("fv", "y", (F.col("w") / F.lit(total)).alias("w")), "samme-weights")
     return model
