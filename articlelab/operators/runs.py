@@ -175,8 +175,9 @@ def read_run_files(spark, paths: Sequence[str] | str, ddl: str = NETWORK_RUN_DDL
         df = reader.json(paths)
     else:
         df = reader.json(list(paths))
-    df = df.withColumn("path", F.col("_metadata.file_path"))
-    # cache is required before filtering on the corrupt-record column alone
+    # run files are small records; the parsed rows are cached because Spark
+    # refuses a query on the corrupt-record column alone over raw files
+    df = df.withColumn("path", F.col("_metadata.file_path")).cache()
     bad = df.where(F.col("_corrupt_record").isNotNull()).select("path", "_corrupt_record")
     good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return good, bad

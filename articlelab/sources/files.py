@@ -66,7 +66,7 @@ def read_word_vectors(spark: SparkSession, path: str | Sequence[str], dim: int)
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
                                        F.monotonically_increasing_id().alias("_pos"))
     parts = F.split(F.col("value"), " ", 2)
-    vec = F.transform(F.split(F.trim(F.element_at(parts, 2)), " +"), lambda x: F.try_cast(x, "double"))
+    vec = F.transform(F.split(F.trim(F.element_at(parts, 2)), " +"), lambda x: x.try_cast("double"))
     out = raw.select(F.element_at(parts, 1).alias("token"), vec.alias("vec"), "_file", "_pos")
     ok = (F.size("vec") == dim) & F.forall("vec", lambda x: x.isNotNull())
     return out.where(ok).select("token", "vec", "_file", "_pos")
