@@ -87,13 +87,19 @@ class Word2VecEncoder(Encoder):
                        seed=self.seed, maxIter=self.max_iter, inputCol="sentence", outputCol="v",
                        numPartitions=self.partitions or sents.sparkSession.sparkContext.defaultParallelism)
         self.model = w2v.fit(sents)
+        self._wv = None
         return self
 
     def word_vectors(self) -> V.WordVectors:
-        from pyspark.ml.functions import vector_to_array
-        vecs = self.model.getVectors().select(F.col("word").alias("token"),
-                                              vector_to_array("vector").alias("vec"))
-        return V.WordVectors(vecs, self.dim)
+        """The learnt vectors as a table. Spark ML returns them as a
+        driver-side local relation that would travel inside every task, so
+        they are written once to the shared checkpoint folder."""
+        if getattr(self, "_wv", None) is None:
+            from pyspark.ml.functions import vector_to_array
+            vecs = self.model.getVectors().select(F.col("word").alias("token"),
+                                                  vector_to_array("vector").alias("vec"))
+            self._wv = V.WordVectors(vecs, self.dim).checkpointed()
+        return self._wv
 
     def transform(self, df: DataFrame, ids: Sequence[str], text_col: str = "text") -> DataFrame:
         docs = df.select(*ids, T.flat_tokens(text_col).alias("tokens"))
@@ -109,6 +115,7 @@ class Word2VecEncoder(Encoder):
         enc = cls()
         enc.model = Word2VecModel.load(path)
         enc.dim = enc.model.getVectorSize()
+        enc._wv = None
         return enc
 
 

@@ -3,9 +3,9 @@
 A word-vector table is ``(token STRING, vec ARRAY<DOUBLE>)``; it is joined,
 never collected into a driver dictionary. The lookup join broadcasts the
 table only after its size has been measured against a budget; beyond the
-budget it becomes a salted shuffle join, so a hot token ("the", ",") is
-spread over ``salt`` tasks instead of one (AQE skew-join handles the
-rest). Vector sums are per-dimension ``sum`` aggregates (codegen'd hash
+budget the most frequent tokens ("the", ",") are joined by broadcast and
+the rest by sort-merge, so no hot token sits in one task (AQE skew-join
+stays on as a second guard). Vector sums are per-dimension ``sum`` aggregates (codegen'd hash
 aggregate with map-side partial aggregation) for narrow vectors and
 ``Summarizer`` (one typed vector buffer per group) for wide ones.
 """
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from articlelab.functions.vectors import has_hash_vector, hash_vector
 
 # Widest vector summed with one `sum` per dimension; wider ones use Summarizer.
-PER_DIM_LIMIT = 64
+PER_DIM_LIMIT = 128
 # Default broadcast budget of a word-vector table (bytes).
 BROADCAST_BUDGET = 64 * 1024 * 1024
-# Salt fan-out of the shuffle join used beyond the budget.
-SALT = 32
+# Most frequent tokens joined by broadcast when the table is over budget
+# (top-k of a frequency table: bounded, HOT_TOKENS x dim doubles).
+HOT_TOKENS = 20_000
 
 
 @dataclass
@@ -43,8 +44,8 @@ class WordVectors:
     def est_bytes(self) -> int:
         return self.count() * (self.dim * 8 + 64)
 
-    def broadcastable(self, budget: int = BROADCAST_BUDGET) -> bool:
-        return self.est_bytes() <= budget
+    def broadcastable(self, budget: int | None = None) -> bool:
+        return self.est_bytes() <= (BROADCAST_BUDGET if budget is None else budget)
 
     def checkpointed(self) -> "WordVectors":
         """Cut the lineage (a table written to the shared checkpoint folder)
@@ -63,26 +64,35 @@ def hash_word_vectors(tokens: DataFrame, dim: int = 8, token_col: str = "token")
 
 
 def attach_vectors(rows: DataFrame, wv: WordVectors, how: str = "left",
-                   salt_cols: Sequence[str] = (), budget: int = BROADCAST_BUDGET,
-                   salt: int = SALT) -> DataFrame:
+                   budget: int | None = None, hot: int | None = None) -> DataFrame:
     """add ``vec`` to every row by token (null when unknown for a left
-    join). Broadcast when the measured table fits ``budget``; otherwise a
-    salted shuffle join on (token, salt)."""
+    join).
+
+    * The table's measured size fits ``budget``: broadcast hash join.
+    * Otherwise, hot/cold split: the ``hot`` most frequent tokens of
+      ``rows`` (a bounded top-k) take a broadcast join with their vectors,
+      every other token a sort-merge join. A token holding a third of all
+      rows never lands in one task, and the vector table is not copied.
+    """
+    budget = BROADCAST_BUDGET if budget is None else budget
+    hot = HOT_TOKENS if hot is None else hot
     if wv.broadcastable(budget):
         return rows.join(F.broadcast(wv.df), on="token", how=how)
-    key = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols] or [F.col("token")]), F.lit(salt))
-    left = rows.withColumn("_salt", key.cast("int"))
-    right = wv.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    # explicit sort-merge: a table measured over budget must never be
-    # broadcast because of an optimistic static size estimate
-    return left.join(right.hint("merge"), on=["token", "_salt"], how=how).drop("_salt")
+    freq = rows.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+    hot_tokens = freq.orderBy(F.col("_f").desc(), F.col("token")).limit(hot).select(
+        "token", F.lit(True).alias("_hot"))
+    tagged = rows.join(F.broadcast(hot_tokens), on="token", how="left")
+    hot_vecs = wv.df.join(F.broadcast(hot_tokens.select("token")), on="token", how="left_semi")
+    hot_part = tagged.where(F.col("_hot").isNotNull()).join(F.broadcast(hot_vecs), on="token", how=how)
+    cold_part = tagged.where(F.col("_hot").isNull()).join(wv.df.hint("merge"), on="token", how=how)
+    return hot_part.unionByName(cold_part).drop("_hot")
 
 
 def keep_known(rows: DataFrame, wv: WordVectors) -> DataFrame:
-    """rows whose token has a vector (semi join, no vector columns)."""
-    if wv.broadcastable():
-        return rows.join(F.broadcast(wv.df.select("token")), "token", "left_semi")
-    return rows.join(wv.df.select("token").hint("merge"), "token", "left_semi")
+    """rows whose token has a vector (semi join, no vector columns);
+    same broadcast / hot-cold strategy as :func:`attach_vectors`."""
+    tokens = WordVectors(wv.df.select("token"), wv.dim, wv.n_rows)
+    return attach_vectors(rows, tokens, "left_semi")
 
 
 def _zeros(dim: int) -> Column:
@@ -129,8 +139,8 @@ def article_mean_vectors(docs: DataFrame, wv: WordVectors, ids: Sequence[str],
     by the number of **all** its tokens (OOV included, Q7); an article
     without tokens gets the zero vector.
 
-    Plan: explode tokens (narrow) -> vector lookup (broadcast, or salted
-    shuffle of pre-aggregated (doc, token) counts) -> hash aggregate by doc
+    Plan: explode tokens (narrow) -> vector lookup (broadcast, or hot/cold
+    join of pre-aggregated (doc, token) counts) -> hash aggregate by doc
     with map-side partial sums. Output: ids, n_tokens, n_known, features.
     """
     ids = list(ids)
@@ -140,8 +150,9 @@ def article_mean_vectors(docs: DataFrame, wv: WordVectors, ids: Sequence[str],
         joined = attach_vectors(base, wv, "left")
         weight = F.when(F.col("token").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
     else:
+        # pre-aggregate (doc, token) before the shuffle join
         pre = base.groupBy(*ids, "token").agg(F.count("token").cast("double").alias("_w"))
-        joined = attach_vectors(pre, wv, "left", salt_cols=ids)
+        joined = attach_vectors(pre, wv, "left")
         weight = F.col("_w")
     known = F.when(F.col("vec").isNotNull(), weight).otherwise(F.lit(0.0))
     agg = joined.groupBy(*ids).agg(
@@ -167,7 +178,7 @@ def pooled_sentence_vectors(rows: DataFrame, wv: WordVectors, ids: Sequence[str]
     """One vector per (ids, sent_no) pooled over the sentence's known
     tokens (mean or max); sentences without a known token give null."""
     ids = list(ids)
-    joined = attach_vectors(rows, wv, "left", salt_cols=[*ids, "sent_no"])
+    joined = attach_vectors(rows, wv, "left")
     agg = mean_vectors if pool == "mean" else max_vectors
     return joined.groupBy(*ids, "sent_no").agg(agg("vec", wv.dim).alias("vec"))
 

@@ -64,8 +64,7 @@ def kept_sentences(sent_tokens: DataFrame, ids: Sequence[str], wv: WordVectors,
     rows = explode_rows(wrapped.select(*ids, "sent_no", "w", F.size("w").alias("n_words")),
                         [*ids, "sent_no", "n_words"], "w", pos="pos")
     known = attach_vectors(rows, WordVectors(wv.df.select("token", F.lit(True).alias("_k")),
-                                             wv.dim, wv.n_rows), "left",
-                           salt_cols=[*ids, "sent_no"])
+                                             wv.dim, wv.n_rows), "left")
     grouped = known.groupBy(*ids, "sent_no").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("_k", F.lit(False)).alias("k"))))
@@ -90,7 +89,7 @@ def word_importance(items: DataFrame, ids: Sequence[str], wv: WordVectors,
     ids = list(ids)
     dim = wv.dim
     rows = explode_rows(items, ids, with_boundaries(tokens_col, bos, eos), pos="pos")
-    joined = attach_vectors(rows, wv, "inner", salt_cols=ids)
+    joined = attach_vectors(rows, wv, "inner")
     sent = joined.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "vec"))).alias("s"))
 
     def winner(j):

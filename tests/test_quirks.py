@@ -165,3 +165,24 @@ def test_context_case_letters_take_exact_path(spark):
     df = spark.createDataFrame([("İstanbul ΟΔΟΣ",)], "text string")
     got = df.select(T.flat_tokens("text").alias("t")).first().t
     assert got == ["i̇stanbul", "οδος"]
+
+
+def test_hot_cold_join_equals_broadcast_join(spark):
+    # one token holds a third of all rows; the over-budget path must give
+    # the same vectors as the broadcast path
+    rows = [(i, "the") for i in range(300)] + [(i, f"w{i % 97}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, token string").groupBy("doc_id").agg(
+        F.collect_list("token").alias("tokens"))
+    wv = V.hash_word_vectors(spark.createDataFrame(rows, "doc_id bigint, token string"), 4).checkpointed()
+    small = {r.doc_id: r.features for r in V.article_mean_vectors(docs, wv, ["doc_id"]).collect()}
+    old = V.BROADCAST_BUDGET, V.HOT_TOKENS
+    V.BROADCAST_BUDGET, V.HOT_TOKENS = 0, 3
+    try:
+        big = {r.doc_id: r.features for r in V.article_mean_vectors(docs, wv, ["doc_id"]).collect()}
+        plan = V.article_mean_vectors(docs, wv, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        V.BROADCAST_BUDGET, V.HOT_TOKENS = old
+    assert small.keys() == big.keys()
+    for k in small:
+        assert small[k] == pytest.approx(big[k])
+    assert "SortMergeJoin" in plan
