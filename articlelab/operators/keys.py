@@ -57,8 +57,15 @@ def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
                          F.lit(numeric_buckets - 1)).cast("int")
         n_buckets = numeric_buckets
     b = "__bucket"
-    keyed = df.withColumn(b, bucket)
-    counts = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("__cnt"))
+    # non-nullable bucket: no inferred null filter on one side of the join,
+    # so both uses of the ranked rows stay identical and share one shuffle
+    # (a null order key sorts first, and bucket 0 is the first bucket)
+    keyed = df.withColumn(b, F.coalesce(bucket, F.lit(0)))
+    # rank inside each bucket first; the bucket sizes are read off the ranked
+    # rows (same shuffle, reused), so the input plan is computed only once
+    w = Window.partitionBy(*by, b).orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
+    ranked = keyed.withColumn("__rn", F.row_number().over(w))
+    counts = ranked.groupBy(*by, b).agg(F.max("__rn").alias("__cnt"))
     running = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(running), F.lit(0)))
     if total_name:
@@ -67,8 +74,6 @@ def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
     # The offset table has at most n_buckets rows per group of `by`.
     if not by:
         offsets = F.broadcast(offsets) if n_buckets <= 1 << 20 else offsets
-    w = Window.partitionBy(*by, b).orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
-    ranked = keyed.withColumn("__rn", F.row_number().over(w))
     out = ranked.join(offsets, on=[*by, b], how="inner")
     return out.withColumn(name, (F.col("__rn") + F.col("__off")).cast("bigint")).drop(
         "__rn", "__off", b)

@@ -16,6 +16,7 @@ from articlelab.functions import text as T
 from articlelab.operators import vectors as V
 from articlelab.operators.rows import explode_rows
 from articlelab.plans.common import expand, r6
+from articlelab.session import materialize
 from articlelab.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,7 +215,8 @@ def vocabulary(spark, sf_dir):
 def vocab_update(spark, sf_dir):
     """F5 + F3: benchmark vocabulary extended by the new document words
     that have a vector."""
-    known, corpus = _vocab(spark, sf_dir, "benchmark"), _vocab(spark, sf_dir, "documents")
+    known = _vocab(spark, sf_dir, "benchmark")
+    corpus = materialize(_vocab(spark, sf_dir, "documents"), "vocabulary")
     wv = V.hash_word_vectors(known.unionByName(corpus), WV_DIM).checkpointed()
     return W.vocab_update(known, corpus, wv).select("token", "origin")
 

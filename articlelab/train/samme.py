@@ -2,9 +2,10 @@
 
 Each round fits Spark ML's ``DecisionTreeClassifier(maxDepth=1)`` on the
 weighted training rows, measures the weighted error with one aggregate,
-re-weights the rows (``w * exp(alpha * miss)``, normalised) and cuts the
-lineage by writing the weighted rows to the shared checkpoint folder, so a
-lost executor recomputes at most one round. The vote is the argmax
+re-weights the rows (``w * exp(alpha * miss)``, normalised; the new total
+follows from the error, so no second pass) and cuts the lineage every
+``CUT_EVERY`` rounds by writing the weighted rows to the shared checkpoint
+folder, so a lost executor recomputes at most that many rounds. The vote is the argmax
 of the summed ``alpha`` per class, evaluated JVM-side.
 
 Stump split points come from Spark's binned features (``maxBins``), so
@@ -25,6 +26,8 @@ from articlelab.session import ensure_checkpoint_dir, materialize
 # Defaults of the reference's boosting call (library defaults).
 N_ROUNDS = 50
 LEARNING_RATE = 1.0
+# Rounds between lineage cuts (a lost executor recomputes at most this many).
+CUT_EVERY = 5
 
 
 @dataclass
@@ -85,8 +88,10 @@ def fit(train: DataFrame, n_classes: int, n_rounds: int = N_ROUNDS, learning_rat
         model.stumps.append(stump)
         model.alphas.append(alpha)
         model.errors.append(err)
-        reweighted = scored.withColumn(
-            "w", F.col("w") * F.exp(F.when(F.col("miss"), F.lit(alpha)).otherwise(F.lit(0.0))))
-        total = reweighted.agg(F.sum("w")).first()[0]
-        data = materialize(reweighted.select("fv", "y", (F.col("w") / F.lit(total)).alias("w")), "samme-weights")
+        # new total weight follows from err and alpha: tot * ((1 - err) + err * e^alpha)
+        total = float(agg["tot"]) * ((1.0 - err) + err * math.exp(alpha))
+        data = scored.select("fv", "y", (F.col("w") * F.exp(F.when(F.col("miss"), F.lit(alpha))
+                                                             .otherwise(F.lit(0.0))) / F.lit(total)).alias("w"))
+        if (m + 1) % CUT_EVERY == 0:
+            data = materialize(data, "samme-weights")
     return model
