@@ -135,19 +135,20 @@ class SentenceEncoder(Encoder):
         ids = list(ids)
         sents = explode_rows(df, ids, T.sentence_tokens(text_col), "toks", pos="sent_no").select(
             *ids, "sent_no", T.join_tokens("toks").alias("sentence"))
-        fn, dim = self.fn, self.dim
+        fn, dim, chunk = self.fn, self.dim, self.batch_rows
         schema = sents.drop("sentence").schema.add("vec", ArrayType(DoubleType()))
 
         def encode(batches):
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                order = pdf["sentence"].str.len().sort_values(ascending=False).index
-                pdf = pdf.loc[order]
-                vecs = np.asarray(fn(pdf["sentence"].tolist()), dtype=np.float64).reshape(len(pdf), dim)
-                out = pdf.drop(columns=["sentence"]).copy()
-                out["vec"] = list(vecs)
-                yield out
+                # Fixed-size chunks of an Arrow batch; D9: longest
+                # sentences first inside a chunk (the keys travel along)
+                for start in range(0, len(pdf), chunk):
+                    part = pdf.iloc[start:start + chunk]
+                    part = part.loc[part["sentence"].str.len().sort_values(ascending=False, kind="stable").index]
+                    vecs = np.asarray(fn(part["sentence"].tolist()), dtype=np.float64).reshape(len(part), dim)
+                    out = part.drop(columns=["sentence"]).copy()
+                    out["vec"] = list(vecs)
+                    yield out
 
         sent_vecs = sents.mapInPandas(encode, schema)
         doc = V.mean_of_sentences(sent_vecs, dim, ids)

@@ -27,7 +27,7 @@ def build_session(cpus: int | str = "*", app: str = "articlelab",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("ARTICLELAB_DRIVER_MEM", "8g"))
+        .config("spark.driver.memory", os.environ.get("ARTICLELAB_DRIVER_MEM", _driver_memory()))
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -37,6 +37,16 @@ def build_session(cpus: int | str = "*", app: str = "articlelab",
     return spark
 
 
+def _driver_memory() -> str:
+    """Local-mode heap: 8 GB, or 60% of the machine's memory when smaller."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal:"))
+        return f"{max(1, min(8, int(kb * 0.6 / 1024 / 1024)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
