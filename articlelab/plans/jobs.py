@@ -204,13 +204,15 @@ def convert_into_image_dataset(spark: SparkSession, ds: str, dim: int, save_dir:
 
 
 def adaboost(spark: SparkSession, ds: str, dim: int, save_dir: str, test_ds: str | None = None,
-             seed: int = DEFAULT_SEED, n_rounds: int = SA.N_ROUNDS) -> DataFrame:
+             seed: int = DEFAULT_SEED, n_rounds: int = SA.N_ROUNDS, learner: str = "hist") -> DataFrame:
     """SAMME stumps; labels encoded over train + test together (F7);
     accuracy and confusion (outer = true) to a boosting-run JSON."""
     ds_name, enc_name = names_of(ds)
     data = L.dense_labels(FS.train_test_pair(spark, ds, test_ds, dim, seed), "label", "label")
     k = data.select("label").distinct().count()
-    model = SA.fit(data.where(F.col("split") == "train"), k, n_rounds=n_rounds, seed=seed)
+    train = data.where(F.col("split") == "train")
+    model = (SA.fit_hist(train, k, n_rounds=n_rounds) if learner == "hist"
+             else SA.fit(train, k, n_rounds=n_rounds, seed=seed))
     pred = model.decision(data.where(F.col("split") == "test"))
     conf = M.confusion(pred.withColumn("g", F.lit(1)), ["g"])
     rec = boost_run_record(conf, ds_name, enc_name)

@@ -552,7 +552,7 @@ def samme(spark, sf_dir):
     """M10 + F7 + E11 + E12: SAMME stumps on the train split, test predictions."""
     f = L.dense_labels(S.features(spark, sf_dir), "label", "label")
     k = f.select("label").distinct().count()
-    model = SA.fit(f.where(F.col("split") == "train"), k)
+    model = SA.fit_hist(f.where(F.col("split") == "train"), k)
     test = f.where(F.col("split") == "test")
     return model.decision(test).select("vec_id", F.col("label").cast("bigint").alias("label"),
                                        F.col("pred").cast("bigint").alias("pred"))
