@@ -82,11 +82,18 @@ class Word2VecEncoder(Encoder):
 
     def fit(self, df: DataFrame, text_col: str = "text") -> "Word2VecEncoder":
         from pyspark.ml.feature import Word2Vec
-        sents = explode_rows(df, [], T.sentence_tokens(text_col), "sentence")
+        from pyspark import StorageLevel
+        # Spark ML passes over its input more than once (vocabulary, then
+        # training): keep the tokenised sentences instead of re-tokenising
+        sents = explode_rows(df, [], T.sentence_tokens(text_col), "sentence").persist(
+            StorageLevel.MEMORY_AND_DISK)
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, windowSize=self.window,
                        seed=self.seed, maxIter=self.max_iter, inputCol="sentence", outputCol="v",
                        numPartitions=self.partitions or sents.sparkSession.sparkContext.defaultParallelism)
-        self.model = w2v.fit(sents)
+        try:
+            self.model = w2v.fit(sents)
+        finally:
+            sents.unpersist()
         self._wv = None
         return self
 

@@ -24,3 +24,17 @@ def explode_rows(df: DataFrame, keep: Sequence[str], arr: Column | str, name: st
     else:
         out = df.select(*keep, F.explode_outer(a).alias(name))
     return out.where(F.col(name).isNotNull())
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (tokenising long texts) enough tasks.
+
+    A single large row group or an unsplittable multi-line CSV file arrives
+    as one or a few partitions, so a tokeniser would run on one core. When
+    the input has fewer partitions than twice the default parallelism, it
+    is round-robin repartitioned (Spark sorts before a round-robin
+    repartition, so a retried task gets the same rows). Large inputs with
+    many splits are returned unchanged: no extra shuffle at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

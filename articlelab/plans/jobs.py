@@ -58,10 +58,9 @@ def samples_and_labels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def get_wikihow_subset(spark: SparkSession, csv_path: str, subset_path: str | None = None,
                        n_rows: int = SUBSET_ROWS, seed: int = DEFAULT_SEED) -> DataFrame:
     """WikiHow CSV -> cleaned, numbered, exact seeded sample."""
-    raw = FS.read_csv(spark, csv_path, FS.WIKIHOW_SCHEMA)
-    # file order: ids grow with the position inside each (unsplittable,
-    # multi-line) file and with the file's partition index
-    keyed = raw.withColumn("file_row", F.monotonically_increasing_id())
+    # file order: ids taken at the scan grow with the position inside each
+    # (unsplittable, multi-line) file and with the file's partition index
+    keyed = FS.read_csv(spark, csv_path, FS.WIKIHOW_SCHEMA, file_order="file_row")
     out = C.wikihow_subset(keyed, n_rows, seed, order_col="file_row").drop("file_row")
     if subset_path:
         SK.write_csv(out, subset_path)

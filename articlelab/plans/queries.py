@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from articlelab.functions import text as T
 from articlelab.operators import vectors as V
-from articlelab.operators.rows import explode_rows
+from articlelab.operators.rows import explode_rows, spread
 from articlelab.plans.common import expand, r6
 from articlelab.session import materialize
 from articlelab.sources import tables as S
@@ -585,7 +585,7 @@ def incremental_embed(spark, sf_dir):
     sink, ckpt = scratch_path(spark, "embed-sink"), scratch_path(spark, "embed-ckpt")
 
     def embed(batch):
-        toks = batch.select("doc_id", T.flat_tokens("text").alias("tokens"))
+        toks = spread(batch).select("doc_id", T.flat_tokens("text").alias("tokens"))
         wv = V.hash_word_vectors(explode_rows(toks, [], "tokens"), WV_DIM).checkpointed()
         return V.article_mean_vectors(toks, wv, ["doc_id"]).select("doc_id", "n_tokens", *expand("features", WV_DIM))
 

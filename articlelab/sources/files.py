@@ -11,6 +11,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from articlelab.operators.rows import spread
+
 ARTICLE_SCHEMA = "type string, text string"
 WIKIHOW_SCHEMA = "title string, headline string, sectionLabel string, text string"
 CORRUPT = "_corrupt_record"
@@ -19,12 +21,19 @@ NULL_SENTINELS = ("Grow Plants from Seeds",)
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str = ARTICLE_SCHEMA,
-             columns: Sequence[str] | None = None, header: bool = True) -> DataFrame:
+             columns: Sequence[str] | None = None, header: bool = True,
+             file_order: str | None = None) -> DataFrame:
     """A1/A2: CSV with a header, quoted multi-line fields and doubled
-    quotes; ``columns`` projects (pruned by Catalyst)."""
+    quotes; ``columns`` projects (pruned by Catalyst). ``file_order`` names
+    a column holding each row's position in file order, taken at the scan
+    (before any shuffle, where it is deterministic)."""
     df = (spark.read.schema(schema).option("header", header).option("multiLine", True)
           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if file_order:
+        df = df.withColumn(file_order, F.monotonically_increasing_id())
+    # a multi-line CSV file is never split: one task per file
+    return spread(df)
 
 
 def read_csv_tolerant(spark: SparkSession, path: str | Sequence[str], schema: str = ARTICLE_SCHEMA,
@@ -36,7 +45,7 @@ def read_csv_tolerant(spark: SparkSession, path: str | Sequence[str], schema: st
     df = (spark.read.schema(f"{schema}, {CORRUPT} string").option("header", header)
           .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    df = df.cache()  # a query on the corrupt column alone needs the parsed rows cached
+    df = spread(df).cache()  # a query on the corrupt column alone needs the parsed rows cached
     cols = [c for c in df.columns if c != CORRUPT]
     cleaned = df.select(*[F.when(F.col(c).isin(list(null_values)), F.lit(None)).otherwise(F.col(c)).alias(c)
                           if dict(df.dtypes)[c] == "string" else F.col(c) for c in cols],

@@ -28,8 +28,17 @@ EVAL_BATCH = 32              # batch_id = floor(vec_id / 32)
 # ---------------------------------------------------------------------------
 
 
+# Tables whose rows carry long texts: spread over the cores before
+# tokenising (see ``operators.rows.spread``).
+TEXT_TABLES = ("documents", "conversations", "benchmark", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from articlelab.operators.rows import spread
+        df = spread(df)
+    return df
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

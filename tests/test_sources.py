@@ -33,11 +33,12 @@ def test_tolerant_csv(spark, tmp_dir):
         f.write('human\n')
         f.write('llama,plain\n')
     rows, flagged = FS.read_csv_tolerant(spark, p)
-    got = [(r.type, r.text, r.repaired) for r in rows.collect()]
-    assert got[0] == ("human", 'line one\nline two with "quotes"', False)
-    assert got[1] == ("gpt", None, False)              # sentinel -> null
-    assert got[2][0] == "gpt" and got[2][2] is True    # long row cut and flagged
-    assert got[3] == ("human", None, True)             # short row null-filled and flagged
+    got = {(r.type, r.text, r.repaired) for r in rows.collect()}
+    assert ("human", 'line one\nline two with "quotes"', False) in got
+    assert ("gpt", None, False) in got                 # sentinel -> null
+    assert ("gpt", "too", True) in got                 # long row cut and flagged
+    assert ("human", None, True) in got                # short row null-filled and flagged
+    assert ("llama", "plain", False) in got and len(got) == 5
     assert flagged.count() == 2
     plain = FS.read_csv(spark, p, columns=["text"])
     assert plain.columns == ["text"]
