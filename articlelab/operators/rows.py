@@ -36,5 +36,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     repartition, so a retried task gets the same rows). Large inputs with
     many splits are returned unchanged: no extra shuffle at scale.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism * 2
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
+        return df
+    return df.repartition(target) if n < target else df

@@ -55,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is used as is. Only a local-mode session (tests, bench) without the
     setting gets a fresh scratch folder of its own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        return spark.conf.get(CHECKPOINT_CONF, "")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -99,8 +102,11 @@ def ship_package(spark: SparkSession) -> None:
     run by ``mapInPandas`` refer to its modules): zip the package once per
     application and hand it to ``SparkContext.addPyFile``, which serves it
     to every executor, like ``--py-files``."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect: ship as an artifact instead
+        sc, app = None, f"connect-{id(spark)}"
     if app in _SHIPPED:
         return
     import zipfile
@@ -114,5 +120,8 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(base, name)
                     zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(app)
