@@ -457,3 +457,15 @@ ORACLE["feature_metadata"] = EMBEDDED + f"""
 SELECT split, {WV_DIM}::BIGINT AS min_width, {WV_DIM}::BIGINT AS max_width, count(DISTINCT label)::BIGINT AS n_classes,
        count(*)::BIGINT AS n_rows FROM e GROUP BY split
 """
+
+
+# --------------------------------------------------------------------------
+# Sinks read back by the sources
+ORACLE["embedded_csv_roundtrip"] = ORACLE["embedded_table"]
+ORACLE["runs_json_files"] = ORACLE["runs_json_roundtrip"]
+ORACLE["batched_vectors"] = f"""
+WITH v AS ({ORACLE["article_vectors"]}),
+b AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 64)::BIGINT AS batch_no FROM documents)
+SELECT v.doc_id, b.batch_no, v.n_tokens, {", ".join(f"v.f{i}" for i in range(WV_DIM))}
+FROM v JOIN b USING (doc_id)
+"""

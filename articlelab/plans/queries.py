@@ -591,3 +591,63 @@ def incremental_embed(spark, sf_dir):
 
     ST.embed_stream(spark, sf_dir, docs.schema, sink, ckpt, embed, glob="documents.parquet")
     return ST.read_sink(spark, sink).select("doc_id", "n_tokens", *[f"f{i}" for i in range(WV_DIM)])
+
+
+
+# --------------------------------------------------------------------------
+# Sinks read back by the sources (B1 + A6, B4 + A9/A10, B2 + B3)
+from articlelab.sinks import writers as SK  # noqa: E402
+from articlelab.sources import files as FS  # noqa: E402
+
+
+@query
+def embedded_csv_roundtrip(spark, sf_dir):
+    """B1 + A6: the embedded table written as ``doc_id, split, label,
+    f0..f7`` CSV into the shared folder, then read back."""
+    path = scratch_path(spark, "embedded-csv")
+    SK.write_csv(_embedded(spark, sf_dir), path)
+    back = FS.read_embedded_csv(spark, path, WV_DIM, keys="doc_id bigint, split string")
+    return back.select("doc_id", "split", F.col("label").cast("bigint").alias("label"),
+                       *expand("features", WV_DIM))
+
+
+@query
+def runs_json_files(spark, sf_dir):
+    """B4 + A9 + A10: the network-run record written as a JSON file, read
+    back with the run-file reader (quarantine empty), flattened."""
+    s = _scored(spark, sf_dir)
+    m = M.epoch_metrics(s, KEYS)
+    rec = R.network_run_records(m, M.confusion(s, KEYS), [], {}).select(
+        F.lit("fixture").alias("original_dataset_name"), F.lit("hash8_scores").alias("embedder_name"),
+        "experiment_result")
+    path = scratch_path(spark, "runs")
+    SK.write_json_records(rec.coalesce(1), path)
+    good, _ = R.read_run_files(spark, path)
+    er = good.select("experiment_result.*")
+    parts = []
+    for split, cm, acc in (("train", "training_classification_results", "training_accuracies"),
+                           ("test", "testing_classification_results", "testing_accuracies")):
+        conf = R.confusion_from_record(er.select(cm), [], cm, outer_is="pred")
+        accs = R.series_from_record(er.select(acc), [], {"accuracy": acc}).select(
+            "epoch", F.col("value").alias("accuracy"))
+        parts.append(conf.join(accs, "epoch").withColumn("split", F.lit(split)))
+    out = parts[0].unionByName(parts[1])
+    return out.select("split", F.col("epoch").cast("bigint").alias("epoch"), "true_label", "pred_label", "n",
+                      r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query
+def batched_vectors(spark, sf_dir):
+    """B2 + B3 + M7: article vectors written one folder per 64-row batch;
+    the first three batches first, then only the pending ones (resume);
+    everything read back."""
+    toks = _doc_tokens(spark, sf_dir)
+    wv = V.hash_word_vectors(explode_rows(toks, [], "tokens"), WV_DIM).checkpointed()
+    vecs = V.article_mean_vectors(toks, wv, ["doc_id"])
+    batched = D.numbered_batches(vecs, "doc_id", BATCH)
+    path = scratch_path(spark, "batches")
+    SK.write_batches(batched.where(F.col("batch_no") < RESUME_FROM), path)
+    SK.write_batches(D.pending_batches(batched, SK.finished_batches(spark, path)), path)
+    back = spark.read.parquet(path)
+    return back.select("doc_id", F.col("batch_no").cast("bigint").alias("batch_no"), "n_tokens",
+                       *expand("features", WV_DIM))

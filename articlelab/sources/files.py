@@ -61,11 +61,14 @@ def rename_positional(df: DataFrame, names: Sequence[str] = ("type", "text")) ->
 
 
 def read_embedded_csv(spark: SparkSession, path: str | Sequence[str], dim: int,
-                      prefix: str = "f") -> DataFrame:
-    """``label, f0 .. f{dim-1}`` CSV -> ``(label, features ARRAY<DOUBLE>)``."""
-    schema = "label int, " + ", ".join(f"{prefix}{i} double" for i in range(dim))
+                      prefix: str = "f", keys: str = "") -> DataFrame:
+    """``[keys,] label, f0 .. f{dim-1}`` CSV -> ``([keys,] label,
+    features ARRAY<DOUBLE>)``; ``keys`` is a DDL list of leading columns."""
+    lead = f"{keys}, " if keys else ""
+    schema = lead + "label int, " + ", ".join(f"{prefix}{i} double" for i in range(dim))
     df = spark.read.schema(schema).option("header", True).csv(path)
-    return df.select("label", F.array(*[F.col(f"{prefix}{i}") for i in range(dim)]).alias("features"))
+    key_cols = [c.strip().split()[0] for c in keys.split(",")] if keys else []
+    return df.select(*key_cols, "label", F.array(*[F.col(f"{prefix}{i}") for i in range(dim)]).alias("features"))
 
 
 def read_word_vectors(spark: SparkSession, path: str | Sequence[str], dim: int) -> DataFrame:
