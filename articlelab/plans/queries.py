@@ -605,7 +605,7 @@ def embedded_csv_roundtrip(spark, sf_dir):
     """B1 + A6: the embedded table written as ``doc_id, split, label,
     f0..f7`` CSV into the shared folder, then read back."""
     path = scratch_path(spark, "embedded-csv")
-    SK.write_csv(_embedded(spark, sf_dir), path)
+    SK.write_csv(_embedded(spark, sf_dir), path, widths={"features": WV_DIM})
     back = FS.read_embedded_csv(spark, path, WV_DIM, keys="doc_id bigint, split string")
     return back.select("doc_id", "split", F.col("label").cast("bigint").alias("label"),
                        *expand("features", WV_DIM))
@@ -643,11 +643,16 @@ def batched_vectors(spark, sf_dir):
     everything read back."""
     toks = _doc_tokens(spark, sf_dir)
     wv = V.hash_word_vectors(explode_rows(toks, [], "tokens"), WV_DIM).checkpointed()
-    vecs = V.article_mean_vectors(toks, wv, ["doc_id"])
-    batched = D.numbered_batches(vecs, "doc_id", BATCH)
+    # number the input rows first; only the batches still pending are embedded
+    batched = D.numbered_batches(toks, "doc_id", BATCH).select("doc_id", "batch_no", "tokens")
+
+    def embed(rows):
+        vecs = V.article_mean_vectors(rows.select("doc_id", "tokens"), wv, ["doc_id"])
+        return vecs.join(rows.select("doc_id", "batch_no"), "doc_id")
+
     path = scratch_path(spark, "batches")
-    SK.write_batches(batched.where(F.col("batch_no") < RESUME_FROM), path)
-    SK.write_batches(D.pending_batches(batched, SK.finished_batches(spark, path)), path)
+    SK.write_batches(embed(batched.where(F.col("batch_no") < RESUME_FROM)), path)
+    SK.write_batches(embed(D.pending_batches(batched, SK.finished_batches(spark, path))), path)
     back = spark.read.parquet(path)
     return back.select("doc_id", F.col("batch_no").cast("bigint").alias("batch_no"), "n_tokens",
                        *expand("features", WV_DIM))

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from articlelab.operators.encode import expand_features
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """B1: CSV with a header; array vectors are expanded to ``f0..``."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", widths: dict | None = None) -> None:
+    """B1: CSV with a header; array vectors are expanded to ``f0..``.
+    Pass ``widths`` ({column: width}) when known, to skip the extra job that
+    measures them."""
     arrays = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
     for col in arrays:
-        width = df.select(F.max(F.size(col))).first()[0] or 0
+        width = (widths or {}).get(col)
+        if width is None:
+            width = df.select(F.max(F.size(col))).first()[0] or 0
         df = expand_features(df, width, col)
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
