@@ -45,8 +45,10 @@ def wikihow_clean(df: DataFrame, order_col: str = "doc_id") -> DataFrame:
     """P1 without the sample: C5 drop null text, D6 row number after the
     drop (0-based, Q3), G1 title cleaning, G2 word count, C7 >= 40 words,
     G3 length label, C3 drop text. ``order_col`` is the file order."""
+    # id range from the key column alone (no text read); it encloses the kept rows
+    bounds = tuple(df.agg(F.min(order_col), F.max(order_col)).first())
     kept = drop_null_text(df.select(order_col, *WIKIHOW_COLUMNS))
-    numbered = with_row_number(kept, order_col, name="_rn")
+    numbered = with_row_number(kept, order_col, name="_rn", bounds=bounds)
     return (numbered
             .withColumn("original_row_number", F.col("_rn") - 1)
             .withColumn("title", T.clean_title("title"))

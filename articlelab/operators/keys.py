@@ -34,7 +34,7 @@ def shuffle_key(id_col, seed: int = DEFAULT_SEED) -> Column:
 def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
                     tiebreak: Sequence[str] = (), name: str = "row_no",
                     total_name: str | None = None, hex_digits: int = 3,
-                    numeric_buckets: int = 4096) -> DataFrame:
+                    numeric_buckets: int = 4096, bounds: tuple | None = None) -> DataFrame:
     """Add an exact 1-based ``row_number() over (partition by <by> order by
     <order_col>, <tiebreak>)`` without a single-task window.
 
@@ -42,6 +42,8 @@ def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
     first ``hex_digits`` digits) or a numeric column (bucket = equal-width
     range between its min and max, computed by one small aggregate).
     If ``total_name`` is given, the group's row count is added too.
+    ``bounds`` = (min, max) of a numeric key, when known (any enclosing
+    range is correct; it only shapes the buckets).
     """
     by = list(by)
     dtype = df.schema[order_col].dataType.simpleString()
@@ -49,7 +51,7 @@ def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
         bucket = F.conv(F.substring(F.col(order_col), 1, hex_digits), 16, 10).cast("int")
         n_buckets = 16 ** hex_digits
     else:
-        lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+        lo, hi = bounds if bounds is not None else df.agg(F.min(order_col), F.max(order_col)).first()
         if lo is None:
             lo, hi = 0, 0
         width = (float(hi) - float(lo) + 1.0) / numeric_buckets
