@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from articlelab.functions import text as T
 from articlelab.operators import vectors as V
-from articlelab.operators.labels import apply_class_map, class_map
+from articlelab.operators.labels import apply_class_map, assert_mapped, class_map
 from articlelab.operators.rows import explode_rows
 
 
@@ -190,6 +190,9 @@ def embedded_table(articles: DataFrame, encoder: Encoder, split_col: str | None
     once over all rows (Q2) unless the caller supplies one (M4). C12: the
     job fails if a vector has the wrong width."""
     keep = [c for c in (id_col, split_col, type_col) if c]
+    if mapping is not None:
+        # A caller-supplied map must cover every type, as in the reference
+        assert_mapped(articles, mapping, type_col)
     vecs = encoder.transform(articles, [id_col])
     m = mapping if mapping is not None else class_map(articles, type_col, "label")
     labelled = apply_class_map(articles.select(*keep), m, type_col)

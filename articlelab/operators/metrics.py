@@ -108,6 +108,16 @@ def at_epoch(conf: DataFrame, epoch: int | None, group: Sequence[str] = (),
     return df.where(F.col("epoch") == chosen).drop("_last")
 
 
+def label_pairs(conf: DataFrame, keys: Sequence[str], expand: bool = False) -> DataFrame:
+    """Confusion counts as (true, predicted) pairs; counts stay weights
+    (``n``) unless ``expand`` asks for one row per counted sample."""
+    pairs = conf.select(*keys, "true_label", "pred_label", "n")
+    if not expand:
+        return pairs
+    return pairs.select(*keys, "true_label", "pred_label",
+                        F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).drop("_i")
+
+
 def weighted_f1(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Support-weighted F1 per keys, from counts (no row
     expansion). Per class: f1 = 2 tp / (support + predicted)."""

@@ -186,3 +186,21 @@ def test_hot_cold_join_equals_broadcast_join(spark):
     for k in small:
         assert small[k] == pytest.approx(big[k])
     assert "SortMergeJoin" in plan
+
+
+def test_label_pairs_expand_only_on_request(spark):
+    df = spark.createDataFrame([(0, 1, 1), (0, 1, 1), (0, 2, 1)], "g int, label bigint, pred bigint")
+    conf = M.confusion(df, ["g"])
+    assert M.label_pairs(conf, ["g"]).count() == 2
+    rows = M.label_pairs(conf, ["g"], expand=True).collect()
+    assert sorted((r.true_label, r.pred_label) for r in rows) == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_caller_class_map_must_cover_types(spark):
+    from articlelab.operators import encode as EN
+    arts = spark.createDataFrame([(1, "human", "a b"), (2, "gpt", "c")], "doc_id bigint, type string, text string")
+    enc = EN.MeanWordVectorEncoder(4).fit(arts)
+    with pytest.raises(ValueError):
+        EN.embedded_table(arts, enc, split_col=None, mapping=L.literal_map(spark, {"human": 0}))
+    ok = EN.embedded_table(arts, enc, split_col=None, mapping=L.literal_map(spark, {"human": 0, "gpt": 1}))
+    assert sorted((r.doc_id, r.label) for r in ok.collect()) == [(1, 0), (2, 1)]
