@@ -7,7 +7,7 @@ checked before it is broadcast back to the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Largest class table that is broadcast; beyond it the join is left to AQE.
@@ -15,9 +15,20 @@ MAX_BROADCAST_CLASSES = 100_000
 
 
 def class_map(df: DataFrame, col: str = "type", index_col: str = "label") -> DataFrame:
-    """``(col, index)``, index = position in the sorted distinct values."""
-    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return distinct.withColumn(index_col, (F.row_number().over(Window.orderBy(col)) - 1).cast("bigint"))
+    """``(col, index)``, index = position in the sorted distinct values.
+
+    The distinct values are found by a distributed ``distinct``; the class
+    set is bounded (checked against ``MAX_BROADCAST_CLASSES``), so it is
+    sorted on the driver and returned as a small table, with no
+    single-partition window."""
+    spark = df.sparkSession
+    dtype = df.schema[col].dataType.simpleString()
+    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
+            .limit(MAX_BROADCAST_CLASSES + 1).collect()]
+    if len(vals) > MAX_BROADCAST_CLASSES:
+        raise ValueError(f"more than {MAX_BROADCAST_CLASSES} classes in {col!r}")
+    rows = [(v, i) for i, v in enumerate(sorted(vals))]
+    return spark.createDataFrame(rows, f"`{col}` {dtype}, `{index_col}` bigint")
 
 
 def _maybe_broadcast(small: DataFrame) -> DataFrame:

@@ -96,8 +96,10 @@ def at_epoch(conf: DataFrame, epoch: int | None, group: Sequence[str] = (),
              strict: bool = False) -> DataFrame:
     """Rows of the chosen epoch; unset -> the last epoch; beyond the
     last -> the last (lenient path) or a failed job (strict path)."""
-    last = F.max("epoch").over(Window.partitionBy(*group)) if group else F.max("epoch").over(Window.partitionBy())
-    df = conf.withColumn("_last", last)
+    if group:
+        df = conf.withColumn("_last", F.max("epoch").over(Window.partitionBy(*group)))
+    else:   # one scalar: the last epoch overall
+        df = conf.withColumn("_last", F.lit(conf.agg(F.max("epoch")).first()[0]))
     if epoch is None:
         chosen = F.col("_last")
     elif strict:
