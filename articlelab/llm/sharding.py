@@ -24,8 +24,7 @@ def _category(c: Column) -> Column:
 
 
 def default_dimensions(columns: list[str]) -> dict[str, Column]:
-    """Metadata dimensions on comparable scales: log2 of the size, the place of
-    the id in the crawl, language and source. Null counts as 0."""
+    """Metadata dimensions: log2 of the size, language and source. Null counts as 0."""
     dims = {"size": F.log2(F.col("_size").cast("double"))}
     for name in ("lang", "source"):
         if name in columns:
