@@ -6,8 +6,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articlelab.llm import exact_dedup, line_dedup, mixing, sharding
-from articlelab.llm.common import prepare, table
+from articlelab.llm import decontamination, exact_dedup, line_dedup, mixing, secret_scan, sharding, token_files
+from articlelab.llm.common import prepare, scratch_path, table
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside 13-word windows of benchmark items."""
+    prepare(spark)
+    hits = decontamination.contamination(decontamination.benchmark_hits(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return hits.select(F.col("_id").alias("doc_id"), F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
+                       F.size("_items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
+                       F.col("_contaminated").alias("contaminated"))
 
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +29,19 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written to seekable files in doc_id order and read back."""
+    prepare(spark)
+    written = token_files.write_token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "ids"))
+    return token_files.read_token_files(written)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern, and strings that a primed compressor cannot predict."""
+    prepare(spark)
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without the lines that over a tenth of their host's pages carry."""
     prepare(spark)
@@ -39,4 +63,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op4_kd_sharding, op8_line_dedup, op9_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op3_decontamination, op4_kd_sharding, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing)}
