@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articlelab.llm import decontamination, exact_dedup, line_dedup, mixing, secret_scan, sharding, token_files
+from articlelab.llm import decontamination, exact_dedup, line_dedup, mixing, near_dedup, secret_scan, sharding, token_files
 from articlelab.llm.common import prepare, scratch_path, table
 
 
@@ -29,6 +29,12 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their 2-word shingles."""
+    prepare(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written to seekable files in doc_id order and read back."""
     prepare(spark)
@@ -64,4 +70,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_decontamination, op4_kd_sharding, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing)}
+    op3_decontamination, op4_kd_sharding, op5_near_dedup, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing)}
