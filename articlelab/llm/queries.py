@@ -6,8 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articlelab.llm import decontamination, exact_dedup, line_dedup, mixing, near_dedup, secret_scan, sharding, token_files
-from articlelab.llm.common import prepare, scratch_path, table
+from articlelab.llm import decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_files
+from articlelab.llm.common import materialize, prepare, scratch_path, table
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the rows that are not held out."""
+    prepare(spark)
+    stats = materialize(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    return quality.score_statistics(stats, quality.fit_quality(stats, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +77,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_decontamination, op4_kd_sharding, op5_near_dedup, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing)}
+    op2_quality, op3_decontamination, op4_kd_sharding, op5_near_dedup, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing)}
