@@ -6,10 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articlelab.llm import decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_files
+from articlelab.llm import decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, repeat_index, secret_scan, sharding, token_files
 from articlelab.llm.common import materialize, prepare, scratch_path, table
 
 
+def op1_repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document inside 200-byte strings that start elsewhere too."""
+    prepare(spark)
+    out = repeat_index.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the rows that are not held out."""
     prepare(spark)
@@ -77,4 +85,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op3_decontamination, op4_kd_sharding, op5_near_dedup, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing)}
+    op1_repeat_index, op2_quality, op3_decontamination, op4_kd_sharding, op5_near_dedup, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing)}
