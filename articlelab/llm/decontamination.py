@@ -106,9 +106,10 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                   block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """One row per document row: ``_id, _n_words, _starts, _ends`` (hit word spans,
-    end exclusive) and ``_items`` (ids as strings), plus the columns in ``carry``.
+    end exclusive) and ``_items`` (ids as strings); with ``carry`` also all
+    columns of ``docs``, as ``_c0, _c1, ...``.
 
     Documents are scanned where they are: no shuffle. The window index of the
     benchmark is broadcast to them; its text is measured first and, beyond
@@ -122,9 +123,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                              F.col(item_text_col).cast("string").cast("binary").alias("text"))
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     passes = max(1, math.ceil(total / block_bytes))
-    carry = carry or []
     state = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_t"),
-                        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+                        *[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns if carry else [])])
     state = state.withColumns({"_n_words": F.lit(0).cast("long"), "_starts": F.array().cast("array<int>"),
                                "_ends": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     for k in range(passes):
@@ -151,7 +151,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         state = state.mapInArrow(scan, state.schema)
         if k < passes - 1:
             state = materialize(state, "decontamination")
-    return state.drop("_t").withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
+    return state.drop("_t")
 
 
 def contamination(hits: DataFrame) -> DataFrame:
@@ -159,3 +159,9 @@ def contamination(hits: DataFrame) -> DataFrame:
     n_hit = F.aggregate(F.zip_with("_ends", "_starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return hits.withColumn("_n_hit", n_hit).withColumn(
         "_contaminated", (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words")))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated; same columns, no shuffle."""
+    clean = contamination(benchmark_hits(docs, benchmark, carry=True, **options)).filter("not _contaminated")
+    return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -55,8 +55,8 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only per-source sums are shuffled; the rates come back as a counted lookup
     (``small_lookup``), so a source holding a third of all rows stays where it
     is. Null or wordless text has size 0; a null source is a source of its
-    own; repeated ids draw alike; an empty table stays empty. Column names
-    starting with ``_`` are reserved here; the others pass through."""
+    own; repeated ids draw alike; an empty table stays empty. ``docs`` must not
+    have columns of these four names (``mix`` takes any)."""
     sized = docs.withColumn("_size", word_count(F.col(text_col)))
     slim = docs.select(F.col(source_col).alias("_src"), word_count(F.col(text_col)).alias("_n"))
     rates = source_rates(slim, "_src", "_n", weights, max_rate).select(
@@ -67,8 +67,10 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("_copies", (F.floor("_rate") + extra.cast("long")).cast("long")).drop("_rate")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as its copies say, same columns."""
-    copied = with_copies(docs, **options).filter("_copies > 0")
-    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(
-        *[copied[c] for c in docs.columns])
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as its copies say, same
+    columns (whatever their names)."""
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    copied = with_copies(docs.toDF(*plain.values()), plain[id_col], plain[text_col], plain[source_col], **options)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return copied.filter("_copies > 0").select(*plain.values(), each.alias("_copy")).drop("_copy").toDF(*docs.columns)

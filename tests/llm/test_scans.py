@@ -1,0 +1,227 @@
+"""Decontamination, secret scan, token files and quality against plain versions."""
+
+import hashlib
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from articlelab.llm import decontamination as D
+from articlelab.llm import quality as Q
+from articlelab.llm import secret_scan as S
+from articlelab.llm import token_files as T
+from articlelab.llm.common import scratch_path
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(UPPER))
+
+
+def brute_hits(text, items):
+    w, hit, found = words(text), set(), set()
+    for name, body in items:
+        b = words(body)
+        m = min(13, len(b))
+        if not m:
+            continue
+        windows = {tuple(b[i:i + m]) for i in range(len(b) - m + 1)}
+        for i in range(len(w) - m + 1):
+            if tuple(w[i:i + m]) in windows:
+                hit.update(range(i, i + m))
+                found.add(name)
+    return len(w), hit, found
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=0, max_size=18), max_size=6), st.lists(st.sampled_from("abcd"), max_size=80))
+def test_wu_manber_equals_brute_force(items, doc):
+    named = [(str(i), " ".join(x)) for i, x in enumerate(items)]
+    n, spans, found = D.WindowIndex([(k, t.encode()) for k, t in named]).scan(" ".join(doc).encode())
+    want_n, hit, want = brute_hits(" ".join(doc), named)
+    assert (n, {j for a, b in spans for j in range(a, b)}, found) == (want_n, hit, want)
+    assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_block_shifts_skip():
+    searcher = D.WuManber({tuple(range(1, 14)): ["x"]}, 13)
+    assert searcher.far == 12 and searcher.shift[(12, 13)] == 0 and searcher.shift[(1, 2)] == 11
+    assert [s for s, _ in searcher.find([0] * 50 + list(range(1, 14)) + [0])] == [50]
+
+
+@pytest.mark.parametrize("block_bytes", [D.BLOCK_BYTES, 3000])
+def test_hits_on_documents(spark, sf001, rows, block_bytes):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(sf001[1] + "/benchmark.parquet").collect()]
+    items += [(None, "lonely text with a"), (9001, None), (9002, "?!"), (9003, "SAME row")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.contamination(D.benchmark_hits(sf001[0], bench, block_bytes=block_bytes)).collect()
+    named = [("null" if i is None else str(i), t) for i, t in items]
+    want = sorted((str(i), len(words(t)), len(h := brute_hits(t, named)[1]), sorted(brute_hits(t, named)[2]), bool(h) and 20 * len(h) >= len(words(t)))
+                  for i, t, _ in rows)
+    assert sorted((str(r["_id"]), r["_n_words"], r["_n_hit"], r["_items"], r["_contaminated"]) for r in got) == want
+
+
+def test_remove_contaminated(spark, empty, clashing):
+    bench = spark.createDataFrame([(1, "A b, c d e f g")], "item_id long, text string")
+    out = D.remove_contaminated(clashing, bench)
+    assert out.columns == clashing.columns and [r["doc_id"] for r in out.collect()] == [3]
+    assert D.remove_contaminated(empty, bench).count() == 0
+    assert D.remove_contaminated(clashing, bench.limit(0)).count() == 3
+
+
+def brute_base(text):
+    out = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+PIECES = st.sampled_from(["token", "Password", "API_KEY", "apikey", "paſſword", "toKen", "=", ":", " ", "'", '"', "abcdefgh", "AKIA", "ABCD1234",
+                          "deadbeef" * 4, "0123456789abcdef", "\U0001f600é", "\n", "İ", "x"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=24).map("".join))
+def test_base_spans(text):
+    assert S.base_spans(text) == brute_base(text)
+    base, spans = S.all_spans(text, S.Novelty())
+    assert [s for s in spans if s[2] != "novel"] == base
+
+
+def test_novel_strings_are_reported_and_prose_is_not():
+    novelty = S.Novelty()
+    kinds = lambda t: [k for _, _, k in S.all_spans(t, novelty)[1]]
+    assert kinds("the bearer is kJ8s0QzV4mX2pL7rT1wY here") == ["novel"]
+    assert kinds("credential -> Zx81mQpV93LtRs0BnW5c\n") == ["novel"]
+    assert kinds("kJ8s0QzV4mX2pL7rT1wY without any context") == []
+    assert kinds("bearer access_token_url1 access_token_url1 access_token_url1") == []
+    assert kinds("the private key of understanding internationalisation") == []
+    assert kinds("secret: kJ8s0QzV4mX2pL7rT1wY") == ["assign"]
+
+
+def test_secret_scan_rows(sf001, rows, empty, clashing):
+    got = S.scan_secrets(sf001[0]).collect()
+    want = sorted((str(i), hashlib.sha256(S.joined(brute_base(t or "")).encode()).hexdigest()) for i, t, _ in rows)
+    assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in got) == want
+    assert len(got) == len(rows)
+    assert S.scan_secrets(empty).count() == 0 and S.scan_secrets(clashing).count() == 3
+
+
+ODD = ["it's don't 's x's, 's't", "ΑΣ Σας x<|endoftext|>y <|ENDOFTEXT|>", "a\x1cb c d", "É ȩ́ Å Ω K ﬁ",
+       "12ab34 1,234.5", "... '' word', ’s", "你好。ñ,ñ. naïve's", "İstanbul ǅ ß ẞ", "a|b|| %%%*** x%%%", "", " \n"]
+
+
+def test_tokens_equal_the_library(rows):
+    own = T.CachedTokenizer(T.default_tokenizer(), cache_words=500)
+    for text in ODD + [t for _, t, _ in rows if t]:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text[:60]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abé'sÉ́.,!? \tΣσİ1²½<|>ǅ"), max_size=30))
+def test_tokens_equal_the_library_on_odd_texts(text):
+    own = T.tokenizer_at(T.default_tokenizer())
+    assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_round_trip(spark, sf001, rows):
+    folder = scratch_path(spark, "ids-test")
+    written = T.write_token_files(sf001[0], folder, frame_ids=2000)
+    got = [tuple(r) for r in T.read_token_files(written, with_ids=True).orderBy("start").collect()]
+    library = T.CachedTokenizer(T.default_tokenizer()).tokenizer
+    ids = {}
+    for i, t, _ in rows:
+        ids.setdefault(i, []).append(library.encode(t or "", add_special_tokens=False).ids + [2])
+    order = [r[0] for r in got]
+    assert order == sorted(order, key=lambda x: (x is not None, x or 0)) and len(got) == len(rows)
+    at = 0
+    for doc, start, n, crc, own in got:
+        assert start == at and own in ids[doc] and n == len(own)
+        assert crc == zlib.crc32(np.array(own, "<u4").tobytes())
+        at += n
+
+
+def test_frames_are_seekable_and_checked(tmp_path):
+    path = str(tmp_path / "a.ids.zst")
+    with open(path, "wb") as f:
+        out = T.FrameWriter(f, 2, frame_ids=10)
+        docs = {i: np.arange(i, i + 7 + i % 5, dtype="<u2") for i in range(40)}
+        for i, ids in docs.items():
+            out.add(i, ids.tobytes())
+        out.close()
+    reader = T.FrameReader(path)
+    reads = []
+    plain = reader.frame
+    reader.frame = lambda k: reads.append(k) or plain(k)
+    ((name, start, ids),) = reader.documents([17])
+    assert name == 17 and ids.tolist() == docs[17].tolist() and len(reads) == 1
+    assert start == sum(len(docs[i]) for i in range(17))
+    whole = open(path, "rb").read()
+    # a plain decoder skips both tables
+    assert zstandard.ZstdDecompressor().stream_reader(whole, read_across_frames=True).read() == b"".join(d.tobytes() for d in docs.values())
+    assert struct.unpack("<I", whole[-4:])[0] == 0x8F92EAB1
+    packed, size, check = reader.frames[0]
+    other = zstandard.ZstdCompressor(level=3).compress(b"\1" * size)
+    reader.frames[0] = (packed, size, check ^ 1)
+    with pytest.raises(ValueError, match="damaged"):
+        plain(0)
+    assert other
+
+
+def test_token_files_of_an_empty_table(spark, empty):
+    assert T.read_token_files(T.write_token_files(empty, scratch_path(spark, "ids-none"))).count() == 0
+
+
+def test_pool_adjacent():
+    assert Q.pool_adjacent(np.array([1, 1, 2, 1.0]), np.array([0, 1, 1, 1.0])).tolist() == pytest.approx([0, 2 / 3, 2 / 3, 1])
+
+
+def test_quality_on_held_out_rows(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    stats = Q.document_statistics(docs).cache()
+    model = Q.fit_quality(stats, labels)
+    out = Q.score_statistics(stats, model).join(labels, F.col("id") == labels["doc_id"]).filter("held_out").toPandas()
+    assert ((out.predicted == out.quality).mean()) > 0.95
+    assert out.score.between(0, 1).all()
+    want = [zlib.crc32(str(i).encode()) % 4 == 2 for i in (0, 1, 2, 3, 4)]
+    got = {r["id"]: r["held_out"] for r in Q.score_statistics(stats, model).filter("id < 5").collect()}
+    assert [got[i] for i in range(5)] == want
+    # labels of held-out rows change nothing
+    flipped = labels.withColumn("quality", F.when(Q.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = Q.fit_quality(stats, flipped)
+    assert np.allclose(model.beta, again.beta) and np.allclose(model.levels, again.levels)
+
+
+def test_normal_equations_equal_least_squares(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, Q.STATISTICS))
+    y = (x[:, 0] > 0).astype(int)
+    stats = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>").repartition(5)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = Q.fit_quality(stats, labels, fourier=20)
+    use = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in range(300)])
+    z = model.fourier(x[use])
+    beta = np.linalg.solve(z.T @ z + np.diag([1.0] * 20 + [1e-6]), z.T @ y[use])
+    assert np.allclose(model.beta, beta)
+
+
+def test_quality_without_labels_and_odd_rows(spark, sf001, empty, clashing):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert Q.keep_good(clashing, none).count() == 3 and Q.keep_good(empty, none).count() == 0
+    labels = spark.read.parquet(sf001[1] + "/labels.parquet").unionByName(
+        spark.createDataFrame([(None, 1, 0), (1, None, 0), (2, 7, 0)], "doc_id long, quality int, toxic int"))
+    out = Q.keep_good(sf001[0], labels)
+    assert out.columns == sf001[0].columns and 0 < out.count() < sf001[0].count()
+    assert len(Q.statistics(None)) == len(Q.statistics(b"a b")) == Q.STATISTICS
