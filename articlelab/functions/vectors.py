@@ -30,15 +30,16 @@ NORM_MEAN, NORM_STD = 0.5, 0.5
 
 
 def hash_vector(token, dim: int = HASH_VECTOR_DIM) -> Column:
-    """Deterministic test word vector of a token (both engines agree)."""
-    if dim * HASH_DIGITS > 32:
-        raise ValueError("md5 has 32 hex digits: dim must be <= 10")
-    h = F.md5(_c(token))
-    return F.array(*[
-        F.conv(F.substring(h, 1 + HASH_DIGITS * i, HASH_DIGITS), 16, 10).cast("double")
-        / F.lit(HASH_SCALE) - F.lit(0.5)
-        for i in range(dim)
-    ])
+    """Deterministic test word vector of a token (both engines agree): eight
+    values from each md5, of the token, then of ``token:1``, ``token:2``, ..."""
+    t = _c(token)
+    per = HASH_VECTOR_DIM * HASH_DIGITS
+    blocks = [F.substring(F.md5(t if b == 0 else F.concat(t, F.lit(f":{b}"))), 1, per)
+              for b in range(-(-dim // HASH_VECTOR_DIM))]
+    digits = F.concat(*blocks)
+    return F.transform(F.array(*[F.lit(1 + HASH_DIGITS * i) for i in range(dim)]),
+                       lambda at: F.conv(F.substring(digits, at, F.lit(HASH_DIGITS)), 16, 10).cast("double")
+                       / F.lit(HASH_SCALE) - F.lit(0.5))
 
 
 def has_hash_vector(token) -> Column:

@@ -47,22 +47,25 @@ def wikihow_clean(df: DataFrame, order_col: str = "doc_id") -> DataFrame:
     G3 length label, C3 drop text. ``order_col`` is the file order."""
     # id range from the key column alone (no text read); it encloses the kept rows
     bounds = tuple(df.agg(F.min(order_col), F.max(order_col)).first())
-    kept = drop_null_text(df.select(order_col, *WIKIHOW_COLUMNS))
+    # the text is counted at the scan; only the narrow rows are numbered
+    kept = (drop_null_text(df.select(order_col, *WIKIHOW_COLUMNS))
+            .withColumn("title", T.clean_title("title"))
+            .withColumn("word_count", T.word_count("text")).drop("text"))
     numbered = with_row_number(kept, order_col, name="_rn", bounds=bounds)
     return (numbered
             .withColumn("original_row_number", F.col("_rn") - 1)
-            .withColumn("title", T.clean_title("title"))
-            .withColumn("word_count", T.word_count("text"))
             .where(F.col("word_count") >= T.MIN_WORDS)
             .withColumn("length", T.length_label("word_count"))
-            .drop("text", "word_count", "_rn"))
+            .drop("word_count", "_rn"))
 
 
 def wikihow_subset(df: DataFrame, n_rows: int = WIKIHOW_SAMPLE, seed: int = DEFAULT_SEED,
                    order_col: str = "doc_id") -> DataFrame:
     """Cleaned WikiHow rows, exactly ``n_rows`` of them by seeded
     sample (the job fails if fewer rows qualify)."""
-    return exact_sample(wikihow_clean(df, order_col), order_col, n_rows, seed).drop("row_no")
+    from articlelab.session import materialize
+    # the cleaned rows carry no text; they are written once and read by the count, the ranking and the sample
+    return exact_sample(materialize(wikihow_clean(df, order_col), "wikihow"), order_col, n_rows, seed)
 
 
 def with_prompts(df: DataFrame) -> DataFrame:

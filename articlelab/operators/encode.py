@@ -44,6 +44,15 @@ class Encoder:
     def transform(self, df: DataFrame, ids: Sequence[str], text_col: str = "text") -> DataFrame:
         raise NotImplementedError
 
+    def save(self, path: str) -> None:
+        """Write the fitted state; stateless encoders have none."""
+        raise NotImplementedError(f"{type(self).__name__} has no state to save")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Encoder":
+        """An encoder from its saved state."""
+        raise NotImplementedError(f"{cls.__name__} has no saved form")
+
     @classmethod
     def pretrained(cls, **kw) -> "Encoder":
         """Encoders without a pretrained form refuse clearly (Q14, Q21)."""
@@ -63,6 +72,23 @@ class MeanWordVectorEncoder(Encoder):
         self.vectors = V.hash_word_vectors(toks, self.dim).checkpointed()
         return self
 
+    def save(self, path: str) -> None:
+        """The vector table as parquet."""
+        self.vectors.df.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "MeanWordVectorEncoder":
+        df = spark.read.parquet(path)
+        dim = df.select(F.max(F.size("vec"))).first()[0] or 0
+        return cls(dim, V.WordVectors(df, dim))
+
+    @classmethod
+    def pretrained(cls, spark, path: str, dim: int) -> "MeanWordVectorEncoder":
+        """Over a word-vector text file."""
+        from articlelab.sources.files import read_word_vectors
+        table = read_word_vectors(spark, path, dim).select("token", "vec")
+        return cls(dim, V.WordVectors(table, dim).checkpointed())
+
     def transform(self, df: DataFrame, ids: Sequence[str], text_col: str = "text") -> DataFrame:
         if self.vectors is None:
             raise ValueError("fit the encoder (or give a vector table) first")
@@ -75,25 +101,27 @@ class Word2VecEncoder(Encoder):
     article vector = sum of known word vectors / all tokens (Q7)."""
 
     def __init__(self, dim: int = 100, min_count: int = 1, window: int = 5, seed: int = 42,
-                 max_iter: int = 1, partitions: int | None = None):
+                 max_iter: int = 5, partitions: int = 8, max_vocabulary: int = 5_000_000):
         self.dim, self.min_count, self.window, self.seed = dim, min_count, window, seed
-        self.max_iter, self.partitions = max_iter, partitions
+        self.max_iter, self.partitions, self.max_vocabulary = max_iter, partitions, max_vocabulary
         self.model = None
 
     def fit(self, df: DataFrame, text_col: str = "text") -> "Word2VecEncoder":
         from pyspark.ml.feature import Word2Vec
-        from pyspark import StorageLevel
-        # Spark ML passes over its input more than once (vocabulary, then
-        # training): keep the tokenised sentences instead of re-tokenising
-        sents = explode_rows(df, [], T.sentence_tokens(text_col), "sentence").persist(
-            StorageLevel.MEMORY_AND_DISK)
+        from articlelab.session import materialize
+        # Spark ML passes over its input several times (vocabulary, then one
+        # pass per iteration): write the tokenised sentences once
+        sents = materialize(explode_rows(df, [], T.sentence_tokens(text_col), "sentence"), "sentences")
+        # the library keeps vocabulary x dim on the driver: the contract bounds it
+        words = (sents.select(F.explode("sentence").alias("w")).groupBy("w").count()
+                 .where(F.col("count") >= self.min_count).count())
+        if words > self.max_vocabulary:
+            raise ValueError(f"{words} words occur at least {self.min_count} times; Word2Vec takes "
+                             f"{self.max_vocabulary}: raise min_count or max_vocabulary")
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, windowSize=self.window,
                        seed=self.seed, maxIter=self.max_iter, inputCol="sentence", outputCol="v",
-                       numPartitions=self.partitions or sents.sparkSession.sparkContext.defaultParallelism)
-        try:
-            self.model = w2v.fit(sents)
-        finally:
-            sents.unpersist()
+                       numPartitions=self.partitions)
+        self.model = w2v.fit(sents)
         self._wv = None
         return self
 
@@ -117,7 +145,7 @@ class Word2VecEncoder(Encoder):
         self.model.write().overwrite().save(path)
 
     @classmethod
-    def load(cls, path: str) -> "Word2VecEncoder":
+    def load(cls, spark, path: str) -> "Word2VecEncoder":
         from pyspark.ml.feature import Word2VecModel
         enc = cls()
         enc.model = Word2VecModel.load(path)
@@ -140,7 +168,8 @@ class SentenceEncoder(Encoder):
 
     def transform(self, df: DataFrame, ids: Sequence[str], text_col: str = "text") -> DataFrame:
         ids = list(ids)
-        sents = explode_rows(df, ids, T.sentence_tokens(text_col), "toks", pos="sent_no").select(
+        # an article without sentences keeps one row with a null sentence
+        sents = df.select(*ids, F.posexplode_outer(T.sentence_tokens(text_col)).alias("sent_no", "toks")).select(
             *ids, "sent_no", T.join_tokens("toks").alias("sentence"))
         fn, dim, chunk = self.fn, self.dim, self.batch_rows
         schema = sents.drop("sentence").schema.add("vec", ArrayType(DoubleType()))
@@ -152,55 +181,59 @@ class SentenceEncoder(Encoder):
                 for start in range(0, len(pdf), chunk):
                     part = pdf.iloc[start:start + chunk]
                     part = part.loc[part["sentence"].str.len().sort_values(ascending=False, kind="stable").index]
-                    vecs = np.asarray(fn(part["sentence"].tolist()), dtype=np.float64).reshape(len(part), dim)
+                    known = part["sentence"].notna().to_numpy()
+                    vecs = np.asarray(fn(part["sentence"][known].tolist()), dtype=np.float64).reshape(known.sum(), dim)
                     out = part.drop(columns=["sentence"]).copy()
-                    out["vec"] = list(vecs)
+                    out["vec"] = pd.Series([None] * len(part), index=part.index, dtype=object)
+                    out.loc[known, "vec"] = pd.Series(list(vecs), index=part.index[known], dtype=object)
                     yield out
 
         sent_vecs = sents.mapInPandas(encode, schema)
-        doc = V.mean_of_sentences(sent_vecs, dim, ids)
         # documents without any sentence: zero vector (Q14)
-        return df.select(*ids).join(doc, ids, "left").select(
-            *ids, F.coalesce("features", F.array_repeat(F.lit(0.0), dim)).alias("features"))
+        return V.mean_of_sentences(sent_vecs, dim, ids).drop("n_sentences")
 
 
 def hashed_bag_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
-    """A small stand-in sentence encoder (no model files are available):
-    hashed bag of words, L2-normalised. Deterministic across processes."""
-    import zlib
+    """A small stand-in sentence encoder (no model files are available): each
+    distinct word adds +1 or -1 to one dimension, both from its md5 (first
+    seven hex digits modulo ``dim``; the last digit's parity), L2-normalised.
+    Words are hashed once per batch; sums are one scatter-add."""
+    import hashlib
 
     def fn(sentences: list[str]) -> np.ndarray:
+        split = [s.split(" ") for s in sentences]
+        row = np.repeat(np.arange(len(split)), [len(w) for w in split])
+        words, place = np.unique(np.array([w for s in split for w in s], dtype=object).astype(str), return_inverse=True)
+        digests = [hashlib.md5(w.encode()).hexdigest() for w in words]
+        column = np.array([int(d[:7], 16) % dim for d in digests], dtype=np.int64)
+        sign = np.array([0.0 if not w else 1.0 if int(d[-1], 16) % 2 else -1.0 for w, d in zip(words, digests, strict=True)])
         out = np.zeros((len(sentences), dim))
-        for r, s in enumerate(sentences):
-            for w in s.split(" "):
-                if w:
-                    h = zlib.crc32(w.encode("utf-8"))
-                    out[r, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-            n = np.linalg.norm(out[r])
-            if n > 0:
-                out[r] /= n
-        return out
+        if len(words):
+            np.add.at(out, (row, column[place]), sign[place])
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0)
     return fn
 
 
 def embedded_table(articles: DataFrame, encoder: Encoder, split_col: str | None = "split",
                    id_col: str = "doc_id", type_col: str = "type",
-                   mapping: DataFrame | None = None) -> DataFrame:
-    """M2/M3/M4: ``(id, split, label, features)``; the class map is fitted
-    once over all rows (Q2) unless the caller supplies one (M4). C12: the
-    job fails if a vector has the wrong width."""
-    keep = [c for c in (id_col, split_col, type_col) if c]
+                   mapping: DataFrame | None = None, text_col: str = "text",
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """M2/M3/M4: ``(id, split, label, features)`` (and the ``carry`` columns);
+    the class map is fitted once over all rows (Q2) unless the caller
+    supplies one (M4). C12: the job fails if a vector has the wrong width.
+
+    Labels, splits and carried columns travel with the rows as group keys, so
+    nothing is joined back by id: rows stay as many as they were."""
     if mapping is not None:
         # A caller-supplied map must cover every type, as in the reference
         assert_mapped(articles, mapping, type_col)
-    vecs = encoder.transform(articles, [id_col])
     m = mapping if mapping is not None else class_map(articles, type_col, "label")
-    labelled = apply_class_map(articles.select(*keep), m, type_col)
-    out = labelled.join(vecs, id_col)
+    keys = [id_col, *([split_col] if split_col else []), "label", *carry]
+    out = encoder.transform(apply_class_map(articles, m, type_col).select(*keys, text_col), keys, text_col)
     checked = F.when(F.size("features") == encoder.dim, F.col("features")).otherwise(
         F.raise_error(F.lit(f"vector width differs from {encoder.dim}")))
-    cols = [id_col] + ([split_col] if split_col else []) + ["label"]
-    return out.select(*cols, checked.alias("features"))
+    return out.select(*keys, checked.alias("features"))
 
 
 def expand_features(df: DataFrame, dim: int, col: str = "features", prefix: str = "f") -> DataFrame:
@@ -215,8 +248,3 @@ def collapse_features(df: DataFrame, prefix: str = "f", col: str = "features") -
                    key=lambda c: int(c[len(prefix):]))
     others = [c for c in df.columns if c not in fcols]
     return df.select(*others, F.array(*[F.col(c).cast("double") for c in fcols]).alias(col))
-
-
-def encode_pandas(fn: Callable[[list[str]], np.ndarray], texts: pd.Series, dim: int) -> np.ndarray:
-    """Helper for tests: run an encoder function on a pandas Series."""
-    return np.asarray(fn(texts.tolist()), dtype=np.float64).reshape(len(texts), dim)

@@ -9,6 +9,8 @@ expanded to 16.7 M pixels before resizing.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,30 +62,48 @@ def write_image_table(images: DataFrame, path: str, mode: str = "overwrite") ->
     (images.write.mode(mode).partitionBy("split", "label").parquet(path))
 
 
-def read_image_folder(spark, root: str) -> DataFrame:
-    """PNG/JPEG folder tree ``<root>/<class>/<file>``; label = index of
-    the class folder name in sorted order; grayscale pixels normalised
-    like the reference (``(x/255 - 0.5)/0.5``)."""
+# Luma of red, green and blue, in parts of 65,536.
+LUMA = (19595, 38470, 7471)
+
+
+def read_image_folder(spark, root: str) -> tuple[DataFrame, DataFrame]:
+    """PNG/JPEG folder tree ``<root>/<class>/<file>`` -> ``(images,
+    quarantine)``. Label = index of the class folder name in sorted order;
+    grayscale pixels normalised like the reference (``(x/255 - 0.5)/0.5``).
+    Undecodable files go to the quarantine with their path; their folder
+    still counts as a class."""
     from articlelab.operators.labels import apply_class_map, class_map
-    imgs = (spark.read.format("image").option("recursiveFileLookup", True)
-            .option("dropInvalid", True).load(root))
-    cls = F.regexp_extract(F.col("image.origin"), r"/([^/]+)/[^/]+$", 1)
-    rows = imgs.select(F.col("image.origin").alias("origin"), cls.alias("class_name"),
+    imgs = spark.read.format("image").option("recursiveFileLookup", True).load(root)
+    rows = imgs.select(F.col("image.origin").alias("origin"),
+                       F.regexp_extract("image.origin", r"/([^/]+)/[^/]+$", 1).alias("class_name"),
                        F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    # grayscale = first channel of each pixel (the hand-made folders are gray)
-    gray = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1),
-                       lambda i: F.conv(F.hex(F.substring(F.col("data"), i * F.col("channels") + 1, 1)), 16, 10)
-                       .cast("double"))
-    out = rows.select("origin", "class_name", "height", "width", normalise(gray).alias("pixels"))
-    return apply_class_map(out, class_map(out, "class_name", "label"), "class_name")
-
-
-def train_test_folders(root_listing: list[str]) -> tuple[str, str]:
-    """Pick the sub-folders whose names contain ``train`` / ``test``;
-    raise when either is missing."""
-    train = [p for p in root_listing if "train" in p.rstrip("/").split("/")[-1]]
-    test = [p for p in root_listing if "test" in p.rstrip("/").split("/")[-1]]
-    if not train or not test:
-        raise ValueError("could not find train and test sub-folders")
-    return train[0], test[0]
+    labels = class_map(rows, "class_name", "label")
+
+    @F.pandas_udf("array<double>")
+    def gray(data: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for raw, n in zip(data, channels, strict=True):
+            x = np.frombuffer(raw, np.uint8).reshape(-1, n).astype(np.int64)
+            # Spark stores blue, green, red (, alpha)
+            y = x[:, 0] if n == 1 else (LUMA[0] * x[:, 2] + LUMA[1] * x[:, 1] + LUMA[2] * x[:, 0] + 32768) >> 16
+            out.append(y.astype(np.float64))
+        return pd.Series(out)
+
+    good = rows.where("height > 0").select("origin", "class_name", "height", "width",
+                                           gray("data", "channels").alias("_g"))
+    good = good.select("origin", "class_name", "height", "width", normalise("_g").alias("pixels"))
+    return apply_class_map(good, labels, "class_name"), rows.where("height <= 0").select("origin", "class_name")
+
+
+def folder_split(df: DataFrame, path_col: str) -> DataFrame:
+    """``split`` by the folder names in a path column: ``train`` where a
+    folder's name contains train, ``test`` where one contains test, other rows
+    left out; fails when either side has no file."""
+    folders = F.regexp_extract(F.col(path_col), r"^(.*)/[^/]*$", 1)
+    side = F.when(folders.contains("train"), F.lit("train")).when(folders.contains("test"), F.lit("test"))
+    out = df.withColumn("split", side).where(F.col("split").isNotNull())
+    found = {r["split"] for r in out.select("split").distinct().collect()}
+    if found != {"train", "test"}:
+        raise ValueError(f"files found only under {sorted(found) or 'neither'} of a train and a test folder")
+    return out

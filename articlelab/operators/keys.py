@@ -6,11 +6,13 @@ depends on the partition layout and is never used).
 
 Exact row numbers never use an un-partitioned window over the data.
 Rows are cut into order-preserving buckets (the first hex digits of an md5
-key, or equal-width ranges of a numeric key); a tiny per-bucket count
-table (at most ``16**digits`` rows per group) is turned into running
-offsets, broadcast, and each row gets ``row_number() within its bucket +
-offset``. Data rows are shuffled once, by bucket, and never meet in one
-task. Ties on the order key are broken by ``tiebreak`` columns.
+key, equal-width ranges of a numeric key, or sampled ranges of any other
+key); a tiny per-bucket count table (at most ``16**digits`` rows per group)
+is turned into running offsets, and each row gets ``row_number() within its
+bucket + offset``. Rows are shuffled once, by bucket, and never meet in one
+task. Callers number narrow rows (ids, not texts): a sample or a split needs
+only the key at which it cuts (:func:`within_first`), so texts stay where
+they are. Ties on the order key are broken by ``tiebreak`` columns.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from articlelab.session import materialize
+
 # Fixed defaults of the reference: seed and train share.
 DEFAULT_SEED = 42
 TRAIN_SHARE = 0.8
@@ -33,21 +37,25 @@ def shuffle_key(id_col, seed: int = DEFAULT_SEED) -> Column:
 
 def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
                     tiebreak: Sequence[str] = (), name: str = "row_no",
-                    total_name: str | None = None, hex_digits: int = 3,
+                    total_name: str | None = None, hex_key: bool = False, hex_digits: int = 3,
                     numeric_buckets: int = 4096, bounds: tuple | None = None) -> DataFrame:
     """Add an exact 1-based ``row_number() over (partition by <by> order by
     <order_col>, <tiebreak>)`` without a single-task window.
 
-    ``order_col`` is either a lower-case hex string (md5 key; bucket = its
-    first ``hex_digits`` digits) or a numeric column (bucket = equal-width
-    range between its min and max, computed by one small aggregate).
+    ``order_col`` is a numeric column (bucket = equal-width range between its
+    min and max, computed by one small aggregate), a lower-case md5 string if
+    ``hex_key`` says so (bucket = its first ``hex_digits`` digits), or any
+    other string (bucket = sampled range; the rows are written once).
     If ``total_name`` is given, the group's row count is added too.
     ``bounds`` = (min, max) of a numeric key, when known (any enclosing
     range is correct; it only shapes the buckets).
     """
     by = list(by)
     dtype = df.schema[order_col].dataType.simpleString()
-    if dtype == "string":
+    if dtype == "string" and not hex_key:
+        df = materialize(df.repartitionByRange(order_col).withColumn("__range", F.spark_partition_id()), "ranges")
+        bucket, n_buckets = F.col("__range"), 1 << 20
+    elif dtype == "string":
         bucket = F.conv(F.substring(F.col(order_col), 1, hex_digits), 16, 10).cast("int")
         n_buckets = 16 ** hex_digits
     else:
@@ -62,7 +70,7 @@ def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
     # non-nullable bucket: no inferred null filter on one side of the join,
     # so both uses of the ranked rows stay identical and share one shuffle
     # (a null order key sorts first, and bucket 0 is the first bucket)
-    keyed = df.withColumn(b, F.coalesce(bucket, F.lit(0)))
+    keyed = df.withColumn(b, F.coalesce(bucket, F.lit(0))).drop("__range")
     # rank inside each bucket first; the bucket sizes are read off the ranked
     # rows (same shuffle, reused), so the input plan is computed only once
     w = Window.partitionBy(*by, b).orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
@@ -74,8 +82,22 @@ def with_row_number(df: DataFrame, order_col: str, *, by: Sequence[str] = (),
         offsets = offsets.withColumn(total_name, F.sum("__cnt").over(Window.partitionBy(*by)))
     offsets = offsets.drop("__cnt")
     # The offset table has at most n_buckets rows per group of `by`.
-    if not by:
-        offsets = F.broadcast(offsets) if n_buckets <= 1 << 20 else offsets
+    if not by and n_buckets <= 1 << 16:
+        offsets = F.broadcast(offsets)
     out = ranked.join(offsets, on=[*by, b], how="inner")
     return out.withColumn(name, (F.col("__rn") + F.col("__off")).cast("bigint")).drop(
         "__rn", "__off", b)
+
+
+def within_first(df: DataFrame, id_col: str, n: int, total: int, seed: int = DEFAULT_SEED) -> Column:
+    """Condition: a row is among the first ``n`` of ``total`` in seeded order.
+
+    One job over the ids finds the n-th (key, id); every row then compares
+    its own, so nothing but ids is shuffled. Rows that repeat the id at the
+    cut are all in."""
+    if n <= 0 or n >= total:
+        return F.lit(n > 0)
+    ids = df.select(F.col(id_col).alias("_id")).withColumn("_key", shuffle_key("_id", seed))
+    cut = with_row_number(ids, "_key", tiebreak=["_id"], name="_no", hex_key=True).where(F.col("_no") == n).first()
+    key = shuffle_key(id_col, seed)
+    return (key < cut["_key"]) | ((key == cut["_key"]) & (F.col(id_col) <= F.lit(cut["_id"])))

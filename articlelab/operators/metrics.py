@@ -14,9 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from articlelab.functions.vectors import argmax, cross_entropy, softmax
-
-# Largest label set expanded into a dense K x K grid.
-MAX_DENSE_LABELS = 10_000
+from articlelab.session import materialize
 
 
 def score_rows(df: DataFrame, logits: str = "logits", label: str = "label",
@@ -70,24 +68,21 @@ def confusion(scored: DataFrame, keys: Sequence[str], label: str = "label",
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def label_set(conf: DataFrame) -> list[int]:
-    """Sorted labels seen as true or predicted (bounded by the class count)."""
-    labels = (conf.select(F.col("true_label").alias("l"))
-              .unionByName(conf.select(F.col("pred_label").alias("l"))).distinct())
-    vals = [r["l"] for r in labels.limit(MAX_DENSE_LABELS + 1).collect()]
-    if len(vals) > MAX_DENSE_LABELS:
-        raise ValueError(f"more than {MAX_DENSE_LABELS} labels: no dense confusion grid")
-    return sorted(vals)
+def label_set(conf: DataFrame) -> DataFrame:
+    """``label``: the labels seen as true or predicted."""
+    return (conf.select(F.col("true_label").alias("label"))
+            .unionByName(conf.select(F.col("pred_label").alias("label"))).distinct())
 
 
-def dense_confusion(conf: DataFrame, keys: Sequence[str], labels: list[int] | None = None) -> DataFrame:
+def dense_confusion(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Zero-filled K x K grid per keys, integer label order, the full
-    label set on both axes (Q10)."""
-    labels = label_set(conf) if labels is None else labels
-    arr = F.array(*[F.lit(int(x)).cast("bigint") for x in labels])
-    grid = (conf.select(*keys).distinct()
-            .withColumn("true_label", F.explode(arr))
-            .withColumn("pred_label", F.explode(arr)))
+    label set on both axes (Q10). The long counts are written once, so the
+    scored rows are read once; the K labels sit in one array, which each of
+    the (few) keys expands twice: the K^2 rows are the result itself."""
+    conf = materialize(conf, "confusion")
+    labels = label_set(conf).agg(F.sort_array(F.collect_list("label")).alias("_l")).withColumn("_g", F.lit(0))
+    grid = (conf.select(*keys).distinct().withColumn("_g", F.lit(0)).join(F.broadcast(labels), "_g").drop("_g")
+            .withColumn("true_label", F.explode("_l")).withColumn("pred_label", F.explode("_l")).drop("_l"))
     return (grid.join(conf, on=[*keys, "true_label", "pred_label"], how="left")
             .withColumn("n", F.coalesce(F.col("n"), F.lit(0).cast("bigint"))))
 

@@ -19,7 +19,7 @@ REQUIRED_NETWORK_METRICS = (
     "training_accuracies", "training_losses", "testing_accuracies", "testing_losses",
     "training_classification_results", "testing_classification_results")
 REQUIRED_BOOST_METRICS = ("accuracy", "classification_makeup")
-NAME_PATTERN = r"^(\w+)_(\w+)"          # greedy: encoder takes all but the last part
+NAME_PATTERN = r"(?U)^(\w+)_(\w+)"      # greedy: encoder takes all but the last part; letters of any script
 UNKNOWN = "unknown"
 
 CONFUSION_MAP = "map<string,map<string,bigint>>"
@@ -162,27 +162,42 @@ def series_from_record(df: DataFrame, keys: Sequence[str], series: dict[str, str
     return out
 
 
+def path_names(spark, path: str) -> tuple[str, str]:
+    """G12 for one path on the driver: (dataset, encoder), by the same column rule."""
+    ds, enc, matched = names_from_path(F.lit(path))
+    row = spark.range(1).select(ds.alias("ds"), enc.alias("enc"), matched.alias("ok")).first()
+    if not row["ok"]:
+        raise ValueError(f"{path!r} is not named <encoder>_<dataset>")
+    return row["ds"], row["enc"]
+
+
 def read_run_files(spark, paths: Sequence[str] | str, ddl: str = NETWORK_RUN_DDL) -> tuple[DataFrame, DataFrame]:
     """A9 + A10 + A11: read many run files (a folder is searched
-    recursively for ``*.json``); every file is one JSON document. Returns
-    ``(good, quarantine)``: broken files go to quarantine with their path
-    instead of failing the whole read."""
-    reader = (spark.read.schema(ddl + ", _corrupt_record string")
-              .option("multiLine", True).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record"))
+    recursively for ``*.json``). A file holds one JSON document, or one per
+    line (every line an object). Returns ``(good, quarantine)``: a record that
+    does not parse goes to quarantine with its path and text; the other
+    records of its file are kept."""
+    reader = spark.read
     if isinstance(paths, str):
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-        df = reader.json(paths)
-    else:
-        df = reader.json(list(paths))
-    # run files are small records; the parsed rows are cached because Spark
-    # refuses a query on the corrupt-record column alone over raw files
-    df = df.withColumn("path", F.col("_metadata.file_path")).cache()
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("path", "_corrupt_record")
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    raw = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("path"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    by_line = (F.size(lines) > 1) & F.forall(lines, lambda x: F.trim(x).rlike(r"^\{.*\}$"))
+    one = raw.select("path", F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("_text"))
+    parsed = one.select("path", "_text", F.from_json("_text", f"{ddl}, _corrupt_record string", {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_r"))
+    broken = F.col("_r").isNull() | F.col("_r._corrupt_record").isNotNull()
+    bad = parsed.where(broken).select("path", F.col("_text").alias("_corrupt_record"))
+    good = parsed.where(~broken).select("_r.*", "path").drop("_corrupt_record")
     return good, bad
 
 
+def incomplete(checked: DataFrame) -> DataFrame:
+    """Quarantine rows of records that lack a metric: path and the names."""
+    return checked.where(F.size("missing") > 0).select("path", F.array_join("missing", ",").alias("_corrupt_record"))
+
+
 def route_boosting(df: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """Split run files by path: ``*/ADABOOST/*`` vs the rest."""
     is_boost = F.col(path_col).like("%/ADABOOST/%")

@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articlelab.operators.keys import DEFAULT_SEED, TRAIN_SHARE, shuffle_key, with_row_number
+from articlelab.operators.keys import DEFAULT_SEED, TRAIN_SHARE, shuffle_key, with_row_number, within_first
 
 
 def seeded_order(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED,
@@ -17,33 +17,40 @@ def seeded_order(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED,
     """Rows numbered 1..N in seeded-shuffle order (per group of `by`)."""
     keyed = df.withColumn("_key", shuffle_key(id_col, seed))
     return with_row_number(keyed, "_key", by=by, tiebreak=[id_col], name=name,
-                           total_name=total_name).drop("_key")
+                           total_name=total_name, hex_key=True).drop("_key")
 
 
 def shuffled_head(df: DataFrame, id_col: str, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """The first n rows after a seeded shuffle (all rows if fewer)."""
-    return seeded_order(df, id_col, seed).where(F.col("row_no") <= n)
+    """The first n rows after a seeded shuffle (all rows if fewer); a
+    top-n of the keys, then only those n rows are numbered."""
+    head = df.withColumn("_key", shuffle_key(id_col, seed)).orderBy("_key", id_col).limit(n)
+    return with_row_number(head, "_key", tiebreak=[id_col], hex_key=True).drop("_key")
 
 
-def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = DEFAULT_SEED,
-                 by: Sequence[str] = ()) -> DataFrame:
-    """Exactly n rows without replacement (per group of `by`);
-    fails the job when a group has fewer than n rows, as the reference
-    does. Every group is ranked with bucketed row numbers, so one huge
-    class is still spread over many tasks."""
-    ordered = seeded_order(df, id_col, seed, by=by, total_name="_group_n")
-    checked = ordered.withColumn(
-        "_ok", F.when(F.col("_group_n") >= n, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit(f"cannot sample {n} rows from a group of "),
-                                   F.col("_group_n").cast("string"), F.lit(" rows")))))
-    return checked.where(F.col("_ok") & (F.col("row_no") <= n)).drop("_ok", "_group_n")
+def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
+    """D3: exactly n rows without replacement; fails when there are fewer
+    than n, as the reference does. Only ids are ranked."""
+    total = df.select(id_col).count()
+    if total < n:
+        raise ValueError(f"cannot sample {n} rows from {total}")
+    return df.where(within_first(df, id_col, n, total, seed))
 
 
 def stratified_sample(df: DataFrame, id_col: str, class_col: str, classes: Sequence[str],
                       n: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """D5 + S1: n rows of each listed class, stacked."""
-    picked = df.where(F.col(class_col).isin(list(classes)))
-    return exact_sample(picked, id_col, n, seed, by=[class_col])
+    """D5 + S1: exactly n rows of each listed class, stacked; fails when a
+    class is absent or has fewer (Q4). One huge class is ranked by many
+    tasks (bucketed row numbers of its ids)."""
+    sizes = {r[0]: r["count"] for r in df.where(F.col(class_col).isin(list(classes))).groupBy(class_col).count().collect()}
+    short = {c: sizes.get(c, 0) for c in classes if sizes.get(c, 0) < n}
+    if short:
+        raise ValueError(f"cannot sample {n} rows of each class; rows found: {short}")
+    parts = [df.where((F.col(class_col) == c)) for c in classes]
+    picked = [p.where(within_first(p, id_col, n, sizes[c], seed)) for p, c in zip(parts, classes, strict=True)]
+    out = picked[0]
+    for p in picked[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def train_test_split(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED,
@@ -62,29 +69,45 @@ def train_test_split(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED,
     ).drop("_n")
 
 
+def with_split(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED, train_share: float = TRAIN_SHARE,
+               n_rows: int | None = None) -> DataFrame:
+    """D4 without row numbers: the same split as :func:`train_test_split`
+    as a ``split`` column, from the key at the cut; wide rows (texts,
+    vectors) are neither shuffled nor sorted."""
+    total = df.select(id_col).count()
+    kept = total if n_rows is None else min(total, n_rows)
+    if kept < total:
+        df = df.where(within_first(df, id_col, kept, total, seed))
+    train = within_first(df, id_col, int(kept * train_share), kept, seed)
+    return df.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
+
+
+def fixed_batches(df: DataFrame, id_col: str, batch_rows: int, by: Sequence[str] = (),
+                  name: str = "batch_id") -> DataFrame:
+    """Evaluation batches of ``batch_rows`` rows in id order, counted
+    within each group of ``by`` (so none mixes splits); integer arithmetic."""
+    numbered = with_row_number(df, id_col, by=by, name="_no")
+    return numbered.withColumn(name, F.expr(f"(_no - 1) div {int(batch_rows)}")).drop("_no")
+
+
 def numbered_batches(df: DataFrame, order_col: str, batch_size: int,
                      name: str = "batch_no") -> DataFrame:
     """A4/E5/B2: number rows in ``order_col`` order (file order) and give
     each its 0-based batch; ``n_batches = ceil(N / batch_size)``."""
     ordered = with_row_number(df, order_col, name="row_no", total_name="_n")
     return (ordered
-            .withColumn(name, F.floor((F.col("row_no") - 1) / F.lit(batch_size)).cast("bigint"))
-            .withColumn("n_batches", F.ceil(F.col("_n") / F.lit(batch_size)).cast("bigint"))
+            .withColumn(name, F.expr(f"(row_no - 1) div {int(batch_size)}"))
+            .withColumn("n_batches", F.expr(f"(_n + {int(batch_size)} - 1) div {int(batch_size)}"))
             .drop("_n"))
 
 
-def batch_slice(batched: DataFrame, start: int, n_rows: int) -> DataFrame:
-    """A4: rows ``[start, start + n_rows)`` of the numbered table (0-based)."""
-    return batched.where((F.col("row_no") > start) & (F.col("row_no") <= start + n_rows))
-
-
 def pending_batches(batched: DataFrame, finished: DataFrame, batch_col: str = "batch_no") -> DataFrame:
     """Rows whose batch is not finished yet (resume)."""
     done = finished.select(batch_col).distinct()
     return batched.join(done, on=batch_col, how="left_anti")
 
 
-def epoch_order(df: DataFrame, id_col: str, epoch: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Per-epoch training order key ``md5(seed:epoch:id)``."""
-    return df.withColumn("_epoch_key", shuffle_key(
-        F.concat(F.lit(str(epoch)), F.lit(":"), F.col(id_col).cast("string")), seed))
+def epoch_step(id_col: str, epoch: int, steps: int, seed: int = DEFAULT_SEED):
+    """The optimisation step (0..steps-1) a row is dealt to in an epoch;
+    another grouping every epoch, the same in every run."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(epoch), F.lit(seed)), F.lit(steps))

@@ -5,9 +5,9 @@ never collected into a driver dictionary. The lookup join broadcasts the
 table only after its size has been measured against a budget; beyond the
 budget the most frequent tokens ("the", ",") are joined by broadcast and
 the rest by sort-merge, so no hot token sits in one task (AQE skew-join
-stays on as a second guard). Vector sums are per-dimension ``sum`` aggregates (codegen'd hash
-aggregate with map-side partial aggregation) for narrow vectors and
-``Summarizer`` (one typed vector buffer per group) for wide ones.
+stays on as a second guard). Rows without a token never enter that join.
+Sums, means and maxima of vectors are ``Summarizer`` aggregates (one typed
+vector buffer per group, summed on the map side), whatever the width.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from articlelab.functions.vectors import has_hash_vector, hash_vector
 
-# Widest vector summed with one `sum` per dimension; wider ones use Summarizer.
-PER_DIM_LIMIT = 128
-# Default broadcast budget of a word-vector table (bytes).
+# Default broadcast budget of a word-vector table, or of its hot part (bytes).
 BROADCAST_BUDGET = 64 * 1024 * 1024
-# Most frequent tokens joined by broadcast when the table is over budget
-# (top-k of a frequency table: bounded, HOT_TOKENS x dim doubles).
-HOT_TOKENS = 20_000
+
+
+def row_bytes(dim: int) -> int:
+    """Estimated size of one word-vector row: the doubles, the token, overhead."""
+    return dim * 8 + 64
 
 
 @dataclass
@@ -42,7 +42,7 @@ class WordVectors:
         return self.n_rows
 
     def est_bytes(self) -> int:
-        return self.count() * (self.dim * 8 + 64)
+        return self.count() * row_bytes(self.dim)
 
     def broadcastable(self, budget: int | None = None) -> bool:
         return self.est_bytes() <= (BROADCAST_BUDGET if budget is None else budget)
@@ -64,77 +64,74 @@ def hash_word_vectors(tokens: DataFrame, dim: int = 8, token_col: str = "token")
 
 
 def attach_vectors(rows: DataFrame, wv: WordVectors, how: str = "left",
-                   budget: int | None = None, hot: int | None = None) -> DataFrame:
+                   budget: int | None = None) -> DataFrame:
     """add ``vec`` to every row by token (null when unknown for a left
     join).
 
     * The table's measured size fits ``budget``: broadcast hash join.
-    * Otherwise, hot/cold split: the ``hot`` most frequent tokens of
-      ``rows`` (a bounded top-k) take a broadcast join with their vectors,
-      every other token a sort-merge join. A token holding a third of all
-      rows never lands in one task, and the vector table is not copied.
+    * Otherwise ``rows`` is written once (it is read three times) and split:
+      the most frequent tokens, as many as fit the budget, take a broadcast
+      join with their vectors; every other token a sort-merge join; rows
+      without a token none. A token holding a third of all rows never lands
+      in one task, and the vector table is not copied.
     """
     budget = BROADCAST_BUDGET if budget is None else budget
-    hot = HOT_TOKENS if hot is None else hot
     if wv.broadcastable(budget):
         return rows.join(F.broadcast(wv.df), on="token", how=how)
-    freq = rows.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
-    hot_tokens = freq.orderBy(F.col("_f").desc(), F.col("token")).limit(hot).select(
-        "token", F.lit(True).alias("_hot"))
-    tagged = rows.join(F.broadcast(hot_tokens), on="token", how="left")
+    from articlelab.session import materialize
+    rows = materialize(rows, "token-rows")
+    named = rows.where(F.col("token").isNotNull())
+    freq = named.groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+    hot_tokens = materialize(freq.orderBy(F.col("_f").desc(), F.col("token")).limit(
+        max(1, budget // row_bytes(wv.dim))).select("token", F.lit(True).alias("_hot")), "hot-tokens")
+    tagged = named.join(F.broadcast(hot_tokens), on="token", how="left")
     hot_vecs = wv.df.join(F.broadcast(hot_tokens.select("token")), on="token", how="left_semi")
     hot_part = tagged.where(F.col("_hot").isNotNull()).join(F.broadcast(hot_vecs), on="token", how=how)
     cold_part = tagged.where(F.col("_hot").isNull()).join(wv.df.hint("merge"), on="token", how=how)
-    return hot_part.unionByName(cold_part).drop("_hot")
-
-
-def keep_known(rows: DataFrame, wv: WordVectors) -> DataFrame:
-    """rows whose token has a vector (semi join, no vector columns);
-    same broadcast / hot-cold strategy as :func:`attach_vectors`."""
-    tokens = WordVectors(wv.df.select("token"), wv.dim, wv.n_rows)
-    return attach_vectors(rows, tokens, "left_semi")
+    out = hot_part.unionByName(cold_part).drop("_hot")
+    if how != "left":
+        return out
+    bare = rows.where(F.col("token").isNull())
+    for field in wv.df.schema.fields:
+        if field.name != "token":
+            bare = bare.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return out.unionByName(bare)
 
 
 def _zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0), dim)
 
 
+def _summarized(metric: str, vec: Column) -> Column:
+    """A ``Summarizer`` metric of an ARRAY<DOUBLE> expression; every row has
+    weight 1, so no group is ever without weight."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    return vector_to_array(getattr(Summarizer, metric)(array_to_vector(vec)))
+
+
 def sum_vectors(vec: str, dim: int, weight: Column | None = None) -> Column:
     """Aggregate: per-dimension weighted sum of an ARRAY<DOUBLE> column
     (null vectors add nothing)."""
-    w = weight if weight is not None else F.lit(1.0)
-    if dim <= PER_DIM_LIMIT:
-        return F.array(*[F.coalesce(F.sum(F.col(vec)[i] * w), F.lit(0.0)) for i in range(dim)])
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    v = array_to_vector(F.coalesce(F.col(vec), _zeros(dim)))
-    return vector_to_array(Summarizer.sum(v, w.cast("double")))
+    scaled = F.col(vec) if weight is None else F.transform(vec, lambda x: x * weight)
+    return _summarized("sum", F.coalesce(scaled, _zeros(dim)))
 
 
 def mean_vectors(vec: str, dim: int) -> Column:
     """Aggregate: per-dimension mean over non-null vectors (null if none)."""
-    if dim <= PER_DIM_LIMIT:
-        return F.when(F.count(vec) > 0, F.array(*[F.avg(F.col(vec)[i]) for i in range(dim)]))
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    w = F.when(F.col(vec).isNull(), F.lit(0.0)).otherwise(F.lit(1.0))
-    v = array_to_vector(F.coalesce(F.col(vec), _zeros(dim)))
-    return F.when(F.count(vec) > 0, vector_to_array(Summarizer.mean(v, w)))
+    total, n = sum_vectors(vec, dim), F.count(vec)
+    return F.when(n > 0, F.transform(total, lambda x: x / n))
 
 
 def max_vectors(vec: str, dim: int) -> Column:
     """Aggregate: per-dimension max over non-null vectors (null if none)."""
-    if dim <= PER_DIM_LIMIT:
-        return F.when(F.count(vec) > 0, F.array(*[F.max(F.col(vec)[i]) for i in range(dim)]))
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
     # rows without a vector never win a max: fill them with -inf
-    v = array_to_vector(F.coalesce(F.col(vec), F.array_repeat(F.lit(float("-inf")), dim)))
-    return F.when(F.count(vec) > 0, vector_to_array(Summarizer.max(v)))
+    filled = F.coalesce(F.col(vec), F.array_repeat(F.lit(float("-inf")), dim))
+    return F.when(F.count(vec) > 0, _summarized("max", filled))
 
 
 def article_mean_vectors(docs: DataFrame, wv: WordVectors, ids: Sequence[str],
-                         tokens_col: str = "tokens") -> DataFrame:
+                         tokens_col: str = "tokens", budget: int | None = None) -> DataFrame:
     """Article vector = sum of the vectors of its known tokens divided
     by the number of **all** its tokens (OOV included, Q7); an article
     without tokens gets the zero vector.
@@ -146,13 +143,13 @@ def article_mean_vectors(docs: DataFrame, wv: WordVectors, ids: Sequence[str],
     ids = list(ids)
     # the token array is referenced once (explode); counts come from the aggregate
     base = docs.select(*ids, F.explode_outer(tokens_col).alias("token"))
-    if wv.broadcastable():
-        joined = attach_vectors(base, wv, "left")
+    if wv.broadcastable(budget):
+        joined = attach_vectors(base, wv, "left", budget)
         weight = F.when(F.col("token").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
     else:
         # pre-aggregate (doc, token) before the shuffle join
         pre = base.groupBy(*ids, "token").agg(F.count("token").cast("double").alias("_w"))
-        joined = attach_vectors(pre, wv, "left")
+        joined = attach_vectors(pre, wv, "left", budget)
         weight = F.col("_w")
     known = F.when(F.col("vec").isNotNull(), weight).otherwise(F.lit(0.0))
     agg = joined.groupBy(*ids).agg(

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from articlelab.functions.text import BOS, EOS, with_boundaries
 from articlelab.operators.keys import with_row_number
 from articlelab.operators.rows import explode_rows
 from articlelab.operators.vectors import WordVectors, attach_vectors
+from articlelab.session import materialize
 
 
 def corpus_vocabulary(token_lists: DataFrame, col: str = "tokens",
@@ -42,11 +43,11 @@ def vocab_update(known: DataFrame, corpus_vocab: DataFrame, wv: WordVectors) ->
 
 
 def first_k_vectors(vector_file: DataFrame, order_col: str, k: int,
-                    bos: str = BOS, eos: str = EOS, inclusive: bool = False) -> DataFrame:
+                    bos: str = BOS, eos: str = EOS, inclusive: bool = False, hex_key: bool = False) -> DataFrame:
     """The first K rows of a word-vector file (file order given by
     ``order_col``) plus the boundary tokens wherever they are. ``inclusive``
     reproduces the reference's K+1 rows (Q11)."""
-    numbered = with_row_number(vector_file, order_col, tiebreak=["token"], name="row_no")
+    numbered = with_row_number(vector_file, order_col, tiebreak=["token"], name="row_no", hex_key=hex_key)
     limit = k + 1 if inclusive else k
     return numbered.where((F.col("row_no") <= limit) | F.col("token").isin(bos, eos))
 
@@ -89,15 +90,13 @@ def word_importance(items: DataFrame, ids: Sequence[str], wv: WordVectors,
     ids = list(ids)
     dim = wv.dim
     rows = explode_rows(items, ids, with_boundaries(tokens_col, bos, eos), pos="pos")
-    joined = attach_vectors(rows, wv, "inner")
-    sent = joined.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "vec"))).alias("s"))
-
-    def winner(j):
-        col_j = F.transform("s", lambda e: e["vec"][j])
-        return F.array_position(col_j, F.array_max(col_j)) - 1
-
-    with_idx = sent.withColumn("_win", F.array(*[winner(j) for j in range(dim)]))
-    out = with_idx.select(*ids, "_win", F.posexplode("s").alias("tok_no", "e"))
-    n = F.size(F.filter("_win", lambda x: x == F.col("tok_no"))).cast("bigint")
-    return out.select(*ids, F.col("tok_no").cast("bigint").alias("tok_no"), F.col("e.token").alias("token"),
-                      n.alias("n"), (n * F.lit(100.0) / F.lit(dim)).alias("pct"))
+    # the known words of an item in order; an item is one text
+    place = Window.partitionBy(*ids).orderBy("pos")
+    known = materialize(attach_vectors(rows, wv, "inner").withColumn(
+        "tok_no", F.row_number().over(place).cast("bigint") - 1).drop("pos"), "item-words")
+    values = known.select(*ids, "tok_no", F.posexplode("vec").alias("_dim", "_v"))
+    winners = values.groupBy(*ids, "_dim").agg(F.max_by("tok_no", F.struct("_v", -F.col("tok_no"))).alias("tok_no"))
+    wins = winners.groupBy(*ids, "tok_no").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce("_n", F.lit(0)).cast("bigint")
+    return known.drop("vec").join(wins, [*ids, "tok_no"], "left").select(
+        *ids, "tok_no", "token", n.alias("n"), (n * F.lit(100.0) / F.lit(dim)).alias("pct"))

@@ -21,6 +21,7 @@ from articlelab.operators import metrics as M
 from articlelab.operators import runs as R
 from articlelab.operators import sampling as D
 from articlelab.operators.keys import DEFAULT_SEED, TRAIN_SHARE
+from articlelab.session import materialize
 from articlelab.sinks import writers as SK
 from articlelab.sources import files as FS
 from articlelab.train import networks as NN
@@ -43,9 +44,9 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def row_at(numbered: DataFrame, idx: int, row_col: str = "row_no") -> DataFrame:
-    """The row at 0-based position ``idx`` of a numbered table."""
-    return numbered.where(F.col(row_col) == idx + 1)
+def row_at(numbered: DataFrame, idx: int, row_col: str = "file_row") -> DataFrame:
+    """The row at 0-based position ``idx`` of a scan with file order."""
+    return numbered.where(F.col(row_col) == idx)
 
 
 def samples_and_labels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,8 +59,6 @@ def samples_and_labels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def get_wikihow_subset(spark: SparkSession, csv_path: str, subset_path: str | None = None,
                        n_rows: int = SUBSET_ROWS, seed: int = DEFAULT_SEED) -> DataFrame:
     """WikiHow CSV -> cleaned, numbered, exact seeded sample."""
-    # file order: ids taken at the scan grow with the position inside each
-    # (unsplittable, multi-line) file and with the file's partition index
     keyed = FS.read_csv(spark, csv_path, FS.WIKIHOW_SCHEMA, file_order="file_row")
     out = C.wikihow_subset(keyed, n_rows, seed, order_col="file_row").drop("file_row")
     if subset_path:
@@ -79,8 +78,8 @@ def get_queries(spark: SparkSession, subset_path: str, queries_path: str | None
 def get_and_store_subset(spark: SparkSession, csv_path: str, subset_path: str | None = None,
                          n: int = STRATUM_ROWS, seed: int = DEFAULT_SEED) -> DataFrame:
     """Exactly n rows per class (human, gpt), stacked, type + text."""
-    raw = FS.read_csv(spark, csv_path).withColumn("_id", F.md5(F.concat_ws("\u0001", "type", "text")))
-    out = D.stratified_sample(raw, "_id", "type", STRATA, n, seed).select("type", "text")
+    raw = FS.read_csv(spark, csv_path, file_order="file_row")
+    out = D.stratified_sample(raw, "file_row", "type", STRATA, n, seed).select("type", "text")
     if subset_path:
         SK.write_csv(out, subset_path)
     return out
@@ -95,8 +94,8 @@ def load_pretrained(name: str, **kw) -> EN.Encoder:
 def train_embedder(spark: SparkSession, csv_path: str, save_path: str, vector_size: int = 100,
                    seed: int = DEFAULT_SEED, train_share: float = TRAIN_SHARE) -> EN.Word2VecEncoder:
     """Word2Vec on the train split only, saved with Spark ML persistence."""
-    raw = _with_ids(FS.read_csv(spark, csv_path))
-    train = D.train_test_split(raw, "doc_id", seed, train_share).where(F.col("split") == "train")
+    raw = FS.read_csv(spark, csv_path, file_order="doc_id")
+    train = D.with_split(raw, "doc_id", seed, train_share).where(F.col("split") == "train")
     enc = EN.Word2VecEncoder(dim=vector_size).fit(train)
     enc.save(save_path)
     return enc
@@ -106,35 +105,33 @@ def train_vocab_embedder(spark: SparkSession, csv_path: str, save_path: str, dim
                          seed: int = DEFAULT_SEED) -> EN.MeanWordVectorEncoder:
     """Vocabulary fitted on the train split (M5); the vector table is
     written as parquet (B6)."""
-    raw = _with_ids(FS.read_csv(spark, csv_path))
-    train = D.train_test_split(raw, "doc_id", seed).where(F.col("split") == "train")
+    raw = FS.read_csv(spark, csv_path, file_order="doc_id")
+    train = D.with_split(raw, "doc_id", seed).where(F.col("split") == "train")
     enc = EN.MeanWordVectorEncoder(dim).fit(train)
-    enc.vectors.df.write.mode("overwrite").parquet(save_path)
+    enc.save(save_path)
     return enc
 
 
-def _with_ids(df: DataFrame) -> DataFrame:
-    """A content-derived row id for files without a key (stable under
-    re-reads and repartitioning)."""
-    return df.withColumn("doc_id", F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
-                                                                for c in df.columns])))
-
-
 # -- P4-P6, P10 -------------------------------------------------------------
 def embed_csv_batches(spark: SparkSession, csv_path: str, out_path: str, encoder: EN.Encoder,
                       batch_size: int = EMBED_BATCH, literal_type: str | None = None,
-                      class_map: dict | None = None) -> DataFrame:
+                      class_map: dict | None = None, stop_before: int | None = None) -> DataFrame:
     """Tolerant scan, clean-up, embed, one output folder per
-    batch; batches already written are skipped (resume, B3). All batches
-    are embedded once (Q5)."""
-    rows, _ = FS.read_csv_tolerant(spark, csv_path)
+    batch of ``batch_size`` file rows; batches already written are skipped
+    (resume, B3). All batches are embedded once (Q5).
+
+    A row's id is its position in file order, so equal articles stay apart and
+    rows appended to the file leave earlier batches as they are. The batch
+    number goes through the encoder with the id. Class numbers come from
+    the whole file, whatever is pending. ``stop_before`` ends a run early."""
+    rows, _ = FS.read_csv_tolerant(spark, csv_path, file_order="file_row")
+    rows = rows.withColumn("batch_no", F.expr(f"file_row div {int(batch_size)}"))
     arts = C.clean_articles(rows.drop("repaired"), literal_type)
-    arts = _with_ids(arts)
-    batched = D.numbered_batches(arts, "doc_id", batch_size)
-    pending = D.pending_batches(batched, SK.finished_batches(spark, out_path))
-    mapping = L.literal_map(spark, class_map) if class_map else None
-    emb = EN.embedded_table(pending, encoder, split_col=None, mapping=mapping)
-    out = emb.join(pending.select("doc_id", "batch_no"), "doc_id")
+    mapping = L.literal_map(spark, class_map) if class_map else L.class_map(arts, "type", "label")
+    arts = D.pending_batches(arts, SK.finished_batches(spark, out_path))
+    if stop_before is not None:
+        arts = arts.where(F.col("batch_no") < stop_before)
+    out = EN.embedded_table(arts, encoder, split_col=None, id_col="file_row", mapping=mapping, carry=["batch_no"])
     SK.write_batches(out, out_path)
     return spark.read.parquet(out_path)
 
@@ -144,8 +141,8 @@ def embed_raw_data(spark: SparkSession, csv_path: str, encoder: EN.Encoder, trai
                    train_share: float = TRAIN_SHARE) -> DataFrame:
     """P10: split, embed both sides with one class map, write
     ``label, f0..`` CSVs."""
-    raw = _with_ids(FS.read_csv(spark, csv_path))
-    split = D.train_test_split(raw, "doc_id", seed, train_share, n_rows).drop("row_no")
+    raw = FS.read_csv(spark, csv_path, file_order="doc_id")
+    split = D.with_split(raw, "doc_id", seed, train_share, n_rows)
     emb = EN.embedded_table(split, encoder)
     for side, path in (("train", train_path), ("test", test_path)):
         SK.write_csv(emb.where(F.col("split") == side).select("label", "features"), path)
@@ -153,33 +150,23 @@ def embed_raw_data(spark: SparkSession, csv_path: str, encoder: EN.Encoder, trai
 
 
 # -- P11-P13 ----------------------------------------------------------------
-def names_of(path: str) -> tuple[str, str]:
-    """G12 on one path (driver-side string work on a file name)."""
-    import re
-    base = os.path.basename(path).split(".")[0]
-    m = re.match(r"(\w+)_(\w+)", base)
-    if not m:
-        raise ValueError(f"Could not extract the dataset name and embedder name from {path!r}")
-    return m.group(2), m.group(1)
-
-
 def train_nn_model(spark: SparkSession, ds: str, dim: int, model_name: str, save_dir: str,
                    test_ds: str | None = None, epochs: int = EPOCHS, learning_rate: float = LEARNING_RATE,
-                   seed: int = DEFAULT_SEED, output: str = "logits") -> DataFrame:
+                   seed: int = DEFAULT_SEED, output: str = "logits", batch_size: int = NN.BATCH_SIZE) -> DataFrame:
     """Embedded CSV(s) -> labels re-indexed on the union -> trainer ->
     run JSON (series + confusion maps, outer = predicted) + weights."""
-    ds_name, enc_name = names_of(ds)
+    ds_name, enc_name = R.path_names(spark, ds)
     data = FS.train_test_pair(spark, ds, test_ds, dim, seed)
     data = L.dense_labels(data, "label", "label")
-    data = data.withColumn("vec_id", F.xxhash64(F.to_json(F.struct("label", "features"))))
+    data = data.withColumnRenamed("row_id", "vec_id")
     k = data.select("label").distinct().count()
     model = NN.Network.registry[model_name](dim, k, learning_rate=learning_rate, seed=seed, output=output)
-    res = NN.train(model, data, epochs=epochs)
+    res = NN.train(model, data, epochs=epochs, batch_size=batch_size)
     hist = NN.history_frame(spark, res)
     conf = spark.createDataFrame(
         [(c["split"], c["epoch"], int(c["true_label"]), int(c["pred_label"]), int(c["n"])) for c in res.confusion],
         "split string, epoch bigint, true_label bigint, pred_label bigint, n bigint")
-    rec = R.network_run_records(hist, conf, [], {"learning_rate": learning_rate, "training_batch_size": 32,
+    rec = R.network_run_records(hist, conf, [], {"learning_rate": learning_rate, "training_batch_size": batch_size,
                                                    "optimizer_name": model.optimizer_name,
                                                    "criterion_name": model.criterion_name})
     rec = rec.select(F.lit(ds_name).alias("original_dataset_name"), F.lit(enc_name).alias("embedder_name"),
@@ -194,7 +181,7 @@ def convert_into_image_dataset(spark: SparkSession, ds: str, dim: int, save_dir:
                                test_ds: str | None = None, seed: int = DEFAULT_SEED,
                                resize: bool = True) -> str:
     """Embedded table -> images, stored by split and label."""
-    ds_name, enc_name = names_of(ds)
+    ds_name, enc_name = R.path_names(spark, ds)
     data = FS.train_test_pair(spark, ds, test_ds, dim, seed)
     data = L.dense_labels(data, "label", "label")
     out = os.path.join(save_dir, f"{enc_name}_{ds_name}")
@@ -202,11 +189,18 @@ def convert_into_image_dataset(spark: SparkSession, ds: str, dim: int, save_dir:
     return out
 
 
-def adaboost(spark: SparkSession, ds: str, dim: int, save_dir: str, test_ds: str | None = None,
+def adaboost(spark: SparkSession, ds: str | Sequence[str], dim: int, save_dir: str, test_ds: str | None = None,
              seed: int = DEFAULT_SEED, n_rounds: int = SA.N_ROUNDS, learner: str = "hist") -> DataFrame:
     """SAMME stumps; labels encoded over train + test together (F7);
-    accuracy and confusion (outer = true) to a boosting-run JSON."""
-    ds_name, enc_name = names_of(ds)
+    accuracy and confusion (outer = true) to a boosting-run JSON, the model
+    beside it (B7). Several embedded files give one run and record each."""
+    if not isinstance(ds, str):
+        runs = [adaboost(spark, d, dim, save_dir, test_ds, seed, n_rounds, learner) for d in ds]
+        out = runs[0]
+        for r in runs[1:]:
+            out = out.unionByName(r)
+        return out
+    ds_name, enc_name = R.path_names(spark, ds)
     data = L.dense_labels(FS.train_test_pair(spark, ds, test_ds, dim, seed), "label", "label")
     k = data.select("label").distinct().count()
     train = data.where(F.col("split") == "train")
@@ -215,7 +209,10 @@ def adaboost(spark: SparkSession, ds: str, dim: int, save_dir: str, test_ds: str
     pred = model.decision(data.where(F.col("split") == "test"))
     conf = M.confusion(pred.withColumn("g", F.lit(1)), ["g"])
     rec = boost_run_record(conf, ds_name, enc_name)
-    SK.write_json_records(rec.coalesce(1), os.path.join(save_dir, f"{ds_name}_{enc_name}_adaboost.json"))
+    ident = os.path.join(save_dir, f"{ds_name}_{enc_name}_adaboost")
+    SK.write_json_records(rec.coalesce(1), ident + ".json")
+    if learner == "hist":
+        SA.save_stumps(spark, model, os.path.join(ident, "stumps"))
     return rec
 
 
@@ -249,9 +246,9 @@ def visualize_all_tables(spark: SparkSession, results: str | Sequence[str], epoc
         confs.append(R.confusion_from_record(runs.select("path", f"experiment_result.{col}"), ["path"], col)
                      .withColumn("split", F.lit(side)))
     conf = confs[0].unionByName(confs[1])
-    return {"quarantine": bad.unionByName(checked.where(F.size("missing") > 0)
-                                          .select("path", F.array_join("missing", ",").alias("_corrupt_record"))),
+    return {"quarantine": bad.unionByName(R.incomplete(checked)),
             "series": series,
+            "confusion_dense": M.dense_confusion(conf, ["path", "split", "epoch"]),
             "accuracy_by_embedding": R.accuracy_table(final, ["embedding_type", "class_type"]),
             "confusion_at_epoch": M.at_epoch(conf, epoch, ["path", "split"]),
             "f1_by_epoch": M.weighted_f1(conf, ["path", "split", "epoch"])}
@@ -267,7 +264,7 @@ def visualize_adaboost_tables(spark: SparkSession, results: str | Sequence[str])
     runs = valid.select("path", emb.alias("embedding_type"), "accuracy", "classification_makeup")
     conf = R.confusion_from_record(runs.select("path", F.array("classification_makeup").alias("cm")),
                                    ["path"], "cm", outer_is="true").drop("epoch")
-    return {"quarantine": bad,
+    return {"quarantine": bad.unionByName(R.incomplete(checked)),
             "accuracy_by_embedding": R.accuracy_table(runs, ["embedding_type"]),
             "confusion": M.dense_confusion(conf, ["path"])}
 
@@ -289,7 +286,9 @@ def encoder_throughput(df: DataFrame, encoder: EN.Encoder, ids: Sequence[str],
     import time
     from pyspark.sql import Observation
     obs = Observation("encoder")
-    watched = df.observe(obs, F.sum(F.size(T.sentence_tokens(text_col))).alias("sentences"))
+    sentences = materialize(df.select(*ids, text_col, F.size(T.sentence_tokens(text_col)).alias("_n")), "sentence-counts")
+    # counted before the clock starts: the time measured is the encoder's own
+    watched = sentences.observe(obs, F.sum("_n").alias("sentences")).drop("_n")
     out = encoder.transform(watched, ids, text_col)
     t0 = time.perf_counter()
     out.write.format("noop").mode("overwrite").save()

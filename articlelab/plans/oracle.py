@@ -8,7 +8,6 @@ template text, fixture constants) that both sides must agree on.
 from __future__ import annotations
 
 from articlelab.functions.text import BOS, EOS, PROMPT_PARTS, SENTENCE_BOUNDARY, WORD_PATTERN, WS_CLASS
-from articlelab.functions.vectors import resize_weights
 from articlelab.sources import tables as S
 
 ORACLE: dict[str, str] = {}
@@ -40,8 +39,10 @@ def sql_flat_tokens(text: str, lower: bool = True) -> str:
 
 
 def sql_hash_vec_cols(token: str = "token", dim: int = WV_DIM) -> str:
+    def block(i):
+        return token if i < 8 else f"{token} || ':{i // 8}'"
     return ", ".join(
-        f"(('0x' || substr(md5({token}), {1 + 3 * i}, 3))::INTEGER / 4095.0 - 0.5) AS v{i}"
+        f"(('0x' || substr(md5({block(i)}), {1 + 3 * (i % 8)}, 3))::INTEGER / 4095.0 - 0.5) AS v{i}"
         for i in range(dim))
 
 
@@ -275,8 +276,8 @@ ORACLE["max_pool"] = conv_pool_sql("max")
 # --------------------------------------------------------------------------
 # Metrics over stored scores and run records
 SCORES = f"""(SELECT vec_id, label, CASE WHEN vec_id % {S.TEST_EVERY} = 0 THEN 'test' ELSE 'train' END AS split,
-       (vec_id // {S.EVAL_BATCH})::BIGINT AS batch_id, e::BIGINT AS epoch,
-       list_transform(embedding[(e - 1) * 10 + 1 : e * 10], lambda x: x::DOUBLE) AS logits
+       ((row_number() OVER (PARTITION BY vec_id % {S.TEST_EVERY} = 0, e ORDER BY vec_id) - 1) // {S.EVAL_BATCH})::BIGINT AS batch_id, e::BIGINT AS epoch,
+       list_transform(list_concat(embedding, embedding)[(e - 1) * 10 + 1 : e * 10], lambda x: x::DOUBLE) AS logits
   FROM embeddings CROSS JOIN range(1, {S.SCORE_EPOCHS + 1}) AS t(e))"""
 
 SCORED = f"""(SELECT *, list_position(logits, m) - 1 AS pred,
@@ -425,8 +426,11 @@ SELECT vec_id, {r6('lo')} AS vmin, {r6('hi')} AS vmax, {_image_stats_sql(64)}
 FROM (SELECT vec_id, lo, hi, {_outer('u')} AS p FROM {UNIT})
 """
 
-_RESAMPLED = "[" + ", ".join(" + ".join(f"u[{j + 1}] * {w!r}::DOUBLE" for j, w in pairs)
-                             for pairs in resize_weights(64, 100)) + "]"
+# linear resampling from 64 to 100 points with half-pixel centres: point i sits at
+# (i + 0.5) * 64 / 100 - 0.5, held inside 0..63, between its two neighbours
+_AT = "greatest(0.0, least(63.0, (i + 0.5) * 64.0 / 100.0 - 0.5))"
+_RESAMPLED = (f"list_transform(range(100), lambda i: u[floor({_AT})::INT + 1] * (1 - ({_AT} - floor({_AT}))) "
+              f"+ u[least(floor({_AT})::INT + 1, 63) + 1] * ({_AT} - floor({_AT})))")
 RESIZED = f"(SELECT vec_id, {_outer('r')} AS p FROM (SELECT vec_id, {_RESAMPLED} AS r FROM {UNIT}))"
 
 ORACLE["resize_image"] = f"SELECT vec_id, {_image_stats_sql(100)} FROM {RESIZED}"
@@ -469,3 +473,121 @@ b AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 64)::BIGINT A
 SELECT v.doc_id, b.batch_no, v.n_tokens, {", ".join(f"v.f{i}" for i in range(WV_DIM))}
 FROM v JOIN b USING (doc_id)
 """
+
+
+# --------------------------------------------------------------------------
+# Wide vectors, over-budget joins, job ends, trainer steps
+WIDE = 200
+
+
+def _wide_summary(prefix: str, n: str | None = None) -> str:
+    def of(i):
+        return f"coalesce({prefix}{i}, 0)" + (f" / {n}" if n else "")
+    every = " + ".join(of(i) for i in range(WIDE))
+    return (", ".join(f"{r6(of(i))} AS f{i}" for i in (0, 63, 128, 199)) + f", {r6(every)} AS total")
+
+
+ORACLE["wide_article_vectors"] = f"""
+WITH d AS (SELECT doc_id, coalesce({sql_flat_tokens('text')}, []) AS toks FROM {DIRTY}),
+t AS (SELECT doc_id, unnest(toks) AS token FROM d),
+wv AS (SELECT token, {sql_hash_vec_cols(dim=WIDE)} FROM (SELECT DISTINCT token FROM t) WHERE {sql_has_vec()}),
+s AS (SELECT t.doc_id, count(*) AS n_known, {", ".join(f"sum(v{i}) AS s{i}" for i in range(WIDE))}
+      FROM t JOIN wv USING (token) GROUP BY t.doc_id)
+SELECT d.doc_id, len(d.toks)::BIGINT AS n_tokens, coalesce(s.n_known, 0)::BIGINT AS n_known, {_wide_summary("s", "greatest(len(d.toks), 1)")}
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
+def _wide_sentences(agg: str) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, coalesce({sql_sentence_tokens('text')}, []) AS sents FROM {DIRTY}),
+q AS (SELECT doc_id, unnest(range(1, len(sents) + 1)) AS k, sents FROM d),
+t AS (SELECT doc_id, k, unnest(sents[k]) AS token FROM q),
+wv AS (SELECT token, {sql_hash_vec_cols(dim=WIDE)} FROM (SELECT DISTINCT token FROM t) WHERE {sql_has_vec()}),
+p AS (SELECT doc_id, k, {", ".join(f"{agg}(v{i}) AS p{i}" for i in range(WIDE))} FROM t JOIN wv USING (token) GROUP BY doc_id, k),
+s AS (SELECT doc_id, count(*) AS n, {", ".join(f"avg(p{i}) AS s{i}" for i in range(WIDE))} FROM p GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_sentences, {_wide_summary("s")} FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
+ORACLE["wide_sentence_vectors"] = _wide_sentences("avg")
+ORACLE["wide_sentence_max"] = _wide_sentences("max")
+ORACLE["article_vectors_cold"] = ORACLE["article_vectors"]
+ORACLE["incremental_embed"] = ORACLE["article_vectors"]
+
+ORACLE["csv_batches_resume"] = f"""
+WITH r AS (SELECT type, text, row_number() OVER (ORDER BY doc_id) - 1 AS file_row FROM {DIRTY}),
+a AS (SELECT *, (file_row // 64)::BIGINT AS batch_no FROM r WHERE text IS NOT NULL AND regexp_matches(text, '[^{WS}]')),
+m AS (SELECT type, (row_number() OVER (ORDER BY type) - 1)::BIGINT AS label FROM (SELECT DISTINCT type FROM a)),
+d AS (SELECT file_row, batch_no, label, {sql_flat_tokens('text')} AS toks FROM a JOIN m USING (type)),
+t AS (SELECT file_row, unnest(toks) AS token FROM d),
+wv AS (SELECT token, {sql_hash_vec_cols()} FROM (SELECT DISTINCT token FROM t) WHERE {sql_has_vec()}),
+s AS (SELECT t.file_row, {", ".join(f"sum(v{i}) AS s{i}" for i in range(WV_DIM))} FROM t JOIN wv USING (token) GROUP BY t.file_row)
+SELECT d.file_row, d.batch_no, d.label,
+       {", ".join(r6(f"coalesce(s{i}, 0) / greatest(len(d.toks), 1)") + f" AS f{i}" for i in range(WV_DIM))}
+FROM d LEFT JOIN s USING (file_row)
+"""
+
+ORACLE["split_first_rows"] = f"""
+SELECT doc_id, CASE WHEN rn <= floor(300 * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT doc_id, row_number() OVER (ORDER BY {shuffle_key('doc_id')}, doc_id) AS rn FROM documents) WHERE rn <= 300
+"""
+
+ORACLE["many_classes"] = """
+WITH r AS (SELECT l_orderkey, l_linenumber, 'c' || l_orderkey || '-' || l_linenumber AS type FROM lineitem),
+m AS (SELECT type, (row_number() OVER (ORDER BY type) - 1)::BIGINT AS label FROM (SELECT DISTINCT type FROM r))
+SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, label FROM r JOIN m USING (type)
+"""
+
+_SENT = f"""(SELECT doc_id, k, sents[k] AS toks FROM (SELECT doc_id, sents, unnest(range(1, len(sents) + 1)) AS k
+  FROM (SELECT doc_id, {sql_sentence_tokens('text')} AS sents FROM documents)))"""
+ORACLE["user_encoder"] = f"""
+WITH w AS (SELECT doc_id, k, unnest(toks) AS word FROM {_SENT}),
+h AS (SELECT doc_id, k, ('0x' || substr(md5(word), 1, 7))::BIGINT % 16 AS dim,
+        sum(CASE WHEN ('0x' || substr(md5(word), 32, 1))::BIGINT % 2 = 1 THEN 1.0 ELSE -1.0 END) AS v FROM w GROUP BY ALL),
+n AS (SELECT doc_id, k, sqrt(sum(v * v)) AS norm FROM h GROUP BY doc_id, k),
+c AS (SELECT doc_id, count(*) AS sentences FROM n GROUP BY doc_id),
+f AS (SELECT doc_id, dim, sum(CASE WHEN norm > 0 THEN v / norm ELSE 0 END) AS v FROM h JOIN n USING (doc_id, k) GROUP BY doc_id, dim)
+SELECT d.doc_id, {", ".join(r6(f"coalesce(max(CASE WHEN dim = {i} THEN v END), 0) / greatest(coalesce(max(c.sentences), 0), 1)") + f" AS f{i}" for i in range(16))}
+FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+"""
+
+ORACLE["word2vec_train"] = f"""
+SELECT doc_id, len(toks)::BIGINT AS n_tokens, 100::BIGINT AS width, true AS finite, len(toks) > 0 AS learnt
+FROM (SELECT doc_id, {sql_flat_tokens('text')} AS toks FROM documents)
+"""
+
+_TRAIN = f"(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM {FEATURES} WHERE split = 'train')"
+ORACLE["gradient_step"] = f"""
+WITH t AS (SELECT label, unnest(x) AS v, unnest(range(64)) AS feature FROM {_TRAIN})
+SELECT feature::BIGINT AS feature, k::BIGINT AS class, {r6("avg(v * (0.1 - CASE WHEN label = k THEN 1 ELSE 0 END))")} AS gradient
+FROM t CROSS JOIN range(10) AS c(k) GROUP BY feature, k
+"""
+
+ORACLE["boosting_round"] = f"""
+WITH t AS (SELECT label, unnest(x) AS v, unnest(range(64)) AS f FROM {_TRAIN}),
+cuts(s, cut) AS (VALUES (0, -0.1), (1, 0.0), (2, 0.1)),
+g AS (SELECT f, s, cut, label, count(*) FILTER (WHERE v <= cut) AS l, count(*) FILTER (WHERE v > cut) AS r FROM t CROSS JOIN cuts GROUP BY ALL),
+i AS (SELECT f, s, cut, sum(l) AS nl, sum(r) AS nr, sum(l * l) AS l2, sum(r * r) AS r2, max(l) AS ml, max(r) AS mr,
+        arg_max(label, (l, -label)) AS lc, arg_max(label, (r, -label)) AS rc FROM g GROUP BY f, s, cut),
+b AS (SELECT *, 1 - (l2 / nl + r2 / nr) / (nl + nr) AS impurity FROM i WHERE nl > 0 AND nr > 0 ORDER BY round(impurity, 12), f, s LIMIT 1)
+SELECT f::BIGINT AS feature, cut::DOUBLE AS threshold, lc::BIGINT AS left_class, rc::BIGINT AS right_class,
+       {r6("(nl + nr - ml - mr) / (nl + nr)")} AS error FROM b
+"""
+
+ORACLE["boosting_vote"] = f"""
+WITH f AS (SELECT vec_id, embedding AS x FROM {FEATURES}),
+p AS (SELECT vec_id, CASE WHEN x[1]::DOUBLE <= 0.0 THEN 1 ELSE 2 END AS a, CASE WHEN x[6]::DOUBLE <= 0.05 THEN 2 ELSE 0 END AS b,
+        CASE WHEN x[64]::DOUBLE <= -0.05 THEN 0 ELSE 1 END AS c FROM f),
+v AS (SELECT vec_id, [1.5 * (a = k)::INT + 1.0 * (b = k)::INT + 0.75 * (c = k)::INT FOR k IN [0, 1, 2]] AS votes FROM p)
+SELECT vec_id, (list_position(votes, list_max(votes)) - 1)::BIGINT AS pred FROM v
+"""
+
+ORACLE["run_files_many"] = f"""
+WITH r AS {RUNS},
+b AS (SELECT split_part(lower(embedder_name), '_', 1) AS embedding_type, accuracy FROM r),
+a AS (SELECT embedding_type, avg(accuracy) AS mean_accuracy, count(*) AS n_runs FROM b WHERE accuracy IS NOT NULL GROUP BY embedding_type)
+SELECT embedding_type AS what, {r6('mean_accuracy')} AS mean_accuracy, n_runs::BIGINT AS n FROM a
+UNION ALL SELECT 'quarantine:accuracy', NULL, count(*)::BIGINT FROM b WHERE accuracy IS NULL
+UNION ALL SELECT 'quarantine:broken', NULL, 1::BIGINT
+"""

@@ -31,7 +31,7 @@ WV_DIM = 8
 
 
 def _doc_tokens(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents")
+    docs = S.text_table(spark, sf_dir, "documents")
     return docs.select("doc_id", T.flat_tokens("text").alias("tokens"))
 
 
@@ -126,7 +126,8 @@ def train_test_split(spark, sf_dir):
 def stratified_sample(spark, sf_dir):
     """D5 + S1: exactly 50 human and 50 gpt articles."""
     a = S.articles(spark, sf_dir).select("doc_id", "type")
-    return D.stratified_sample(a, "doc_id", "type", STRATA, STRATUM_N).select("doc_id", "type", "row_no")
+    picked = D.stratified_sample(a, "doc_id", "type", STRATA, STRATUM_N)
+    return D.seeded_order(picked, "doc_id", by=["type"]).select("doc_id", "type", "row_no")
 
 
 @query
@@ -173,7 +174,7 @@ def _joined_sentences(col):
 @query
 def sentence_tokens(spark, sf_dir):
     """G5-G8 + C15: sentence and word tokens of every document."""
-    d = S.table(spark, sf_dir, "documents").select("doc_id", T.sentence_tokens("text").alias("st"))
+    d = S.text_table(spark, sf_dir, "documents").select("doc_id", T.sentence_tokens("text").alias("st"))
     return d.select("doc_id", F.size("st").cast("bigint").alias("n_sentences"),
                     F.size(F.flatten("st")).cast("bigint").alias("n_tokens"),
                     F.md5(_joined_sentences(F.col("st"))).alias("tokens_md5"))
@@ -182,7 +183,7 @@ def sentence_tokens(spark, sf_dir):
 @query
 def contraction_fix(spark, sf_dir):
     """G9 + G10: contraction fix on the joined token string of each turn."""
-    c = S.table(spark, sf_dir, "conversations").select(*CONV_IDS, T.flat_tokens("text", lower=False).alias("t"))
+    c = S.text_table(spark, sf_dir, "conversations").select(*CONV_IDS, T.flat_tokens("text", lower=False).alias("t"))
     j = c.select(*CONV_IDS, "t", T.join_tokens("t").alias("j"))
     n_fix = (F.length("j") - F.length(F.replace(F.col("j"), F.lit(T.CONTRACTION_FROM), F.lit("")))) / len(T.CONTRACTION_FROM)
     return j.select(*CONV_IDS, F.size("t").cast("bigint").alias("n_tokens"),
@@ -193,7 +194,7 @@ def contraction_fix(spark, sf_dir):
 @query
 def boundary_tokens(spark, sf_dir):
     """Every sentence of every turn wrapped in <p> ... </p>."""
-    c = S.table(spark, sf_dir, "conversations").select(
+    c = S.text_table(spark, sf_dir, "conversations").select(
         *CONV_IDS, F.transform(T.sentence_tokens("text"), lambda s: T.with_boundaries(s)).alias("w"))
     return c.select(*CONV_IDS, F.size("w").cast("bigint").alias("n_sentences"),
                     F.size(F.flatten("w")).cast("bigint").alias("n_tokens"),
@@ -201,7 +202,7 @@ def boundary_tokens(spark, sf_dir):
 
 
 def _vocab(spark, sf_dir, name, lower=True):
-    t = S.table(spark, sf_dir, name).select(T.flat_tokens("text", lower).alias("tokens"))
+    t = S.text_table(spark, sf_dir, name).select(T.flat_tokens("text", lower).alias("tokens"))
     return W.corpus_vocabulary(t)
 
 
@@ -227,11 +228,11 @@ def first_k_vectors(spark, sf_dir):
     the token) plus the boundary tokens."""
     wv = V.hash_word_vectors(_vocab(spark, sf_dir, "documents"), WV_DIM)
     f = wv.df.withColumn("_file_key", F.md5("token"))
-    return W.first_k_vectors(f, "_file_key", FIRST_K).select("token", "row_no")
+    return W.first_k_vectors(f, "_file_key", FIRST_K, hex_key=True).select("token", "row_no")
 
 
 def _benchmark_kept(spark, sf_dir):
-    b = explode_rows(S.table(spark, sf_dir, "benchmark"), ["item_id"],
+    b = explode_rows(S.text_table(spark, sf_dir, "benchmark"), ["item_id"],
                      T.sentence_tokens("text", lower=False), "tokens", pos="sent_no")
     vocab = W.corpus_vocabulary(b.select("tokens"))
     wv = V.hash_word_vectors(vocab, WV_DIM).checkpointed()
@@ -259,14 +260,14 @@ def vocab_coverage(spark, sf_dir):
 @query
 def word_importance(spark, sf_dir):
     """Share of vector dimensions whose maximum each token holds."""
-    b = S.table(spark, sf_dir, "benchmark").select("item_id", T.word_tokens("text", lower=False).alias("tokens"))
+    b = S.text_table(spark, sf_dir, "benchmark").select("item_id", T.word_tokens("text", lower=False).alias("tokens"))
     wv = V.hash_word_vectors(W.corpus_vocabulary(b), WV_DIM).checkpointed()
     w = W.word_importance(b, ["item_id"], wv)
     return w.select("item_id", "tok_no", "token", "n", r6(F.col("pct")).alias("pct"))
 
 
 def _conversation_pool(spark, sf_dir, pool):
-    c = S.table(spark, sf_dir, "conversations").select(*CONV_IDS, T.sentence_tokens("text").alias("sentences"))
+    c = S.text_table(spark, sf_dir, "conversations").select(*CONV_IDS, T.sentence_tokens("text").alias("sentences"))
     rows = V.sentence_token_rows(c, CONV_IDS)
     wv = V.hash_word_vectors(rows.select("token"), WV_DIM).checkpointed()
     sv = V.pooled_sentence_vectors(rows, wv, CONV_IDS, pool)
@@ -492,7 +493,8 @@ def normalise_image(spark, sf_dir):
 
 
 def _embedded(spark, sf_dir):
-    a = D.train_test_split(S.articles(spark, sf_dir), "doc_id").drop("row_no")
+    # split known per id first; the texts are then read once for the vocabulary and once for the vectors
+    a = D.with_split(S.articles(spark, sf_dir), "doc_id")
     enc = EN.MeanWordVectorEncoder(WV_DIM).fit(a.where(F.col("split") == "train"))
     return EN.embedded_table(a, enc)
 
@@ -561,18 +563,20 @@ def samme(spark, sf_dir):
 @query
 def word2vec_train(spark, sf_dir):
     """M1 + E6: Spark ML Word2Vec (100 dims, window 5, min count 1) on the
-    document sentences, then article vectors with the learnt vectors."""
-    d = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    document sentences, then article vectors with the learnt vectors: every
+    token is in the vocabulary, and the vector is a number everywhere."""
+    d = S.text_table(spark, sf_dir, "documents").select("doc_id", "text")
     enc = EN.Word2VecEncoder(dim=100).fit(d)
     v = enc.transform(d, ["doc_id"])
-    return v.select("doc_id", "n_tokens", r6(F.sqrt(FV.array_sum(F.transform("features", lambda x: x * x))))
-                    .alias("norm"))
+    return v.select("doc_id", "n_tokens", F.size("features").cast("bigint").alias("width"),
+                    F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)).alias("finite"),
+                    (FV.array_sum(F.transform("features", F.abs)) > 0).alias("learnt"))
 
 
 @query
 def user_encoder(spark, sf_dir):
     """M6 + D9 + E7: a user sentence encoder run per Arrow batch, mean per document."""
-    d = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = S.text_table(spark, sf_dir, "documents").select("doc_id", "text")
     enc = EN.SentenceEncoder(dim=16)
     return enc.transform(d, ["doc_id"]).select("doc_id", *expand("features", 16))
 
@@ -581,17 +585,19 @@ def user_encoder(spark, sf_dir):
 def incremental_embed(spark, sf_dir):
     """T1 + M7: stream the documents file through the encoder (available-now
     trigger, checkpointed, idempotent per micro-batch)."""
-    docs = S.table(spark, sf_dir, "documents")
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
     sink, ckpt = scratch_path(spark, "embed-sink"), scratch_path(spark, "embed-ckpt")
 
     def embed(batch):
         toks = spread(batch).select("doc_id", T.flat_tokens("text").alias("tokens"))
         wv = V.hash_word_vectors(explode_rows(toks, [], "tokens"), WV_DIM).checkpointed()
-        return V.article_mean_vectors(toks, wv, ["doc_id"]).select("doc_id", "n_tokens", *expand("features", WV_DIM))
-
-    ST.embed_stream(spark, sf_dir, docs.schema, sink, ckpt, embed, glob="documents.parquet")
-    return ST.read_sink(spark, sink).select("doc_id", "n_tokens", *[f"f{i}" for i in range(WV_DIM)])
+        return V.article_mean_vectors(toks, wv, ["doc_id"]).select("doc_id", "n_tokens", "n_known", *expand("features", WV_DIM))
 
+    # a table is one file of that name or a folder of part files
+    ST.embed_stream(spark, f"{sf_dir.rstrip('/')}/{{documents.parquet,documents.parquet/*}}", docs.schema, sink, ckpt, embed)
+    names = ["doc_id", "n_tokens", "n_known", *[f"f{i}" for i in range(WV_DIM)]]
+    schema = "doc_id bigint, n_tokens bigint, n_known bigint, " + ", ".join(f"f{i} double" for i in range(WV_DIM))
+    return ST.read_sink(spark, sink, schema).select(*names)
 
 
 # --------------------------------------------------------------------------
@@ -644,11 +650,11 @@ def batched_vectors(spark, sf_dir):
     toks = _doc_tokens(spark, sf_dir)
     wv = V.hash_word_vectors(explode_rows(toks, [], "tokens"), WV_DIM).checkpointed()
     # number the input rows first; only the batches still pending are embedded
-    batched = D.numbered_batches(toks, "doc_id", BATCH).select("doc_id", "batch_no", "tokens")
+    numbered = D.numbered_batches(S.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", BATCH)
+    batched = toks.join(materialize(numbered.select("doc_id", "batch_no"), "batch-numbers"), "doc_id")
 
     def embed(rows):
-        vecs = V.article_mean_vectors(rows.select("doc_id", "tokens"), wv, ["doc_id"])
-        return vecs.join(rows.select("doc_id", "batch_no"), "doc_id")
+        return V.article_mean_vectors(rows, wv, ["doc_id", "batch_no"])
 
     path = scratch_path(spark, "batches")
     SK.write_batches(embed(batched.where(F.col("batch_no") < RESUME_FROM)), path)
@@ -656,3 +662,139 @@ def batched_vectors(spark, sf_dir):
     back = spark.read.parquet(path)
     return back.select("doc_id", F.col("batch_no").cast("bigint").alias("batch_no"), "n_tokens",
                        *expand("features", WV_DIM))
+
+
+# --------------------------------------------------------------------------
+# Wide vectors, over-budget joins, job ends, trainer steps
+from articlelab.plans import jobs as J  # noqa: E402
+
+WIDE_DIM = 200
+COLD_BUDGET = 8192          # bytes: a few dozen hot tokens, the rest joined by sort-merge
+STOP_BEFORE = 2
+
+
+def _wide_summary():
+    shown = [r6(F.col("features")[i]).alias(f"f{i}") for i in (0, 63, 128, 199)]
+    return [*shown, r6(FV.array_sum("features")).alias("total")]
+
+
+def _wide_vectors(rows):
+    return V.hash_word_vectors(rows, WIDE_DIM).checkpointed()
+
+
+@query
+def wide_article_vectors(spark, sf_dir):
+    """E6 at 200 dimensions, with null and blank texts."""
+    docs = spread(S.dirty(spark, sf_dir)).select("doc_id", T.flat_tokens("text").alias("tokens"))
+    wv = _wide_vectors(explode_rows(docs, [], "tokens"))
+    return V.article_mean_vectors(docs, wv, ["doc_id"]).select("doc_id", "n_tokens", "n_known", *_wide_summary())
+
+
+def _wide_sentences(spark, sf_dir, pool):
+    docs = spread(S.dirty(spark, sf_dir)).select("doc_id", T.sentence_tokens("text").alias("sentences"))
+    rows = V.sentence_token_rows(docs, ["doc_id"])
+    pooled = V.pooled_sentence_vectors(rows, _wide_vectors(rows.select("token")), ["doc_id"], pool)
+    return V.mean_of_sentences(pooled, WIDE_DIM, ["doc_id"]).select("doc_id", "n_sentences", *_wide_summary())
+
+
+@query
+def wide_sentence_vectors(spark, sf_dir):
+    """E8 + E7 at 200 dimensions, with documents without sentences."""
+    return _wide_sentences(spark, sf_dir, "mean")
+
+
+@query
+def wide_sentence_max(spark, sf_dir):
+    """E9 + E7 at 200 dimensions."""
+    return _wide_sentences(spark, sf_dir, "max")
+
+
+@query
+def article_vectors_cold(spark, sf_dir):
+    """F6 + E6 with a vector table far over the broadcast budget."""
+    toks = _doc_tokens(spark, sf_dir)
+    wv = V.hash_word_vectors(explode_rows(toks, [], "tokens"), WV_DIM).checkpointed()
+    vecs = V.article_mean_vectors(toks, wv, ["doc_id"], budget=COLD_BUDGET)
+    return vecs.select("doc_id", "n_tokens", "n_known", *expand("features", WV_DIM))
+
+
+@query
+def csv_batches_resume(spark, sf_dir):
+    """A1 + A3 + A4 + C5-C9 + M7 + B2 + B3 (P4): articles with null and blank
+    texts and exact copies written as CSV files, embedded batch by batch; the
+    first run stops early, the second does what is pending."""
+    csv, out = scratch_path(spark, "articles-csv"), scratch_path(spark, "article-batches")
+    dirty = S.dirty(spark, sf_dir)
+    dirty.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("type", "text").write.option(
+        "header", True).option("escape", '"').csv(csv)
+    enc = EN.MeanWordVectorEncoder(WV_DIM).fit(FS.read_csv(spark, csv))
+    J.embed_csv_batches(spark, csv, out, enc, batch_size=BATCH, stop_before=STOP_BEFORE)
+    back = J.embed_csv_batches(spark, csv, out, enc, batch_size=BATCH)
+    return back.select("file_row", F.col("batch_no").cast("bigint").alias("batch_no"), "label", *expand("features", WV_DIM))
+
+
+@query
+def split_first_rows(spark, sf_dir):
+    """D4 with ``n_rows``: the first 300 rows of the shuffle, split 80/20."""
+    return D.with_split(S.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", n_rows=300)
+
+
+@query
+def many_classes(spark, sf_dir):
+    """E4 + F1 over a class per line item: no bound on the number of classes."""
+    rows = S.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("c"), "l_orderkey", F.lit("-"), "l_linenumber").alias("type"))
+    return L.apply_class_map(rows, L.class_map(rows)).select(
+        F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "label")
+
+
+@query
+def gradient_step(spark, sf_dir):
+    """M8: one synchronous gradient of softmax regression from zero weights."""
+    import numpy as np
+    f = S.features(spark, sf_dir).where(F.col("split") == "train")
+    model = NN.SoftmaxRegression(FEATURE_DIM, N_CLASSES)
+    model.params = [np.zeros_like(p) for p in model.params]
+    g, _, _ = NN.gradient_step(model, f)
+    rows = [(i, k, float(round(v, 6)) + 0.0) for (i, k), v in np.ndenumerate(model.unflat(g)[0])]
+    return spark.createDataFrame(rows, "feature bigint, class bigint, gradient double")
+
+
+@query
+def boosting_round(spark, sf_dir):
+    """One boosting round over given thresholds."""
+    import numpy as np
+    f = S.features(spark, sf_dir).where(F.col("split") == "train")
+    data = f.select(F.col("features").alias("x"), F.col("label").cast("int").alias("y"))
+    m = SA.boost(data, [np.array([-0.1, 0.0, 0.1])] * FEATURE_DIM, N_CLASSES, n_rounds=1)
+    rows = [(s.feature, s.threshold, s.left, s.right, round(e, 6)) for s, e in zip(m.stumps, m.errors, strict=True)]
+    return spark.createDataFrame(rows, "feature bigint, threshold double, left_class bigint, right_class bigint, error double")
+
+
+@query
+def boosting_vote(spark, sf_dir):
+    """M10 + B7: three stumps saved, loaded and voted."""
+    stumps = [SA.Stump(0, 0.0, 1, 2), SA.Stump(5, 0.05, 2, 0), SA.Stump(63, -0.05, 0, 1)]
+    path = scratch_path(spark, "stumps")
+    SA.save_stumps(spark, SA.HistSammeModel(stumps, [1.5, 1.0, 0.75], [0.1, 0.2, 0.3], 3), path)
+    voted = SA.load_stumps(spark, path).decision(S.features(spark, sf_dir))
+    return voted.select("vec_id", F.col("pred").cast("bigint").alias("pred"))
+
+
+@query
+def run_files_many(spark, sf_dir):
+    """A9 + A10 + C14 + E20 (P15): many boosting records in several files, one
+    of them without accuracy, and a broken file: tables and quarantine."""
+    path = scratch_path(spark, "boost-runs")
+    runs = S.runs(spark, sf_dir)
+    one = F.create_map(F.lit("0"), F.create_map(F.lit("0"), F.lit(1).cast("bigint")))
+    SK.write_json_records(runs.select(F.lit("fixture").alias("original_ds_name"), "embedder_name", "accuracy",
+                                      one.alias("classification_makeup")).repartition(5, "embedder_name"), f"{path}/good")
+    spark.range(1).select(F.lit('{"original_ds_name": "fixture", "accuracy"').alias("value")).coalesce(1).write.text(f"{path}/bad")
+    files = [r["f"] for r in spark.read.option("recursiveFileLookup", True).text([f"{path}/good", f"{path}/bad"]).select(
+        F.col("_metadata.file_path").alias("f")).distinct().collect()]
+    t = J.visualize_adaboost_tables(spark, files)
+    acc = t["accuracy_by_embedding"].select(F.col("embedding_type").alias("what"), r6(F.col("mean_accuracy")).alias("mean_accuracy"), F.col("n_runs").alias("n"))
+    why = F.when(F.col("_corrupt_record") == "accuracy", F.lit("quarantine:accuracy")).otherwise(F.lit("quarantine:broken"))
+    bad = t["quarantine"].groupBy(why.alias("what")).agg(F.lit(None).cast("double").alias("mean_accuracy"), F.count(F.lit(1)).alias("n"))
+    return acc.unionByName(bad)

@@ -7,6 +7,7 @@ re-run of one batch replaces only that batch.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,35 +27,25 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", widths: dict |
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def write_batches(df: DataFrame, path: str, batch_col: str = "batch_no", fmt: str = "parquet") -> None:
     """B2: one output folder per batch; dynamic partition overwrite
     replaces only the batches present in ``df`` (resume-friendly, B3)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        w = df.write.mode("overwrite").partitionBy(batch_col)
-        if fmt == "csv":
-            w.option("header", True).csv(path)
-        else:
-            w.parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col)
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    else:
+        w.parquet(path)
 
 
 def finished_batches(spark, path: str, batch_col: str = "batch_no") -> DataFrame:
-    """Batch numbers already written under ``path`` (empty if none)."""
-    import os
-    if path.startswith("/") and not os.path.exists(path):
+    """Batch numbers already written under ``path``, as Spark's own
+    readers see it; a missing or empty folder has none."""
+    try:
+        return spark.read.parquet(path).select(F.col(batch_col).cast("bigint")).distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], f"{batch_col} bigint")
-    return spark.read.parquet(path).select(batch_col).distinct()
 
 
 def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:

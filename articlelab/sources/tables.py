@@ -21,29 +21,27 @@ WIKIHOW_NULL_EVERY = 97      # wikihow.text is null when doc_id % 97 = 0
 DIRTY_NULL_EVERY = 11        # dirty.text is null when doc_id % 11 = 0
 DIRTY_BLANK_EVERY = 13       # dirty.text is blank when doc_id % 13 = 0
 DIRTY_BLANK_TEXT = " \t "
-SCORE_EPOCHS = 6             # 6 epochs of 10 class scores per embedding row
-SCORE_CLASSES = 10
+SCORE_EPOCHS = 7             # 7 epochs of 10 class scores per embedding row: all
+SCORE_CLASSES = 10           # 64 values, the last epoch going on from the first again
 TEST_EVERY = 5               # split = test when vec_id % 5 = 0
-EVAL_BATCH = 32              # batch_id = floor(vec_id / 32)
+EVAL_BATCH = 32              # batch_id = 32 rows of a split in id order
 # ---------------------------------------------------------------------------
 
 
-# Tables whose rows carry long texts: spread over the cores before
-# tokenising (see ``operators.rows.spread``).
-TEXT_TABLES = ("documents", "conversations", "benchmark", "pages")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        from articlelab.operators.rows import spread
-        df = spread(df)
-    return df
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are about to be tokenised, in enough partitions
+    (see ``operators.rows.spread``)."""
+    from articlelab.operators.rows import spread
+    return spread(table(spark, sf_dir, name))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, type, text): labelled documents, type human/gpt."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id").select(
         "doc_id",
@@ -75,13 +73,13 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, label, split, batch_id, epoch, logits ARRAY<DOUBLE>):
-    six "epochs" of ten class scores cut from each embedding row."""
-    e = table(spark, sf_dir, "embeddings")
+    seven "epochs" of ten class scores cut from each embedding row."""
+    from articlelab.operators.sampling import fixed_batches
+    split = F.when(F.col("vec_id") % TEST_EVERY == 0, F.lit("test")).otherwise(F.lit("train"))
+    e = fixed_batches(table(spark, sf_dir, "embeddings").withColumn("split", split), "vec_id", EVAL_BATCH, ["split"])
     epochs = F.sequence(F.lit(1), F.lit(SCORE_EPOCHS)).cast("array<bigint>")
     return (e.select(
-                "vec_id", "label", "embedding",
-                F.when(F.col("vec_id") % TEST_EVERY == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
-                F.floor(F.col("vec_id") / EVAL_BATCH).cast("bigint").alias("batch_id"),
+                "vec_id", "label", F.concat("embedding", "embedding").alias("embedding"), "split", "batch_id",
                 F.explode(epochs).alias("epoch"))
             .select("vec_id", "label", "split", "batch_id", "epoch",
                     F.transform(F.slice("embedding", (F.col("epoch") - 1) * SCORE_CLASSES + 1, SCORE_CLASSES),

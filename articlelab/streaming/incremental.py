@@ -12,8 +12,8 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def embed_stream(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
@@ -39,9 +39,12 @@ def embed_stream(spark: SparkSession, source: str, schema, sink: str, checkpoint
     return len(ran)
 
 
-def read_sink(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.parquet(sink)
-
-
-def with_batch_no(df: DataFrame) -> DataFrame:
-    return df.withColumn("batch_no", F.col("batch_id"))
+def read_sink(spark: SparkSession, sink: str, schema: str | None = None) -> DataFrame:
+    """All micro-batches written so far; an empty or missing sink is an empty
+    table of ``schema``."""
+    try:
+        return spark.read.parquet(sink)
+    except AnalysisException as e:
+        if schema is None or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)

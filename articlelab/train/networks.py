@@ -2,12 +2,14 @@
 
 One optimisation step = one Spark job: every partition computes the
 gradient of its rows with NumPy inside ``mapInPandas`` (weights arrive as
-a broadcast variable) and emits **one** row; ``Summarizer.sum`` reduces
-the partial gradients on the executors; the driver only receives the
-summed gradient (size = number of weights, not rows) and applies SGD or
-Adam. Rows are dealt to ``steps_per_epoch`` steps by a per-epoch hash, so
-each epoch sees every row once in a new grouping (synchronous mini-batch
-training; the reference's 32-row sequential updates do not distribute).
+a broadcast variable) and emits it in slices of ``SLICE`` weights; each
+slice is summed over the partitions by a task of its own; the driver only
+receives the summed gradient (size = number of weights, not rows) and
+applies SGD or Adam. Rows are dealt to ``ceil(rows / batch_size)`` steps by
+a per-epoch hash, so each epoch sees every row once in a new grouping, and
+the number of updates grows with the data (synchronous mini-batches; the
+reference's 32-row sequential updates do not distribute, so ``batch_size``,
+the rows of a step over the whole cluster, is larger by default).
 
 After each epoch the model scores train and test in one pass and the
 metrics come from the same aggregates as stored scores (E10-E12).
@@ -25,6 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from articlelab.operators import metrics as M
+from articlelab.operators import sampling as D
+from articlelab.session import materialize, scratch_path
+
+# Rows of one optimisation step over the whole cluster.
+BATCH_SIZE = 1024
+# Weights summed by one task.
+SLICE = 1 << 16
 
 
 class Network:
@@ -176,6 +185,12 @@ class TrainResult:
     confusion: list[dict] = field(default_factory=list)
 
 
+def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum of the partial rows of one slice."""
+    total = sum(np.frombuffer(g) for g in pdf["g"])
+    return pd.DataFrame({"k": pdf["k"].iloc[:1], "g": [total.tobytes()], "loss": [pdf["loss"].sum()], "n": [pdf["n"].sum()]})
+
+
 def gradient_step(model: Network, rows: DataFrame) -> tuple[np.ndarray, float, int]:
     """One synchronous step over ``rows`` (features, label): returns the
     mean gradient, mean loss and row count."""
@@ -197,18 +212,16 @@ def gradient_step(model: Network, rows: DataFrame) -> tuple[np.ndarray, float, i
             loss += float(lrow.sum())
             n += len(y)
         if n:  # an empty partition emits no row
-            yield pd.DataFrame({"g": [acc.tolist()], "loss": [loss], "n": [n]})
+            for k, at in enumerate(range(0, len(acc), SLICE)):
+                yield pd.DataFrame({"k": [k], "g": [acc[at:at + SLICE].tobytes()], "loss": [loss], "n": [n]})
 
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    parts = rows.select("features", "label").mapInPandas(partial, "g array<double>, loss double, n long")
-    out = parts.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"),
-                    F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
+    parts = rows.select("features", "label").mapInPandas(partial, "k int, g binary, loss double, n long")
+    out = sorted(parts.groupBy("k").applyInPandas(_add_slices, parts.schema).collect(), key=lambda r: r["k"])
     bc.unpersist()
-    if out is None or not out["n"]:
+    if not out:
         return np.zeros(model.flat().size), 0.0, 0
-    n = int(out["n"])
-    return np.asarray(out["g"]) / n, float(out["loss"]) / n, n
+    n = int(out[0]["n"])
+    return np.concatenate([np.frombuffer(r["g"]) for r in out]) / n, float(out[0]["loss"]) / n, n
 
 
 def score(model: Network, rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -231,31 +244,42 @@ def score(model: Network, rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "features").mapInPandas(fwd, schema)
 
 
-def train(model: Network, data: DataFrame, epochs: int = 10, steps_per_epoch: int = 4,
+def train(model: Network, data: DataFrame, epochs: int = 10, batch_size: int = BATCH_SIZE,
           id_col: str = "vec_id", batch_rows: int = 32) -> TrainResult:
     """P11 training loop: ``data`` has (id, label, split, features). History
     rows: (epoch, split, n, accuracy, loss, row_loss); confusion rows:
-    (epoch, split, true_label, pred_label, n)."""
+    (epoch, split, true_label, pred_label, n). The batch-mean loss (Q9) is
+    over batches of ``batch_rows`` rows in id order within a split."""
     data = data.select(id_col, F.col("label").cast("int").alias("label"), "split", "features")
-    data = data.persist()
-    train_rows = data.where(F.col("split") == "train")
+    data = materialize(D.fixed_batches(data, id_col, batch_rows, ["split"]), "training-rows")
+    train_rows = data.where(F.col("split") == "train").drop("split", "batch_id")
+    steps = -(-train_rows.count() // batch_size)
     res = TrainResult(model)
-    # evaluation batches of `batch_rows` rows in id order, for the batch-mean loss
-    evalset = data.withColumn("batch_id", F.floor(F.col(id_col) / F.lit(batch_rows)).cast("bigint"))
     for epoch in range(1, epochs + 1):
-        step_of = F.pmod(F.xxhash64(F.col(id_col), F.lit(epoch), F.lit(model.seed)), F.lit(steps_per_epoch))
-        for s in range(steps_per_epoch):
-            g, _, n = gradient_step(model, train_rows.where(step_of == s))
+        # an epoch's rows are laid out by step once; a step reads only its own
+        dealt = train_rows.withColumn("step", D.epoch_step(id_col, epoch, max(1, steps), model.seed))
+        if steps > 1:
+            path = scratch_path(train_rows.sparkSession, "epoch-steps")
+            dealt.write.partitionBy("step").parquet(path)
+            dealt = train_rows.sparkSession.read.parquet(path)
+        for s in range(steps):
+            g, _, n = gradient_step(model, dealt.where(F.col("step") == s))
             if n:
                 model.apply(g)
-        scored = M.score_rows(score(model, evalset, [id_col, "label", "split", "batch_id"]))
-        scored = scored.persist()
-        hist = M.epoch_metrics(scored, ["split"]).collect()
-        conf = M.confusion(scored, ["split"]).collect()
-        scored.unpersist()
+        scored = M.score_rows(score(model, data, [id_col, "label", "split", "batch_id"]))
+        # one pass: counts and losses by batch and label pair, folded to metrics and confusion
+        cells = materialize(scored.groupBy("split", "batch_id", F.col("label").cast("bigint").alias("true_label"),
+                                           F.col("pred").cast("bigint").alias("pred_label")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss")), "epoch-cells")
+        batches = cells.groupBy("split", "batch_id").agg(
+            F.sum("n").alias("n"), F.sum("loss").alias("l"),
+            F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)).alias("c"))
+        hist = batches.groupBy("split").agg(
+            F.sum("n").alias("n"), F.sum("c").alias("correct"), (F.sum("c") / F.sum("n")).alias("accuracy"),
+            F.avg(F.col("l") / F.col("n")).alias("loss"), (F.sum("l") / F.sum("n")).alias("row_loss")).collect()
+        conf = cells.groupBy("split", "true_label", "pred_label").agg(F.sum("n").alias("n")).collect()
         res.history += [dict(r.asDict(), epoch=epoch) for r in hist]
         res.confusion += [dict(r.asDict(), epoch=epoch) for r in conf]
-    data.unpersist()
     return res
 
 
@@ -268,8 +292,9 @@ def history_frame(spark: SparkSession, res: TrainResult) -> DataFrame:
 
 
 def save_weights(spark: SparkSession, model: Network, path: str) -> None:
-    """One parquet row per weight tensor (+ optimiser moments)."""
+    """One parquet row per weight tensor (+ optimiser moments and step count)."""
     rows = [(f"param{i}", list(p.shape), p.ravel().tolist()) for i, p in enumerate(model.params)]
+    rows.append(("step_count", [1], [float(model.t)]))
     for name, arr in model.state.items():
         rows.append((f"opt_{name}", [arr.size], arr.ravel().tolist()))
     spark.createDataFrame(rows, "name string, shape array<int>, values array<double>") \
@@ -280,5 +305,6 @@ def load_weights(spark: SparkSession, model: Network, path: str) -> Network:
     rows = {r["name"]: r for r in spark.read.parquet(path).collect()}
     model.params = [np.asarray(rows[f"param{i}"]["values"]).reshape(rows[f"param{i}"]["shape"])
                     for i in range(len(model.params))]
+    model.t = int(rows["step_count"]["values"][0])
     model.state = {k[4:]: np.asarray(r["values"]) for k, r in rows.items() if k.startswith("opt_")}
     return model

@@ -3,12 +3,10 @@
 Two stump learners:
 
 * ``fit_hist`` (default): features are binned once by approximate
-  quantiles over all rows; each round is **one** job: every partition
-  recomputes its rows' boosting weights from the stumps so far (broadcast,
-  vectorised NumPy in ``mapInPandas``) and emits one weighted class
-  histogram (features x bins x classes); the histograms are summed on the
-  executors and the driver picks the best Gini split from that bounded
-  table. Weights are never stored, so lineage does not grow with rounds.
+  quantiles over all rows; each round is **one** job (:func:`boost`): class
+  histograms per feature, summed and searched for the best Gini split by one
+  task per 64 features. Weights are never stored, so lineage does not grow with
+  rounds.
 * ``fit`` (MLlib): the loop below with ``DecisionTreeClassifier``.
 
 Each round fits Spark ML's ``DecisionTreeClassifier(maxDepth=1)`` on the
@@ -28,6 +26,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,8 @@ from articlelab.session import ensure_checkpoint_dir, materialize
 # Defaults of the reference's boosting call (library defaults).
 N_ROUNDS = 50
 LEARNING_RATE = 1.0
+# Features whose histograms one task sums and searches.
+FEATURES_A_TASK = 64
 # Rounds between lineage cuts (a lost executor recomputes at most this many).
 CUT_EVERY = 5
 
@@ -138,98 +140,131 @@ class HistSammeModel:
         return x.withColumn("pred", pred).drop("_votes")
 
 
-def _stump_predict(stumps, x):
-    import numpy as np
-    out = np.empty((x.shape[0], len(stumps)), dtype=np.int64)
-    for j, s in enumerate(stumps):
-        out[:, j] = np.where(x[:, s.feature] <= s.threshold, s.left, s.right)
-    return out
-
-
 def fit_hist(train: DataFrame, n_classes: int, n_rounds: int = N_ROUNDS,
              learning_rate: float = LEARNING_RATE, features: str = "features", label: str = "label",
              max_bins: int = 32, accuracy: int = 10_000) -> HistSammeModel:
-    """SAMME with histogram stumps (see module doc)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    data = train.select(F.col(features).alias("x"), F.col(label).cast("int").alias("y")).persist()
+    """SAMME with histogram stumps (see module doc). ``max_bins`` bounds the
+    thresholds tried per feature: with as many bins as distinct values the
+    stumps are exact."""
+    data = train.select(F.col(features).alias("x"), F.col(label).cast("int").alias("y"))
     probs = [i / max_bins for i in range(1, max_bins)]
     q = (data.select(F.posexplode("x").alias("f", "v")).groupBy("f")
          .agg(F.percentile_approx("v", probs, accuracy).alias("t")).collect())
-    d = max(r.f for r in q) + 1
+    if not q:
+        raise ValueError("no rows to train on")
     # thresholds per feature (bounded: features x (bins - 1)), distinct and sorted
     thr = [np.unique(np.asarray(r.t, dtype=np.float64)) for r in sorted(q, key=lambda r: r.f)]
+    return boost(data, thr, n_classes, n_rounds, learning_rate)
+
+
+def boost(data: DataFrame, thr: list[np.ndarray], n_classes: int, n_rounds: int = N_ROUNDS,
+          learning_rate: float = LEARNING_RATE) -> HistSammeModel:
+    """Boosting rounds over ``data`` (x ARRAY<DOUBLE>, y) and given thresholds.
+
+    Rows are binned and written once. A round is one job: every partition
+    recomputes its rows' weights from the stumps so far and emits one weighted
+    class histogram per feature; those of ``FEATURES_A_TASK`` features are
+    summed and searched for their best splits by one task; one row per feature
+    returns. Weights are kept in units of the last round's total, so they stay
+    finite."""
+    spark, d, k = data.sparkSession, len(thr), n_classes
     n_bins = max(len(t) for t in thr) + 1
-    k = n_classes
+    thresholds = spark.sparkContext.broadcast(thr)
+
+    def bins(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+                b = np.stack([np.searchsorted(t, x[:, f], side="left") for f, t in enumerate(thresholds.value)], axis=1)
+                yield pd.DataFrame({"b": list(b.astype(np.int32)), "y": pdf["y"]})
+
+    binned = materialize(data.mapInPandas(bins, "b array<int>, y int"), "binned-rows")
     model = HistSammeModel(n_classes=k)
-    sc = train.sparkSession.sparkContext
-    bc_thr = sc.broadcast(thr)
+    cuts: list[tuple[int, int, int, int]] = []
+    log_total = 0.0
     for _ in range(n_rounds):
-        bc = sc.broadcast((list(model.stumps), list(model.alphas)))
+        so_far = spark.sparkContext.broadcast((list(cuts), np.asarray(model.alphas), log_total))
 
-        def partial(batches):
-            thr_v = bc_thr.value
-            stumps, alphas = bc.value
-            acc = np.zeros((d, n_bins, k))
+        def partial(batches, so_far=so_far):
+            stumps, alphas, shift = so_far.value
+            acc = np.zeros(d * n_bins * k)
             for pdf in batches:
                 if pdf.empty:
                     continue
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["x"]])
-                y = pdf["y"].to_numpy()
-                w = np.ones(len(y))
+                b, y = np.stack(pdf["b"].to_numpy()), pdf["y"].to_numpy()
+                w = np.full(len(y), np.exp(-shift))
                 if stumps:
-                    miss = _stump_predict(stumps, x) != y[:, None]
-                    w = np.exp(miss @ np.asarray(alphas))
-                for f in range(d):
-                    b = np.searchsorted(thr_v[f], x[:, f], side="left")
-                    np.add.at(acc[f], (b, y), w)
+                    miss = np.stack([np.where(b[:, f] <= s, left, right) != y for f, s, left, right in stumps], axis=1)
+                    w = np.exp(miss @ alphas - shift)
+                cell = (np.arange(d) * n_bins + b) * k + y[:, None]
+                acc += np.bincount(cell.ravel(), np.repeat(w, d), len(acc))
             if acc.any():
-                yield pd.DataFrame({"h": [acc.ravel().tolist()]})
+                acc = acc.reshape(d, -1)
+                for g, at in enumerate(range(0, d, FEATURES_A_TASK)):
+                    yield pd.DataFrame({"g": [g], "h": [acc[at:at + FEATURES_A_TASK].tobytes()]})
 
-        parts = data.mapInPandas(partial, "h array<double>")
-        row = parts.agg(vector_to_array(Summarizer.sum(array_to_vector("h"))).alias("h")).first()
-        bc.unpersist()
-        if row is None or row.h is None:
-            break
-        hist = np.asarray(row.h).reshape(d, n_bins, k)
-        total = hist[0].sum()
-        best = None
-        for f in range(d):
-            cum = np.cumsum(hist[f], axis=0)[:-1]          # left side: bins <= s
-            if len(cum) == 0:
-                continue
-            tot_c = hist[f].sum(axis=0)
-            right = tot_c[None, :] - cum
-            nl, nr = cum.sum(axis=1), right.sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gl = 1.0 - np.where(nl[:, None] > 0, (cum / nl[:, None]) ** 2, 0).sum(axis=1)
-                gr = 1.0 - np.where(nr[:, None] > 0, (right / nr[:, None]) ** 2, 0).sum(axis=1)
-            imp = (nl * gl + nr * gr) / total
-            imp = np.where((nl > 0) & (nr > 0), imp, np.inf)
-            s = int(np.argmin(imp))
-            if np.isfinite(imp[s]) and (best is None or imp[s] < best[0] - 1e-15):
-                best = (imp[s], f, s, int(np.argmax(cum[s])), int(np.argmax(right[s])),
-                        total - cum[s].max() - right[s].max())
-        if best is None:        # no split separates anything
-            break
-        _, f, s, left, right_cls, bad = best
-        err = float(bad / total)
-        stump = Stump(f, float(thr[f][s]) if s < len(thr[f]) else float("inf"), left, right_cls)
-        if err <= 0.0:
-            model.stumps.append(stump)
-            model.alphas.append(1.0)
-            model.errors.append(err)
+        def best(pdf):
+            first = int(pdf["g"].iloc[0]) * FEATURES_A_TASK
+            hists = sum(np.frombuffer(h) for h in pdf["h"]).reshape(-1, n_bins, k)
+            rows = [(first + f, *best_split(h)) for f, h in enumerate(hists)]
+            return pd.DataFrame(rows, columns=["f", "impurity", "s", "left", "right", "bad", "total"])
+
+        found = (binned.mapInPandas(partial, "g int, h binary").groupBy("g")
+                 .applyInPandas(best, "f int, impurity double, s int, left int, right int, bad double, total double").collect())
+        so_far.unpersist()
+        usable = sorted((r for r in found if np.isfinite(r.impurity)), key=lambda r: r.f)
+        if not usable:          # no split separates anything
             break
+        win = usable[0]
+        for r in usable[1:]:
+            if r.impurity < win.impurity - 1e-15:
+                win = r
+        err = float(win.bad / win.total)
+        stump = Stump(win.f, float(thr[win.f][win.s]) if win.s < len(thr[win.f]) else float("inf"), win.left, win.right)
         if err >= 1.0 - 1.0 / k:
             if not model.stumps:
                 raise ValueError("the first stump is no better than chance")
             break
         model.stumps.append(stump)
+        model.errors.append(max(err, 0.0))
+        cuts.append((win.f, win.s, win.left, win.right))
+        log_total += math.log(win.total)
+        if err <= 0.0:
+            model.alphas.append(1.0)
+            break
         model.alphas.append(learning_rate * (math.log((1.0 - err) / err) + math.log(k - 1.0)))
-        model.errors.append(err)
-    bc_thr.unpersist()
-    data.unpersist()
     return model
+
+
+def best_split(hist: np.ndarray) -> tuple[float, int, int, int, float, float]:
+    """Best Gini split of a feature's (bins x classes) weight histogram:
+    (impurity, last bin of the left side, left class, right class, weight
+    misjudged, total weight); impurity inf when nothing is separated."""
+    every = hist.sum(axis=0)
+    total = float(every.sum())
+    left = np.cumsum(hist, axis=0)[:-1]
+    if not len(left):
+        return math.inf, 0, 0, 0, 0.0, total
+    right = every - left
+    nl, nr = left.sum(axis=1), right.sum(axis=1)
+    both = (nl > 0) & (nr > 0)
+    # n * gini = n - (sum of squares) / n, per side
+    impurity = np.full(len(left), math.inf)
+    impurity[both] = 1.0 - ((left[both] ** 2).sum(axis=1) / nl[both] + (right[both] ** 2).sum(axis=1) / nr[both]) / total
+    s = int(np.argmin(impurity))
+    return (float(impurity[s]), s, int(np.argmax(left[s])), int(np.argmax(right[s])),
+            float(total - left[s].max() - right[s].max()), total)
+
+
+def save_stumps(spark, model: HistSammeModel, path: str) -> None:
+    """One parquet row per stump, in order, with its vote."""
+    rows = [(i, m.feature, m.threshold, m.left, m.right, a, e, model.n_classes)
+            for i, (m, a, e) in enumerate(zip(model.stumps, model.alphas, model.errors, strict=True))]
+    spark.createDataFrame(rows, "round int, feature int, threshold double, left int, right int, alpha double, "
+                                "error double, n_classes int").write.mode("overwrite").parquet(path)
+
+
+def load_stumps(spark, path: str) -> HistSammeModel:
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r["round"])
+    return HistSammeModel([Stump(r["feature"], r["threshold"], r["left"], r["right"]) for r in rows],
+                          [r["alpha"] for r in rows], [r["error"] for r in rows], rows[0]["n_classes"] if rows else 2)

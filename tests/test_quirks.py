@@ -102,7 +102,7 @@ def test_dense_confusion_integer_order_and_unpredicted_label(spark):
     dense = M.dense_confusion(M.confusion(df, ["g"]), ["g"])
     got = [(r.true_label, r.pred_label, r.n) for r in dense.orderBy("true_label", "pred_label").collect()]
     assert got == [(2, 2, 2), (2, 10, 0), (10, 2, 1), (10, 10, 0)]
-    assert M.label_set(M.confusion(df, ["g"])) == [2, 10]
+    assert sorted(r.label for r in M.label_set(M.confusion(df, ["g"])).collect()) == [2, 10]
 
 
 def test_loss_is_mean_of_batch_means(spark):
@@ -175,13 +175,9 @@ def test_hot_cold_join_equals_broadcast_join(spark):
         F.collect_list("token").alias("tokens"))
     wv = V.hash_word_vectors(spark.createDataFrame(rows, "doc_id bigint, token string"), 4).checkpointed()
     small = {r.doc_id: r.features for r in V.article_mean_vectors(docs, wv, ["doc_id"]).collect()}
-    old = V.BROADCAST_BUDGET, V.HOT_TOKENS
-    V.BROADCAST_BUDGET, V.HOT_TOKENS = 0, 3
-    try:
-        big = {r.doc_id: r.features for r in V.article_mean_vectors(docs, wv, ["doc_id"]).collect()}
-        plan = V.article_mean_vectors(docs, wv, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
-    finally:
-        V.BROADCAST_BUDGET, V.HOT_TOKENS = old
+    cold = V.article_mean_vectors(docs, wv, ["doc_id"], budget=3 * V.row_bytes(4))
+    big = {r.doc_id: r.features for r in cold.collect()}
+    plan = cold._jdf.queryExecution().executedPlan().toString()
     assert small.keys() == big.keys()
     for k in small:
         assert small[k] == pytest.approx(big[k])
@@ -204,3 +200,58 @@ def test_caller_class_map_must_cover_types(spark):
         EN.embedded_table(arts, enc, split_col=None, mapping=L.literal_map(spark, {"human": 0}))
     ok = EN.embedded_table(arts, enc, split_col=None, mapping=L.literal_map(spark, {"human": 0, "gpt": 1}))
     assert sorted((r.doc_id, r.label) for r in ok.collect()) == [(1, 0), (2, 1)]
+
+
+@pytest.mark.parametrize("dim", [4, 300])
+def test_groups_without_vectors_at_any_width(spark, dim):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (2, 0, None), (3, 0, "a")], "doc_id int, sent_no int, token string")
+    wv = V.WordVectors(spark.createDataFrame([("a", [2.0] * dim)], "token string, vec array<double>"), dim)
+    for pool in ("mean", "max"):
+        sents = V.pooled_sentence_vectors(rows, wv, ["doc_id"], pool)
+        assert {(r.doc_id, r.sent_no): r.vec and r.vec[-1] for r in sents.collect()} == {(1, 0): 2.0, (1, 1): None, (2, 0): None, (3, 0): 2.0}
+        docs = {r.doc_id: (r.n_sentences, r.features[-1]) for r in V.mean_of_sentences(sents, dim, ["doc_id"]).collect()}
+        assert docs == {1: (1, 2.0), 2: (0, 0.0), 3: (1, 2.0)}
+
+
+def test_samples_fail_aloud(spark):
+    df = spark.createDataFrame([(i, "human") for i in range(5)], "id bigint, type string")
+    with pytest.raises(ValueError, match="gpt"):
+        D.stratified_sample(df, "id", "type", ["human", "gpt"], 3)
+    with pytest.raises(ValueError):
+        D.exact_sample(df.limit(0), "id", 1)
+    assert D.stratified_sample(df, "id", "type", ["human"], 3).count() == 3
+
+
+def test_unmapped_values_are_all_named(spark):
+    df = spark.createDataFrame([(f"t{i}",) for i in range(30)], "type string")
+    with pytest.raises(ValueError) as e:
+        L.assert_mapped(df, L.literal_map(spark, {"x": 0}))
+    assert all(f"t{i}" in str(e.value) for i in range(30))
+
+
+def test_any_string_key_is_numbered_in_order(spark):
+    from articlelab.operators.keys import with_row_number
+    df = spark.createDataFrame([("pear",), ("apple",), ("zoo",), ("cat",), (None,)], "w string").repartition(3)
+    assert [(r.w, r.row_no) for r in with_row_number(df, "w").orderBy("row_no").collect()] == [
+        (None, 1), ("apple", 2), ("cat", 3), ("pear", 4), ("zoo", 5)]
+
+
+def test_run_names_of_any_script(spark):
+    from articlelab.operators import runs as R
+    assert R.path_names(spark, "/x/été_w2v_données.csv") == ("données", "été_w2v")
+    with pytest.raises(ValueError):
+        R.path_names(spark, "/x/plain.csv")
+
+
+def test_split_by_cut_equals_numbered_split(spark):
+    df = spark.range(57).withColumnRenamed("id", "doc_id")
+    for n_rows in (None, 20, 0, 100):
+        a = {(r.doc_id, r.split) for r in D.with_split(df, "doc_id", n_rows=n_rows).collect()}
+        b = {(r.doc_id, r.split) for r in D.train_test_split(df, "doc_id", n_rows=n_rows).collect()}
+        assert a == b
+
+
+def test_evaluation_batches_stay_within_a_split(spark):
+    df = spark.range(100).select((F.col("id") * 7919 + (1 << 60)).alias("i"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"))
+    got = D.fixed_batches(df, "i", 32, ["split"]).groupBy("split", "batch_id").count().collect()
+    assert sorted((r["split"], r["batch_id"], r["count"]) for r in got) == [("test", 0, 20), ("train", 0, 32), ("train", 1, 32), ("train", 2, 16)]

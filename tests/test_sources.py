@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from articlelab.operators import encode as EN
+from articlelab.plans import jobs as J
 from articlelab.operators import images as IM
 from articlelab.operators import metrics as M
 from articlelab.operators import runs as R
@@ -69,7 +70,7 @@ def test_word_vector_text_file(spark, tmp_dir):
         f.write("dog 4 5 6\n")
     wv = FS.read_word_vectors(spark, p, 3)
     assert sorted(r.token for r in wv.collect()) == ["</p>", "cat", "dog", "the"]
-    first = W.first_k_vectors(wv, "_pos", 1)
+    first = W.first_k_vectors(wv, "line_no", 1)
     assert sorted(r.token for r in first.collect()) == ["</p>", "the"]
 
 
@@ -105,14 +106,15 @@ def test_run_files_quarantine_and_routing(spark, tmp_dir):
     assert sorted((r.true_label, r.pred_label, r.n) for r in bc.collect()) == [(0, 0, 3), (0, 1, 1)]
 
 
-def _png(path, pixels, w, h):
-    raw = b"".join(b"\x00" + bytes(pixels[r * w:(r + 1) * w]) for r in range(h))
+def _png(path, pixels, w, h, colour=False):
+    n = w * (3 if colour else 1)
+    raw = b"".join(b"\x00" + bytes(pixels[r * n:(r + 1) * n]) for r in range(h))
 
     def chunk(kind, data):
         c = kind + data
         return struct.pack(">I", len(data)) + c + struct.pack(">I", zlib.crc32(c) & 0xFFFFFFFF)
     with open(path, "wb") as f:
-        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0))
+        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if colour else 0, 0, 0, 0))
                 + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
@@ -122,12 +124,62 @@ def test_image_folder(spark, tmp_dir):
         os.makedirs(os.path.join(root, cls))
         for i in range(2):
             _png(os.path.join(root, cls, f"{i}.png"), [0, 255, 51, 102], 2, 2)
-    df = IM.read_image_folder(spark, root)
+    df, bad = IM.read_image_folder(spark, root)
+    assert bad.count() == 0
     got = sorted((r.class_name, r.label) for r in df.collect())
     assert got == [("a", 0), ("a", 0), ("b", 1), ("b", 1)]
     assert df.first().pixels == pytest.approx([-1.0, 1.0, -0.6, -0.2])
-    assert IM.train_test_folders([root, os.path.join(tmp_dir, "imgs_test")]) == \
-        (root, os.path.join(tmp_dir, "imgs_test"))
+    with pytest.raises(ValueError):
+        IM.folder_split(df, "origin")
+    os.makedirs(os.path.join(tmp_dir, "my_test", "a"))
+    _png(os.path.join(tmp_dir, "my_test", "a", "0.png"), [0, 255, 51, 102], 2, 2)
+    both = IM.folder_split(IM.read_image_folder(spark, tmp_dir)[0], "origin")
+    assert {(r["split"], r["count"]) for r in both.groupBy("split").count().collect()} == {("train", 4), ("test", 1)}
+
+
+def test_colour_images_and_broken_files(spark, tmp_dir):
+    for cls in ("a", "b"):
+        os.makedirs(os.path.join(tmp_dir, cls))
+    _png(os.path.join(tmp_dir, "a", "red.png"), [255, 0, 0, 0, 0, 255], 2, 1, colour=True)
+    with open(os.path.join(tmp_dir, "b", "broken.png"), "wb") as f:
+        f.write(b"not an image")
+    good, bad = IM.read_image_folder(spark, tmp_dir)
+    row = good.first()
+    assert (good.count(), row.class_name, row.label) == (1, "a", 0)
+    assert row.pixels == pytest.approx([(76 / 255 - 0.5) / 0.5, (29 / 255 - 0.5) / 0.5])
+    assert [r.class_name for r in bad.collect()] == ["b"]
+
+
+def test_run_files_with_many_records(spark, tmp_dir):
+    rec = {"original_ds_name": "d", "embedder_name": "w2v_x", "accuracy": 0.5, "classification_makeup": {"0": {"0": 1}}}
+    with open(os.path.join(tmp_dir, "a.json"), "w") as f:
+        f.write(json.dumps(rec) + "\n" + json.dumps({**rec, "accuracy": None}) + "\n")
+    with open(os.path.join(tmp_dir, "b.json"), "w") as f:
+        f.write('{"accuracy": ')
+    t = J.visualize_adaboost_tables(spark, tmp_dir)
+    assert t["accuracy_by_embedding"].first().n_runs == 1
+    assert sorted(r._corrupt_record for r in t["quarantine"].collect()) == ["accuracy", '{"accuracy": ']
+
+
+def test_file_order_over_several_files(spark, tmp_dir):
+    for name, lo, hi in (("b", 10, 15), ("a", 0, 10), ("c", 15, 16)):
+        with open(os.path.join(tmp_dir, f"{name}.csv"), "w") as f:
+            f.write("type,text\n" + "".join(f'x,"row {i}\nof {name}"\n' for i in range(lo, hi)))
+    rows = FS.read_csv(spark, tmp_dir, file_order="n").collect()
+    assert sorted((r.n, int(r.text.split()[1])) for r in rows) == [(i, i) for i in range(16)]
+
+
+def test_resumed_batches_keep_copies_apart(spark, tmp_dir):
+    csv, out = os.path.join(tmp_dir, "in.csv"), os.path.join(tmp_dir, "out")
+    with open(csv, "w") as f:
+        f.write("type,text\na,same words here\nb,other words\na,same words here\n")
+    for encoder in (EN.MeanWordVectorEncoder(4).fit(FS.read_csv(spark, csv)), EN.SentenceEncoder(dim=4)):
+        path = f"{out}-{type(encoder).__name__}"
+        J.embed_csv_batches(spark, csv, path, encoder, batch_size=2, stop_before=1)
+        first = {r.file_row: r.features for r in spark.read.parquet(path).collect()}
+        back = J.embed_csv_batches(spark, csv, path, encoder, batch_size=2).collect()
+        assert sorted((r.file_row, r.batch_no, r.label) for r in back) == [(0, 0, 0), (1, 0, 1), (2, 1, 0)]
+        assert set(first) == {0, 1} and all(first[r.file_row] == r.features for r in back if r.file_row < 2)
 
 
 def test_image_table_and_batches(spark, tmp_dir):
