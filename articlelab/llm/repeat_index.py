@@ -277,7 +277,7 @@ def _single_strings(pieces: DataFrame, length: int) -> DataFrame:
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["x", "y", "f", "h", "o"])
 
-    rows = pieces.select("f", "h", "piece").mapInArrow(strings, "x long, y long, f long, h long, o long")
+    rows = pieces.select("f", "h", "piece").repartition("f", "h").mapInArrow(strings, "x long, y long, f long, h long, o long")
     twice = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("x").alias("_x"), F.col("y").alias("_y"))
     found = rows.join(twice, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")))
     span = F.struct(F.col("o").cast("int").alias("a"), (F.col("o") + length).cast("int").alias("b"))
@@ -320,10 +320,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.coalesce(F.col(id_col).cast("long") if integral else F.xxhash64(id_col), F.xxhash64(raw))
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("t"), key.alias("k"), (F.crc32(raw) - (1 << 31)).cast("int").alias("c"))
     found = _pieces(rows, length, gram)
-    often = found.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("f").alias("_f"))
+    # written, so that the join's sides are plain exchanges and a hot anchor can be split
+    often = materialize(found.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("f").alias("_f")), "repeat-anchors")
     found = materialize(found.join(often, F.col("f") == F.col("_f")).drop("_f"), "repeat-pieces")
     classes = materialize(found.groupBy("f", "h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "c", "at", "n")).alias("one")), "repeat-classes")
-    several = classes.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("f").alias("_f"), (F.col("_n") > hot_pieces).alias("hot"))
+    several = materialize(classes.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        F.col("f").alias("_f"), (F.col("_n") > hot_pieces).alias("hot")), "repeat-several")
     open_ = classes.join(several, F.col("f") == F.col("_f")).select("f", "h", "hot", "one.*")
     wanted = open_.groupBy("k", "c").agg(F.collect_list(F.struct("f", "h", "hot", "at", "n")).alias("list"))
     cut = materialize(_cut(rows, wanted, length), "repeat-cuts")
