@@ -36,10 +36,10 @@ def hash_vector(token, dim: int = HASH_VECTOR_DIM) -> Column:
     per = HASH_VECTOR_DIM * HASH_DIGITS
     blocks = [F.substring(F.md5(t if b == 0 else F.concat(t, F.lit(f":{b}"))), 1, per)
               for b in range(-(-dim // HASH_VECTOR_DIM))]
-    digits = F.concat(*blocks)
-    return F.transform(F.array(*[F.lit(1 + HASH_DIGITS * i) for i in range(dim)]),
-                       lambda at: F.conv(F.substring(digits, at, F.lit(HASH_DIGITS)), 16, 10).cast("double")
-                       / F.lit(HASH_SCALE) - F.lit(0.5))
+    digits = F.substring(F.concat(*blocks), 1, HASH_DIGITS * dim)
+    # the three-digit groups are cut once a token, not once a dimension
+    return F.transform(F.regexp_extract_all(digits, F.lit("[0-9a-f]{%d}" % HASH_DIGITS), F.lit(0)),
+                       lambda x: F.conv(x, 16, 10).cast("double") / F.lit(HASH_SCALE) - F.lit(0.5))
 
 
 def has_hash_vector(token) -> Column:
