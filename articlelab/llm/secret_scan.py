@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +26,10 @@ ASSIGN_MIN, ACCESS_MIN = 8, 16
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api key", "api-key",
                  "credential", "bearer", "private key", "private_key", "access key", "access_key", "client_key",
                  "signing key", "auth_key", "authorization")
+CONTEXT = re.compile("|".join(CONTEXT_WORDS))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-#: Characters after a context word, and on either side of a candidate, that are looked at.
-REACH, AROUND = 64, 256
+#: Characters on either side of a context word, and of a candidate, that are looked at.
+AROUND = 256
 #: Compressed bytes per character from which a candidate counts as incompressible.
 NOVEL_RATE = 0.6
 
@@ -85,38 +87,49 @@ def _mixed(s: str) -> bool:
     return (letters and digits) or (body[1:] != body[1:].lower() and body != body.upper())
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of possible secrets: on the line of a context word, ``REACH`` after it."""
+def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts) of every possible secret that reaches into the ``AROUND``
+    characters before or after a context word, on whatever line; ``parts`` are its
+    pieces beside context words inside it. Where only space and punctuation stand
+    between two of them (the lines of a key), one in context brings in the other."""
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer: keep positions
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    seen = set()
-    for word in CONTEXT_WORDS:
-        at = low.find(word)
-        while at >= 0:
-            after = at + len(word)
-            line = text.find("\n", after, after + REACH)
-            stop = line if line >= 0 else min(len(text), after + REACH)
-            for m in CANDIDATE.finditer(text, after, min(len(text), stop + 12)):
-                if m.start() >= stop:
-                    break
-                a, b = CANDIDATE.match(text, m.start()).span()  # to its end, however far
-                if (a, b) not in seen and _mixed(text[a:b]) and text[a - 1] != "@" and text[b:b + 1] != "@":
-                    seen.add((a, b))
-                    yield a, b
-            at = low.find(word, after)
+    words = [m.span() for m in CONTEXT.finditer(low)]
+    if not words:
+        return
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends, starts = [e for _, e in words], [s for s, _ in words]
+    near = []
+    for a, b in runs:
+        i = bisect_left(ends, a - AROUND + 1)  # the first word that ends less than AROUND before
+        near.append(i < len(words) and starts[i] < b + AROUND)
+    wraps = [not any(c.isalnum() for c in text[b:c0]) for (_, b), (c0, _) in zip(runs, runs[1:])]
+    for i in range(1, len(runs)):
+        near[i] = near[i] or (near[i - 1] and wraps[i - 1])
+    for i in range(len(runs) - 2, -1, -1):
+        near[i] = near[i] or (near[i + 1] and wraps[i])
+    for (a, b), use in zip(runs, near):
+        if use and text[max(0, a - 1):a] != "@" and text[b:b + 1] != "@":
+            cuts = [(max(a, s), min(b, e)) for s, e in words[bisect_right(ends, a):bisect_left(starts, b)]]
+            at = [a, *[x for cut in cuts for x in cut], b]
+            yield a, b, [m.span() for s, e in zip(at[::2], at[1::2]) for m in CANDIDATE.finditer(text, s, e)] if cuts else []
 
 
 def all_spans(text: str, novelty: Novelty, rate: float = NOVEL_RATE) -> tuple[list, list]:
     """Base spans, and base with novel spans (those that overlap no base span)."""
     base = base_spans(text)
     extra = []
-    for a, b in sorted(candidates(text)):
+
+    def novel(a: int, b: int) -> bool:
         if any(s < b and a < e for s, e, _ in base):
-            continue
+            return False
         around = text[max(0, a - AROUND):a] + text[b:b + AROUND]
-        if novelty.rate(around, text[a:b]) >= rate:
-            extra.append((a, b, "novel"))
+        return _mixed(text[a:b]) and novelty.rate(around, text[a:b]) >= rate
+
+    for a, b, parts in candidates(text):
+        found = [p for p in parts if novel(*p)] or ([(a, b)] if novel(a, b) else [])
+        extra += [(*p, "novel") for p in found]
     return base, sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -133,9 +146,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (``kind:start:end`` in code points, end exclusive, comma-joined).
 
     Each document is scanned whole where it is: no shuffle. Base patterns are
-    always reported. A string of 12 or more characters close after a
-    context word is also reported (``novel``) when it takes at least ``rate``
-    compressed bytes per character after its surroundings and the dictionary.
+    always reported. A string of 12 or more characters within ``AROUND``
+    characters of a context word, before or after it and across lines, is also
+    reported (``novel``) when it takes at least ``rate`` compressed bytes per
+    character after its surroundings and the dictionary; so is what goes on
+    from such a string over further lines, however many.
 
     Null text counts as empty: no spans, the digest of ''. Repeated rows are
     scanned each; an empty table gives no rows; other columns are not read."""
