@@ -52,6 +52,35 @@ void warning where while with write www yield example sample changeme placeholde
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000000000000000 xxxxxxxxxxxxxxxxxxxx
 """
 
+# Prose that goes before the surroundings of strings of one class
+# (letters of one case, capitalised, or no letters), so that common words and
+# the letters of prose are cheap to the compressor and only the rest is not.
+COMMON = """
+The administration and the government of the country have announced an international programme for the development of
+information and communication technology, which is responsible for the understanding of environmental conditions,
+particularly the relationship between organisations and their representatives. Nevertheless, the documentation
+describes the configuration, implementation, authentication, authorisation and requirements of applications; the
+following instructions are straightforward, although responsibilities, characteristics, opportunities and
+recommendations sometimes require investigation, interpretation, transformation or acknowledgement. Everything should
+have been considerably more comfortable, immediately available, professional, educational, experimental, mathematical
+and philosophical; misunderstanding, unfortunately, is extraordinary. Manufacturing infrastructure, pharmaceutical
+laboratories, telecommunications, electromagnetic measurement, internationalisation.
+Die Verwaltung und die Entwicklung der Gesellschaft haben sich zwischen verschiedenen Wissenschaften verändert; die
+Geschwindigkeit, die Verantwortung, die Bundesregierung und das Verfassungsgericht sind selbstverständlich
+unterschiedlich, wahrscheinlich ausgezeichnet, grundsätzlich verständlich, möglicherweise Zusammenarbeit,
+Veröffentlichung, Unterstützung, Wirtschaftlichkeit, Begrenzung und Einrichtungen.
+Le gouvernement et le développement de la connaissance sont généralement indépendants; malheureusement, les
+renseignements, l'environnement, l'établissement, la reconnaissance et les caractéristiques administratives restent
+particulièrement extraordinaires, immédiatement, quelquefois, aujourd'hui.
+El gobierno y el desarrollo de las comunicaciones internacionales son responsabilidad de la administración;
+desafortunadamente, el conocimiento, el funcionamiento, la investigación, las características y los establecimientos
+son especialmente independientes, inmediatamente, aproximadamente.
+THE FOLLOWING INFORMATION IS CONFIDENTIAL AND REQUIRES AUTHENTICATION, CONFIGURATION, AUTHORISATION AND DOCUMENTATION
+FOR INTERNATIONAL ADMINISTRATION 2023-12-31 1970 1999 2000 2010 2024 123456789 0123456789 1000000 -------- ========
+........ ________ ////////
+"""
+UPPER = COMMON + DICTIONARY.upper()
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, in order of start, then kind."""
@@ -80,11 +109,16 @@ class Novelty:
         return size / max(1, len(added))
 
 
-def _mixed(s: str) -> bool:
-    """A digit next to letters, or upper case inside a word: not a word of prose."""
+def primer(s: str) -> str:
+    """What the compressor reads before the surroundings of ``s``: nothing for
+    mixed strings (a digit next to letters, upper case inside a word), common
+    words for strings of one class, with the identifiers in upper case if all
+    their letters are."""
     body = s.strip(".=-_/+")
     letters, digits = any(c.isalpha() for c in body), any(c.isdigit() for c in body)
-    return (letters and digits) or (body[1:] != body[1:].lower() and body != body.upper())
+    if (letters and digits) or (body[1:] != body[1:].lower() and body != body.upper()):
+        return ""
+    return UPPER if letters and body == body.upper() else COMMON
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -124,8 +158,8 @@ def all_spans(text: str, novelty: Novelty, rate: float = NOVEL_RATE) -> tuple[li
     def novel(a: int, b: int) -> bool:
         if any(s < b and a < e for s, e, _ in base):
             return False
-        around = text[max(0, a - AROUND):a] + text[b:b + AROUND]
-        return _mixed(text[a:b]) and novelty.rate(around, text[a:b]) >= rate
+        around = primer(text[a:b]) + text[max(0, a - AROUND):a] + text[b:b + AROUND]
+        return novelty.rate(around, text[a:b]) >= rate
 
     for a, b, parts in candidates(text):
         found = [p for p in parts if novel(*p)] or ([(a, b)] if novel(a, b) else [])
@@ -150,7 +184,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     characters of a context word, before or after it and across lines, is also
     reported (``novel``) when it takes at least ``rate`` compressed bytes per
     character after its surroundings and the dictionary; so is what goes on
-    from such a string over further lines, however many.
+    from such a string over further lines, however many. Strings of any make-up
+    are measured (``primer``), but not those next to an ``@``: mail addresses.
 
     Null text counts as empty: no spans, the digest of ''. Repeated rows are
     scanned each; an empty table gives no rows; other columns are not read."""

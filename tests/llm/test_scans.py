@@ -124,6 +124,20 @@ def test_context_reaches_both_ways_and_over_lines():
     assert found("client_key=Zx81mQpV93LtRs0BnW5c") == ["=Zx81mQpV93LtRs0BnW5c"]
 
 
+def test_strings_of_one_class_are_measured():
+    novelty = S.Novelty()
+    found = lambda t: [t[a:b] for a, b, k in S.all_spans(t, novelty)[1] if k == "novel"]
+    for value in ("qwzxkvjplmtrbnsdhg", "QWZXKVJPLMTRBNSDHGYC", "Qwzxkvjplmtrbnsdhg", "83749502718364950271", "JBSWYDPEHPKPXPQT"):
+        assert found(f"bearer {value}") == [value], value
+    for prose in ("the bearer has responsibilities and Unterstützung", "AUTHENTICATION AND AUTHORISATION BY private key", "credential ------------------"
+                  " 000000000000 ================", "bearer abcdefghijklmnopqrstuvwxyz"):
+        assert found(prose) == [], prose
+    rng = np.random.default_rng(7)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz", 0.85), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.95), ("0123456789", 0.95)):
+        values = ["".join(rng.choice(list(letters), 24)) for _ in range(200)]
+        assert sum(found(f"and the private key is {v} here") == [v] for v in values) >= least * 200
+
+
 def test_secret_scan_rows(sf001, rows, empty, clashing):
     got = S.scan_secrets(sf001[0]).collect()
     want = sorted((str(i), hashlib.sha256(S.joined(brute_base(t or "")).encode()).hexdigest()) for i, t, _ in rows)
