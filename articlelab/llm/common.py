@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from articlelab.session import ensure_checkpoint_dir, materialize, scratch_path, ship_package
 
-__all__ = ["prepare", "table", "materialize", "scratch_path", "unit_hash", "small_lookup", "text_or_empty"]
+__all__ = ["prepare", "table", "materialize", "scratch_path", "unit_hash", "small_lookup", "text_or_empty", "value_bytes"]
 
-#: A lookup table is broadcast only below this many rows; a row of a lookup
-#: table holds one key and a few numbers, so this stays under 100 MB.
+#: A lookup table is broadcast only up to this many rows and this many bytes,
+#: both measured: keys and values may be texts of any length.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a value or of a row besides its text.
+VALUE_BYTES = 16
 #: Beyond it the lookup is a shuffle join whose key is spread over this many salts.
 LOOKUP_SALTS = 64
 
@@ -39,18 +42,26 @@ def unit_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def value_bytes(text: Column) -> Column:
+    """Bytes that a text takes in a lookup table; null: none but the overhead."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(VALUE_BYTES)
+
+
 def small_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], salt_by: Column | None = None) -> DataFrame:
-    """Left join of ``lookup`` (one row per key, nulls match nulls).
+    """Left join of ``lookup`` (one row per key, nulls match nulls; texts and
+    numbers, no lists: those have no bound on their bytes here).
 
-    The lookup is counted first. Up to ``BROADCAST_ROWS`` rows it is
-    broadcast, so no row of ``big`` moves. A larger one is copied once per
+    The lookup is measured first. Up to ``BROADCAST_ROWS`` rows and
+    ``BROADCAST_BYTES`` it is broadcast, so no row of ``big`` moves. A larger one is copied once per
     salt and joined on (keys, salt): a key that holds a third of ``big`` is
     then met by ``LOOKUP_SALTS`` tasks."""
     right = lookup.select(*[F.col(k).alias(f"_l_{k}") for k in keys],
                           *[c for c in lookup.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [big[k].eqNullSafe(right[f"_l_{k}"]) for k in keys])
     drop = [f"_l_{k}" for k in keys]
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = reduce(lambda a, b: a + b, [value_bytes(right[c]) if t == "string" else F.lit(VALUE_BYTES) for c, t in right.dtypes])
+    n, n_bytes = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES:
         return big.join(F.broadcast(right), on, "left").drop(*drop)
     by = salt_by if salt_by is not None else F.monotonically_increasing_id()
     big = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(LOOKUP_SALTS)))

@@ -161,6 +161,28 @@ def test_lines_over_the_ratio_go(spark):
     assert line_dedup.site_line_dedup(pages.limit(0)).count() == 0
 
 
+def test_boilerplate_beyond_the_bytes_of_a_broadcast(spark, monkeypatch):
+    from articlelab.llm import common
+    long = "long line " * 200
+    pages = [(i, f"http://h{i % 4}.example/{i}", f"<p>menu</p><p>{long}{i % 4}</p><p>story {i}</p><p>menu</p><p>part {i % 8}</p>") for i in range(64)]
+    pages += pages[:5] + [(0, "http://h0.example/other", "<p>menu</p>"), (100, None, None), (100, None, ""), (None, "http://h1.example", "<p>menu</p>x"),
+                          (None, "http://h1.example", "<p>menu</p>x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    lines = lambda h: [x.strip() for x in re.split(r"<[^>]*>|[\r\n]+", h or "") if x.strip()]
+    host = lambda u: (u or "://").split("://")[1].split("/")[0]
+    n, of = Counter(host(u) for _, u, _ in pages), Counter((host(u), x) for _, u, h in pages for x in set(lines(h)))
+    want = Counter()
+    for i, u, h in pages:
+        kept = [x for x in lines(h) if not (of[host(u), x] >= 3 and of[host(u), x] / n[host(u)] > 0.1)]
+        want[i, host(u), len(lines(h)), len(lines(h)) - len(kept), "\n".join(kept)] += 1
+    for budget in (1 << 20, 4000, 0):  # all, some, none of the lists by broadcast
+        monkeypatch.setattr(common, "BROADCAST_BYTES", budget, raising=False)
+        out = line_dedup.site_line_dedup(df)
+        assert Counter(map(tuple, out.collect())) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (budget <= 4000)
+
+
 def test_large_lookups_join_by_salt(spark, monkeypatch):
     from articlelab.llm import common
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
