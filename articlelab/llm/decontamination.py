@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from articlelab.llm.common import materialize
 
 WINDOW = 13
-#: Benchmark text indexed at a time; a larger benchmark takes several passes.
+#: Benchmark text, and windows of it, indexed at a time; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
+BLOCK_WINDOWS = 250_000
+#: What ``words_of`` finds, before its change of case.
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: A-Z become a-z; digits, a-z and all bytes of non-ASCII characters are kept; the rest separates words.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -104,16 +107,28 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def segments(items: DataFrame, window: int, most: int) -> DataFrame:
+    """``item, text, windows``: items of over ``most`` windows in overlapping
+    segments of at most that many, which have the same windows together."""
+    words = F.coalesce(F.regexp_extract_all(F.col("text").cast("string"), F.lit(_WORDS), F.lit(0)), F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - window, F.lit(0)), F.lit(most))
+    cut = items.select("item", words.alias("_w")).select("item", "_w", F.explode(starts).alias("_at"))
+    own = F.slice("_w", F.col("_at") + 1, F.lit(most + window - 1))
+    return cut.select("item", F.array_join(own, " ").cast("binary").alias("text"), F.greatest(
+        F.when(F.size(own) > 0, 1).otherwise(0), F.size(own) - window + 1).cast("long").alias("windows"))
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                   block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, carry: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document row: ``_id, _n_words, _starts, _ends`` (hit word spans,
     end exclusive) and ``_items`` (ids as strings); with ``carry`` also all
     columns of ``docs``, as ``_c0, _c1, ...``.
 
     Documents are scanned where they are: no shuffle. The window index of the
-    benchmark is broadcast to them; its text is measured first and, beyond
-    ``block_bytes``, dealt over several passes, each written before the next.
+    benchmark is broadcast to them; its text and windows are measured first and,
+    beyond ``block_bytes`` or ``block_windows``, dealt over several passes (long
+    items in segments), each written before the next.
 
     Null or wordless texts have no words and no hits; a null item id is the
     string 'null'; items without words have no windows; an empty benchmark hits
@@ -121,14 +136,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
                              F.col(item_text_col).cast("string").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
-    passes = max(1, math.ceil(total / block_bytes))
+    items = segments(items, window, max(1, block_windows // 16))
+    total, windows = items.agg(F.sum(F.octet_length("text")), F.sum("windows")).first()
+    passes = max(1, math.ceil((total or 0) / block_bytes), math.ceil((windows or 0) / block_windows))
     state = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_t"),
                         *[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns if carry else [])])
     state = state.withColumns({"_n_words": F.lit(0).cast("long"), "_starts": F.array().cast("array<int>"),
                                "_ends": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     for k in range(passes):
-        block = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
+        block = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         index = spark.sparkContext.broadcast(WindowIndex([(r["item"], r["text"]) for r in block.collect()], window))
 
         def scan(batches, index=index):

@@ -69,6 +69,40 @@ def test_hits_on_documents(spark, sf001, rows, block_bytes):
     assert sorted((str(r["_id"]), r["_n_words"], r["_n_hit"], r["_items"], r["_contaminated"]) for r in got) == want
 
 
+def test_passes_are_bounded_by_windows(spark, sf001, rows, monkeypatch):
+    built = []
+    plain = D.WindowIndex.__init__
+
+    def counted(self, items, window):
+        plain(self, items, window)
+        built.append(sum(len(b) for s in self.searchers for b in s.suffix.values()))
+
+    monkeypatch.setattr(D.WindowIndex, "__init__", counted)
+    texts = [t for _, t, _ in rows if t and len(t) < 50_000]
+    long = " ".join(f"w{i} x{i % 89}" for i in range(15_000))  # one item of many passes
+    items = [(1, long + " " + texts[3]), (2, texts[5]), (3, "two words"), (4, ""), (5, None), (6, " ".join(f"q{i}" for i in range(13)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows if t in texts[:40]] + [(-1, long[5000:90_000]), (-2, "two  Words!")], "doc_id long, text string")
+    got = sorted((r["_id"], r["_n_hit"], r["_items"]) for r in D.contamination(D.benchmark_hits(docs.filter("doc_id is not null"), bench)).collect())
+    assert len(built) == 1
+    cut = sorted((r["_id"], r["_n_hit"], r["_items"]) for r in D.contamination(
+        D.benchmark_hits(docs.filter("doc_id is not null"), bench, block_windows=8000)).collect())
+    assert cut == got and got[1][1] > 0
+    assert len(built) > 4 and max(built[1:]) < 2 * 8000
+
+
+def test_a_full_pass_fits_a_worker():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 60_000, D.BLOCK_WINDOWS)).encode()
+    tracemalloc.start()
+    index = D.WindowIndex([("a", text)])
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    print(f"index of a full pass: {size >> 20} MB of {len(text) >> 10} KB text")
+    assert sum(len(b) for b in index.searchers[0].suffix.values()) > 0.99 * D.BLOCK_WINDOWS and size < 400 << 20
+
+
 def test_remove_contaminated(spark, empty, clashing):
     bench = spark.createDataFrame([(1, "A b, c d e f g")], "item_id long, text string")
     out = D.remove_contaminated(clashing, bench)
