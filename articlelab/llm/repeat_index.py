@@ -209,21 +209,22 @@ def _pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``f, h, hot, piece``: the bytes of the wanted pieces (``k, c, list``)."""
+    """``f, h, hot, twice, piece``: the bytes of the wanted pieces (``k, c, list``)."""
 
     def run(batches):
         for batch in batches:
-            f, h, hot, piece = [], [], [], []
+            f, h, hot, twice, piece = [], [], [], [], []
             for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for p in places:
                     f.append(p["f"])
                     h.append(p["h"])
                     hot.append(p["hot"])
+                    twice.append(p["twice"])
                     piece.append(text[p["at"]:p["at"] + p["n"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(h, pa.int64()), pa.array(hot, pa.bool_()), pa.array(piece, pa.binary())],
-                                             names=["f", "h", "hot", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(h, pa.int64()), pa.array(hot, pa.bool_()), pa.array(twice, pa.bool_()),
+                                              pa.array(piece, pa.binary())], names=["f", "h", "hot", "twice", "piece"])
 
-    return docs.join(wanted, ["k", "c"]).select("t", "list").mapInArrow(run, "f long, h long, hot boolean, piece binary")
+    return docs.join(wanted, ["k", "c"]).select("t", "list").mapInArrow(run, "f long, h long, hot boolean, twice boolean, piece binary")
 
 
 SPANS = "array<struct<a:int,b:int>>"
@@ -236,10 +237,13 @@ def _spans_array(spans: list) -> pa.Array:
 
 def _indexed(pieces: DataFrame, length: int, index_bytes: int) -> DataFrame:
     """``f, h, spans`` of pieces that share strings with other pieces of their
-    anchor (or within themselves): partitions by anchor, one index after another."""
+    anchor (or within themselves): partitions by anchor, one index after another.
+    A piece that occurs more than once (``twice``) stands in its index twice, so
+    that it finds its copy there."""
 
     def flush(rows):
-        spans = RunLengthIndex([p for _, _, p in rows]).repeats(length)
+        copies = [p for _, _, twice, p in rows if twice]
+        spans = RunLengthIndex([p for *_, p in rows] + copies).repeats(length)[:len(rows)]
         keep = [i for i, s in enumerate(spans) if s]
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[i][0] for i in keep], pa.int64()), pa.array([rows[i][1] for i in keep], pa.int64()), _spans_array([spans[i] for i in keep])],
@@ -248,16 +252,16 @@ def _indexed(pieces: DataFrame, length: int, index_bytes: int) -> DataFrame:
     def run(batches):
         rows, size, last = [], 0, None
         for batch in batches:
-            for f, h, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for f, h, twice, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if f != last and size >= index_bytes:
                     yield flush(rows)
                     rows, size = [], 0
-                rows.append((f, h, piece))
-                size, last = size + len(piece), f
+                rows.append((f, h, twice, piece))
+                size, last = size + len(piece) * (1 + twice), f
         if rows:
             yield flush(rows)
 
-    return pieces.select("f", "h", "piece").repartition("f").sortWithinPartitions("f").mapInArrow(run, f"f long, h long, spans {SPANS}")
+    return pieces.select("f", "h", "twice", "piece").repartition("f").sortWithinPartitions("f").mapInArrow(run, f"f long, h long, spans {SPANS}")
 
 
 def _single_strings(pieces: DataFrame, length: int) -> DataFrame:
@@ -302,15 +306,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     1. Pieces whose anchor occurs once are dropped (partial counts, then a
        join that can split a hot anchor).
-    2. Equal pieces fold into one with its multiplicity: a piece that occurs
-       twice matches itself elsewhere in full.
-    3. Anchors with several different pieces go to run-length indexes, whose
-       matching statistics mark the shared strings; anchors with over
-       ``hot_pieces`` different pieces are cut to single strings instead.
+    2. Equal pieces fold into one with its multiplicity.
+    3. Anchors with several pieces go to run-length indexes, two copies of a
+       piece that occurs more than once; their matching statistics mark the
+       shared strings. Anchors with over ``hot_pieces`` different pieces are cut
+       to single strings instead, and their pieces that occur twice are whole.
     4. Spans return to all occurrences of their piece and to the documents.
 
-    Texts move once (both joins use one exchange); pieces move only where an
-    anchor has different ones. Matches never cross documents. Null text counts
+    Texts move once (both joins use one exchange); of equal pieces one moves. Matches never cross documents. Null text counts
     as empty; texts shorter than ``length`` have no spans; rows that repeat id and text
     repeat each other in full; null ids are allowed; an empty table gives
     no rows; other columns are not read."""
@@ -324,13 +327,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = materialize(found.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("f").alias("_f")), "repeat-anchors")
     found = materialize(found.join(often, F.col("f") == F.col("_f")).drop("_f"), "repeat-pieces")
     classes = materialize(found.groupBy("f", "h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "c", "at", "n")).alias("one")), "repeat-classes")
-    several = materialize(classes.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+    several = materialize(classes.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).select(
         F.col("f").alias("_f"), (F.col("_n") > hot_pieces).alias("hot")), "repeat-several")
-    open_ = classes.join(several, F.col("f") == F.col("_f")).select("f", "h", "hot", "one.*")
-    wanted = open_.groupBy("k", "c").agg(F.collect_list(F.struct("f", "h", "hot", "at", "n")).alias("list"))
+    open_ = classes.join(several, F.col("f") == F.col("_f")).select("f", "h", "hot", (F.col("times") > 1).alias("twice"), "one.*")
+    wanted = open_.groupBy("k", "c").agg(F.collect_list(F.struct("f", "h", "hot", "twice", "at", "n")).alias("list"))
     cut = materialize(_cut(rows, wanted, length), "repeat-cuts")
     marks = _indexed(cut.filter("not hot"), length, index_bytes).unionByName(_single_strings(cut.filter("hot"), length))
-    whole = classes.filter("times > 1").select("f", "h", F.array(F.struct(
+    hot = several.filter("hot").select("_f")
+    whole = classes.filter("times > 1").join(hot, F.col("f") == F.col("_f")).select("f", "h", F.array(F.struct(
         F.lit(0).alias("a"), (F.col("one.n") + length - 1).cast("int").alias("b"))).cast(SPANS).alias("spans"))
     marks = marks.unionByName(whole).select(F.col("f").alias("_f"), F.col("h").alias("_h"), "spans")
     hits = found.join(marks, (F.col("f") == F.col("_f")) & (F.col("h") == F.col("_h"))).select(

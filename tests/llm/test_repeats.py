@@ -49,6 +49,17 @@ def test_matching_statistics(strings, length):
     assert sum(index.lengths) == index.n
 
 
+def test_copies_are_marked_by_the_index(spark, monkeypatch):
+    """Without the index (no match is long enough) nothing is found, equal texts included."""
+    text = "".join(f"word {i * i} and " for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "ab" * 300), (4, "nothing of it")], "doc_id long, text string")
+    spans = lambda: {r["doc_id"]: list(zip(r["starts"], r["ends"])) for r in R.repeated_spans(docs).collect()}
+    assert spans() == {1: [(0, len(text))], 2: [(0, len(text))], 3: [(0, 600)], 4: []}
+    plain = R._indexed
+    monkeypatch.setattr(R, "_indexed", lambda pieces, length, size: plain(pieces, length, size).limit(0))
+    assert not any(spans().values())
+
+
 def test_anchor_is_shared_by_equal_strings():
     rng = np.random.default_rng(1)
     common = rng.integers(97, 123, 260, np.uint8)
