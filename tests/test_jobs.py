@@ -9,7 +9,7 @@ from articlelab.operators import encode as EN
 from articlelab.plans import jobs as J
 from articlelab.sinks import writers as SK
 from articlelab.sources import tables as S
-from conftest import SF001
+from places import SF001
 
 
 @pytest.fixture(scope="module")

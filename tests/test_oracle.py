@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import canon, duck  # noqa: E402
-from conftest import SF01  # noqa: E402
+from places import SF01  # noqa: E402
 
 SQL = E.oracle_sql()
 

@@ -3,7 +3,7 @@ numbers never put data rows in one task, scans prune columns."""
 
 import __spark_entry__ as E
 from articlelab.plans.queries import QUERIES
-from conftest import SF01
+from places import SF01
 
 
 def plan(df) -> str:

@@ -11,7 +11,7 @@ from articlelab.operators import keys as K
 from articlelab.operators import metrics as M
 from articlelab.operators import sampling as D
 from articlelab.sources import tables as S
-from conftest import SF01
+from places import SF01
 
 
 def test_split_is_exact_partition(spark):

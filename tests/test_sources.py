@@ -21,7 +21,7 @@ from articlelab.operators import vocab as W
 from articlelab.sinks import writers as SK
 from articlelab.sources import files as FS
 from articlelab.sources import tables as S
-from conftest import SF001
+from places import SF001
 
 
 def test_tolerant_csv(spark, tmp_dir):

@@ -10,7 +10,7 @@ from articlelab.operators import vectors as V
 from articlelab.operators.rows import explode_rows
 from articlelab.streaming import incremental as ST
 from articlelab.sources import tables as S
-from conftest import SF001
+from places import SF001
 
 
 def _embed(batch):

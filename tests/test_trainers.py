@@ -10,7 +10,7 @@ from articlelab.session import scratch_path
 from articlelab.sources import tables as S
 from articlelab.train import networks as NN
 from articlelab.train import samme as SA
-from conftest import SF001, SF01
+from places import SF001, SF01
 
 
 @pytest.mark.parametrize("cls", [NN.SoftmaxRegression, NN.SimpleMLP])
