@@ -69,3 +69,103 @@ SELECT d.doc_id, d.size, x.source_size, x.target,
         < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * d.size AS taken
 FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """
+
+ORACLE["op12_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+              lambda x: [CAST(unicode(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+            lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)) AS crc
+  FROM documents),
+f AS (
+  SELECT doc_id, lang,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    CAST(n_chars AS VARCHAR) AS own,
+    CAST(n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS found,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM d),
+h AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(own) || ':' || own, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen(found) || ':' || found, '-') || tail) AS changed FROM f),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS total FROM h),
+nodes AS (
+  SELECT lang, 0 AS level, pos, leaf AS digest, total FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (total + 1) // 2
+  FROM nodes WHERE total > 1 GROUP BY lang, level, pos // 2, total),
+subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS total
+  FROM nodes WHERE total = 1),
+tops AS (
+  SELECT 0 AS level, pos, subroot AS digest, total FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (total + 1) // 2
+  FROM tops WHERE total > 1 GROUP BY level, pos // 2, total),
+above AS (
+  SELECT s.lang, list(CASE WHEN t.digest IS NULL THEN '-' WHEN (s.pos >> l.level) % 2 = 1 THEN 'L' || t.digest ELSE 'R' || t.digest END ORDER BY l.level) AS steps
+  FROM subroots s JOIN (SELECT DISTINCT level FROM tops WHERE total > 1) l ON true
+  LEFT JOIN tops t ON t.level = l.level AND t.pos = xor(s.pos >> l.level, 1::BIGINT)
+  GROUP BY s.lang),
+within AS (
+  SELECT p.doc_id, p.lang, p.leaf, p.pos, any_value(p.changed) AS changed,
+    list(CASE WHEN n.digest IS NULL THEN '-' WHEN (p.pos >> l.level) % 2 = 1 THEN 'L' || n.digest ELSE 'R' || n.digest END ORDER BY l.level)
+      FILTER (WHERE l.level IS NOT NULL) AS steps
+  FROM leaves p LEFT JOIN (SELECT DISTINCT lang, level FROM nodes WHERE total > 1) l ON l.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN nodes n ON n.lang IS NOT DISTINCT FROM p.lang AND n.level = l.level AND n.pos = xor(p.pos >> l.level, 1::BIGINT)
+  GROUP BY p.doc_id, p.lang, p.leaf, p.pos),
+proofs AS (
+  SELECT w.*, s.subroot, list_concat(coalesce(w.steps, []), coalesce(a.steps, [])) AS proof
+  FROM within w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang LEFT JOIN above a ON a.lang IS NOT DISTINCT FROM w.lang),
+folded AS (
+  SELECT *, (SELECT digest FROM tops WHERE total = 1) AS root,
+    list_reduce(list_prepend(changed, proof), lambda a, s: CASE WHEN s[1] = 'L' THEN sha256(substr(s, 2) || a)
+      WHEN s[1] = 'R' THEN sha256(a || substr(s, 2)) ELSE sha256(a) END) AS folded_root
+  FROM proofs)
+SELECT doc_id, leaf, subroot, root,
+  sha256(coalesce(array_to_string(list_transform(proof, lambda s: substr(s, 2)), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+ORACLE["op13_url_filter"] = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, coalesce(html, '') AS html,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+rules(verdict, name, start) AS (VALUES
+  ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (
+  SELECT p.page_id, p.host, p.path, max_by(name || start, length(name || start)) AS rule, max_by(verdict, length(name || start)) AS verdict
+  FROM (SELECT DISTINCT page_id, host, path FROM p) p
+  JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY ALL),
+judged AS (
+  SELECT p.*, f.rule, f.verdict FROM p LEFT JOIN fits f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.host AND p.path = f.path),
+seeds AS (
+  SELECT host, unnest(['trust', 'distrust']) AS kind,
+         unnest([avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END), avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END)]) AS seed
+  FROM judged WHERE host <> '' GROUP BY host),
+links AS (
+  SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html,
+    '(?i)\b(?:href|src|action)\s{0,9}=\s{0,9}["'']?\s{0,9}(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#"''<>\s]{1,255})', 1),
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS dst FROM p WHERE host <> ''),
+edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst GROUP BY src, dst),
+flows AS (
+  SELECT 'trust' AS kind, src AS source, dst AS target, 0.85 * n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'distrust', dst, src, 0.85 * n / sum(n) OVER (PARTITION BY dst) FROM edges
+  UNION ALL SELECT kind, '', host, 0.15 * seed FROM seeds WHERE seed > 0
+  UNION ALL SELECT kind, '', '', 1.0 FROM (VALUES ('trust'), ('distrust')) k(kind)),
+scores AS (
+  SELECT 0 AS step, kind, target AS host, share AS score FROM flows WHERE source = ''
+  UNION ALL
+  SELECT step + 1, s.kind, f.target, sum(s.score * f.share) FROM scores s JOIN flows f ON f.kind = s.kind AND f.source = s.host
+  WHERE step < 20 GROUP BY step, s.kind, f.target),
+hosts AS (
+  SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust
+  FROM scores WHERE step = 20 AND host <> '' GROUP BY host)
+SELECT j.page_id, j.host, j.path, j.rule,
+  coalesce(j.verdict, CASE WHEN h.distrust >= 0.5 * 0.15 AND h.distrust > h.trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN hosts h ON j.host = h.host
+"""

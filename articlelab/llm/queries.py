@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articlelab.llm import decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, repeat_index, secret_scan, sharding, token_files
+from articlelab.llm import (
+    decontamination, exact_dedup, line_dedup, manifest, mixing, near_dedup, quality, repeat_index, secret_scan, sharding, token_files, url_filter, whitening)
 from articlelab.llm.common import materialize, prepare, scratch_path, table
 
 
@@ -84,5 +85,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened on up to eight components of their covariance."""
+    prepare(spark)
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of the documents, and which rows a change of n_chars betrays."""
+    prepare(spark)
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                             changed={"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page: the longest rule's, else by its host's trust and distrust."""
+    prepare(spark)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_repeat_index, op2_quality, op3_decontamination, op4_kd_sharding, op5_near_dedup, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing)}
+    op1_repeat_index, op2_quality, op3_decontamination, op4_kd_sharding, op5_near_dedup, op6_token_files, op7_secret_scan, op8_line_dedup, op9_exact_dedup, op10_mixing,
+    op11_whitening, op12_manifest, op13_url_filter)}
