@@ -56,10 +56,13 @@ class CachedTokenizer:
 
     The vocabulary's splitting never joins characters across white space, nor a
     letter with ASCII punctuation after it, so a text's ids are those of its
-    words one after another. Case and composed forms are settled on the whole
-    text first, as the tokenizer's own normaliser does per character. Texts that hold
-    a special token's first characters or separators that Python and the
-    tokenizer see differently are encoded whole by the tokenizer."""
+    words one after another. The tokenizer composes a word, then lower-cases it.
+    Most words are treated alike here first; one that holds a mark (or the letter
+    whose lower case has one, or a character unknown to Python) goes to the
+    tokenizer as it was read: what a change of case leaves must not be composed
+    again, and the two may order marks differently. Texts that hold a special
+    token's first characters or separators that Python and the tokenizer see
+    differently are encoded whole by the tokenizer."""
 
     WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
     TAIL = re.compile(r"[.,!?;:|%$&*#]+\Z")
@@ -70,6 +73,7 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache = _Filled(self._word)
+        self.read = _Filled(self._as_read)
         self.cores: dict[str, bytes] = {}
         self.limit = cache_words
         self.to_marks = _byte_marks()
@@ -105,13 +109,25 @@ class CachedTokenizer:
             self.cache.clear()
         return got
 
+    def _as_read(self, word: str) -> bytes:
+        """Ids of a word before any change of form or case."""
+        if word.isascii():
+            got = self.cache[word.lower()]
+        elif any(c == "İ" or unicodedata.category(c)[0] in "MC" for c in word):
+            got = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        else:
+            got = self.cache[unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()]
+        if len(self.read) >= self.limit:
+            self.read.clear()
+        return got
+
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
         if any(w in text for w in self.WHOLE):
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return b"".join(map(self.cache.__getitem__, text.lower().split()))
+        if text.isascii():
+            return b"".join(map(self.cache.__getitem__, text.lower().split()))
+        return b"".join(map(self.read.__getitem__, text.split()))
 
 
 class _Filled(dict):

@@ -1,5 +1,7 @@
 """Decontamination, secret scan, token files and quality against plain versions."""
 
+import random
+import unicodedata
 import hashlib
 import re
 import struct
@@ -181,7 +183,8 @@ def test_secret_scan_rows(sf001, rows, empty, clashing):
 
 
 ODD = ["it's don't 's x's, 's't", "ΑΣ Σας x<|endoftext|>y <|ENDOFTEXT|>", "a\x1cb c d", "É ȩ́ Å Ω K ﬁ",
-       "12ab34 1,234.5", "... '' word', ’s", "你好。ñ,ñ. naïve's", "İstanbul ǅ ß ẞ", "a|b|| %%%*** x%%%", "", " \n"]
+       "12ab34 1,234.5", "... '' word', ’s", "你好。ñ,ñ. naïve's", "İstanbul ǅ ß ẞ", "a|b|| %%%*** x%%%", "", " \n",
+       "T\u0308u J\u030c W\u030a. Y\u030a, H\u0331 T\u0344 \u0130\u033b", "\u0985\u09fe\u09bc \u1112\u1161\u11ab A\u030a\u0301x \u0378q"]
 
 
 def test_tokens_equal_the_library(rows):
@@ -197,6 +200,28 @@ def test_tokens_equal_the_library_on_odd_texts(text):
     assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("TJWYHİéΣ \u0308\u030c\u030a\u0331\u0344\u033b\u0985\u09fe\u09bc\u1112\u1161\u11ab"), max_size=12))
+def test_tokens_equal_the_library_on_decomposed_texts(text):
+    own = T.tokenizer_at(T.default_tokenizer())
+    assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_equal_the_library_over_all_code_points():
+    """Short words of any characters, a quarter of them marks; and every character alone and before a mark."""
+    own = T.tokenizer_at(T.default_tokenizer())
+    every = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) != "Cs"]
+    marks = [c for c in every if unicodedata.category(c)[0] == "M"]
+    named = [c for c in every if unicodedata.category(c) not in ("Cn", "Co")]
+    cased = [c for c in named if c.lower() != c]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(marks) if rng.random() < 0.25 else rng.choice(named) for _ in range(rng.randint(1, 8))) for _ in range(20_000)]
+    texts += [c + rng.choice(marks) for c in cased for _ in range(5)]
+    texts += [" ".join(named[i:i + 50]) for i in range(0, len(named), 50)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, [hex(ord(c)) for c in text]
+
+
 def test_token_files_round_trip(spark, sf001, rows):
     folder = scratch_path(spark, "ids-test")
     written = T.write_token_files(sf001[0], folder, frame_ids=2000)
