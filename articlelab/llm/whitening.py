@@ -378,15 +378,16 @@ def whiten(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     meant for vectors of some thousand entries at most.
 
     Five scans of the two columns (length, updates, Rayleigh-Ritz, check, result);
-    rows are never gathered, only spectra are."""
+    rows are never gathered, only spectra are. The updates are the costly one: a
+    table of few files is dealt over more tasks for it."""
     spark = df.sparkSession
-    rows = spread(df.select(F.col(id_col), F.col(vector_col)))
+    rows = df.select(F.col(id_col), F.col(vector_col))
     kind = rows.schema[id_col].dataType.simpleString()
     out = f"`{id_col}` {kind}, {OUT}"
     width = vector_width(df, vector_col)
     if not width:
         return spark.createDataFrame([], out)
-    model = refine(rows, vector_col, fit_spectrum(rows, vector_col, width))
+    model = refine(rows, vector_col, fit_spectrum(spread(rows), vector_col, width))
     k = min(components, width)
     error = identity_error(rows, vector_col, model, k)
     trace = float(model.values.sum())

@@ -1,10 +1,10 @@
 """Decontamination, secret scan, token files and quality against plain versions."""
 
-import random
-import unicodedata
 import hashlib
+import random
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
