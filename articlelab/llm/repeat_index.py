@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from articlelab.llm.common import materialize
 
 LENGTH, GRAM = 200, 64
-#: Bytes of text that one index covers; anchors stay whole.
-INDEX_BYTES = 2 << 20
-#: Different pieces of an anchor beyond which it is cut to single strings.
-HOT_PIECES = 2048
+#: Bytes of text that one index covers; anchors stay whole. Sorting its suffixes
+#: takes some 150 times as much memory.
+INDEX_BYTES = 1 << 20
+#: Different pieces of an anchor that one index takes; more are parted by second anchors.
+MOST_PIECES = 2048
+#: Anchors of the first and of further rounds: bytes and seed. In the last round a string is its own anchor.
+ROUNDS = ((GRAM, 11), (GRAM, 21), (GRAM, 31), (LENGTH, 41))
 #: Strings whose anchors are chosen in one go (arrays of this size).
 CHUNK = 1 << 17
 _POS_BITS = np.uint64(19)
@@ -78,9 +81,9 @@ def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """Anchors and pieces of a text."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, seed: int = ROUNDS[0][1]):
         self.length, self.gram = length, min(gram, length)
-        self.hash = GramHash(self.gram, 11, CHUNK + length)
+        self.hash = GramHash(self.gram, seed, CHUNK + length)
 
     def pieces(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor hash, first string, number of strings) of every piece in order."""
@@ -104,87 +107,89 @@ class Anchors:
 class RunLengthIndex:
     """Run-length Burrows-Wheeler transform of a set of strings, with samples at run ends.
 
-    Strings are joined with a separator of its own after each, so no match
-    crosses. Kept are the run heads' characters, the run lengths, and for the
-    first and last row of every run its text position and its match with the row
-    before (after) it. Everything else follows: at a row inside a run, the match
-    is one shorter than at the text position before."""
+    Its rows are the suffixes of ``depth`` bytes or more, in order; a row's
+    character is the byte before the suffix, or a separator of the string's own.
+    A string that occurs several times counts so often in the lengths of its
+    runs, it is not laid out again. Kept are run heads, run lengths and, of the
+    rows at run ends, text position and match with the row beyond the end, where
+    it has ``depth`` bytes. Of a string that occurs more than once the first
+    suffix matches its copy in full. Everything else follows: at a row inside a
+    run the match is one shorter than at the text position before."""
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[bytes], times: list[int] | None = None, depth: int = 1):
         sizes = np.array([len(s) for s in strings], np.int64)
-        self.ends = np.cumsum(sizes + 1) - 1
+        times = np.ones(len(strings), np.int64) if times is None else np.asarray(times, np.int64)
+        self.depth, self.n = depth, int(sizes.sum())
+        self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        text = np.zeros(int(sizes.sum()) + len(strings), np.int64)
-        inside = np.ones(len(text), bool)
-        inside[self.ends] = False
-        text[inside] = np.frombuffer(b"".join(strings), np.uint8)
-        text[self.ends] = 256 + np.arange(len(strings))
-        self.n = len(text)
-        order, ranks = self._sort(text, int(sizes.max(initial=0)) + 1)
-        transform = text[order - 1]  # row 0's predecessor is the last separator
-        change = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]]))
-        self.heads, self.lengths = transform[change], np.diff(np.append(change, self.n))
-        last = np.append(change[1:], self.n) - 1
-        # a run's first row against the row before it, its last row against the row after it
-        first_rows, last_rows = change[change > 0], last[last < self.n - 1]
-        self.first_at, self.first_match = order[first_rows], self._common(ranks, order[first_rows], order[first_rows - 1])
-        self.last_at, self.last_match = order[last_rows], self._common(ranks, order[last_rows], order[last_rows + 1])
-
-    @staticmethod
-    def _sort(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Order of all suffixes by prefix doubling, and the ranks at each depth 1, 2, 4, ..."""
-        n, step, ranks = len(text), 1, [text.astype(np.int32)]
-        order = np.argsort(text, kind="stable")
-        while step < depth:
-            rank = ranks[-1].astype(np.int64)
-            second = np.zeros(n, np.int64)
-            second[:n - step] = rank[step:] + 1
-            key = rank * (int(rank.max()) + 2) + second
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.empty(n, np.int32)
-            new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-            ranks.append(new)
-            step *= 2
-        return order, ranks
-
-    @staticmethod
-    def _common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes ``a`` and ``b`` (different strings or places)."""
-        n, a, b, out = len(ranks[0]), a.copy(), b.copy(), np.zeros(len(a), np.int64)
-        for level in range(len(ranks) - 1, -1, -1):
-            same = (a < n) & (b < n)
-            same[same] = ranks[level][a[same]] == ranks[level][b[same]]
-            a[same] += 1 << level
-            b[same] += 1 << level
-            out[same] += 1 << level
+        joined = b"".join(strings)
+        text = np.frombuffer(joined, np.uint8)
+        rows = np.maximum(sizes - depth + 1, 0)
+        owner = np.repeat(np.arange(len(strings)), rows)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(rows) - rows, rows) + self.starts[owner]
+        suffixes = [joined[i:e] for i, e in zip(at.tolist(), self.ends[owner].tolist(), strict=True)]
+        order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
+        del suffixes
+        at, owner = at[order], owner[order]
+        transform = np.where(at == self.starts[owner], 256 + owner, text[at - 1]) if len(at) else at
+        change = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]])) if len(at) else at
+        self.heads = transform[change]
+        self.lengths = np.add.reduceat(times[owner], change) if len(at) else change
+        cut = change[1:]  # between two runs: the last row of one and the first of the next
+        match = self._common(joined, at[cut - 1], at[cut], self.ends[owner[cut - 1]], self.ends[owner[cut]])
+        long = match >= depth
+        twice = (times > 1) & (sizes >= depth)
+        self.sample_at = np.concatenate([at[cut - 1][long], at[cut][long], self.starts[twice]])
+        self.sample_match = np.concatenate([match[long], match[long], sizes[twice]])
+
+    def _common(self, joined: bytes, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of suffixes ``a`` and ``b``, which end where
+        their strings do; compared eight bytes at a time, those still equal."""
+        words = np.lib.stride_tricks.as_strided(np.frombuffer(joined + bytes(8), np.uint8), (len(joined) + 1, 8), (1, 1))
+        most = np.minimum(a_end - a, b_end - b)
+        out = np.zeros(len(a), np.int64)
+        on = np.arange(len(a))
+        while len(on):
+            equal = words[a[on] + out[on]] == words[b[on] + out[on]]
+            all_ = equal.all(axis=1)
+            out[on] = np.minimum(out[on] + np.where(all_, 8, equal.argmin(axis=1)), most[on])
+            on = on[all_ & (out[on] < most[on])]
         return out
 
     def matching_statistics(self) -> np.ndarray:
         """For every text position, the longest string from there that also
-        starts elsewhere: streamed over the text from the samples at run ends."""
-        best = np.zeros(self.n, np.int64)
-        for at, match in ((self.first_at, self.first_match), (self.last_at, self.last_match)):
-            sampled = np.full(self.n, -1, np.int64)
-            sampled[at] = match
-            place = np.where(sampled >= 0, np.arange(self.n), 0)
-            last = np.maximum.accumulate(place)
-            streamed = np.where(sampled[last] >= 0, sampled[last] - (np.arange(self.n) - last), 0)
-            np.maximum(best, streamed, out=best)
-        return best
-
-    def repeats(self, length: int) -> list[list[tuple[int, int]]]:
-        """Per string, the spans covered by strings of ``length`` bytes that occur twice."""
-        long = self.matching_statistics() >= length
-        edge = np.diff(np.concatenate([[False], long, [False]]).astype(np.int8))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts elsewhere, where that has ``depth`` bytes (else less): streamed
+        over the text from the samples."""
+        reach = np.zeros(self.n, np.int64)   # how far the match sampled at a position goes
+        np.maximum.at(reach, self.sample_at, self.sample_at + self.sample_match)
+        return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0)
+
+    def repeats(self) -> list[list[tuple[int, int]]]:
+        """Per string, the spans covered by strings of ``depth`` bytes that occur twice."""
+        long = self.matching_statistics() >= self.depth
+        border = np.zeros(self.n + 1, bool)   # before a string's first byte, after its last
+        border[self.starts] = border[self.ends] = True
+        begin = np.flatnonzero(long & (border[:-1] | ~np.concatenate([[False], long[:-1]])))
+        end = np.flatnonzero(long & (border[1:] | ~np.concatenate([long[1:], [False]]))) + 1
         out: list[list[tuple[int, int]]] = [[] for _ in self.starts]
-        owner = np.searchsorted(self.ends, begin)
+        owner = np.searchsorted(self.ends, begin, side="right")
         for k, a, b in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True):
-            out[k].append((int(a - self.starts[k]), int(b - 1 + length - self.starts[k])))
+            out[k].append((int(a - self.starts[k]), int(b - 1 + self.depth - self.starts[k])))
         return out
 
 
+def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``f``: the anchor hash of every piece."""
+
+    def run(batches):
+        own = Anchors(length, gram)
+        for batch in batches:
+            found = [own.pieces(np.frombuffer(text, np.uint8))[0] for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["f"])
+
+    return docs.select("t").mapInArrow(run, "f long")
+
+
 def _pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``f, h, k, c, at, n``: anchor hash, digest of the piece's bytes, document
     (``k, c``), first string and number of strings of every piece."""
@@ -209,22 +214,16 @@ def _pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``f, h, hot, twice, piece``: the bytes of the wanted pieces (``k, c, list``)."""
+    """``f, h, times, hot, piece``: the bytes of the wanted pieces (``k, c, list``)."""
 
     def run(batches):
         for batch in batches:
-            f, h, hot, twice, piece = [], [], [], [], []
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for p in places:
-                    f.append(p["f"])
-                    h.append(p["h"])
-                    hot.append(p["hot"])
-                    twice.append(p["twice"])
-                    piece.append(text[p["at"]:p["at"] + p["n"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(h, pa.int64()), pa.array(hot, pa.bool_()), pa.array(twice, pa.bool_()),
-                                              pa.array(piece, pa.binary())], names=["f", "h", "hot", "twice", "piece"])
+            rows = [(p["f"], p["h"], p["times"], p["hot"], text[p["at"]:p["at"] + p["n"] + length - 1])
+                    for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
+                (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["f", "h", "times", "hot", "piece"])
 
-    return docs.join(wanted, ["k", "c"]).select("t", "list").mapInArrow(run, "f long, h long, hot boolean, twice boolean, piece binary")
+    return docs.join(wanted, ["k", "c"]).select("t", "list").mapInArrow(run, "f long, h long, times long, hot boolean, piece binary")
 
 
 SPANS = "array<struct<a:int,b:int>>"
@@ -237,13 +236,11 @@ def _spans_array(spans: list) -> pa.Array:
 
 def _indexed(pieces: DataFrame, length: int, index_bytes: int) -> DataFrame:
     """``f, h, spans`` of pieces that share strings with other pieces of their
-    anchor (or within themselves): partitions by anchor, one index after another.
-    A piece that occurs more than once (``twice``) stands in its index twice, so
-    that it finds its copy there."""
+    anchor, with copies of themselves or within themselves: partitions by anchor,
+    one index of whole anchors after another."""
 
     def flush(rows):
-        copies = [p for _, _, twice, p in rows if twice]
-        spans = RunLengthIndex([p for *_, p in rows] + copies).repeats(length)[:len(rows)]
+        spans = RunLengthIndex([r[3] for r in rows], [r[2] for r in rows], length).repeats()
         keep = [i for i, s in enumerate(spans) if s]
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[i][0] for i in keep], pa.int64()), pa.array([rows[i][1] for i in keep], pa.int64()), _spans_array([spans[i] for i in keep])],
@@ -252,40 +249,63 @@ def _indexed(pieces: DataFrame, length: int, index_bytes: int) -> DataFrame:
     def run(batches):
         rows, size, last = [], 0, None
         for batch in batches:
-            for f, h, twice, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if f != last and size >= index_bytes:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[0] != last and size >= index_bytes:
                     yield flush(rows)
                     rows, size = [], 0
-                rows.append((f, h, twice, piece))
-                size, last = size + len(piece) * (1 + twice), f
+                rows.append(row)
+                size, last = size + len(row[3]), row[0]
         if rows:
             yield flush(rows)
 
-    return pieces.select("f", "h", "twice", "piece").repartition("f").sortWithinPartitions("f").mapInArrow(run, f"f long, h long, spans {SPANS}")
+    return pieces.select("f", "h", "times", "piece").repartition("f").sortWithinPartitions("f").mapInArrow(run, f"f long, h long, spans {SPANS}")
 
 
-def _single_strings(pieces: DataFrame, length: int) -> DataFrame:
-    """``f, h, spans`` for anchors with very many different pieces: each string of
-    a piece is dealt by its own 128-bit hash, counted with partial sums, and
-    those that occur twice come back. Linear in the strings, no group is gathered."""
+def _parted(pieces: DataFrame, length: int, gram: int, seed: int) -> DataFrame:
+    """Pieces of anchors with very many of them, cut again by second anchors:
+    ``f, h`` (of the cut piece; ``f`` from both anchors), ``of_f, of_h, at, times, piece``.
+    Equal strings choose equal second anchors too."""
 
-    def strings(batches):
-        one, two = GramHash(length, 12, CHUNK), GramHash(length, 13, CHUNK)
+    def run(batches):
+        own = Anchors(length, gram, seed)
         for batch in batches:
-            columns = [[] for _ in range(5)]
-            for f, h, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = np.frombuffer(piece, np.uint8)
-                x, y = one(data).view(np.int64), two(data).view(np.int64)
-                for column, v in zip(columns, (x, y, np.full(len(x), f), np.full(len(x), h), np.arange(len(x))), strict=True):
-                    column.append(v)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["x", "y", "f", "h", "o"])
-
-    rows = pieces.select("f", "h", "piece").repartition("f", "h").mapInArrow(strings, "x long, y long, f long, h long, o long")
-    twice = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("x").alias("_x"), F.col("y").alias("_y"))
-    found = rows.join(twice, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")))
-    span = F.struct(F.col("o").cast("int").alias("a"), (F.col("o") + length).cast("int").alias("b"))
-    return found.groupBy("f", "h").agg(F.collect_list(span).alias("spans"))
+            f, h, of_f, of_h, at, times, piece = ([] for _ in range(7))
+            for pf, ph, n_times, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                g, first, n = own.pieces(np.frombuffer(data, np.uint8))
+                f += _mixed(g * np.uint64(3) + np.int64(pf).view(np.uint64)).view(np.int64).tolist()
+                cuts = [data[a:a + m + length - 1] for a, m in zip(first.tolist(), n.tolist(), strict=True)]
+                h += [xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in cuts]
+                of_f += [pf] * len(cuts)
+                of_h += [ph] * len(cuts)
+                at += first.tolist()
+                times += [n_times] * len(cuts)
+                piece += cuts
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (f, h, of_f, of_h, at, times)), pa.array(piece, pa.binary())],
+                                             names=["f", "h", "of_f", "of_h", "at", "times", "piece"])
+
+    return pieces.select("f", "h", "times", "piece").mapInArrow(run, "f long, h long, of_f long, of_h long, at long, times long, piece binary")
+
+
+def _marks(pieces: DataFrame, length: int, index_bytes: int, most: int, rounds) -> DataFrame:
+    """``f, h, spans`` of ``pieces`` (f, h, times, hot, piece): those of an anchor go
+    to one index, or, of an anchor with more than ``most``, to the indexes of
+    the second anchors, whose spans come back."""
+    done = _indexed(pieces.filter("not hot"), length, index_bytes)
+    hot = pieces.filter("hot")
+    if not rounds or hot.isEmpty():
+        return done
+    cut = materialize(_parted(hot, length, *rounds[0]), "repeat-parted")
+    classes = cut.groupBy("f", "h").agg(F.sum("times").alias("times"), F.min_by(F.struct("of_f", "of_h", "at"), F.struct("of_f", "of_h", "at")).alias("one"))
+    sizes = classes.groupBy("f").agg(F.count(F.lit(1)).alias("_n"), F.sum("times").alias("_t")).filter("_t > 1")
+    last = len(rounds) == 1
+    wanted = materialize(classes.join(sizes.withColumnRenamed("f", "_f"), F.col("f") == F.col("_f")).select(
+        F.col("f").alias("_f"), F.col("h").alias("_h"), F.col("times").alias("_times"), "one", (F.lit(not last) & (F.col("_n") > most)).alias("hot")), "repeat-classes")
+    one = (F.col("f") == F.col("_f")) & (F.col("h") == F.col("_h")) & (F.struct("of_f", "of_h", "at") == F.col("one"))
+    inner = materialize(cut.join(wanted, one).select("f", "h", F.col("_times").alias("times"), "hot", "piece"), "repeat-cuts")
+    marks = _marks(inner, length, index_bytes, most, rounds[1:]).select(F.col("f").alias("_f"), F.col("h").alias("_h"), "spans")
+    back = cut.select("f", "h", "of_f", "of_h", "at").join(marks, (F.col("f") == F.col("_f")) & (F.col("h") == F.col("_h")))
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).cast("int").alias("a"), (s["b"] + F.col("at")).cast("int").alias("b")))
+    return done.unionByName(back.groupBy(F.col("of_f").alias("f"), F.col("of_h").alias("h")).agg(F.flatten(F.collect_list(moved)).alias("spans")))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -299,7 +319,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   index_bytes: int = INDEX_BYTES, hot_pieces: int = HOT_PIECES) -> DataFrame:
+                   index_bytes: int = INDEX_BYTES, most_pieces: int = MOST_PIECES) -> DataFrame:
     """One row per document row: ``doc_id, n_bytes, starts, ends`` (maximal spans
     of bytes covered by a ``length``-byte string that also starts elsewhere,
     same document included) and ``kept_sha256`` of the remaining bytes.
@@ -307,10 +327,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Pieces whose anchor occurs once are dropped (partial counts, then a
        join that can split a hot anchor).
     2. Equal pieces fold into one with its multiplicity.
-    3. Anchors with several pieces go to run-length indexes, two copies of a
-       piece that occurs more than once; their matching statistics mark the
-       shared strings. Anchors with over ``hot_pieces`` different pieces are cut
-       to single strings instead, and their pieces that occur twice are whole.
+    3. Pieces go to run-length indexes, all of an anchor to one; matching
+       statistics mark the shared strings. Anchors with over ``most_pieces``
+       different pieces are parted by second and third anchors first, at last
+       by the strings themselves, so that an index stays bounded.
     4. Spans return to all occurrences of their piece and to the documents.
 
     Texts move once (both joins use one exchange); of equal pieces one moves. Matches never cross documents. Null text counts
@@ -324,19 +344,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("t"), key.alias("k"), (F.crc32(raw) - (1 << 31)).cast("int").alias("c"))
     found = _pieces(rows, length, gram)
     # written, so that the join's sides are plain exchanges and a hot anchor can be split
-    often = materialize(found.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("f").alias("_f")), "repeat-anchors")
+    often = materialize(_anchors(rows, length, gram).groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("f").alias("_f")), "repeat-anchors")
     found = materialize(found.join(often, F.col("f") == F.col("_f")).drop("_f"), "repeat-pieces")
     classes = materialize(found.groupBy("f", "h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "c", "at", "n")).alias("one")), "repeat-classes")
-    several = materialize(classes.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).select(
-        F.col("f").alias("_f"), (F.col("_n") > hot_pieces).alias("hot")), "repeat-several")
-    open_ = classes.join(several, F.col("f") == F.col("_f")).select("f", "h", "hot", (F.col("times") > 1).alias("twice"), "one.*")
-    wanted = open_.groupBy("k", "c").agg(F.collect_list(F.struct("f", "h", "hot", "twice", "at", "n")).alias("list"))
+    hot = materialize(classes.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_pieces).select(
+        F.col("f").alias("_f"), F.lit(True).alias("hot")), "repeat-hot")
+    open_ = classes.join(hot, F.col("f") == F.col("_f"), "left").select("f", "h", "times", F.coalesce("hot", F.lit(False)).alias("hot"), "one.*")
+    wanted = open_.groupBy("k", "c").agg(F.collect_list(F.struct("f", "h", "times", "hot", "at", "n")).alias("list"))
     cut = materialize(_cut(rows, wanted, length), "repeat-cuts")
-    marks = _indexed(cut.filter("not hot"), length, index_bytes).unionByName(_single_strings(cut.filter("hot"), length))
-    hot = several.filter("hot").select("_f")
-    whole = classes.filter("times > 1").join(hot, F.col("f") == F.col("_f")).select("f", "h", F.array(F.struct(
-        F.lit(0).alias("a"), (F.col("one.n") + length - 1).cast("int").alias("b"))).cast(SPANS).alias("spans"))
-    marks = marks.unionByName(whole).select(F.col("f").alias("_f"), F.col("h").alias("_h"), "spans")
+    rounds = [(min(g, length) if g < LENGTH else length, s) for g, s in ROUNDS[1:]]
+    marks = _marks(cut, length, index_bytes, most_pieces, rounds).select(F.col("f").alias("_f"), F.col("h").alias("_h"), "spans")
     hits = found.join(marks, (F.col("f") == F.col("_f")) & (F.col("h") == F.col("_h"))).select(
         "k", "c", F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b"))).alias("spans"))
     per_doc = hits.groupBy("k", "c").agg(F.flatten(F.collect_list("spans")).alias("spans"))

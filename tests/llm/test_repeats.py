@@ -32,7 +32,7 @@ def digest(text, spans):
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=60).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=6), st.integers(1, 12))
 def test_matching_statistics(strings, length):
-    index = R.RunLengthIndex(strings)
+    index = R.RunLengthIndex(strings, depth=length)
     text = [(k, i) for k, s in enumerate(strings) for i in range(len(s))]
     ms = index.matching_statistics()
     for k, i in text:
@@ -44,9 +44,21 @@ def test_matching_statistics(strings, length):
                 while n < min(len(own), len(other)) and own[n] == other[n]:
                     n += 1
                 best = max(best, n)
-        assert ms[index.starts[k] + i] == best
-    assert [R.merged(s) for s in index.repeats(length)] == covered(strings, length)
-    assert sum(index.lengths) == index.n
+        got = ms[index.starts[k] + i]
+        assert got == best if best >= length else got < length
+    assert [R.merged(s) for s in index.repeats()] == covered(strings, length)
+    assert sum(index.lengths) == sum(max(len(s) - length + 1, 0) for s in strings) and (np.diff(index.heads) != 0).all()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=30).map(lambda b: bytes(x % 3 + 97 for x in b)), st.integers(1, 3)), min_size=1, max_size=6), st.integers(1, 9))
+def test_multiplicity_equals_copies(pairs, length):
+    strings, times = [p for p, _ in pairs], [t for _, t in pairs]
+    index = R.RunLengthIndex(strings, times, length)
+    want = covered([p for p, t in pairs for _ in range(t)], length)
+    firsts = np.cumsum([0, *times[:-1]])
+    assert [R.merged(s) for s in index.repeats()] == [want[i] for i in firsts]
+    assert sum(index.lengths) == sum(t * max(len(s) - length + 1, 0) for s, t in pairs)
 
 
 def test_copies_are_marked_by_the_index(spark, monkeypatch):
@@ -74,10 +86,10 @@ def test_anchor_is_shared_by_equal_strings():
     assert seen[0] == seen[1]
 
 
-@pytest.mark.parametrize("hot", [R.HOT_PIECES, 0])
-def test_repeats_on_documents(sf001, rows, hot):
+@pytest.mark.parametrize("most", [R.MOST_PIECES, 3, 0])
+def test_repeats_on_documents(sf001, rows, most):
     docs = [(i, (t or "").encode()) for i, t, _ in rows]
-    got = sorted((str(r["doc_id"]), r["n_bytes"], list(zip(r["starts"], r["ends"])), r["kept_sha256"]) for r in R.repeated_spans(sf001[0], hot_pieces=hot).collect())
+    got = sorted((str(r["doc_id"]), r["n_bytes"], list(zip(r["starts"], r["ends"])), r["kept_sha256"]) for r in R.repeated_spans(sf001[0], most_pieces=most).collect())
     spans = covered([t for _, t in docs], 200)
     assert got == sorted((str(i), len(t), s, digest(t, s)) for (i, t), s in zip(docs, spans))
 
