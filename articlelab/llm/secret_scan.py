@@ -94,6 +94,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Novelty:
     """Marginal compressed size of a string after its surroundings, with the
     identifier dictionary in the window of the compressor."""
@@ -144,26 +155,29 @@ def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     for i in range(len(runs) - 2, -1, -1):
         near[i] = near[i] or (near[i + 1] and wraps[i])
     for (a, b), use in zip(runs, near):
-        if use and text[max(0, a - 1):a] != "@" and text[b:b + 1] != "@":
+        if use:
             cuts = [(max(a, s), min(b, e)) for s, e in words[bisect_right(ends, a):bisect_left(starts, b)]]
             at = [a, *[x for cut in cuts for x in cut], b]
             yield a, b, [m.span() for s, e in zip(at[::2], at[1::2]) for m in CANDIDATE.finditer(text, s, e)] if cuts else []
 
 
 def all_spans(text: str, novelty: Novelty, rate: float = NOVEL_RATE) -> tuple[list, list]:
-    """Base spans, and base with novel spans (those that overlap no base span)."""
+    """Base spans, and base with novel spans. What a base span covers is reported
+    already; of a candidate that touches one the rest is measured."""
     base = base_spans(text)
+    taken = merged([(s, e) for s, e, _ in base])
+    ends, starts = [e for _, e in taken], [s for s, _ in taken]
     extra = []
 
-    def novel(a: int, b: int) -> bool:
-        if any(s < b and a < e for s, e, _ in base):
-            return False
-        around = primer(text[a:b]) + text[max(0, a - AROUND):a] + text[b:b + AROUND]
-        return novelty.rate(around, text[a:b]) >= rate
+    def novel(a: int, b: int) -> list[tuple[int, int]]:
+        beside = taken[bisect_right(ends, a):bisect_left(starts, b)]
+        at = [a, *[x for s, e in beside for x in (max(a, s), min(b, e))], b]
+        free = [m.span() for s, e in zip(at[::2], at[1::2]) for m in CANDIDATE.finditer(text, s, e)] if beside else [(a, b)]
+        return [(s, e) for s, e in free if novelty.rate(
+            primer(text[s:e]) + text[max(0, s - AROUND):s] + text[e:e + AROUND], text[s:e]) >= rate]
 
     for a, b, parts in candidates(text):
-        found = [p for p in parts if novel(*p)] or ([(a, b)] if novel(a, b) else [])
-        extra += [(*p, "novel") for p in found]
+        extra += [(*p, "novel") for p in [x for part in parts for x in novel(*part)] or novel(a, b)]
     return base, sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -185,7 +199,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reported (``novel``) when it takes at least ``rate`` compressed bytes per
     character after its surroundings and the dictionary; so is what goes on
     from such a string over further lines, however many. Strings of any make-up
-    are measured (``primer``), but not those next to an ``@``: mail addresses.
+    are measured (``primer``), those next to an ``@`` too; of a string that a base
+    span touches, what is left beside it.
 
     Null text counts as empty: no spans, the digest of ''. Repeated rows are
     scanned each; an empty table gives no rows; other columns are not read."""
