@@ -34,8 +34,8 @@ class WuManber:
 
     ``shift``: for a block of two words, how far the end of the window may move
     without passing an occurrence; a block in no pattern allows the most.
-    ``suffix``: for the blocks that end a pattern, a bucket of the patterns with
-    their first words, which is checked before the direct comparison."""
+    ``suffix``: for the blocks that end and begin a pattern (its suffix and prefix
+    hash), a bucket of the patterns for the direct comparison."""
 
     def __init__(self, patterns: dict[tuple[int, ...], list], length: int):
         self.m, self.block = length, min(2, length)
@@ -46,7 +46,7 @@ class WuManber:
             for end in range(self.block, length + 1):
                 key = pattern[end - self.block:end]
                 self.shift[key] = min(self.shift.get(key, self.far), length - end)
-            self.suffix[pattern[-self.block:]].append((pattern[0], pattern, items))
+            self.suffix[pattern[-self.block:] + pattern[:self.block]].append((pattern, items))
 
     def find(self, ids: list[int]) -> Iterator[tuple[int, list]]:
         """(start, items) of every occurrence, overlapping ones included. 0 is a
@@ -63,11 +63,13 @@ class WuManber:
                 end += move
                 continue
             start = end - m
-            first = ids[start]
-            for head, pattern, items in suffix[key]:
-                if head == first and tuple(ids[start:end]) == pattern:
-                    yield start, items
-                    break  # patterns are distinct
+            bucket = suffix.get(key + tuple(ids[start:start + b]))
+            if bucket:
+                here = tuple(ids[start:end])
+                for pattern, items in bucket:
+                    if here == pattern:
+                        yield start, items
+                        break  # patterns are distinct
             end += 1
 
 
