@@ -9,8 +9,11 @@ from articlelab.llm import common as C
 from articlelab.llm.common import materialize, small_lookup, value_bytes
 
 #: Fixed patterns: markup whose content is not text, and what ends a line.
-NOT_TEXT = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+#: Left open, it reaches to the end of the page.
+NOT_TEXT = r"(?is)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
 LINE_END = r"<[^>]*>|[\r\n]+"
+#: Boilerplate lines of a host that a page's lines are compared with one by one.
+LIST_LINES = 1000
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -58,7 +61,7 @@ def _without_lines(pages: DataFrame, boiler: DataFrame) -> DataFrame:
 
 
 def site_line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                    ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
+                    ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
     """One row per page: ``page_id, host, n_lines, n_dropped, kept_text``.
 
     A line is boilerplate of its host if the share of the host's pages that
@@ -68,7 +71,8 @@ def site_line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     The boilerplate lines are written once and measured. While their rows and
     bytes fit a broadcast they go back to the pages as a list per host, and page
     texts are not shuffled. Beyond that only the most frequent ones do, and the
-    rest meets the single lines of the pages under (host, line).
+    rest meets the single lines of the pages under (host, line), as do the lines
+    of a host that has over ``LIST_LINES`` of them.
 
     Null or host-less URLs share the host ''; null or empty pages have no
     lines and an empty kept text; repeated rows count as pages of their own;
@@ -81,7 +85,13 @@ def site_line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     boiler = materialize(small_lookup(counts, per_host, ["host"], salt_by=F.col("_line")).filter(
         F.col("_n") / F.col("_pages") > ratio).select("host", "_line", "_n"), "boilerplate")
     least, whole = _broadcast_from(boiler)
-    often = F.col("_n") >= F.lit(2.0) ** least
+    long = boiler.groupBy("host").agg(F.count(F.lit(1)).alias("_list")).filter(F.col("_list") > LIST_LINES)
+    if not long.isEmpty():
+        boiler = small_lookup(boiler, long, ["host"], salt_by=F.col("_line"))
+        whole = False
+    else:
+        boiler = boiler.withColumn("_list", F.lit(None).cast("long"))
+    often = (F.col("_n") >= F.lit(2.0) ** least) & F.col("_list").isNull()
     lists = boiler.filter(often).groupBy("host").agg(F.collect_list("_line").alias("_boiler"))
     kept = F.filter("_lines", lambda x: ~F.array_contains(F.coalesce("_boiler", F.array().cast("array<string>")), x))
     out = lined.join(F.broadcast(lists), "host", "left").withColumn("_kept", kept).withColumn("_n_lines", F.size("_lines"))

@@ -29,13 +29,13 @@ ORACLE["op8_line_dedup"] = r"""
 WITH lined AS (
   SELECT page_id, coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '') AS host,
          list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''),
-           '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', chr(10), 'g'), '<[^>]*>|[\r\n]+'),
+           '(?is)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<!--.*?(?:-->|\z)', chr(10), 'g'), '<[^>]*>|[\r\n]+'),
            lambda x: trim(x)), lambda x: x <> '') AS lines
   FROM pages),
 per_host AS (SELECT host, count(*) AS pages FROM lined GROUP BY host),
 counts AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM lined) GROUP BY host, line),
 boiler AS (SELECT host, list(line) AS lines FROM counts JOIN per_host USING (host)
-           WHERE n >= 3 AND n / pages > 0.1 GROUP BY host),
+           WHERE n >= 2 AND n / pages > 0.1 GROUP BY host),
 kept AS (SELECT l.page_id, l.host, l.lines, list_filter(l.lines, lambda x: NOT list_contains(coalesce(b.lines, []), x)) AS kept
          FROM lined l LEFT JOIN boiler b USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
