@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,21 +118,34 @@ def _normal_equations(train: DataFrame, model: QualityModel, folds: int) -> np.n
     cuts = np.array_split(np.arange(size), 16)
 
     def partial(batches):
-        total = np.zeros((folds, size, size + 1))
+        total, some = np.zeros((folds, size, size + 1)), False
         for batch in batches:
             if batch.num_rows:
+                some = True
                 z, y, fold = shared.value.fourier(_matrix(batch.column(0))), batch.column(1).to_numpy(), batch.column(2).to_numpy()
                 for k in range(folds):
                     at = fold == k
                     total[k] += z[at].T @ np.concatenate([z[at], y[at, None]], axis=1)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(cuts)), pa.int32()),
-                                          "m": pa.array([total[:, c].tobytes() for c in cuts], pa.binary())})
+        if some:
+            yield pa.RecordBatch.from_pydict({
+                "p": pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int32()), "k": pa.array(range(len(cuts)), pa.int32()),
+                "m": pa.array([total[:, c].tobytes() for c in cuts], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(m, np.float64) for m in t.column("m").to_pylist())
-        return pa.table({"k": t.column("k").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
-
-    sums = train.select("x", "y", "fold").mapInArrow(partial, "k int, m binary").groupBy("k").applyInArrow(add, "k int, m binary").collect()
+        total = np.zeros(0)
+        for m in t.column("m"):
+            m = np.frombuffer(m.as_py(), np.float64)
+            total = total + m if len(total) else m
+        return pa.table({"p": t.column("p").slice(0, 1), "k": t.column("k").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
+
+    # in two levels, so that a task adds up about the root of the partitions' slices
+    state = "p int, k int, m binary"
+    rows = train.select("x", "y", "fold")
+    groups = math.isqrt(max(rows.rdd.getNumPartitions() - 1, 0)) + 1
+    parts = rows.mapInArrow(partial, state)
+    if groups > 1:
+        parts = parts.groupBy("k", F.pmod("p", F.lit(groups)).alias("group")).applyInArrow(add, state)
+    sums = parts.groupBy("k").applyInArrow(add, state).collect()
     out = np.zeros((folds, size, size + 1))
     for r in sums:
         c = cuts[r["k"]]
