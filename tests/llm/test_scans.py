@@ -312,3 +312,31 @@ def test_quality_without_labels_and_odd_rows(spark, sf001, empty, clashing):
     out = Q.keep_good(sf001[0], labels)
     assert out.columns == sf001[0].columns and 0 < out.count() < sf001[0].count()
     assert len(Q.statistics(None)) == len(Q.statistics(b"a b")) == Q.STATISTICS
+
+
+def test_suffix_buckets_are_told_apart_by_their_first_words():
+    """Windows that end alike: one bucket each, not one list for all."""
+    patterns = {(k, k + 1, *range(900, 911)): [str(k)] for k in range(1, 400)}
+    searcher = D.WuManber(patterns, 13)
+    assert max(map(len, searcher.suffix.values())) == 1
+    text = [5, 6, *range(900, 911), 7, 8, *range(900, 911)]
+    assert [(s, items) for s, items in searcher.find(text)] == [(0, ["5"]), (13, ["7"])]
+
+
+def test_strings_beside_base_spans_and_at_signs_are_measured():
+    novelty = S.Novelty()
+    spans = lambda t: S.joined(S.all_spans(t, novelty)[1])
+    assert spans("password in postgres://admin:kJ8s0QzV4mX2pL7rT1wY@db") == "novel:29:49"
+    key = "0123456789abcdef" * 2
+    text = f"secret key ZkJ8s0QzV4mX2pL7rT1wYQ{key}GqW7nB3xTz9LcV5sHy2KpM"
+    base, every = S.all_spans(text, novelty)
+    assert [k for *_, k in base] == ["hex"] and [k for *_, k in every] == ["novel", "hex", "novel"]
+    (a, b, _), (c, d, _), (e, f, _) = every
+    assert (b, d) == (c, e) and a == 11 and f == len(text)
+
+
+def test_many_base_spans_are_passed_in_order():
+    """A text of hex lines after a context word: every candidate meets only the spans beside it."""
+    text = "private key\n" + "\n".join("%040x" % (i * 7919 ** 5) for i in range(20_000))
+    base, every = S.all_spans(text, S.Novelty())
+    assert len(base) > 19_000 and len(every) >= len(base)

@@ -240,7 +240,7 @@ def _rule(host, path):
     return max(fits, key=lambda f: len(f[0]), default=(None, None))
 
 
-def _verdicts(pages, links):
+def _verdicts(pages, links, steps):
     """Dense PageRank over all hosts. links: page number -> hosts linked to."""
     parts = [_parts(u) for _, u, _ in pages]
     hosts = sorted({h for h, _ in parts if h} | {t for ts in links.values() for t in ts})
@@ -260,7 +260,7 @@ def _verdicts(pages, links):
     for kind, seed, m in (("trust", seeds["allow"], share(count)), ("distrust", seeds["block"], share(count.T))):
         s = 0.15 * np.divide(seed, total, out=np.zeros(n), where=total > 0)
         x = s.copy()
-        for _ in range(20):
+        for _ in range(steps):
             x = s + 0.85 * (x @ m)
         score[kind] = x
     out = []
@@ -301,8 +301,8 @@ def _fixture():
 def test_url_verdicts_against_dense_pagerank(spark):
     pages, links = _fixture()
     df = spark.createDataFrame(pages, PAGES).withColumns({c: F.lit("clash") for c in ("host", "kind", "score", "verdict", "_rule", "source")})
-    got = url_filter.filter_urls(df).collect()
-    want, scores = _verdicts(pages, links)
+    got = url_filter.filter_urls(df, steps=6).collect()
+    want, scores = _verdicts(pages, links, 6)
     key = lambda r: (str(r[0]), *map(str, r[1:]))
     assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
     for r in got:
@@ -316,12 +316,12 @@ def test_url_filter_large_lookups_join_with_salts(spark, monkeypatch):
     from articlelab.llm import common
     pages, links = _fixture()
     df = spark.createDataFrame(pages, PAGES)
-    want = sorted(map(str, url_filter.filter_urls(df, steps=3).select("page_id", "host", "verdict").collect()))
+    want = sorted(map(str, url_filter.filter_urls(df, steps=2).select("page_id", "host", "verdict").collect()))
     monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
-    assert sorted(map(str, url_filter.filter_urls(df, steps=3).select("page_id", "host", "verdict").collect())) == want
+    assert sorted(map(str, url_filter.filter_urls(df, steps=2).select("page_id", "host", "verdict").collect())) == want
 
 
 def test_url_filter_of_an_empty_table_and_native_plan(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
-    plan = url_filter.filter_urls(spark.createDataFrame(_fixture()[0][:3], PAGES))._jdf.queryExecution().toString()
+    plan = url_filter.filter_urls(spark.createDataFrame(_fixture()[0][:3], PAGES), steps=1)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
