@@ -97,60 +97,42 @@ class MeanWordVectorEncoder(Encoder):
 
 
 class Word2VecEncoder(Encoder):
-    """M1: Spark ML Word2Vec (skip-gram) on the tokenised sentences;
-    article vector = sum of known word vectors / all tokens (Q7)."""
+    """M1: continuous bag of words on the tokenised sentences (see
+    ``train.word_vectors``; the vocabulary is a table); article vector = sum of
+    known word vectors / all tokens (Q7)."""
 
-    def __init__(self, dim: int = 100, min_count: int = 1, window: int = 5, seed: int = 42,
-                 max_iter: int = 5, partitions: int = 8, max_vocabulary: int = 5_000_000):
-        self.dim, self.min_count, self.window, self.seed = dim, min_count, window, seed
-        self.max_iter, self.partitions, self.max_vocabulary = max_iter, partitions, max_vocabulary
-        self.model = None
+    def __init__(self, dim: int = 100, min_count: int = 1, window: int = 5, seed: int = 42, epochs: int = 5):
+        self.dim, self.min_count, self.window, self.seed, self.epochs = dim, min_count, window, seed, epochs
+        self.vectors: V.WordVectors | None = None
 
     def fit(self, df: DataFrame, text_col: str = "text") -> "Word2VecEncoder":
-        from pyspark.ml.feature import Word2Vec
         from articlelab.session import materialize
-        # Spark ML passes over its input several times (vocabulary, then one
-        # pass per iteration): write the tokenised sentences once
-        sents = materialize(explode_rows(df, [], T.sentence_tokens(text_col), "sentence"), "sentences")
-        # the library keeps vocabulary x dim on the driver: the contract bounds it
-        words = (sents.select(F.explode("sentence").alias("w")).groupBy("w").count()
-                 .where(F.col("count") >= self.min_count).count())
-        if words > self.max_vocabulary:
-            raise ValueError(f"{words} words occur at least {self.min_count} times; Word2Vec takes "
-                             f"{self.max_vocabulary}: raise min_count or max_vocabulary")
-        w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, windowSize=self.window,
-                       seed=self.seed, maxIter=self.max_iter, inputCol="sentence", outputCol="v",
-                       numPartitions=self.partitions)
-        self.model = w2v.fit(sents)
-        self._wv = None
+        from articlelab.train.word_vectors import fit_cbow
+        # a sentence's number is written with it, so that it stays the same
+        sents = explode_rows(df, [], T.sentence_tokens(text_col), "tokens").withColumn("sid", F.monotonically_increasing_id().cast("string"))
+        words = fit_cbow(materialize(sents, "sentences"), self.dim, self.min_count, self.window, self.epochs, self.seed)
+        self.vectors = V.WordVectors(words.select(F.col("word").alias("token"), "vec"), self.dim)
         return self
 
     def word_vectors(self) -> V.WordVectors:
-        """The learnt vectors as a table. Spark ML returns them as a
-        driver-side local relation that would travel inside every task, so
-        they are written once to the shared checkpoint folder."""
-        if getattr(self, "_wv", None) is None:
-            from pyspark.ml.functions import vector_to_array
-            vecs = self.model.getVectors().select(F.col("word").alias("token"),
-                                                  vector_to_array("vector").alias("vec"))
-            self._wv = V.WordVectors(vecs, self.dim).checkpointed()
-        return self._wv
+        """The learnt vectors as a table."""
+        if self.vectors is None:
+            raise ValueError("fit or load the encoder first")
+        return self.vectors
 
     def transform(self, df: DataFrame, ids: Sequence[str], text_col: str = "text") -> DataFrame:
         docs = df.select(*ids, T.flat_tokens(text_col).alias("tokens"))
         return V.article_mean_vectors(docs, self.word_vectors(), ids).drop("n_known")
 
     def save(self, path: str) -> None:
-        """B6."""
-        self.model.write().overwrite().save(path)
+        """The vector table as parquet."""
+        self.word_vectors().df.write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark, path: str) -> "Word2VecEncoder":
-        from pyspark.ml.feature import Word2VecModel
-        enc = cls()
-        enc.model = Word2VecModel.load(path)
-        enc.dim = enc.model.getVectorSize()
-        enc._wv = None
+        df = spark.read.parquet(path)
+        enc = cls(dim=df.select(F.max(F.size("vec"))).first()[0] or 0)
+        enc.vectors = V.WordVectors(df, enc.dim)
         return enc
 
 

@@ -1,15 +1,13 @@
 """Data-parallel network trainers.
 
-One optimisation step = one Spark job: every partition computes the
-gradient of its rows with NumPy inside ``mapInPandas`` (weights arrive as
-a broadcast variable) and emits it in slices of ``SLICE`` weights; each
-slice is summed over the partitions by a task of its own; the driver only
-receives the summed gradient (size = number of weights, not rows) and
-applies SGD or Adam. Rows are dealt to ``ceil(rows / batch_size)`` steps by
-a per-epoch hash, so each epoch sees every row once in a new grouping, and
-the number of updates grows with the data (synchronous mini-batches; the
-reference's 32-row sequential updates do not distribute, so ``batch_size``,
-the rows of a step over the whole cluster, is larger by default).
+An epoch is one job of local steps by default (``local_steps``): replicas run
+the reference's 32-row steps on their rows and average their weights. The
+synchronous alternative (``batch_size``) makes one job of each step: every
+partition computes the gradient of its rows with NumPy (weights arrive as a
+broadcast variable) in slices of ``SLICE`` weights, each slice is summed in two
+levels, and the driver, which only receives the summed gradient (size = number
+of weights, not rows), applies SGD or Adam. Rows are dealt to steps by a
+per-epoch hash, so each epoch sees every row once in a new grouping.
 
 After each epoch the model scores train and test in one pass and the
 metrics come from the same aggregates as stored scores (E10-E12).
@@ -17,11 +15,13 @@ metrics come from the same aggregates as stored scores (E10-E12).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from typing import ClassVar
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -29,9 +29,10 @@ from pyspark.sql.types import ArrayType, DoubleType
 from articlelab.operators import metrics as M
 from articlelab.operators import sampling as D
 from articlelab.session import materialize, scratch_path
+from articlelab.train import local_steps as LS
 
-# Rows of one optimisation step over the whole cluster.
-BATCH_SIZE = 1024
+# Folders that the steps of a synchronous epoch are laid out in.
+STEP_FOLDERS = 256
 # Weights summed by one task.
 SLICE = 1 << 16
 
@@ -41,6 +42,7 @@ class Network:
     registry: ClassVar[dict[str, type["Network"]]] = {}
     optimizer_name = "SGD"
     criterion_name = "CrossEntropyLoss"
+    moments: ClassVar[tuple[str, ...]] = ()
 
     def __init_subclass__(cls, **kw):
         super().__init_subclass__(**kw)
@@ -77,9 +79,26 @@ class Network:
         return out
 
     def apply(self, g: np.ndarray) -> None:
-        """Driver-side update with the mean gradient ``g``."""
+        """Update with the mean gradient ``g``."""
         self.params = [p - self.lr * gi for p, gi in zip(self.params, self.unflat(g))]
 
+    # -- state as one vector (averaged over replicas) ----------------------
+    def copy(self) -> "Network":
+        out = object.__new__(type(self))
+        out.__dict__.update(self.__dict__, params=[p.copy() for p in self.params], state=dict(self.state))
+        return out
+
+    def state_vector(self) -> np.ndarray:
+        """Weights, then the optimiser's moments."""
+        return np.concatenate([self.flat(), *[self.state[k] for k in sorted(self.state)]])
+
+    def take_state(self, v: np.ndarray, steps: int) -> None:
+        """Weights and moments from :meth:`state_vector`, ``steps`` further on."""
+        size = self.flat().size
+        self.params = self.unflat(v[:size])
+        self.t += steps
+        self.state = {k: v[size * (i + 1):size * (i + 2)] for i, k in enumerate(self.moments)} if len(v) > size else {}
+
 
 def _softmax(z):
     z = z - z.max(axis=1, keepdims=True)
@@ -127,6 +146,7 @@ class SimpleMLP(Network):
     ``output='reference'`` applies softmax to the output before the loss,
     which applies it again (Q16)."""
     optimizer_name = "Adam"
+    moments = ("m", "v")
     hidden = 128
 
     def init_params(self, rng):
@@ -186,9 +206,9 @@ class TrainResult:
 
 
 def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum of the partial rows of one slice."""
+    """Sum of the partial rows of one slice (and group of partitions)."""
     total = sum(np.frombuffer(g) for g in pdf["g"])
-    return pd.DataFrame({"k": pdf["k"].iloc[:1], "g": [total.tobytes()], "loss": [pdf["loss"].sum()], "n": [pdf["n"].sum()]})
+    return pd.DataFrame({"p": pdf["p"].iloc[:1], "k": pdf["k"].iloc[:1], "g": [total.tobytes()], "loss": [pdf["loss"].sum()], "n": [pdf["n"].sum()]})
 
 
 def gradient_step(model: Network, rows: DataFrame) -> tuple[np.ndarray, float, int]:
@@ -213,9 +233,13 @@ def gradient_step(model: Network, rows: DataFrame) -> tuple[np.ndarray, float, i
             n += len(y)
         if n:  # an empty partition emits no row
             for k, at in enumerate(range(0, len(acc), SLICE)):
-                yield pd.DataFrame({"k": [k], "g": [acc[at:at + SLICE].tobytes()], "loss": [loss], "n": [n]})
+                yield pd.DataFrame({"p": [TaskContext.get().partitionId()], "k": [k], "g": [acc[at:at + SLICE].tobytes()], "loss": [loss], "n": [n]})
 
-    parts = rows.select("features", "label").mapInPandas(partial, "k int, g binary, loss double, n long")
+    rows = rows.select("features", "label")
+    parts = rows.mapInPandas(partial, "p int, k int, g binary, loss double, n long")
+    groups = math.isqrt(max(rows.rdd.getNumPartitions() - 1, 0)) + 1
+    if groups > 1:   # no task adds up more than about the root of the partitions
+        parts = parts.groupBy("k", F.pmod("p", F.lit(groups)).alias("group")).applyInPandas(_add_slices, parts.schema)
     out = sorted(parts.groupBy("k").applyInPandas(_add_slices, parts.schema).collect(), key=lambda r: r["k"])
     bc.unpersist()
     if not out:
@@ -244,28 +268,49 @@ def score(model: Network, rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "features").mapInPandas(fwd, schema)
 
 
-def train(model: Network, data: DataFrame, epochs: int = 10, batch_size: int = BATCH_SIZE,
-          id_col: str = "vec_id", batch_rows: int = 32) -> TrainResult:
+def _sync_epoch(model: Network, rows: DataFrame, id_col: str, epoch: int, n: int, batch_size: int) -> None:
+    """An epoch of synchronous steps, each one gradient of ``batch_size`` rows of the
+    whole cluster. The rows are laid out by step once, in at most ``STEP_FOLDERS``
+    folders of one sorted file each, so a step reads little but its own."""
+    steps = max(1, -(-n // batch_size))
+    dealt = rows.withColumn("step", D.epoch_step(id_col, epoch, steps, model.seed))
+    each = -(-steps // STEP_FOLDERS)
+    if steps > 1:
+        path = scratch_path(rows.sparkSession, "epoch-steps")
+        folder = F.floor(F.col("step") / each).cast("int")
+        dealt.withColumn("folder", folder).repartition(-(-steps // each), "folder").sortWithinPartitions("folder", "step").write.partitionBy(
+            "folder").parquet(path)
+        dealt = rows.sparkSession.read.parquet(path)
+    for s in range(steps):
+        g, _, n_rows = gradient_step(model, dealt.where((F.col("folder") == s // each) & (F.col("step") == s)) if steps > 1 else dealt)
+        if n_rows:
+            model.apply(g)
+
+
+def train(model: Network, data: DataFrame, epochs: int = 10, batch_size: int | None = None,
+          id_col: str = "vec_id", batch_rows: int = 32, replicas: int | None = None) -> TrainResult:
     """P11 training loop: ``data`` has (id, label, split, features). History
     rows: (epoch, split, n, accuracy, loss, row_loss); confusion rows:
     (epoch, split, true_label, pred_label, n). The batch-mean loss (Q9) is
-    over batches of ``batch_rows`` rows in id order within a split."""
+    over batches of ``batch_rows`` rows in id order within a split.
+
+    An epoch is one round of local steps of ``batch_rows`` rows in ``replicas``
+    replicas (default: one per core, of 1,024 rows or more; see
+    ``local_steps``). With ``batch_size`` it is a series of synchronous steps
+    of so many rows instead, a job each."""
+    spark = data.sparkSession
     data = data.select(id_col, F.col("label").cast("int").alias("label"), "split", "features")
     data = materialize(D.fixed_batches(data, id_col, batch_rows, ["split"]), "training-rows")
     train_rows = data.where(F.col("split") == "train").drop("split", "batch_id")
-    steps = -(-train_rows.count() // batch_size)
+    n = train_rows.count()
+    replicas = replicas or LS.replicas_for(n, spark.sparkContext.defaultParallelism)
+    dealt = None if batch_size else materialize(LS.deal(train_rows, id_col, replicas, model.seed), "dealt-rows")
     res = TrainResult(model)
     for epoch in range(1, epochs + 1):
-        # an epoch's rows are laid out by step once; a step reads only its own
-        dealt = train_rows.withColumn("step", D.epoch_step(id_col, epoch, max(1, steps), model.seed))
-        if steps > 1:
-            path = scratch_path(train_rows.sparkSession, "epoch-steps")
-            dealt.write.partitionBy("step").parquet(path)
-            dealt = train_rows.sparkSession.read.parquet(path)
-        for s in range(steps):
-            g, _, n = gradient_step(model, dealt.where(F.col("step") == s))
-            if n:
-                model.apply(g)
+        if batch_size:
+            _sync_epoch(model, train_rows, id_col, epoch, n, batch_size)
+        else:
+            LS.local_round(model, dealt, replicas, batch_rows, epoch)
         scored = M.score_rows(score(model, data, [id_col, "label", "split", "batch_id"]))
         # one pass: counts and losses by batch and label pair, folded to metrics and confusion
         cells = materialize(scored.groupBy("split", "batch_id", F.col("label").cast("bigint").alias("true_label"),

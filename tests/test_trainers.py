@@ -83,7 +83,7 @@ def test_word2vec_encoder_and_persistence(spark):
     path = scratch_path(spark, "w2v")
     enc.save(path)
     back = EN.Word2VecEncoder.load(spark, path)
-    assert back.dim == 16 and back.model.getVectors().count() == enc.model.getVectors().count()
+    assert back.dim == 16 and back.word_vectors().count() == enc.word_vectors().count()
 
 
 def test_encoder_registry():
