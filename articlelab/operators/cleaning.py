@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from articlelab.functions import text as T
 from articlelab.operators.keys import DEFAULT_SEED, with_row_number
+from articlelab.session import materialize
 from articlelab.operators.sampling import exact_sample
 
 WIKIHOW_COLUMNS = ("title", "headline", "sectionLabel", "text")
@@ -45,13 +46,11 @@ def wikihow_clean(df: DataFrame, order_col: str = "doc_id") -> DataFrame:
     """P1 without the sample: C5 drop null text, D6 row number after the
     drop (0-based, Q3), G1 title cleaning, G2 word count, C7 >= 40 words,
     G3 length label, C3 drop text. ``order_col`` is the file order."""
-    # id range from the key column alone (no text read); it encloses the kept rows
-    bounds = tuple(df.agg(F.min(order_col), F.max(order_col)).first())
-    # the text is counted at the scan; only the narrow rows are numbered
+    # the text is counted at the scan, once; only the narrow rows are written and numbered
     kept = (drop_null_text(df.select(order_col, *WIKIHOW_COLUMNS))
             .withColumn("title", T.clean_title("title"))
             .withColumn("word_count", T.word_count("text")).drop("text"))
-    numbered = with_row_number(kept, order_col, name="_rn", bounds=bounds)
+    numbered = with_row_number(materialize(kept, "wikihow-rows"), order_col, name="_rn")
     return (numbered
             .withColumn("original_row_number", F.col("_rn") - 1)
             .where(F.col("word_count") >= T.MIN_WORDS)
@@ -63,7 +62,6 @@ def wikihow_subset(df: DataFrame, n_rows: int = WIKIHOW_SAMPLE, seed: int = DEFA
                    order_col: str = "doc_id") -> DataFrame:
     """Cleaned WikiHow rows, exactly ``n_rows`` of them by seeded
     sample (the job fails if fewer rows qualify)."""
-    from articlelab.session import materialize
     # the cleaned rows carry no text; they are written once and read by the count, the ranking and the sample
     return exact_sample(materialize(wikihow_clean(df, order_col), "wikihow"), order_col, n_rows, seed)
 

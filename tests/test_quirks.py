@@ -222,11 +222,40 @@ def test_samples_fail_aloud(spark):
     assert D.stratified_sample(df, "id", "type", ["human"], 3).count() == 3
 
 
-def test_unmapped_values_are_all_named(spark):
-    df = spark.createDataFrame([(f"t{i}",) for i in range(30)], "type string")
+def test_unmapped_values_are_counted_and_the_first_named(spark):
+    df = spark.createDataFrame([(f"t{i:02}",) for i in range(30)], "type string")
     with pytest.raises(ValueError) as e:
         L.assert_mapped(df, L.literal_map(spark, {"x": 0}))
-    assert all(f"t{i}" in str(e.value) for i in range(30))
+    assert "30 value(s)" in str(e.value) and "t00, t01" in str(e.value) and "t19, ..." in str(e.value) and "t20" not in str(e.value)
+
+
+def test_class_maps_of_few_and_many_values(spark, monkeypatch):
+    df = spark.createDataFrame([(f"c{i % 7}",) for i in range(40)] + [(None,)], "type string")
+    few = sorted(map(tuple, L.class_map(df).collect()))
+    monkeypatch.setattr(L, "FEW_CLASSES", 3)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 10)
+    assert sorted(map(tuple, L.class_map(df).collect())) == few == [(f"c{i}", i) for i in range(7)]
+    assert L.apply_class_map(df, L.class_map(df)).count() == 40
+
+
+def test_ranges_of_row_numbers_are_even(spark):
+    """Outliers and a value that a third of all rows share do not make a large range."""
+    from articlelab.operators.keys import ranged, with_row_number
+    df = spark.range(40_000).select("id", F.when(F.col("id") == 0, F.lit(-(1 << 63))).when(F.col("id") == 1, F.lit((1 << 63) - 1))
+                                    .when(F.col("id") % 3 == 0, F.lit(7).cast("long")).otherwise(F.col("id") * 5).alias("key")).repartition(5)
+    sizes = [r["count"] for r in ranged(df, ["key", "id"]).groupBy(F.shiftright("__at", 33)).count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    rows = with_row_number(df, "key", tiebreak=["id"]).orderBy("row_no").collect()
+    assert [r["row_no"] for r in rows] == list(range(1, 40_001))
+    assert [(r["key"], r["id"]) for r in rows] == sorted((r["key"], r["id"]) for r in rows)
+
+
+def test_row_numbers_within_groups_with_nulls(spark):
+    from articlelab.operators.keys import with_row_number
+    rows = [("a", 3, 1), ("a", None, 2), (None, 5, 3), (None, 4, 4), ("a", 3, 0), ("b", 9, 9)]
+    df = spark.createDataFrame(rows, "g string, k long, t long").repartition(3)
+    got = {(r["g"], r["t"]): (r["row_no"], r["n"]) for r in with_row_number(df, "k", by=["g"], tiebreak=["t"], total_name="n").collect()}
+    assert got == {("a", 2): (1, 3), ("a", 0): (2, 3), ("a", 1): (3, 3), (None, 4): (1, 2), (None, 3): (2, 2), ("b", 9): (1, 1)}
 
 
 def test_any_string_key_is_numbered_in_order(spark):
