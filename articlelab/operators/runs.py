@@ -8,6 +8,7 @@ rows. Cross-run tables are ordinary aggregates over many records.
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -202,3 +203,47 @@ def route_boosting(df: DataFrame, path_col: str = "path") -> tuple[DataFrame, Da
     """Split run files by path: ``*/ADABOOST/*`` vs the rest."""
     is_boost = F.col(path_col).like("%/ADABOOST/%")
     return df.where(~is_boost), df.where(is_boost)
+
+
+# -- records of unknown shape -------------------------------------------------
+#: Kinds of a JSON value as its schema begins; all numbers are one kind.
+VALUE_KINDS = {"BIGINT": "number", "DOUBLE": "number", "DECIMAL": "number", "FLOAT": "number", "STRING": "text", "BOOLEAN": "boolean",
+               "ARRAY": "list", "OBJECT": "object", "VOID": "null"}
+
+
+def read_run_variants(spark, paths: Sequence[str] | str) -> tuple[DataFrame, DataFrame]:
+    """A9 + A10 without a schema: ``(records, quarantine)``, a record being
+    ``path, record VARIANT``. A line that is no JSON object goes to quarantine
+    (``path, _corrupt_record``). A folder is searched recursively for ``*.json``."""
+    reader = spark.read
+    if isinstance(paths, str):
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    raw = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("path"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    by_line = (F.size(lines) > 1) & F.forall(lines, lambda x: F.trim(x).rlike(r"^\{.*\}$"))
+    one = raw.select("path", F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("_text"))
+    parsed = one.select("path", "_text", F.try_parse_json("_text").alias("record"))
+    good = F.col("record").isNotNull() & F.schema_of_variant("record").startswith("OBJECT")
+    return parsed.where(good).select("path", "record"), parsed.where(~F.coalesce(good, F.lit(False))).select("path", F.col("_text").alias("_corrupt_record"))
+
+
+def variant_field(name: str, kind: str, record: str = "record") -> Column:
+    """A field of a record by type (DDL); null if absent or not readable as that."""
+    return F.try_variant_get(record, f"$.{name}", kind)
+
+
+def field_report(records: DataFrame, known: dict[str, str]) -> DataFrame:
+    """``field, kind, expected, n``: what the records hold. ``known`` maps the fields
+    that are read to their kinds (of ``VALUE_KINDS``); ``expected`` is null for a
+    field that is not among them, so unknown fields and changed types show
+    instead of vanishing. One row per field and kind."""
+    spark = records.sparkSession
+    view = "variants_" + uuid.uuid4().hex[:12]
+    records.select("record").createOrReplaceTempView(view)
+    fields = spark.sql(f"SELECT f.key AS field, schema_of_variant(f.value) AS shape FROM {view}, LATERAL variant_explode(record) AS f")
+    kinds = F.create_map(*[F.lit(x) for kv in VALUE_KINDS.items() for x in kv])
+    expected = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.create_map().cast("map<string,string>")
+    word = F.regexp_extract("shape", "^[A-Z]+", 0)
+    return fields.groupBy("field", F.coalesce(F.try_element_at(kinds, word), F.lower(word)).alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(
+        "field", "kind", F.try_element_at(expected, F.col("field")).alias("expected"), "n")

@@ -1,13 +1,14 @@
 """Word-vector tables, token -> vector lookup and pooling.
 
-A word-vector table is ``(token STRING, vec ARRAY<DOUBLE>)``; it is joined,
-never collected into a driver dictionary. The lookup join broadcasts the
-table only after its size has been measured against a budget; beyond the
-budget the most frequent tokens ("the", ",") are joined by broadcast and
-the rest by sort-merge, so no hot token sits in one task (AQE skew-join
-stays on as a second guard). Rows without a token never enter that join.
-Sums, means and maxima of vectors are ``Summarizer`` aggregates (one typed
-vector buffer per group, summed on the map side), whatever the width.
+A word-vector table is ``(token STRING, vec ARRAY<DOUBLE>)``. Pooling works on
+whole texts: a part of the table whose measured size fits a budget goes to the
+tasks as one matrix, and each Arrow batch of token lists is looked up,
+summed (or maximised) and divided there, without a row per token and without
+a shuffle. If the table is larger, that part holds the most frequent tokens; the
+tokens it lacks leave as rows, are counted per text, meet the table by a
+sort-merge join, and their sums come back to the text's. So a hot token never
+sits in one task, and the table is never copied whole. Where only a lookup is
+asked for (``attach_vectors``), both parts are joins.
 """
 
 from __future__ import annotations
@@ -15,10 +16,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from articlelab.functions.vectors import has_hash_vector, hash_vector
+from articlelab.operators.rows import explode_rows
 
 # Default broadcast budget of a word-vector table, or of its hot part (bytes).
 BROADCAST_BUDGET = 64 * 1024 * 1024
@@ -31,18 +38,23 @@ def row_bytes(dim: int) -> int:
 
 @dataclass
 class WordVectors:
-    """A word-vector table and its dimension; ``n_rows`` is measured once."""
+    """A word-vector table and its dimension; rows and token bytes are measured once."""
     df: DataFrame
     dim: int
     n_rows: int | None = field(default=None)
+    token_bytes: int | None = field(default=None)
+
+    def _measure(self) -> None:
+        if self.n_rows is None or self.token_bytes is None:
+            self.n_rows, self.token_bytes = self.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
 
     def count(self) -> int:
-        if self.n_rows is None:
-            self.n_rows = self.df.count()
+        self._measure()
         return self.n_rows
 
     def est_bytes(self) -> int:
-        return self.count() * row_bytes(self.dim)
+        self._measure()
+        return self.n_rows * row_bytes(self.dim) + self.token_bytes
 
     def broadcastable(self, budget: int | None = None) -> bool:
         return self.est_bytes() <= (BROADCAST_BUDGET if budget is None else budget)
@@ -51,8 +63,7 @@ class WordVectors:
         """Cut the lineage (a table written to the shared checkpoint folder)
         and measure the size; used for vocabularies derived from a corpus."""
         from articlelab.session import materialize
-        df = materialize(self.df, "word-vectors")
-        return WordVectors(df, self.dim, df.count())
+        return WordVectors(materialize(self.df, "word-vectors"), self.dim)
 
 
 def hash_word_vectors(tokens: DataFrame, dim: int = 8, token_col: str = "token") -> WordVectors:
@@ -130,35 +141,138 @@ def max_vectors(vec: str, dim: int) -> Column:
     return F.when(F.count(vec) > 0, _summarized("max", filled))
 
 
+# -- pooling of whole texts -------------------------------------------------
+
+@dataclass
+class _Lookup:
+    """Vectors of some tokens as a matrix; ``whole``: of all tokens that have one."""
+    tokens: pa.Array
+    matrix: np.ndarray
+    whole: bool
+
+
+def _lookup(tokens: DataFrame | None, wv: WordVectors, budget: int | None) -> _Lookup:
+    """The whole table if its measured size fits ``budget``, else the vectors of the
+    most frequent of ``tokens``, as many as fit (their own bytes counted)."""
+    budget = BROADCAST_BUDGET if budget is None else budget
+    whole = wv.est_bytes() <= budget
+    df = wv.df
+    if not whole:
+        most = max(1, budget // (2 * row_bytes(wv.dim)))   # half the budget for vectors, half for long tokens
+        freq = tokens.where(F.octet_length("token") <= row_bytes(wv.dim)).groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+        hot = freq.join(wv.df.select("token"), "token", "left_semi").orderBy(F.col("_f").desc(), "token").limit(most).select("token")
+        df = wv.df.join(F.broadcast(hot), "token", "left_semi")
+    t = df.where(F.col("token").isNotNull()).groupBy("token").agg(F.first("vec").alias("vec")).toArrow()
+    vec = t.column("vec").combine_chunks()
+    matrix = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wv.dim) if len(vec) else np.zeros((0, wv.dim))
+    return _Lookup(t.column("token").combine_chunks(), np.vstack([matrix, np.zeros(wv.dim)]), whole)
+
+
+def _pool(matrix: np.ndarray, ids: np.ndarray, edges: np.ndarray, pool: str) -> np.ndarray:
+    """Sum or maximum of the rows ``ids`` of every stretch between ``edges``; an
+    empty stretch gives zeros (-inf for the maximum)."""
+    out = np.full((len(edges) - 1, matrix.shape[1]), 0.0 if pool == "sum" else -np.inf)
+    some = np.flatnonzero(np.diff(edges))
+    step = max(1, (32 << 20) // (8 * matrix.shape[1]))
+    for a in range(0, len(some), 512):      # a bounded number of rows at a time
+        part = some[a:a + 512]
+        x, y = edges[part[0]], edges[part[-1] + 1]
+        if y - x <= step or len(part) == 1:
+            out[part] = (np.add if pool == "sum" else np.maximum).reduceat(matrix[ids[x:y]], edges[part] - x, axis=0)
+        else:
+            for k in part:
+                for c in range(edges[k], edges[k + 1], step):
+                    rows = matrix[ids[c:min(c + step, edges[k + 1])]]
+                    out[k] = out[k] + rows.sum(axis=0) if pool == "sum" else np.maximum(out[k], rows.max(axis=0))
+    return out
+
+
+def _vector_lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+
+
+def _pooled_units(units: DataFrame, ids: Sequence[str], wv: WordVectors, lookup: _Lookup, pool: str, tokens_col: str) -> DataFrame:
+    """``ids, n_tokens, n_known, vec, cold`` per row: pooled vectors of the tokens that
+    the lookup holds, and the list of those it lacks (none if it is whole). A
+    null token counts nowhere."""
+    ids, dim = list(ids), wv.dim
+    shared = units.sparkSession.sparkContext.broadcast(lookup)
+    kinds = units.select(*ids).schema
+    schema = kinds.add("n_tokens", "long").add("n_known", "long").add("vec", ArrayType(DoubleType())).add("cold", ArrayType(StringType()))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            lists = batch.column(len(ids))
+            lists = lists.fill_null([]) if lists.null_count else lists
+            flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy()
+            real = flat.is_valid().to_numpy(zero_copy_only=False)
+            at = pc.index_in(flat, value_set=own.tokens).to_numpy(zero_copy_only=False)
+            known = real & ~np.isnan(at)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            n, n_known = np.bincount(owner[real], minlength=len(sizes)), np.bincount(owner[known], minlength=len(sizes))
+            vec = _pool(own.matrix, at[known].astype(np.int64), np.concatenate([[0], np.cumsum(n_known)]), pool)
+            if own.whole:
+                cold = pa.nulls(len(sizes), pa.list_(pa.string()))
+            else:
+                lacks = real & ~known
+                edges = np.concatenate([[0], np.cumsum(np.bincount(owner[lacks], minlength=len(sizes)))]).astype(np.int32)
+                cold = pa.ListArray.from_arrays(edges, flat.filter(pa.array(lacks)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).cast(arrow.field(i).type) for i in range(len(ids))], pa.array(n, pa.int64()),
+                                              pa.array(n_known, pa.int64()), _vector_lists(vec), cold.cast(arrow.field(len(arrow) - 1).type)], schema=arrow)
+
+    return units.select(*ids, tokens_col).mapInArrow(run, schema)
+
+
+def pooled_tokens(units: DataFrame, ids: Sequence[str], wv: WordVectors, pool: str = "sum", tokens_col: str = "tokens",
+                  budget: int | None = None) -> DataFrame:
+    """``ids, n_tokens, n_known, vec``: sum or maximum of the vectors of each row's
+    known tokens (``vec`` is zeros, or -inf for the maximum, where ``n_known`` is 0)."""
+    from articlelab.session import materialize
+    ids = list(ids)
+    if not wv.broadcastable(budget):      # read twice: once for frequencies
+        units = materialize(units.select(*ids, tokens_col), "token-lists")
+    lookup = _lookup(explode_rows(units, [], tokens_col), wv, budget)
+    first = _pooled_units(units, ids, wv, lookup, pool, tokens_col)
+    if lookup.whole:
+        return first.drop("cold")
+    first = materialize(first.withColumn("_u", F.monotonically_increasing_id()), "pooled-units")
+    cold = first.select("_u", F.explode("cold").alias("token")).groupBy("_u", "token").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    met = cold.join(wv.df.hint("merge"), "token")
+    rest = met.groupBy("_u").agg(F.sum("_w").cast("long").alias("_n"), (
+        sum_vectors("vec", wv.dim, F.col("_w")) if pool == "sum" else max_vectors("vec", wv.dim)).alias("_v"))
+    plus = (lambda x, y: x + y) if pool == "sum" else (lambda x, y: F.greatest(x, y))
+    both = F.when(F.col("_v").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "_v", plus))
+    return first.join(rest, "_u", "left").select(*ids, "n_tokens", (F.col("n_known") + F.coalesce("_n", F.lit(0))).alias("n_known"), both.alias("vec"))
+
+
 def article_mean_vectors(docs: DataFrame, wv: WordVectors, ids: Sequence[str],
                          tokens_col: str = "tokens", budget: int | None = None) -> DataFrame:
     """Article vector = sum of the vectors of its known tokens divided
     by the number of **all** its tokens (OOV included, Q7); an article
-    without tokens gets the zero vector.
+    without tokens gets the zero vector. One row per row of ``docs``:
+    ids, n_tokens, n_known, features."""
+    denom = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
+    out = pooled_tokens(docs, ids, wv, "sum", tokens_col, budget)
+    return out.select(*ids, "n_tokens", "n_known", F.transform("vec", lambda x: x / denom).alias("features"))
 
-    Plan: explode tokens (narrow) -> vector lookup (broadcast, or hot/cold
-    join of pre-aggregated (doc, token) counts) -> hash aggregate by doc
-    with map-side partial sums. Output: ids, n_tokens, n_known, features.
-    """
+
+def article_sentence_vectors(docs: DataFrame, wv: WordVectors, ids: Sequence[str], pool: str = "mean", sentences_col: str = "sentences",
+                             budget: int | None = None) -> DataFrame:
+    """E7 over E8 / E9: mean over an article's sentences of their pooled (``mean``
+    or ``max``) word vectors; a sentence without a known token counts nowhere,
+    an article without any gets the zero vector (Q8, Q14). Out: ids,
+    n_sentences, features; one row per row of ``docs``."""
+    from articlelab.session import materialize
     ids = list(ids)
-    # the token array is referenced once (explode); counts come from the aggregate
-    base = docs.select(*ids, F.explode_outer(tokens_col).alias("token"))
-    if wv.broadcastable(budget):
-        joined = attach_vectors(base, wv, "left", budget)
-        weight = F.when(F.col("token").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
-    else:
-        # pre-aggregate (doc, token) before the shuffle join
-        pre = base.groupBy(*ids, "token").agg(F.count("token").cast("double").alias("_w"))
-        joined = attach_vectors(pre, wv, "left", budget)
-        weight = F.col("_w")
-    known = F.when(F.col("vec").isNotNull(), weight).otherwise(F.lit(0.0))
-    agg = joined.groupBy(*ids).agg(
-        F.sum(weight).cast("bigint").alias("n_tokens"),
-        F.sum(known).cast("bigint").alias("n_known"),
-        sum_vectors("vec", wv.dim, weight).alias("_sum"))
-    denom = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
-    return agg.select(*ids, "n_tokens", "n_known",
-                      F.transform("_sum", lambda x: x / denom).alias("features"))
+    docs = materialize(docs.select(*ids, sentences_col).withColumn("_doc", F.monotonically_increasing_id()), "sentence-lists")
+    sents = explode_rows(docs, ["_doc"], sentences_col, "tokens")
+    pooled = pooled_tokens(sents, ["_doc"], wv, "sum" if pool == "mean" else "max", "tokens", budget).where("n_known > 0")
+    vec = F.transform("vec", lambda x: x / F.col("n_known").cast("double")) if pool == "mean" else F.col("vec")
+    per = pooled.select("_doc", vec.alias("vec")).groupBy("_doc").agg(F.count(F.lit(1)).alias("n_sentences"), mean_vectors("vec", wv.dim).alias("_m"))
+    return docs.select("_doc", *ids).join(per, "_doc", "left").select(
+        *ids, F.coalesce("n_sentences", F.lit(0)).cast("bigint").alias("n_sentences"), F.coalesce("_m", _zeros(wv.dim)).alias("features"))
 
 
 def sentence_token_rows(docs: DataFrame, ids: Sequence[str],

@@ -10,14 +10,19 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from articlelab.functions.text import BOS, EOS, with_boundaries
 from articlelab.operators.keys import with_row_number
 from articlelab.operators.rows import explode_rows
 from articlelab.operators.vectors import WordVectors, attach_vectors
-from articlelab.session import materialize
+
+# Words of a text whose vectors are compared in one go.
+WORDS_AT_ONCE = 4096
 
 
 def corpus_vocabulary(token_lists: DataFrame, col: str = "tokens",
@@ -86,17 +91,25 @@ def word_importance(items: DataFrame, ids: Sequence[str], wv: WordVectors,
                     tokens_col: str = "tokens", bos: str = BOS, eos: str = EOS) -> DataFrame:
     """For ``[bos] + known words + [eos]``, the token that holds the
     maximum of each vector dimension (first on ties), counted per token
-    position; ``pct = 100 * n / dim``. Work is per item, JVM-side."""
-    ids = list(ids)
-    dim = wv.dim
+    position; ``pct = 100 * n / dim``. The vectors of an item (one text) meet in
+    one group, as whole rows; no row per dimension is made."""
+    ids, dim = list(ids), wv.dim
     rows = explode_rows(items, ids, with_boundaries(tokens_col, bos, eos), pos="pos")
-    # the known words of an item in order; an item is one text
-    place = Window.partitionBy(*ids).orderBy("pos")
-    known = materialize(attach_vectors(rows, wv, "inner").withColumn(
-        "tok_no", F.row_number().over(place).cast("bigint") - 1).drop("pos"), "item-words")
-    values = known.select(*ids, "tok_no", F.posexplode("vec").alias("_dim", "_v"))
-    winners = values.groupBy(*ids, "_dim").agg(F.max_by("tok_no", F.struct("_v", -F.col("tok_no"))).alias("tok_no"))
-    wins = winners.groupBy(*ids, "tok_no").agg(F.count(F.lit(1)).alias("_n"))
-    n = F.coalesce("_n", F.lit(0)).cast("bigint")
-    return known.drop("vec").join(wins, [*ids, "tok_no"], "left").select(
-        *ids, "tok_no", "token", n.alias("n"), (n * F.lit(100.0) / F.lit(dim)).alias("pct"))
+    known = attach_vectors(rows, wv, "inner")
+    out = items.select(*ids).schema.add("tok_no", "long").add("token", "string").add("n", "long").add("pct", "double")
+    arrow = to_arrow_schema(out)
+
+    def count(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        best, holder = np.full(dim, -np.inf), np.zeros(dim, np.int64)
+        for a in range(0, len(t), WORDS_AT_ONCE):
+            part = t.column("vec").slice(a, WORDS_AT_ONCE).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            first = part.argmax(axis=0)
+            top = part[first, np.arange(dim)]
+            holder = np.where(top > best, first + a, holder)
+            best = np.maximum(top, best)
+        n = np.bincount(holder, minlength=len(t))
+        return pa.table([*[t.column(c) for c in ids], pa.array(np.arange(len(t))), t.column("token"), pa.array(n), pa.array(n * 100.0 / dim)],
+                        schema=arrow)
+
+    return known.select(*ids, "pos", "token", "vec").groupBy(*ids).applyInArrow(count, out)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,13 @@ from articlelab.operators import metrics as M
 from articlelab.operators import runs as R
 from articlelab.operators import sampling as D
 from articlelab.operators.keys import DEFAULT_SEED, TRAIN_SHARE
+from articlelab.operators.rows import spread
 from articlelab.session import materialize
 from articlelab.sinks import writers as SK
+from articlelab.sources import csv_index as CI
 from articlelab.sources import files as FS
+from articlelab.train import exact_stumps as EX
+from articlelab.train import local_steps as LS
 from articlelab.train import networks as NN
 from articlelab.train import samme as SA
 
@@ -93,7 +98,7 @@ def load_pretrained(name: str, **kw) -> EN.Encoder:
 
 def train_embedder(spark: SparkSession, csv_path: str, save_path: str, vector_size: int = 100,
                    seed: int = DEFAULT_SEED, train_share: float = TRAIN_SHARE) -> EN.Word2VecEncoder:
-    """Word2Vec on the train split only, saved with Spark ML persistence."""
+    """Word vectors from the train split only, saved as a table."""
     raw = FS.read_csv(spark, csv_path, file_order="doc_id")
     train = D.with_split(raw, "doc_id", seed, train_share).where(F.col("split") == "train")
     enc = EN.Word2VecEncoder(dim=vector_size).fit(train)
@@ -115,7 +120,7 @@ def train_vocab_embedder(spark: SparkSession, csv_path: str, save_path: str, dim
 # -- P4-P6, P10 -------------------------------------------------------------
 def embed_csv_batches(spark: SparkSession, csv_path: str, out_path: str, encoder: EN.Encoder,
                       batch_size: int = EMBED_BATCH, literal_type: str | None = None,
-                      class_map: dict | None = None, stop_before: int | None = None) -> DataFrame:
+                      class_map: dict | None = None, stop_before: int | None = None, range_bytes: int = CI.RANGE_BYTES) -> DataFrame:
     """Tolerant scan, clean-up, embed, one output folder per
     batch of ``batch_size`` file rows; batches already written are skipped
     (resume, B3). All batches are embedded once (Q5).
@@ -123,19 +128,39 @@ def embed_csv_batches(spark: SparkSession, csv_path: str, out_path: str, encoder
     A row's id is its position in file order, so equal articles stay apart and
     rows appended to the file leave earlier batches as they are. The batch
     number goes through the encoder with the id. Class numbers come from
-    the whole file, whatever is pending. ``stop_before`` ends a run early."""
-    rows, _ = FS.read_csv_tolerant(spark, csv_path, file_order="file_row")
-    rows = rows.withColumn("batch_no", F.expr(f"file_row div {int(batch_size)}"))
-    arts = C.clean_articles(rows.drop("repaired"), literal_type)
-    mapping = L.literal_map(spark, class_map) if class_map else L.class_map(arts, "type", "label")
-    arts = D.pending_batches(arts, SK.finished_batches(spark, out_path))
-    if stop_before is not None:
-        arts = arts.where(F.col("batch_no") < stop_before)
-    out = EN.embedded_table(arts, encoder, split_col=None, id_col="file_row", mapping=mapping, carry=["batch_no"])
-    SK.write_batches(out, out_path)
+    the whole file, whatever is pending. ``stop_before`` ends a run early.
+
+    The first run makes an index of the files and the class map and stores
+    them beside the batches; a later run over the same files opens only the
+    stretches of bytes that hold pending rows."""
+    index, fresh = CI.stored_index(spark, csv_path, f"{out_path}/_index", range_bytes)
+    ready = None if fresh else _stored_classes(spark, f"{out_path}/_classes")
+    mapping = L.literal_map(spark, class_map) if class_map else ready
+    if mapping is None:
+        everything = C.clean_articles(CI.read_ranges(index.where("n_rows > 0")).drop("repaired"), literal_type)
+        L.class_map(everything, "type", "label").write.mode("overwrite").parquet(f"{out_path}/_classes")
+        mapping = _stored_classes(spark, f"{out_path}/_classes")
+    done = SK.finished_batches(spark, out_path)
+    pending = CI.pending_ranges(index, done, batch_size, stop_before=stop_before)
+    if not pending.isEmpty():
+        rows = CI.read_ranges(pending).drop("repaired").withColumn("batch_no", F.expr(f"file_row div {int(batch_size)}"))
+        arts = D.pending_batches(C.clean_articles(rows, literal_type), done)
+        if stop_before is not None:
+            arts = arts.where(F.col("batch_no") < stop_before)
+        out = EN.embedded_table(spread(arts), encoder, split_col=None, id_col="file_row", mapping=mapping, carry=["batch_no"])
+        SK.write_batches(out, out_path)
     return spark.read.parquet(out_path)
 
 
+def _stored_classes(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def embed_raw_data(spark: SparkSession, csv_path: str, encoder: EN.Encoder, train_path: str,
                    test_path: str, seed: int = DEFAULT_SEED, n_rows: int | None = None,
                    train_share: float = TRAIN_SHARE) -> DataFrame:
@@ -152,7 +177,7 @@ def embed_raw_data(spark: SparkSession, csv_path: str, encoder: EN.Encoder, trai
 # -- P11-P13 ----------------------------------------------------------------
 def train_nn_model(spark: SparkSession, ds: str, dim: int, model_name: str, save_dir: str,
                    test_ds: str | None = None, epochs: int = EPOCHS, learning_rate: float = LEARNING_RATE,
-                   seed: int = DEFAULT_SEED, output: str = "logits", batch_size: int = NN.BATCH_SIZE) -> DataFrame:
+                   seed: int = DEFAULT_SEED, output: str = "logits", batch_size: int | None = None) -> DataFrame:
     """Embedded CSV(s) -> labels re-indexed on the union -> trainer ->
     run JSON (series + confusion maps, outer = predicted) + weights."""
     ds_name, enc_name = R.path_names(spark, ds)
@@ -166,7 +191,7 @@ def train_nn_model(spark: SparkSession, ds: str, dim: int, model_name: str, save
     conf = spark.createDataFrame(
         [(c["split"], c["epoch"], int(c["true_label"]), int(c["pred_label"]), int(c["n"])) for c in res.confusion],
         "split string, epoch bigint, true_label bigint, pred_label bigint, n bigint")
-    rec = R.network_run_records(hist, conf, [], {"learning_rate": learning_rate, "training_batch_size": batch_size,
+    rec = R.network_run_records(hist, conf, [], {"learning_rate": learning_rate, "training_batch_size": batch_size or LS.BATCH_ROWS,
                                                    "optimizer_name": model.optimizer_name,
                                                    "criterion_name": model.criterion_name})
     rec = rec.select(F.lit(ds_name).alias("original_dataset_name"), F.lit(enc_name).alias("embedder_name"),
@@ -190,8 +215,8 @@ def convert_into_image_dataset(spark: SparkSession, ds: str, dim: int, save_dir:
 
 
 def adaboost(spark: SparkSession, ds: str | Sequence[str], dim: int, save_dir: str, test_ds: str | None = None,
-             seed: int = DEFAULT_SEED, n_rounds: int = SA.N_ROUNDS, learner: str = "hist") -> DataFrame:
-    """SAMME stumps; labels encoded over train + test together (F7);
+             seed: int = DEFAULT_SEED, n_rounds: int = SA.N_ROUNDS, learner: str = "exact") -> DataFrame:
+    """SAMME stumps (exact; ``hist``: binned, ``mllib``: by MLlib); labels encoded over train + test together (F7);
     accuracy and confusion (outer = true) to a boosting-run JSON, the model
     beside it (B7). Several embedded files give one run and record each."""
     if not isinstance(ds, str):
@@ -204,14 +229,14 @@ def adaboost(spark: SparkSession, ds: str | Sequence[str], dim: int, save_dir: s
     data = L.dense_labels(FS.train_test_pair(spark, ds, test_ds, dim, seed), "label", "label")
     k = data.select("label").distinct().count()
     train = data.where(F.col("split") == "train")
-    model = (SA.fit_hist(train, k, n_rounds=n_rounds) if learner == "hist"
-             else SA.fit(train, k, n_rounds=n_rounds, seed=seed))
+    model = (EX.fit_exact(train, k, n_rounds=n_rounds) if learner == "exact" else
+             SA.fit_hist(train, k, n_rounds=n_rounds) if learner == "hist" else SA.fit(train, k, n_rounds=n_rounds, seed=seed))
     pred = model.decision(data.where(F.col("split") == "test"))
     conf = M.confusion(pred.withColumn("g", F.lit(1)), ["g"])
     rec = boost_run_record(conf, ds_name, enc_name)
     ident = os.path.join(save_dir, f"{ds_name}_{enc_name}_adaboost")
     SK.write_json_records(rec.coalesce(1), ident + ".json")
-    if learner == "hist":
+    if learner in ("exact", "hist"):
         SA.save_stumps(spark, model, os.path.join(ident, "stumps"))
     return rec
 

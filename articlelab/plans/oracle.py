@@ -591,3 +591,382 @@ SELECT embedding_type AS what, {r6('mean_accuracy')} AS mean_accuracy, n_runs::B
 UNION ALL SELECT 'quarantine:accuracy', NULL, count(*)::BIGINT FROM b WHERE accuracy IS NULL
 UNION ALL SELECT 'quarantine:broken', NULL, 1::BIGINT
 """
+
+
+def _exact_round(i: int) -> str:
+    """CTEs of boosting round ``i``: the best of all cuts under the weights ``w{i}``."""
+    return f"""
+c{i} AS (SELECT f, v, label, sum(w) AS w FROM t JOIN w{i} USING (vec_id) GROUP BY ALL),
+g{i} AS (SELECT a.f, a.v, nv, k, coalesce(x.w, 0) AS w FROM (vals CROSS JOIN range(10) AS r(k)) a
+         LEFT JOIN c{i} x ON x.f = a.f AND x.v = a.v AND x.label = a.k),
+l{i} AS (SELECT f, v, nv, k, round(sum(w) OVER (PARTITION BY f, k ORDER BY v), 9) AS l, round(sum(w) OVER (PARTITION BY f, k), 9) AS every FROM g{i}),
+i{i} AS (SELECT f, (v + nv) / 2 AS cut, sum(l) AS nl, sum(every - l) AS nr, sum(every) AS n, sum(l * l) AS l2, sum((every - l) * (every - l)) AS r2,
+         max(l) AS ml, max(every - l) AS mr, arg_max(k, (l, -k)) AS lc, arg_max(k, (round(every - l, 9), -k)) AS rc
+         FROM l{i} WHERE nv IS NOT NULL GROUP BY f, v, nv),
+b{i} AS (SELECT *, (n - ml - mr) / n AS err, ln((ml + mr) / (n - ml - mr)) + ln(9) AS alpha FROM i{i}
+         ORDER BY round(1 - (l2 / nl + r2 / nr) / n, 12), f, cut LIMIT 1),
+w{i + 1} AS (SELECT vec_id, w * exp(CASE WHEN (CASE WHEN t.v <= cut THEN lc ELSE rc END) <> label THEN alpha ELSE 0 END) AS w
+         FROM t JOIN b{i} ON t.f = b{i}.f JOIN w{i} USING (vec_id))"""
+
+
+ORACLE["samme_exact_round"] = f"""
+WITH t AS (SELECT vec_id, label, unnest(x) AS v, unnest(range(64)) AS f FROM {_TRAIN}),
+vals AS (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS nv FROM (SELECT DISTINCT f, v FROM t)),
+w1 AS (SELECT DISTINCT vec_id, 1.0::DOUBLE AS w FROM t),{_exact_round(1)},{_exact_round(2)}
+""" + " UNION ALL ".join(
+    f"""SELECT {i}::BIGINT AS round, f::BIGINT AS feature, {r6("cut")} AS threshold, lc::BIGINT AS left_class, rc::BIGINT AS right_class,
+{r6("err")} AS error, {r6("alpha")} AS alpha FROM b{i}""" for i in (1, 2))
+
+_STEPS = 8     # of 32 rows: replicas of 128 rows on average never reach 256
+
+
+def _local_step(s: int) -> str:
+    """CTEs of step ``s`` of all replicas: weights ``p{s + 1}`` from ``p{s}``."""
+    return f"""
+z{s} AS (SELECT d.vec_id, d.replica, d.label, d.x, p.k, list_dot_product(d.x, p.w) AS z FROM dealt d JOIN p{s} p USING (replica) WHERE d.step = {s}),
+e{s} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z{s}),
+d{s} AS (SELECT replica, x, k, e / sum(e) OVER (PARTITION BY vec_id) - CASE WHEN label = k THEN 1 ELSE 0 END AS d FROM e{s}),
+u{s} AS (SELECT replica, k, f, avg(v * d) AS g FROM (SELECT replica, k, d, unnest(x) AS v, unnest(range(65)) AS f FROM d{s}) GROUP BY replica, k, f),
+g{s} AS (SELECT replica, k, list(g ORDER BY f) AS g FROM u{s} GROUP BY replica, k),
+p{s + 1} AS (SELECT p.replica, p.k, CASE WHEN g.g IS NULL THEN p.w ELSE list_transform(list_zip(p.w, g.g), lambda q: q[1] - 0.5 * q[2]) END AS w
+             FROM p{s} p LEFT JOIN g{s} g USING (replica, k))"""
+
+
+ORACLE["local_sgd_round"] = f"""
+WITH rows_ AS (SELECT vec_id, label, list_append(x, 1.0::DOUBLE) AS x FROM {_TRAIN}),
+r AS (SELECT *, ('0x' || substr(md5('42:' || vec_id), 1, 7))::BIGINT % (SELECT greatest(1, count(*) // 128) FROM rows_) AS replica FROM rows_),
+dealt AS (SELECT *, (row_number() OVER (PARTITION BY replica ORDER BY md5('43:' || vec_id)) - 1) // 32 AS step FROM r),
+p0 AS (SELECT replica, k, [0.0::DOUBLE FOR i IN range(65)] AS w FROM (SELECT DISTINCT replica FROM r) CROSS JOIN range(10) AS c(k)),{",".join(_local_step(s) for s in range(_STEPS))},
+n AS (SELECT replica, count(*) AS n FROM r GROUP BY replica)
+SELECT f::BIGINT AS feature, k::BIGINT AS class, {r6("sum(n * v) / sum(n)")} AS weight
+FROM (SELECT k, n, unnest(w) AS v, unnest(range(65)) AS f FROM p{_STEPS} JOIN n USING (replica)) GROUP BY f, k
+"""
+
+ORACLE["mlp_step"] = f"""
+WITH t AS (SELECT vec_id, label, x FROM {_TRAIN}),
+w1 AS (SELECT j, [((i * 7 + j * 13) % 11 - 5) / 50.0::DOUBLE FOR i IN range(64)] AS w, (j * 5 % 7 - 3) / 50.0::DOUBLE AS b FROM range(128) AS r(j)),
+w2 AS (SELECT k, [((a * 3 + k * 17) % 13 - 6) / 60.0::DOUBLE FOR a IN range(128)] AS w, (k * 11 % 5 - 2) / 50.0::DOUBLE AS b FROM range(10) AS r(k)),
+back AS (SELECT j, [((j * 3 + k * 17) % 13 - 6) / 60.0::DOUBLE FOR k IN range(10)] AS w FROM range(128) AS r(j)),
+a AS (SELECT vec_id, j, list_dot_product(x, w) + b AS a FROM t CROSS JOIN w1),
+h AS (SELECT vec_id, list(greatest(a, 0) ORDER BY j) AS h FROM a GROUP BY vec_id),
+o AS (SELECT vec_id, label, k, list_dot_product(h, w) + b AS o FROM h JOIN t USING (vec_id) CROSS JOIN w2),
+e AS (SELECT *, exp(o - max(o) OVER (PARTITION BY vec_id)) AS e FROM o),
+d AS (SELECT vec_id, k, e / sum(e) OVER (PARTITION BY vec_id) - CASE WHEN label = k THEN 1 ELSE 0 END AS d FROM e),
+ds AS (SELECT vec_id, list(d ORDER BY k) AS d FROM d GROUP BY vec_id),
+dh AS (SELECT vec_id, j, CASE WHEN a > 0 THEN list_dot_product(d, w) ELSE 0 END AS dh FROM a JOIN ds USING (vec_id) JOIN back USING (j)),
+g AS (
+  SELECT 'w1' AS layer, i AS r, j AS c, avg(v * dh) AS g FROM (SELECT j, dh, unnest(x) AS v, unnest(range(64)) AS i FROM dh JOIN t USING (vec_id)) GROUP BY i, j
+  UNION ALL SELECT 'b1', 0, j, avg(dh) FROM dh GROUP BY j
+  UNION ALL SELECT 'w2', a, k, avg(v * d) FROM (SELECT k, d, unnest(h) AS v, unnest(range(128)) AS a FROM d JOIN h USING (vec_id)) GROUP BY a, k
+  UNION ALL SELECT 'b2', 0, k, avg(d) FROM d GROUP BY k),
+w AS (
+  SELECT 'w1' AS layer, unnest(range(64)) AS r, j AS c, unnest(w) AS w FROM w1 UNION ALL SELECT 'b1', 0, j, b FROM w1
+  UNION ALL SELECT 'w2', unnest(range(128)), k, unnest(w) FROM w2 UNION ALL SELECT 'b2', 0, k, b FROM w2)
+SELECT layer, r::BIGINT AS row, c::BIGINT AS col, {r6("g", 8)} AS gradient, {r6("w - 0.001 * g / (abs(g) + 1e-8)")} AS weight FROM g JOIN w USING (layer, r, c)
+"""
+
+_I = range(WV_DIM)
+_HEX = "('0x' || substr(md5({}), {}, {}))::BIGINT"
+
+
+def _mixed(x: str) -> str:
+    return f"((xor({x}, ({x}) >> 16) * 73244475) % 4294967296)"
+
+
+def _per_word(name: str, rows: str, value: str) -> str:
+    """Moves of a lot's words times their touches, summed over lots."""
+    return f"""
+{name} AS (SELECT word, sum(n)::BIGINT AS n, {", ".join(f"sum(n * d{i}) / sum(n) AS d{i}" for i in _I)}
+  FROM (SELECT lot, word, count(*) AS n, {", ".join(f"sum({value.format(i=i)}) AS d{i}" for i in _I)} FROM {rows} GROUP BY lot, word) GROUP BY word)"""
+
+
+ORACLE["cbow_step"] = f"""
+WITH d AS (SELECT doc_id, {sql_sentence_tokens('text')} AS toks FROM documents),
+s AS (SELECT doc_id || ':' || i AS sid, t AS tokens FROM (SELECT doc_id, unnest(toks) AS t, unnest(range(len(toks))) AS i FROM d)),
+tok AS (SELECT sid, len(tokens) AS len, unnest(tokens) AS word, unnest(range(len(tokens))) AS p FROM s),
+vocab AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+l AS (SELECT greatest(1, ceil(sum(n) / 20000.0))::BIGINT AS lots, sum(n ** 0.75) AS whole FROM vocab),
+pos AS (SELECT sid, {_HEX.format("'42:' || sid", 1, 7)} % lots AS lot, p, word, len FROM tok, l),
+rates AS (SELECT word, n ** 0.75 * (lots * 2000 / whole) AS rate, lots FROM vocab, l),
+drawn AS (SELECT word, lots, floor(rate)::BIGINT + CASE WHEN {_HEX.format("'42:' || word", 1, 7)} / 268435456.0 < rate - floor(rate) THEN 1 ELSE 0 END AS draws FROM rates),
+each AS (SELECT word, lots, unnest(range(draws)) AS draw FROM drawn),
+pools AS (SELECT lot, word, row_number() OVER (PARTITION BY lot ORDER BY word) - 1 AS k, count(*) OVER (PARTITION BY lot) AS size
+  FROM (SELECT word, {_HEX.format("'42:' || word || ':' || draw", 1, 7)} % lots AS lot FROM each)),
+sizes AS (SELECT DISTINCT lot, size FROM pools),
+wv AS (SELECT word, {sql_hash_vec_cols('word')} FROM vocab),
+ov AS (SELECT word, {sql_hash_vec_cols("word || '!'")} FROM vocab),
+ctx AS (SELECT e.sid, e.p, e.lot, c.word FROM (SELECT * FROM pos CROSS JOIN range(-5, 6) AS o(o) WHERE len > 1 AND o <> 0) e
+  JOIN pos c ON c.sid = e.sid AND c.p = e.p + e.o),
+h AS (SELECT sid, p, lot, {", ".join(f"avg(v{i}) AS h{i}" for i in _I)} FROM ctx JOIN wv USING (word) GROUP BY sid, p, lot),
+ex AS (SELECT sid, p, lot, word AS target FROM pos WHERE len > 1),
+neg AS (SELECT sid, p, lot, target, {_mixed(_mixed("x"))} AS x, size
+  FROM (SELECT sid, p, e.lot, target, size, ({_HEX.format("'42:0:' || sid", 1, 7)} + p * 40503 + j * 2246822519) % 4294967296 AS x
+        FROM ex e JOIN sizes z ON z.lot = e.lot CROSS JOIN range(5) AS r(j))),
+words AS (SELECT sid, p, lot, target AS word, 1 AS wanted FROM ex
+  UNION ALL SELECT sid, p, n.lot, q.word, 0 FROM neg n JOIN pools q ON q.lot = n.lot AND q.k = xor(n.x, n.x >> 16) % n.size WHERE q.word <> target),
+z AS (SELECT w.sid, w.p, w.lot, w.word, wanted, {" + ".join(f"h{i} * v{i}" for i in _I)} AS z, {", ".join(f"h{i}, v{i}" for i in _I)}
+  FROM words w JOIN h ON h.sid = w.sid AND h.p = w.p JOIN ov ON ov.word = w.word),
+g AS (SELECT *, 0.5 * (wanted - 1 / (1 + exp(-z))) AS g FROM z),
+back AS (SELECT sid, p, {", ".join(f"sum(g * v{i}) AS b{i}" for i in _I)} FROM g GROUP BY sid, p),
+cb AS (SELECT ctx.lot, ctx.word, {", ".join(f"b{i}" for i in _I)} FROM ctx JOIN back ON back.sid = ctx.sid AND back.p = ctx.p),{_per_word("din", "cb", "b{i}")},{_per_word("dout", "g", "g * h{i}")}
+SELECT wv.word, coalesce(a.n, 0)::BIGINT AS n_in, coalesce(b.n, 0)::BIGINT AS n_out,
+  {", ".join(r6(f"wv.v{i} + coalesce(a.d{i}, 0)") + f" AS in{i}" for i in _I)}, {", ".join(r6(f"ov.v{i} + coalesce(b.d{i}, 0)") + f" AS out{i}" for i in _I)}
+FROM wv JOIN ov USING (word) LEFT JOIN din a USING (word) LEFT JOIN dout b USING (word)
+"""
+
+ORACLE["numbered_outliers"] = """
+WITH d AS (
+  SELECT doc_id, CASE WHEN doc_id = 0 THEN (-9223372036854775807 - 1)::BIGINT WHEN doc_id = 1 THEN 9223372036854775807
+    WHEN doc_id % 50 = 2 THEN 1152921504606846976 + doc_id WHEN doc_id % 3 = 0 THEN 7 ELSE doc_id * 1000 - 40000 END AS key
+  FROM documents)
+SELECT doc_id, key::BIGINT AS key, row_number() OVER (ORDER BY key, doc_id) AS row_no, count(*) OVER () AS n_rows FROM d
+"""
+
+_WIDE_LIST = "[" + ", ".join(
+    f"('0x' || substr(md5({'token' if i < 8 else f'''token || ':{i // 8}' '''}), {1 + 3 * (i % 8)}, 3))::INTEGER / 4095.0 - 0.5" for i in range(200)) + "]"
+ORACLE["word_importance_wide"] = ORACLE["word_importance"].replace(_VEC_LIST, _WIDE_LIST).replace(
+    f"range({WV_DIM})", "range(200)").replace(f"/ {WV_DIM})", "/ 200)")
+
+
+# --------------------------------------------------------------------------
+# Learnt sentences, ordered tokeniser rules
+from articlelab.functions import treebank as TB  # noqa: E402
+from articlelab.operators import sentences as SE  # noqa: E402
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+STOPS_TEXT = "replace(replace(text, ' the ', ' Dr. '), ' de ', ' p.m. ')"
+
+
+def sql_core(x: str) -> str:
+    return f"regexp_replace({x}, '{_q(f'^{SE.OPENERS}+|{SE.CLOSERS}*[{WS_CLASS}]*$')}', '', 'g')"
+
+
+def sql_kind(c: str) -> str:
+    return (f"CASE WHEN regexp_matches({c}, '{SE.ELLIPSIS}') THEN 'ellipsis' WHEN regexp_matches({c}, '[!?]$') THEN 'mark' "
+            f"WHEN regexp_matches({c}, '{SE.INITIAL}') THEN 'initial' WHEN regexp_matches({c}, '^[0-9]+([.,:-][0-9]+)*\\.$') THEN 'number' "
+            f"WHEN regexp_matches({c}, '\\.$') THEN 'stop' ELSE 'none' END")
+
+
+def sql_type(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '{SE.NUMBER}') THEN '{SE.NUMBER_TYPE}' ELSE lower(regexp_replace({c}, '\\.$', '')) END"
+
+
+def sql_together(a: str, b: str, ab: str, n: str) -> str:
+    x = lambda m, p: f"(CASE WHEN ({m}) = 0 THEN 0 ELSE ({m}) * ln({p}) END)"
+    a, b, ab, n = (f"({v})::DOUBLE" for v in (a, b, ab, n))
+    p, p1, p2 = f"{b} / {n}", f"{ab} / {a}", f"({b} - {ab}) / ({n} - {a})"
+    return (f"(-2 * ({x(ab, p)} + {x(f'{a} - {ab}', f'1 - {p}')} + {x(f'{b} - {ab}', p)} + {x(f'{n} - {a} - {b} + {ab}', f'1 - {p}')}"
+            f" - CASE WHEN {ab} = 0 OR {ab} = {a} THEN 0 ELSE {x(ab, p1)} + {x(f'{a} - {ab}', f'1 - {p1}')} END"
+            f" - CASE WHEN {n} <= {a} OR {b} = {ab} OR {n} - {a} - {b} + {ab} <= 0 THEN 0 ELSE {x(f'{b} - {ab}', p2)} + {x(f'{n} - {a} - {b} + {ab}', f'1 - {p2}')} END))")
+
+
+_SCORES = f"""
+docs AS (SELECT doc_id, regexp_extract_all({STOPS_TEXT}, '{SE.TOKEN}') AS raw FROM documents),
+lists AS (SELECT doc_id, raw, list_transform(raw, lambda x: {sql_core('x')}) AS cores FROM docs),
+texts AS (SELECT list_filter(cores, lambda x: x <> '') AS t FROM lists),
+pairs AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(list_concat([NULL], t)) AS a, unnest(list_concat(t, [NULL])) AS b FROM texts WHERE len(t) > 0) GROUP BY a, b),
+typed AS (SELECT {sql_type('a')} AS type, sum(CASE WHEN regexp_matches(a, '\\.$') THEN n ELSE 0 END) AS n_with,
+  sum(CASE WHEN regexp_matches(a, '\\.$') THEN 0 ELSE n END) AS n_without FROM pairs WHERE a IS NOT NULL AND {sql_kind('a')} <> 'ellipsis' GROUP BY 1),
+share AS (SELECT sum(n_with)::DOUBLE / sum(n_with + n_without) AS p FROM typed),
+liked AS (SELECT type, n_with, n_without, -2 * (n_with * ln(p) + n_without * ln(1 - p) - n_with * ln(0.99::DOUBLE) - n_without * ln(1 - 0.99::DOUBLE)) AS ll,
+  length(type) - length(replace(type, '.', '')) AS stops FROM typed, share WHERE n_with > 0 AND regexp_matches(type, '\\p{{L}}')),
+scored AS (SELECT *, ll * exp(-(length(type) - stops)::DOUBLE) * (stops + 1) * pow((length(type) - stops)::DOUBLE, -n_without::DOUBLE) AS score FROM liked)"""
+
+ORACLE["abbreviation_scores"] = f"""
+WITH {_SCORES}
+SELECT type, n_with::BIGINT AS n_with, n_without::BIGINT AS n_without, {r6('ll', 4)} AS log_likelihood, {r6('score')} AS score, score >= 0.3 AS is_abbreviation FROM scored
+"""
+
+def sql_first_pass(rows: str, n: str) -> str:
+    return f"""(SELECT *, a IS NOT NULL AND (ka = 'mark' OR (ka IN ('stop', 'initial', 'number') AND NOT abbr)) AS ends FROM (
+      SELECT x.*, coalesce(s.is_abbr, false) AND ka IN ('stop', 'initial') AS abbr FROM (
+        SELECT a, b, {n} {sql_kind('a')} AS ka, {sql_type('a')} AS ta, {sql_type('b')} AS tb FROM {rows}) x
+      LEFT JOIN (SELECT type, true AS is_abbr FROM scored WHERE score >= 0.3) s ON x.ta = s.type))"""
+
+
+ORACLE["learnt_sentences"] = f"""
+WITH {_SCORES},
+first AS {sql_first_pass('pairs', 'n,')},
+counts AS (SELECT tb AS type, sum(n) AS n, sum(CASE WHEN ends THEN n ELSE 0 END) AS at_break, bool_or(regexp_matches(b, '\\p{{L}}')) AS word
+  FROM first WHERE b IS NOT NULL GROUP BY tb),
+total AS (SELECT sum(n) AS total, sum(CASE WHEN ends THEN n ELSE 0 END) AS breaks FROM first WHERE b IS NOT NULL),
+starters AS (SELECT type FROM counts, total WHERE at_break > 0 AND word AND {sql_together('breaks', 'n', 'at_break', 'total')} >= 30
+  AND total::DOUBLE / breaks > n::DOUBLE / at_break),
+bound AS (SELECT ta, tb, sum(n) AS times FROM first WHERE ka IN ('number', 'initial') AND ends AND regexp_matches(b, '\\p{{L}}') GROUP BY ta, tb),
+tied AS (SELECT ta, tb FROM bound JOIN counts l ON l.type = ta JOIN counts r ON r.type = tb, total
+  WHERE times > 1 AND {sql_together('l.n', 'r.n', 'times', 'total')} >= 7.88 AND total::DOUBLE / l.n > r.n::DOUBLE / times),
+writing AS (SELECT tb AS type, bool_or(u) AS upper, bool_or(l) AS lower, bool_or(u AND inside) AS upper_inside, bool_or(l AND begins) AS lower_first
+  FROM (SELECT tb, regexp_matches(b, '^\\p{{Lu}}') AS u, regexp_matches(b, '^\\p{{Ll}}') AS l, a IS NULL OR ends AS begins, NOT (a IS NULL OR ends) AND ka = 'none' AS inside
+        FROM first WHERE b IS NOT NULL) WHERE u OR l GROUP BY tb),
+places AS (SELECT doc_id, i, cores[i] AS a, cores[i + 1] AS b FROM (SELECT doc_id, cores, unnest(range(1, len(cores))) AS i FROM lists) WHERE regexp_matches(cores[i], '[.!?]$')),
+distinct_ AS (SELECT DISTINCT a, b FROM places),
+second AS (SELECT p.*, regexp_matches(b, '^\\p{{Lu}}') AS up, regexp_matches(b, '^\\p{{Ll}}') AS down, coalesce(w.lower, false) AS wl, coalesce(w.upper, false) AS wu,
+    coalesce(w.upper_inside, false) AS wi, coalesce(w.lower_first, false) AS wf, s.type IS NOT NULL AS starter, t.ta IS NOT NULL AS tied
+  FROM {sql_first_pass('distinct_', '')} p LEFT JOIN writing w ON w.type = p.tb LEFT JOIN starters s ON s.type = p.tb LEFT JOIN tied t ON t.ta = p.ta AND t.tb = p.tb),
+decided AS (SELECT a, b, CASE WHEN ka = 'mark' THEN true WHEN tied THEN false
+    WHEN (abbr OR ka = 'ellipsis') AND ka <> 'initial' THEN (up AND wl AND NOT wi) OR (up AND starter)
+    WHEN ka IN ('initial', 'number') AND down AND (wu OR NOT wf) THEN false
+    WHEN ka = 'initial' AND NOT (up AND wl AND NOT wi) AND up AND NOT wl THEN false ELSE ends END AS ends FROM second),
+cuts AS (SELECT doc_id, list(i ORDER BY i) AS cuts FROM places p JOIN decided d ON p.a = d.a AND p.b = d.b WHERE d.ends GROUP BY doc_id),
+sents AS (SELECT l.doc_id, CASE WHEN len(raw) > 0 THEN list_transform(list_zip(list_concat([0], coalesce(cuts, [])), list_concat(coalesce(cuts, []), [len(raw)])),
+    lambda r: regexp_replace(array_to_string(list_slice(raw, r[1] + 1, r[2]), ''), '^[{WS_CLASS}]+|[{WS_CLASS}]+$', '', 'g')) ELSE [] END AS s
+  FROM lists l LEFT JOIN cuts c USING (doc_id))
+SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, chr(31))) AS sentences_md5 FROM sents
+"""
+
+
+def sql_treebank(s: str) -> str:
+    out = f"regexp_replace(regexp_replace({s}, '[{WS_CLASS}]+', ' ', 'g'), '^ | $', '', 'g')"
+    apply = lambda x, rules: x if not rules else apply(f"regexp_replace({x}, '{_q(rules[0][0])}', '{_q(rules[0][1].replace('$', chr(92)))}', 'g')", rules[1:])
+    out = apply(f"' ' || {apply(out, TB.BEFORE)} || ' '", TB.AFTER)
+    return f"list_filter(string_split_regex({out}, ' +'), lambda x: x <> '')"
+
+
+SPOKEN = "replace(replace(replace(text, ' de ', ' don''t '), ' the ', ' (it''s \"so\") '), ', ', ', I''ve ') || ' \"He cannot,\" she said; they won''t pay $3.50...'"
+
+ORACLE["ordered_tokens"] = f"""
+SELECT conv_id, turn, len(w)::BIGINT AS n_tokens, len(list_filter(w, lambda x: x = 'n''t'))::BIGINT AS n_contractions, md5(array_to_string(w, ' ')) AS tokens_md5
+FROM (SELECT conv_id, turn, {sql_treebank(SPOKEN)} AS w FROM conversations)
+"""
+
+ORACLE["contractions_fixed"] = f"""
+SELECT conv_id, turn, j <> replace(j, ' n''t ', 'n ''t ') AS changed, md5(replace(j, ' n''t ', 'n ''t ')) AS fixed_md5
+FROM (SELECT conv_id, turn, array_to_string({sql_treebank(SPOKEN)}, ' ') AS j FROM conversations)
+"""
+
+ORACLE["image_folder"] = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda v: least(255, greatest(0, floor((v::DOUBLE + 0.5) * 256)))::BIGINT) AS r FROM embeddings),
+g AS (SELECT vec_id, label, list_transform(r, lambda x: (((19595 * x + 38470 * (255 - x) + 7471 * ((x & 15) * 16) + 32768) >> 16) / 255.0 - 0.5) / 0.5) AS p FROM v)
+SELECT vec_id, (SELECT count(DISTINCT 'class ' || o.label) FROM embeddings o WHERE 'class ' || o.label < 'class ' || g.label)::BIGINT AS label,
+  8::INTEGER AS height, 8::INTEGER AS width, {r6("p[1]")} AS p1, {r6("p[10]")} AS p10, {r6("p[64]")} AS p64, {r6("list_sum(p)")} AS total FROM g
+"""
+
+ORACLE["vocabulary_stream"] = ORACLE["vocab_update"]
+
+ORACLE["run_files_variant"] = f"""
+WITH r AS {RUNS},
+f AS (SELECT 'embedder_name' AS field, 'text' AS kind, 'text' AS expected FROM r
+  UNION ALL SELECT 'accuracy', CASE WHEN epoch = 2 THEN 'text' ELSE 'number' END, 'number' FROM r WHERE accuracy IS NOT NULL
+  UNION ALL SELECT 'f1_score', 'list', 'list' FROM r WHERE epoch = 5
+  UNION ALL SELECT 'notes', 'object', 'unknown' FROM r WHERE split = 'test')
+SELECT 'field:' || field AS what, kind || ':' || expected AS kind, count(*)::BIGINT AS n, NULL::DOUBLE AS value FROM f GROUP BY ALL
+UNION ALL SELECT embedder_name, 'mean', count(*) FILTER (WHERE epoch = 5)::BIGINT, {r6("avg(accuracy)")} FROM r GROUP BY embedder_name
+UNION ALL SELECT 'quarantine', 'broken', 1::BIGINT, NULL
+"""
+
+
+# --------------------------------------------------------------------------
+# Jobs with their file ends
+_F = ", ".join(r6(f"coalesce(s{i}, 0) / greatest(len(d.toks), 1)") + f" AS f{i}" for i in range(WV_DIM))
+_SUMS = ", ".join(f"sum(v{i}) AS s{i}" for i in range(WV_DIM))
+
+ORACLE["pretrained_from_file"] = f"""
+WITH d AS (SELECT item_id, {sql_flat_tokens('text')} AS toks FROM benchmark),
+t AS (SELECT item_id, unnest(toks) AS token FROM d),
+wv AS (SELECT token, {sql_hash_vec_cols()} FROM (SELECT DISTINCT token FROM t) WHERE {sql_has_vec()}),
+s AS (SELECT t.item_id, {_SUMS} FROM t JOIN wv USING (token) GROUP BY t.item_id)
+SELECT d.item_id, len(d.toks)::BIGINT AS n_tokens, {_F} FROM d LEFT JOIN s USING (item_id)
+"""
+
+ORACLE["first_vectors_of_file"] = f"""
+SELECT token, row_no, {", ".join(r6(f"v{i}") + f" AS v{i}" for i in range(WV_DIM))} FROM (
+  SELECT token, row_number() OVER (ORDER BY token) AS row_no, {sql_hash_vec_cols()} FROM {vocab_sql('benchmark')} WHERE {sql_has_vec()})
+WHERE row_no <= 200 OR token IN ('{BOS}', '{EOS}')
+"""
+
+#: Documents by their place in the CSV, split by the shuffled place.
+_FILED = f"""
+filed AS (SELECT doc_id, lang AS type, text, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents),
+shuffled AS (SELECT *, row_number() OVER (ORDER BY {shuffle_key('place')}, place) AS rn, count(*) OVER () AS n FROM filed),
+d AS (SELECT doc_id, type, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split, coalesce({sql_flat_tokens('text')}, []) AS toks FROM shuffled),
+t AS (SELECT doc_id, split, unnest(toks) AS token FROM d)"""
+
+ORACLE["vocabulary_encoder_job"] = f"""
+WITH {_FILED},
+wv AS (SELECT token, {sql_hash_vec_cols()} FROM (SELECT DISTINCT token FROM t WHERE split = 'train') WHERE {sql_has_vec()}),
+s AS (SELECT t.doc_id, {_SUMS} FROM t JOIN wv USING (token) GROUP BY t.doc_id)
+SELECT d.doc_id, len(d.toks)::BIGINT AS n_tokens, {_F} FROM d LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE["word_vector_job"] = f"WITH {_FILED} SELECT DISTINCT token, 16::BIGINT AS width, true AS learnt FROM t WHERE split = 'train'"
+
+ORACLE["subset_job"] = f"""
+WITH a AS (SELECT doc_id, type, doc_id || ':' || text AS text, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM {ARTICLES}),
+r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY {shuffle_key('place')}, place) AS rn FROM a)
+SELECT type, doc_id, md5(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS text_md5 FROM r WHERE rn <= 20 AND type IN ('human', 'gpt')
+"""
+
+ORACLE["embed_files_job"] = f"""
+WITH {_FILED},
+m AS (SELECT type, row_number() OVER (ORDER BY type) - 1 AS label FROM (SELECT DISTINCT type FROM d WHERE type IS NOT NULL)),
+wv AS (SELECT token, {sql_hash_vec_cols()} FROM (SELECT DISTINCT token FROM t) WHERE {sql_has_vec()}),
+s AS (SELECT t.doc_id, {_SUMS} FROM t JOIN wv USING (token) GROUP BY t.doc_id)
+SELECT split, label::BIGINT AS label, count(*)::BIGINT AS n, {", ".join(r6(f"sum(coalesce(s{i}, 0) / greatest(len(toks), 1))", 4) + f" AS f{i}" for i in range(WV_DIM))}
+FROM d JOIN m USING (type) LEFT JOIN s USING (doc_id) GROUP BY split, label
+"""
+
+ORACLE["network_files_job"] = f"""
+SELECT 'fixture' AS original_dataset_name, 'hash64' AS embedder_name, 2::BIGINT AS epochs, 32::BIGINT AS batch_size, 2::BIGINT AS n_losses,
+  count(*) FILTER (WHERE split = 'train')::BIGINT AS n_train, count(*) FILTER (WHERE split = 'test')::BIGINT AS n_test,
+  (65 * count(DISTINCT label))::BIGINT AS n_weights FROM {FEATURES}
+"""
+
+ORACLE["boosting_files_job"] = f"""
+WITH t AS (SELECT vec_id, label, unnest(x) AS v, unnest(range(64)) AS f FROM {_TRAIN}),
+vals AS (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS nv FROM (SELECT DISTINCT f, v FROM t)),
+w1 AS (SELECT DISTINCT vec_id, 1.0::DOUBLE AS w FROM t),{_exact_round(1)},
+p AS (SELECT label AS true_label, CASE WHEN embedding[f + 1]::DOUBLE <= cut THEN lc ELSE rc END AS pred_label FROM {FEATURES}, b1 WHERE split = 'test'),
+l AS (SELECT DISTINCT unnest([true_label, pred_label]) AS x FROM p),
+a AS (SELECT {r6("avg((true_label = pred_label)::INT)")} AS accuracy FROM p)
+SELECT y.x::BIGINT AS true_label, z.x::BIGINT AS pred_label, (SELECT count(*) FROM p WHERE true_label = y.x AND pred_label = z.x)::BIGINT AS n, accuracy
+FROM l y CROSS JOIN l z CROSS JOIN a
+"""
+
+ORACLE["image_files_job"] = f"""
+SELECT split, label::BIGINT AS label, count(u)::BIGINT AS n, 64::BIGINT AS height, {r6("avg(list_sum(u) * list_sum(u) * 255.0)", 3)} AS mean_total
+FROM {UNIT} JOIN {FEATURES} USING (vec_id) GROUP BY split, label
+"""
+
+ORACLE["routed_runs_job"] = f"""
+WITH r AS (SELECT * FROM {RUNS} WHERE accuracy IS NOT NULL)
+SELECT 'network' AS kind, {_emb_type('embedder_name')} AS embedding_type, {_cls_type('embedder_name')} AS class_type, {r6('avg(accuracy)')} AS mean_accuracy, count(*)::BIGINT AS n_runs
+FROM r WHERE split = 'train' GROUP BY ALL
+UNION ALL SELECT 'boosting', {_emb_type('embedder_name')}, NULL, {r6('avg(accuracy)')}, count(*)::BIGINT FROM r WHERE split = 'test' GROUP BY ALL
+"""
+
+ORACLE["csv_projection"] = "SELECT lang AS language, count(*)::BIGINT AS n FROM documents GROUP BY lang"
+
+ORACLE["row_lookup"] = f"""
+SELECT (rn - 1)::BIGINT AS file_row, vec_id, 64::BIGINT AS width, {r6("list_sum(list_transform(embedding, lambda x: x::DOUBLE))")} AS total
+FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings) WHERE rn IN (1, 8, 500)
+"""
+
+_SCORE = ", ".join(
+    r6(f"list_dot_product(h, [((a * 3 + {k} * 17) % 13 - 6) / 60.0::DOUBLE FOR a IN range(128)]) + {k} / 100.0") + f" AS z{k}" for k in range(10))
+ORACLE["score_network"] = f"""
+WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+w1 AS (SELECT j, [((i * 7 + j * 13) % 11 - 5) / 50.0::DOUBLE FOR i IN range(64)] AS w FROM range(128) AS r(j)),
+h AS (SELECT vec_id, list(greatest(list_dot_product(x, w), 0) ORDER BY j) AS h FROM t CROSS JOIN w1 GROUP BY vec_id),
+z AS (SELECT vec_id, {_SCORE} FROM h)
+SELECT *, list_position([{", ".join(f"z{k}" for k in range(10))}], greatest({", ".join(f"z{k}" for k in range(10))})) - 1 AS pred FROM z
+"""
+
+ORACLE["embedded_given_map"] = f"""
+WITH d AS (SELECT doc_id, CASE type WHEN 'human' THEN 5 ELSE 9 END AS label, {sql_flat_tokens('text')} AS toks FROM {ARTICLES}),
+t AS (SELECT doc_id, unnest(toks) AS token FROM d),
+wv AS (SELECT token, {sql_hash_vec_cols()} FROM (SELECT DISTINCT token FROM t) WHERE {sql_has_vec()}),
+s AS (SELECT t.doc_id, {_SUMS} FROM t JOIN wv USING (token) GROUP BY t.doc_id)
+SELECT d.doc_id, label::BIGINT AS label, {_F} FROM d LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE["encoder_sentences"] = f"SELECT sum(len({sql_sentence_tokens('text')}))::BIGINT AS sentences, true AS timed FROM conversations"
+
+ORACLE["result_views"] = f"""
+WITH r AS (SELECT * FROM {RUNS} WHERE accuracy IS NOT NULL)
+SELECT s AS series, 1::BIGINT AS epoch, count(*)::BIGINT AS n, {r6("avg(CASE WHEN ends_with(s, 'accuracies') THEN accuracy ELSE loss END)")} AS mean
+FROM r CROSS JOIN (SELECT unnest(['training_accuracies', 'training_losses', 'testing_accuracies', 'testing_losses']) AS s) GROUP BY s
+"""

@@ -47,6 +47,7 @@ def article_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # Cleaning, sampling, splitting (P1, P2, P9, C*, D*, A4, B3, E1-E5)
 from articlelab.operators import cleaning as C  # noqa: E402
+from articlelab.operators import keys as K  # noqa: E402
 from articlelab.operators import labels as L  # noqa: E402
 from articlelab.operators import sampling as D  # noqa: E402
 
@@ -266,6 +267,14 @@ def word_importance(spark, sf_dir):
     return w.select("item_id", "tok_no", "token", "n", r6(F.col("pct")).alias("pct"))
 
 
+@query
+def word_importance_wide(spark, sf_dir):
+    """E23 at 200 dimensions."""
+    b = S.text_table(spark, sf_dir, "benchmark").select("item_id", T.word_tokens("text", lower=False).alias("tokens"))
+    w = W.word_importance(b, ["item_id"], _wide_vectors(W.corpus_vocabulary(b)))
+    return w.select("item_id", "tok_no", "token", "n", r6(F.col("pct")).alias("pct"))
+
+
 def _conversation_pool(spark, sf_dir, pool):
     c = S.text_table(spark, sf_dir, "conversations").select(*CONV_IDS, T.sentence_tokens("text").alias("sentences"))
     rows = V.sentence_token_rows(c, CONV_IDS)
@@ -522,6 +531,7 @@ def feature_metadata(spark, sf_dir):
 # Trainers, user encoders, streaming (rows-only checks: M1, M6-M10, T1)
 from articlelab.session import scratch_path  # noqa: E402
 from articlelab.streaming import incremental as ST  # noqa: E402
+from articlelab.train import exact_stumps as EX  # noqa: E402
 from articlelab.train import networks as NN  # noqa: E402
 from articlelab.train import samme as SA  # noqa: E402
 
@@ -562,7 +572,7 @@ def samme(spark, sf_dir):
 
 @query
 def word2vec_train(spark, sf_dir):
-    """M1 + E6: Spark ML Word2Vec (100 dims, window 5, min count 1) on the
+    """M1 + E6: continuous bag of words (100 dims, window 5, min count 1) on the
     document sentences, then article vectors with the learnt vectors: every
     token is in the vocabulary, and the vector is a number everywhere."""
     d = S.text_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -692,9 +702,9 @@ def wide_article_vectors(spark, sf_dir):
 
 def _wide_sentences(spark, sf_dir, pool):
     docs = spread(S.dirty(spark, sf_dir)).select("doc_id", T.sentence_tokens("text").alias("sentences"))
-    rows = V.sentence_token_rows(docs, ["doc_id"])
-    pooled = V.pooled_sentence_vectors(rows, _wide_vectors(rows.select("token")), ["doc_id"], pool)
-    return V.mean_of_sentences(pooled, WIDE_DIM, ["doc_id"]).select("doc_id", "n_sentences", *_wide_summary())
+    docs = materialize(docs, "sentence-lists")       # the tokeniser runs once
+    wv = _wide_vectors(explode_rows(docs, [], F.flatten("sentences")))
+    return V.article_sentence_vectors(docs, wv, ["doc_id"], pool).select("doc_id", "n_sentences", *_wide_summary())
 
 
 @query
@@ -728,8 +738,9 @@ def csv_batches_resume(spark, sf_dir):
     dirty.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("type", "text").write.option(
         "header", True).option("escape", '"').csv(csv)
     enc = EN.MeanWordVectorEncoder(WV_DIM).fit(FS.read_csv(spark, csv))
-    J.embed_csv_batches(spark, csv, out, enc, batch_size=BATCH, stop_before=STOP_BEFORE)
-    back = J.embed_csv_batches(spark, csv, out, enc, batch_size=BATCH)
+    # stretches of 256 KB, so that these files have several
+    J.embed_csv_batches(spark, csv, out, enc, batch_size=BATCH, stop_before=STOP_BEFORE, range_bytes=1 << 18)
+    back = J.embed_csv_batches(spark, csv, out, enc, batch_size=BATCH, range_bytes=1 << 18)
     return back.select("file_row", F.col("batch_no").cast("bigint").alias("batch_no"), "label", *expand("features", WV_DIM))
 
 
@@ -798,3 +809,415 @@ def run_files_many(spark, sf_dir):
     why = F.when(F.col("_corrupt_record") == "accuracy", F.lit("quarantine:accuracy")).otherwise(F.lit("quarantine:broken"))
     bad = t["quarantine"].groupBy(why.alias("what")).agg(F.lit(None).cast("double").alias("mean_accuracy"), F.count(F.lit(1)).alias("n"))
     return acc.unionByName(bad)
+
+
+@query
+def samme_exact_round(spark, sf_dir):
+    """Two boosting rounds whose stumps try every distinct value of every
+    feature, the second under the weights that the first leaves."""
+    f = S.features(spark, sf_dir).where(F.col("split") == "train")
+    m = EX.fit_exact(f, N_CLASSES, n_rounds=2)
+    rows = [(i + 1, s.feature, round(s.threshold, 6), s.left, s.right, round(e, 6), round(a, 6))
+            for i, (s, e, a) in enumerate(zip(m.stumps, m.errors, m.alphas, strict=True))]
+    return spark.createDataFrame(rows, "round bigint, feature bigint, threshold double, left_class bigint, right_class bigint, "
+                                       "error double, alpha double")
+
+
+@query
+def local_sgd_round(spark, sf_dir):
+    """M8: a round of local training from zero weights: replicas of some 128 rows
+    run their 32-row steps, then weights are averaged by rows."""
+    import numpy as np
+    f = S.features(spark, sf_dir).where(F.col("split") == "train")
+    replicas = max(1, f.count() // 128)
+    model = NN.SoftmaxRegression(FEATURE_DIM, N_CLASSES, learning_rate=0.5)
+    model.params = [np.zeros_like(p) for p in model.params]
+    NN.LS.local_round(model, NN.LS.deal(f, "vec_id", replicas, model.seed), replicas)
+    rows = [(i, k, float(round(v, 6)) + 0.0) for (i, k), v in np.ndenumerate(np.vstack([model.params[0], model.params[1]]))]
+    return spark.createDataFrame(rows, "feature bigint, class bigint, weight double")
+
+
+@query
+def mlp_step(spark, sf_dir):
+    """M9: back-propagation over all training rows from given weights, and the
+    first Adam step."""
+    import numpy as np
+    model = NN.SimpleMLP(FEATURE_DIM, N_CLASSES, learning_rate=LEARNING_RATE)
+    at = lambda *shape: np.indices(shape)
+    (i, j), (u,), (a, k), (c,) = at(FEATURE_DIM, model.hidden), at(model.hidden), at(model.hidden, N_CLASSES), at(N_CLASSES)
+    model.params = [((i * 7 + j * 13) % 11 - 5) / 50, (u * 5 % 7 - 3) / 50, ((a * 3 + k * 17) % 13 - 6) / 60, (c * 11 % 5 - 2) / 50]
+    g, _, _ = NN.gradient_step(model, S.features(spark, sf_dir).where(F.col("split") == "train"))
+    model.apply(g)
+    rows = []
+    for name, p, d in zip(("w1", "b1", "w2", "b2"), model.params, model.unflat(g), strict=True):
+        for (r, q), v in np.ndenumerate(np.atleast_2d(d)):
+            rows.append((name, r, q, float(round(v, 8)) + 0.0, float(round(np.atleast_2d(p)[r, q], 6)) + 0.0))
+    return spark.createDataFrame(rows, "layer string, row bigint, col bigint, gradient double, weight double")
+
+
+@query
+def cbow_step(spark, sf_dir):
+    """M1: one round of word-vector training, an update of every lot of some
+    20,000 tokens at given vectors: windows, negative samples, gradients and the
+    average over lots."""
+    from articlelab.train import word_vectors as WV
+    docs = S.text_table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(T.sentence_tokens("text")).alias("no", "tokens"))
+    sents = materialize(docs.where(F.col("tokens").isNotNull()).select(F.concat_ws(":", "doc_id", "no").alias("sid"), "tokens"), "sentences")
+    dealt, needs, vocab = WV.prepared(sents, 1, 42, 20_000, 2_000)
+    start = vocab.select("word", FV.hash_vector("word", WV_DIM).alias("inward"), FV.hash_vector(F.concat("word", F.lit("!")), WV_DIM).alias("outward"))
+    done = WV.train_round(dealt, needs, materialize(start, "cbow-vectors"), WV_DIM, 0.5, "42:0", batch=None)
+    return done.select("word", "n_in", "n_out", *expand("inward", WV_DIM, "in"), *expand("outward", WV_DIM, "out"))
+
+
+@query
+def numbered_outliers(spark, sf_dir):
+    """Row numbers of keys of any spread: the ends of BIGINT, a few very
+    large ones, and one that a third of all rows share (told apart by id)."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") == 0, F.lit(-(1 << 63)))
+                                                      .when(F.col("doc_id") == 1, F.lit((1 << 63) - 1))
+                                                      .when(F.col("doc_id") % 50 == 2, F.lit(1 << 60) + F.col("doc_id"))
+                                                      .when(F.col("doc_id") % 3 == 0, F.lit(7).cast("long"))
+                                                      .otherwise(F.col("doc_id") * 1000 - 40_000).alias("key"))
+    return K.with_row_number(docs, "key", tiebreak=["doc_id"], total_name="n_rows")
+
+
+# --------------------------------------------------------------------------
+# Learnt sentences, ordered tokeniser rules
+from articlelab.functions import treebank as TB  # noqa: E402
+from articlelab.operators import sentences as SE  # noqa: E402
+
+
+def _with_abbreviations(spark, sf_dir):
+    """Documents in which two frequent words became abbreviations."""
+    text = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" Dr. ")), F.lit(" de "), F.lit(" p.m. "))
+    return S.text_table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+def _spoken(spark, sf_dir):
+    """Conversations with contractions, quotes, brackets and sums of money."""
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit(" de "), F.lit(" don't ")), F.lit(" the "), F.lit(' (it\'s "so") ')), F.lit(", "), F.lit(", I've "))
+    return S.text_table(spark, sf_dir, "conversations").select(*CONV_IDS, F.concat(text, F.lit(' "He cannot," she said; they won\'t pay $3.50...')).alias("text"))
+
+
+@query
+def abbreviation_scores(spark, sf_dir):
+    """Counts, likelihood ratios and scores by which abbreviations are learnt."""
+    pairs = materialize(SE.pair_counts(_with_abbreviations(spark, sf_dir)), "token-pairs")
+    return SE.abbreviation_scores(pairs).select("type", "n_with", "n_without", r6(F.col("log_likelihood"), 4).alias("log_likelihood"),
+                                                r6(F.col("score")).alias("score"), "is_abbreviation")
+
+
+@query
+def learnt_sentences(spark, sf_dir):
+    """G5 + G6: sentences by boundaries learnt from the same documents."""
+    docs = _with_abbreviations(spark, sf_dir)
+    out = SE.split_learnt(docs, ["doc_id"], SE.fit_sentences(docs))
+    return out.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), F.md5(F.array_join("sentences", "\x1f")).alias("sentences_md5"))
+
+
+@query
+def ordered_tokens(spark, sf_dir):
+    """Tokens by ordered rewrite rules."""
+    w = materialize(_spoken(spark, sf_dir).select(*CONV_IDS, TB.treebank_tokens("text").alias("w")), "tokens")
+    return w.select(*CONV_IDS, F.size("w").cast("bigint").alias("n_tokens"), F.size(F.filter("w", lambda x: x == "n't")).cast("bigint").alias("n_contractions"),
+                    F.md5(F.array_join("w", " ")).alias("tokens_md5"))
+
+
+@query
+def contractions_fixed(spark, sf_dir):
+    """G9 + G10 over tokens that hold contractions."""
+    j = materialize(_spoken(spark, sf_dir).select(*CONV_IDS, T.join_tokens(TB.treebank_tokens("text")).alias("j")), "joined")
+    return j.select(*CONV_IDS, (F.col("j") != T.fix_contractions("j")).alias("changed"), F.md5(T.fix_contractions("j")).alias("fixed_md5"))
+
+
+# --------------------------------------------------------------------------
+# Trees, files and streams written and read back
+from articlelab.sinks import image_tree as IT  # noqa: E402
+
+TREE_SIDE = 8
+
+
+@query
+def image_folder(spark, sf_dir):
+    """A12 + B5 + H6: each embedding as an 8 x 8 colour image in a folder per
+    label, written by the committing sink and read back as normalised grays."""
+    shade = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.5) * 256))).cast("int"))
+    hexes = F.array_join(F.transform(shade, lambda r: F.concat(F.lpad(F.hex(r), 2, "0"), F.lpad(F.hex(255 - r), 2, "0"), F.lpad(F.hex(r.bitwiseAND(15) * 16), 2, "0"))), "")
+    images = S.table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("class "), "label").alias("folder"), F.col("vec_id").cast("string").alias("name"), F.lit(TREE_SIDE).alias("height"),
+        F.lit(TREE_SIDE).alias("width"), F.lit(3).alias("channels"), F.unhex(hexes).alias("data"))
+    root = scratch_path(spark, "images")
+    IT.write_image_tree(spread(images), root)
+    good, _ = IM.read_image_folder(spark, root)
+    return good.select(F.regexp_extract("origin", "/([0-9]+)[.]png$", 1).cast("bigint").alias("vec_id"), "label", "height", "width",
+                       *[r6(F.element_at("pixels", i)).alias(f"p{i}") for i in (1, 10, 64)], r6(FV.array_sum("pixels")).alias("total"))
+
+
+@query
+def vocabulary_stream(spark, sf_dir):
+    """F5 + F3 + T1: the vocabulary of three arriving files kept by a stream, two
+    before a restart and one after, with the benchmark's words known."""
+    docs = S.text_table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = W.corpus_vocabulary(S.text_table(spark, sf_dir, "benchmark").select(T.flat_tokens("text").alias("tokens")))
+    known = materialize(known.where(FV.has_hash_vector("token")), "known-words")
+    source, sink, checkpoint = (scratch_path(spark, n) for n in ("arrivals", "new-words", "vocabulary-state"))
+
+    def tokens(rows):
+        words = rows.select(F.explode(F.concat(F.array(F.lit(T.BOS), F.lit(T.EOS)), F.coalesce(T.flat_tokens("text"), F.array().cast("array<string>")))).alias("token"))
+        return words
+
+    def keep(batch):
+        return batch.where(FV.has_hash_vector("token")).join(known, "token", "left_anti")
+
+    for parts in ((0, 1), (2,)):
+        for p in parts:
+            docs.where(F.col("doc_id") % 3 == p).coalesce(1).write.mode("append").parquet(source)
+        ST.vocabulary_stream(spark, source, "doc_id bigint, text string", sink, checkpoint, tokens, keep)
+    return known.withColumn("origin", F.lit("known")).unionByName(ST.read_sink(spark, sink, "token string").select("token", F.lit("new").alias("origin")))
+
+
+@query
+def run_files_variant(spark, sf_dir):
+    """A9 + A10 + J2: run files of unknown shape. Some hold a field nobody reads, some
+    an accuracy that became a text, some the optional f1 score; one is broken."""
+    path = scratch_path(spark, "variant-runs")
+    runs = S.runs(spark, sf_dir)
+    plain = runs.select("epoch", F.to_json(F.struct(
+        "embedder_name", "accuracy", F.when(F.col("epoch") == 5, F.array(F.col("accuracy"), F.lit(0.5))).alias("f1_score"),
+        F.when(F.col("split") == "test", F.struct(F.col("epoch").alias("seen"))).alias("notes"))).alias("value"))
+    as_text = F.regexp_replace("value", '"accuracy":([0-9.E-]+)', '"accuracy":"$1"')
+    lines = plain.select(F.when(F.col("epoch") == 2, as_text).otherwise(F.col("value")).alias("value"))
+    lines.repartition(4, "value").write.text(f"{path}/good")
+    spark.range(1).select(F.lit('{"embedder_name": "W2V').alias("value")).coalesce(1).write.text(f"{path}/bad")
+    files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load([f"{path}/good", f"{path}/bad"]).where("length > 0")
+    records, bad = R.read_run_variants(spark, sorted(r["path"] for r in files.select("path").collect()))
+    records = materialize(records, "variant-records")
+    fields = R.field_report(records, {"embedder_name": "text", "accuracy": "number", "f1_score": "list"}).select(
+        F.concat(F.lit("field:"), "field").alias("what"), F.concat_ws(":", "kind", F.coalesce("expected", F.lit("unknown"))).alias("kind"), "n",
+        F.lit(None).cast("double").alias("value"))
+    typed = records.select(R.variant_field("embedder_name", "string").alias("what"), R.variant_field("accuracy", "double").alias("accuracy"),
+                           R.variant_field("f1_score", "array<double>").alias("f1"))
+    means = typed.groupBy("what").agg(F.lit("mean").alias("kind"), F.count("f1").alias("n"), r6(F.avg("accuracy")).alias("value"))
+    return fields.unionByName(means).unionByName(bad.select(F.lit("quarantine").alias("what"), F.lit("broken").alias("kind"), F.lit(1).cast("long").alias("n"),
+                                                            F.lit(None).cast("double").alias("value")))
+
+
+# --------------------------------------------------------------------------
+# Jobs with their file ends: written, read back
+def _article_csv(spark, sf_dir, name="articles-csv"):
+    """Documents as a CSV (type: language, text) in id order."""
+    path = scratch_path(spark, name)
+    docs = S.table(spark, sf_dir, "documents").select(F.col("lang").alias("type"), "text", "doc_id")
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("type", "text").write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def _embedded_csvs(spark, sf_dir):
+    """Train and test files ``label, f0 .. f63`` of the embeddings, named as the jobs expect."""
+    base = scratch_path(spark, "embedded-csv")
+    f = S.features(spark, sf_dir)
+    for side in ("train", "test"):
+        rows = f.where(F.col("split") == side).repartitionByRange(2, "vec_id").sortWithinPartitions("vec_id").select("label", "features")
+        SK.write_csv(rows, f"{base}/{side}/hash64_fixture.csv", widths={"features": FEATURE_DIM})
+    return f"{base}/train/hash64_fixture.csv", f"{base}/test/hash64_fixture.csv"
+
+
+def _vector_file(spark, sf_dir, extra=()):
+    """The benchmark's word vectors as a text file in order of token."""
+    path = scratch_path(spark, "vector-file")
+    vocab = W.corpus_vocabulary(S.text_table(spark, sf_dir, "benchmark").select(T.flat_tokens("text").alias("tokens")))
+    vecs = V.hash_word_vectors(vocab, WV_DIM).df
+    lines = vecs.select(F.concat_ws(" ", "token", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("value"), "token")
+    for line in extra:
+        lines = lines.unionByName(spark.range(1).select(F.lit(line).alias("value"), F.lit("").alias("token")))
+    lines.repartitionByRange(3, "token").sortWithinPartitions("token").select("value").write.text(path)
+    return path
+
+
+@query
+def pretrained_from_file(spark, sf_dir):
+    """A7 + P3 + E6: a word-vector file with a count line and a broken line, read by
+    the encoder loaded by its name; benchmark items encoded."""
+    path = _vector_file(spark, sf_dir, ("4000 8", "broken 0.5 0.25", "wrong 1 2 3 4 5 6 7 x"))
+    enc = J.load_pretrained("MeanWordVectorEncoder", spark=spark, path=path, dim=WV_DIM)
+    items = S.text_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return enc.transform(items, ["item_id"]).select("item_id", "n_tokens", *expand("features", WV_DIM))
+
+
+@query
+def first_vectors_of_file(spark, sf_dir):
+    """A7 + A8: the first 200 vectors in file order, and the boundary tokens'."""
+    read = FS.read_word_vectors(spark, _vector_file(spark, sf_dir), WV_DIM)
+    return W.first_k_vectors(read, "line_no", 200).select("token", "row_no", *expand("vec", WV_DIM, "v"))
+
+
+@query
+def vocabulary_encoder_job(spark, sf_dir):
+    """P7 + B6 + M5: a CSV, its train split's vocabulary saved, the encoder loaded
+    and applied to every document."""
+    saved = scratch_path(spark, "vocabulary-encoder")
+    J.train_vocab_embedder(spark, _article_csv(spark, sf_dir), saved, WV_DIM)
+    enc = EN.MeanWordVectorEncoder.load(spark, saved)
+    return enc.transform(_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "n_tokens", *expand("features", WV_DIM))
+
+
+def _documents(spark, sf_dir):
+    return S.text_table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query
+def word_vector_job(spark, sf_dir):
+    """P8 + B6: word vectors trained on a CSV's train split, saved and loaded: one
+    vector for each of its words."""
+    saved = scratch_path(spark, "word2vec-encoder")
+    J.train_embedder(spark, _article_csv(spark, sf_dir), saved, vector_size=16)
+    v = EN.Word2VecEncoder.load(spark, saved).word_vectors().df
+    return v.select("token", F.size("vec").cast("bigint").alias("width"), (FV.array_sum(F.transform("vec", F.abs)) > 0).alias("learnt"))
+
+
+@query
+def subset_job(spark, sf_dir):
+    """Exactly 20 rows of two classes from a CSV to a CSV, read back."""
+    csv, out = scratch_path(spark, "typed-csv"), scratch_path(spark, "subset-csv")
+    arts = S.articles(spark, sf_dir).select("doc_id", "type", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").alias("text"))
+    arts.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id").select("type", "text").write.option("header", True).option("escape", '"').csv(csv)
+    J.get_and_store_subset(spark, csv, out, n=20)
+    back = FS.read_csv(spark, out)
+    return back.select("type", F.substring_index("text", ":", 1).cast("bigint").alias("doc_id"), F.md5(F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " "))).alias("text_md5"))
+
+
+@query
+def embed_files_job(spark, sf_dir):
+    """P10: a CSV split, embedded and written as two CSV files, read back as a pair."""
+    base = scratch_path(spark, "embedded-pair")
+    csv = _article_csv(spark, sf_dir)
+    enc = EN.MeanWordVectorEncoder(WV_DIM).fit(FS.read_csv(spark, csv))
+    J.embed_raw_data(spark, csv, enc, f"{base}/train.csv", f"{base}/test.csv")
+    pair = FS.train_test_pair(spark, f"{base}/train.csv", f"{base}/test.csv", WV_DIM)
+    sums = [r6(F.sum(F.col("features")[i]), 4).alias(f"f{i}") for i in range(WV_DIM)]
+    return pair.groupBy("split", F.col("label").cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+@query
+def network_files_job(spark, sf_dir):
+    """A14 + P11 + B4 + B7 + A9: train and test files, two epochs of local steps, the
+    run record and the weights read back."""
+    import os
+    train, test = _embedded_csvs(spark, sf_dir)
+    out = scratch_path(spark, "network-runs")
+    J.train_nn_model(spark, train, FEATURE_DIM, "SoftmaxRegression", out, test_ds=test, epochs=2)
+    good, _ = R.read_run_files(spark, out)
+    weights = spark.read.parquet(os.path.join(out, "fixture_hash64_softmaxregression", "weights"))
+    size = weights.where(F.col("name").startswith("param")).agg(F.sum(F.size("values"))).first()[0]
+    total = lambda c: F.aggregate(F.flatten(F.transform(F.map_values(F.element_at(f"experiment_result.{c}", -1)), F.map_values)),
+                                  F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return good.select("original_dataset_name", "embedder_name", F.col("experiment_result.epochs").cast("bigint").alias("epochs"),
+                       F.col("experiment_result.training_batch_size").cast("bigint").alias("batch_size"),
+                       F.size("experiment_result.testing_losses").cast("bigint").alias("n_losses"),
+                       total("training_classification_results").alias("n_train"), total("testing_classification_results").alias("n_test"), F.lit(size).cast("bigint").alias("n_weights"))
+
+
+@query
+def boosting_files_job(spark, sf_dir):
+    """A14 + P13 + B4 + P15: train and test files, one exact stump, its record read
+    back from a folder of boosting runs."""
+    train, test = _embedded_csvs(spark, sf_dir)
+    out = scratch_path(spark, "boosting-runs")
+    J.adaboost(spark, train, FEATURE_DIM, f"{out}/ADABOOST", test_ds=test, n_rounds=1)
+    t = J.visualize_adaboost_tables(spark, out)
+    acc = t["accuracy_by_embedding"].first()["mean_accuracy"]
+    return t["confusion"].select("true_label", "pred_label", "n", r6(F.lit(acc)).alias("accuracy"))
+
+
+@query
+def image_files_job(spark, sf_dir):
+    """A14 + P12 + H3 + H4 + B5: train and test files turned into the pixel table."""
+    train, test = _embedded_csvs(spark, sf_dir)
+    path = J.convert_into_image_dataset(spark, train, FEATURE_DIM, scratch_path(spark, "image-set"), test_ds=test, resize=False)
+    t = spark.read.parquet(path)
+    return t.groupBy("split", F.col("label").cast("bigint").alias("label")).agg(
+        F.count("image").alias("n"), F.max("image.height").cast("bigint").alias("height"), r6(F.avg(FV.array_sum("image.pixels")), 3).alias("mean_total"))
+
+
+@query
+def routed_runs_job(spark, sf_dir):
+    """A11 + P14 + P15: a folder of network and boosting runs, searched and routed by path."""
+    path = scratch_path(spark, "routed-runs")
+    runs = S.runs(spark, sf_dir).where(F.col("accuracy").isNotNull())
+    cm = F.array(F.create_map(F.lit("0"), F.create_map(F.lit("0"), F.lit(1).cast("bigint"))))
+    series = lambda c: F.array(F.lit(0.0), F.col(c))
+    result = F.struct(F.lit(0.001).alias("learning_rate"), F.lit(2).alias("epochs"), series("accuracy").alias("training_accuracies"),
+                      series("loss").alias("training_losses"), series("accuracy").alias("testing_accuracies"), series("loss").alias("testing_losses"),
+                      F.concat(cm, cm).alias("training_classification_results"), F.concat(cm, cm).alias("testing_classification_results"))
+    SK.write_json_records(runs.where(F.col("split") == "train").select(F.lit("fixture").alias("original_dataset_name"), "embedder_name", result.alias("experiment_result")).repartition(3),
+                          f"{path}/networks")
+    SK.write_json_records(runs.where(F.col("split") == "test").select(F.lit("fixture").alias("original_ds_name"), "embedder_name", "accuracy", cm[0].alias("classification_makeup")).repartition(2),
+                          f"{path}/ADABOOST/deep")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).where("length > 0").select("path")
+    networks, boosts = R.route_boosting(files)
+    nets = J.visualize_all_tables(spark, sorted(r["path"] for r in networks.collect()))["accuracy_by_embedding"]
+    ada = J.visualize_adaboost_tables(spark, sorted(r["path"] for r in boosts.collect()))["accuracy_by_embedding"]
+    cols = ["embedding_type", "class_type", r6(F.col("mean_accuracy")).alias("mean_accuracy"), "n_runs"]
+    return nets.select(F.lit("network").alias("kind"), *cols).unionByName(
+        ada.withColumn("class_type", F.lit(None).cast("string")).select(F.lit("boosting").alias("kind"), *cols))
+
+
+@query
+def csv_projection(spark, sf_dir):
+    """A2 + A5: one column of a CSV, renamed by position."""
+    t = FS.rename_positional(FS.read_csv(spark, _article_csv(spark, sf_dir), columns=["type"]), ["language"])
+    return t.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def row_lookup(spark, sf_dir):
+    """C2 + C16: rows at three places of a scan, everything but the label."""
+    f = D.numbered_batches(S.features(spark, sf_dir).select("vec_id", "label", "features"), "vec_id", 1).withColumn("file_row", F.col("row_no") - 1)
+    x, _ = J.samples_and_labels(f)
+    some = J.row_at(x, 0).unionByName(J.row_at(x, 7)).unionByName(J.row_at(x, 499))
+    return some.select("file_row", "vec_id", F.size("features").cast("bigint").alias("width"), r6(FV.array_sum("features")).alias("total"))
+
+
+@query
+def score_network(spark, sf_dir):
+    """H7 + H1 + H2: the table scored by a network of given weights."""
+    import numpy as np
+    model = NN.SimpleMLP(FEATURE_DIM, N_CLASSES)
+    i, j = np.indices((FEATURE_DIM, model.hidden))
+    a, k = np.indices((model.hidden, N_CLASSES))
+    model.params = [((i * 7 + j * 13) % 11 - 5) / 50, np.zeros(model.hidden), ((a * 3 + k * 17) % 13 - 6) / 60, np.arange(N_CLASSES) / 100]
+    z = NN.score(model, S.features(spark, sf_dir), ["vec_id"])
+    return z.select("vec_id", *expand("logits", N_CLASSES, "z"), FV.argmax("logits").cast("bigint").alias("pred"))
+
+
+@query
+def embedded_given_map(spark, sf_dir):
+    """M4 + C13 + U1: an encoder by its registered name, with a caller's class map."""
+    arts = S.articles(spark, sf_dir)
+    enc = EN.Encoder.by_name("MeanWordVectorEncoder", dim=WV_DIM).fit(arts)
+    out = EN.embedded_table(arts, enc, split_col=None, mapping=L.literal_map(spark, {"human": 5, "gpt": 9}))
+    return out.select("doc_id", F.col("label").cast("bigint").alias("label"), *expand("features", WV_DIM))
+
+
+@query
+def encoder_sentences(spark, sf_dir):
+    """Sentences that an encoder took, counted while it ran."""
+    docs = S.text_table(spark, sf_dir, "conversations").select(*CONV_IDS, "text")
+    _, stats = J.encoder_throughput(docs, EN.SentenceEncoder(dim=4), CONV_IDS)
+    return spark.createDataFrame([(stats["sentences"], stats["per_second"] > 0)], "sentences bigint, timed boolean")
+
+
+@query
+def result_views(spark, sf_dir):
+    """U3 + E16: registered result views over stored runs."""
+    path = scratch_path(spark, "view-runs")
+    runs = S.runs(spark, sf_dir).where(F.col("accuracy").isNotNull())
+    cm = F.array(F.create_map(F.lit("0"), F.create_map(F.lit("0"), F.lit(1).cast("bigint"))))
+    one = lambda c: F.array(F.col(c))
+    result = F.struct(F.lit(1).alias("epochs"), one("accuracy").alias("training_accuracies"), one("loss").alias("training_losses"),
+                      one("accuracy").alias("testing_accuracies"), one("loss").alias("testing_losses"),
+                      cm.alias("training_classification_results"), cm.alias("testing_classification_results"))
+    SK.write_json_records(runs.select(F.lit("fixture").alias("original_dataset_name"), "embedder_name", result.alias("experiment_result")), path)
+    t = J.visualize_all_tables(spark, path)
+    out = J.VIEWS["accuracy"](t).unionByName(J.VIEWS["loss"](t))
+    return out.groupBy("series", "epoch").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"))

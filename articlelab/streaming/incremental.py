@@ -48,3 +48,29 @@ def read_sink(spark: SparkSession, sink: str, schema: str | None = None) -> Data
         if schema is None or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], schema)
+
+
+def vocabulary_stream(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
+                      tokens: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame] | None = None,
+                      fmt: str = "parquet", glob: str | None = None, max_files: int = 1) -> int:
+    """F5 + T1: the vocabulary of arriving files. ``tokens`` turns rows into a column
+    ``token``; tokens seen before are keyed state of the stream, kept in the
+    checkpoint, so every token leaves once, however many files, micro-batches
+    and restarts lie between. ``keep`` (a batch operator, such as a join with the
+    words that have vectors) is applied to the new ones, which land in
+    ``<sink>/batch_id=<n>``. Returns the micro-batches run in this call."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    new = tokens(reader.format(fmt).load(source)).dropDuplicates(["token"])
+    ran = []
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        out = keep(batch) if keep else batch
+        out.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+        ran.append(batch_id)
+
+    q = (new.writeStream.outputMode("append").foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return len(ran)
