@@ -99,7 +99,7 @@ def at_epoch(conf: DataFrame, epoch: int | None, group: Sequence[str] = (),
         chosen = F.col("_last")
     elif strict:
         chosen = F.when((F.lit(epoch) >= 1) & (F.lit(epoch) <= F.col("_last")), F.lit(epoch)).otherwise(
-            F.raise_error(F.concat(F.lit(f"Epoch {epoch} is out of range 1.."), F.col("_last").cast("string"))))
+            F.raise_error(F.concat(F.lit(f"no epoch {epoch}: the run has "), F.col("_last").cast("string"))))
     else:
         chosen = F.least(F.lit(epoch), F.col("_last"))
     return df.where(F.col("epoch") == chosen).drop("_last")

@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +180,7 @@ def boost(data: DataFrame, thr: list[np.ndarray], n_classes: int, n_rounds: int
                 yield pd.DataFrame({"b": list(b.astype(np.int32)), "y": pdf["y"]})
 
     binned = materialize(data.mapInPandas(bins, "b array<int>, y int"), "binned-rows")
+    levels = math.isqrt(max(binned.rdd.getNumPartitions() - 1, 0)) + 1
     model = HistSammeModel(n_classes=k)
     cuts: list[tuple[int, int, int, int]] = []
     log_total = 0.0
@@ -201,7 +203,11 @@ def boost(data: DataFrame, thr: list[np.ndarray], n_classes: int, n_rounds: int
             if acc.any():
                 acc = acc.reshape(d, -1)
                 for g, at in enumerate(range(0, d, FEATURES_A_TASK)):
-                    yield pd.DataFrame({"g": [g], "h": [acc[at:at + FEATURES_A_TASK].tobytes()]})
+                    yield pd.DataFrame({"p": [TaskContext.get().partitionId()], "g": [g], "h": [acc[at:at + FEATURES_A_TASK].tobytes()]})
+
+        def summed(pdf):
+            total = sum(np.frombuffer(h) for h in pdf["h"])
+            return pd.DataFrame({"p": pdf["p"].iloc[:1], "g": pdf["g"].iloc[:1], "h": [total.tobytes()]})
 
         def best(pdf):
             first = int(pdf["g"].iloc[0]) * FEATURES_A_TASK
@@ -209,7 +215,10 @@ def boost(data: DataFrame, thr: list[np.ndarray], n_classes: int, n_rounds: int
             rows = [(first + f, *best_split(h)) for f, h in enumerate(hists)]
             return pd.DataFrame(rows, columns=["f", "impurity", "s", "left", "right", "bad", "total"])
 
-        found = (binned.mapInPandas(partial, "g int, h binary").groupBy("g")
+        parts = binned.mapInPandas(partial, "p int, g int, h binary")
+        if levels > 1:     # in two levels: no task adds up more than about the root of the partitions
+            parts = parts.groupBy("g", F.pmod("p", F.lit(levels)).alias("level")).applyInPandas(summed, "p int, g int, h binary")
+        found = (parts.groupBy("g")
                  .applyInPandas(best, "f int, impurity double, s int, left int, right int, bad double, total double").collect())
         so_far.unpersist()
         usable = sorted((r for r in found if np.isfinite(r.impurity)), key=lambda r: r.f)
