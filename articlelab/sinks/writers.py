@@ -29,8 +29,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", widths: dict |
 
 def write_batches(df: DataFrame, path: str, batch_col: str = "batch_no", fmt: str = "parquet") -> None:
     """B2: one output folder per batch; dynamic partition overwrite
-    replaces only the batches present in ``df`` (resume-friendly, B3)."""
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col)
+    replaces only the batches present in ``df`` (resume-friendly, B3).
+
+    Rows are dealt by batch first: a batch is written by one task as one file, so
+    files grow with the batches and not with batches times tasks. The number of
+    tasks is given, else so few bytes would be laid together in one of them."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = df.repartition(tasks, batch_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
