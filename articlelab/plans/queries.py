@@ -735,8 +735,7 @@ def csv_batches_resume(spark, sf_dir):
     first run stops early, the second does what is pending."""
     csv, out = scratch_path(spark, "articles-csv"), scratch_path(spark, "article-batches")
     dirty = S.dirty(spark, sf_dir)
-    dirty.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("type", "text").write.option(
-        "header", True).option("escape", '"').csv(csv)
+    _in_files(dirty, 4).select("type", "text").write.option("header", True).option("escape", '"').csv(csv)
     enc = EN.MeanWordVectorEncoder(WV_DIM).fit(FS.read_csv(spark, csv))
     # stretches of 256 KB, so that these files have several
     J.embed_csv_batches(spark, csv, out, enc, batch_size=BATCH, stop_before=STOP_BEFORE, range_bytes=1 << 18)
@@ -1004,11 +1003,21 @@ def run_files_variant(spark, sf_dir):
 
 # --------------------------------------------------------------------------
 # Jobs with their file ends: written, read back
+#: Bytes of text in a CSV file: a multi-line CSV is not split, so one task reads it.
+CSV_FILE_BYTES = 64 << 20
+
+
+def _in_files(docs, least):
+    """``docs`` in id order, dealt over ``least`` files, or more by the bytes of their texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.repartitionByRange(max(least, -(-size // CSV_FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id")
+
+
 def _article_csv(spark, sf_dir, name="articles-csv"):
     """Documents as a CSV (type: language, text) in id order."""
     path = scratch_path(spark, name)
     docs = S.table(spark, sf_dir, "documents").select(F.col("lang").alias("type"), "text", "doc_id")
-    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("type", "text").write.option("header", True).option("escape", '"').csv(path)
+    _in_files(docs, 3).select("type", "text").write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -1080,7 +1089,7 @@ def subset_job(spark, sf_dir):
     """Exactly 20 rows of two classes from a CSV to a CSV, read back."""
     csv, out = scratch_path(spark, "typed-csv"), scratch_path(spark, "subset-csv")
     arts = S.articles(spark, sf_dir).select("doc_id", "type", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").alias("text"))
-    arts.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id").select("type", "text").write.option("header", True).option("escape", '"').csv(csv)
+    _in_files(arts, 2).select("type", "text").write.option("header", True).option("escape", '"').csv(csv)
     J.get_and_store_subset(spark, csv, out, n=20)
     back = FS.read_csv(spark, out)
     return back.select("type", F.substring_index("text", ":", 1).cast("bigint").alias("doc_id"), F.md5(F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " "))).alias("text_md5"))
