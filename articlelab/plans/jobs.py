@@ -140,8 +140,9 @@ def embed_csv_batches(spark: SparkSession, csv_path: str, out_path: str, encoder
         everything = C.clean_articles(CI.read_ranges(index.where("n_rows > 0")).drop("repaired"), literal_type)
         L.class_map(everything, "type", "label").write.mode("overwrite").parquet(f"{out_path}/_classes")
         mapping = _stored_classes(spark, f"{out_path}/_classes")
-    done = SK.finished_batches(spark, out_path)
-    pending = CI.pending_ranges(index, done, batch_size, stop_before=stop_before)
+    # read several times below: the folders are listed once
+    done = materialize(SK.finished_batches(spark, out_path), "finished-batches")
+    pending = materialize(CI.pending_ranges(index, done, batch_size, stop_before=stop_before), "pending-ranges")
     if not pending.isEmpty():
         rows = CI.read_ranges(pending).drop("repaired").withColumn("batch_no", F.expr(f"file_row div {int(batch_size)}"))
         arts = D.pending_batches(C.clean_articles(rows, literal_type), done)

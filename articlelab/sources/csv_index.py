@@ -50,6 +50,14 @@ def _records(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (size > 2) | ((size == 2) & (first != 0x0D)) | ((size == 1) & (first != 0x0A))
 
 
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """Stretches over tasks by their bytes: one of ``RANGE_BYTES`` or many small ones
+    to a task, and no more tasks than stretches. A task reads one at a time."""
+    n, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    least = 2 * ranges.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(max(1, min(n, max(least, -(-size // RANGE_BYTES)))), "file", "start")
+
+
 PROBE = "file string, size long, k long, start long, odd long, " + ", ".join(f"first{p} long, whole{p} long, last{p} long" for p in (0, 1))
 
 
@@ -84,8 +92,7 @@ def build_index(spark: SparkSession, path: str | Sequence[str], range_bytes: int
     it (the file's first one at 0), so a record belongs to where it starts."""
     cut = files_of(spark, path).select("file", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("k", "start"))
     cut = cut.withColumn("k", F.col("k").cast("long")).withColumn("stop", F.least(F.col("start") + range_bytes, F.col("size")))
-    n = max(1, cut.count())
-    seen = _probe(cut.repartition(min(n, 10_000), "file", "start"))
+    seen = _probe(_dealt(cut))
     in_file = Window.partitionBy("file").orderBy("k")
     inside = F.coalesce(F.sum("odd").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
     pick = lambda c: F.when(F.col("inside"), F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(c)
@@ -153,8 +160,7 @@ def read_ranges(ranges: DataFrame, schema: str = ARTICLE_SCHEMA, null_values: Se
                     yield pa.RecordBatch.from_arrays([pa.array(range(r["first_row"] + a, r["first_row"] + a + len(part)), pa.int64()), pa.array(part, pa.string())],
                                                      names=["file_row", "record"])
 
-    n = max(1, ranges.count())
-    lines = ranges.select("file", "start", "stop", "first_row").repartition(min(n, 10_000), "file", "start").mapInArrow(run, "file_row long, record string")
+    lines = _dealt(ranges.select("file", "start", "stop", "first_row")).mapInArrow(run, "file_row long, record string")
     parsed = lines.select("file_row", F.from_csv("record", F.lit(f"{schema}, {CORRUPT} string"), {
         "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}).alias("r"))
     names = [f.split()[0] for f in schema.split(", ")]

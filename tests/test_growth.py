@@ -13,3 +13,24 @@ def test_a_batch_is_one_file_whatever_the_tasks(spark, tmp_dir):
     files = Counter(r[0].rpartition("/")[0] for r in back.select(F.input_file_name()).distinct().collect())
     assert len(files) == 10 and set(files.values()) == {1}
     assert back.count() == 640 and back.select("id").distinct().count() == 640
+
+
+def test_a_csv_grows_in_files_and_keeps_its_order(spark, tmp_dir, monkeypatch):
+    from articlelab.plans import queries as Q
+    from articlelab.sources import csv_index as CI
+    from articlelab.sources import files as FS
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text"))
+    monkeypatch.setattr(Q, "CSV_FILE_BYTES", 5_000)
+    Q._in_files(docs, 2).select(F.col("doc_id").cast("string").alias("type"), "text").write.option("header", True).csv(f"{tmp_dir}/csv")
+    back = FS.read_csv(spark, f"{tmp_dir}/csv", file_order="file_row")
+    assert CI.files_of(spark, f"{tmp_dir}/csv").count() >= 6
+    assert [(int(r["type"]), r["file_row"]) for r in back.orderBy("file_row").collect()] == [(i, i) for i in range(40)]
+
+
+def test_small_stretches_share_a_task(spark, tmp_dir):
+    from articlelab.sources import csv_index as CI
+    spark.range(2000).select(F.lit("en").alias("type"), F.concat(F.lit("a,"), F.col("id")).alias("text")).coalesce(1).write.option("header", True).csv(f"{tmp_dir}/csv")
+    index = CI.build_index(spark, f"{tmp_dir}/csv", range_bytes=100)
+    rows = CI.read_ranges(index.where("n_rows > 0"))
+    assert index.count() > 100 and rows.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert rows.select("file_row").distinct().count() == 2000 and rows.count() == 2000
