@@ -34,3 +34,43 @@ def test_small_stretches_share_a_task(spark, tmp_dir):
     rows = CI.read_ranges(index.where("n_rows > 0"))
     assert index.count() > 100 and rows.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     assert rows.select("file_row").distinct().count() == 2000 and rows.count() == 2000
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from articlelab.session import SHUFFLE_CLEANUP_CONF, materialize
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before, conf = files(), spark.conf.get(SHUFFLE_CLEANUP_CONF, None)
+    got = materialize(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count())
+    assert sorted(r["count"] for r in got.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert not files() - before and spark.conf.get(SHUFFLE_CLEANUP_CONF, None) == conf
+
+
+def test_wide_vectors_meet_cold_tokens_in_blocks_of_columns(spark, monkeypatch):
+    from articlelab.operators import vectors as V
+    docs = spark.range(30).select("id", F.transform(F.sequence(F.lit(0), F.col("id") % 9), lambda i: F.concat(F.lit("w"), (i * 7 + F.col("id")) % 23)).alias("tokens"))
+    wv = V.hash_word_vectors(docs.select(F.explode("tokens").alias("token")), 11).checkpointed()
+    for pool in ("sum", "max"):
+        whole = {r["id"]: r for r in V.pooled_tokens(docs, ["id"], wv, pool).collect()}
+        written = []
+        with monkeypatch.context() as m:
+            import articlelab.session as S
+            plain = S.materialize
+            m.setattr(S, "materialize", lambda df, name="table": (written.append((name, len(df.columns))), plain(df, name))[1])
+            m.setattr(V, "BLOCK_DIM", 4)
+            split = {r["id"]: r for r in V.pooled_tokens(docs, ["id"], wv, pool, budget=400).collect()}
+        assert [n for n, _ in written].count("cold-columns") == 3
+        for i, r in whole.items():
+            assert (split[i]["n_tokens"], split[i]["n_known"]) == (r["n_tokens"], r["n_known"])
+            assert all(abs(x - y) < 1e-12 or x == y for x, y in zip(split[i]["vec"], r["vec"], strict=True))
+
+
+def test_a_batch_is_pooled_in_bounded_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from articlelab.operators import vectors as V
+    monkeypatch.setattr(V, "TOKENS_AT_ONCE", 10)
+    sizes = np.array([4, 4, 4, 25, 0, 0, 10, 1])
+    parts = [p.column(0).to_pylist() for p in V._slices(pa.RecordBatch.from_pydict({"row": list(range(8))}), sizes)]
+    assert sum(parts, []) == list(range(8)) and all(len(p) == 1 or sizes[p].sum() <= 10 for p in parts)
