@@ -968,10 +968,13 @@ def vocabulary_stream(spark, sf_dir):
     def keep(batch):
         return batch.where(FV.has_hash_vector("token")).join(known, "token", "left_anti")
 
+    # an arrival is one file, or several by its bytes, which then make one micro-batch
+    files = max(1, -(-_text_bytes(docs) // (3 * CSV_FILE_BYTES)))
     for parts in ((0, 1), (2,)):
         for p in parts:
-            docs.where(F.col("doc_id") % 3 == p).coalesce(1).write.mode("append").parquet(source)
-        ST.vocabulary_stream(spark, source, "doc_id bigint, text string", sink, checkpoint, tokens, keep)
+            arrival = docs.where(F.col("doc_id") % 3 == p)
+            (arrival.coalesce(1) if files == 1 else arrival.repartition(files)).write.mode("append").parquet(source)
+        ST.vocabulary_stream(spark, source, "doc_id bigint, text string", sink, checkpoint, tokens, keep, max_files=files)
     return known.withColumn("origin", F.lit("known")).unionByName(ST.read_sink(spark, sink, "token string").select("token", F.lit("new").alias("origin")))
 
 
@@ -1003,14 +1006,17 @@ def run_files_variant(spark, sf_dir):
 
 # --------------------------------------------------------------------------
 # Jobs with their file ends: written, read back
-#: Bytes of text in a CSV file: a multi-line CSV is not split, so one task reads it.
+#: Bytes of text in a file that is made: a multi-line CSV is not split, so one task reads it.
 CSV_FILE_BYTES = 64 << 20
 
 
+def _text_bytes(docs):
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def _in_files(docs, least):
     """``docs`` in id order, dealt over ``least`` files, or more by the bytes of their texts."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.repartitionByRange(max(least, -(-size // CSV_FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id")
+    return docs.repartitionByRange(max(least, -(-_text_bytes(docs) // CSV_FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id")
 
 
 def _article_csv(spark, sf_dir, name="articles-csv"):

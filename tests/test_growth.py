@@ -74,3 +74,12 @@ def test_a_batch_is_pooled_in_bounded_stretches(monkeypatch):
     sizes = np.array([4, 4, 4, 25, 0, 0, 10, 1])
     parts = [p.column(0).to_pylist() for p in V._slices(pa.RecordBatch.from_pydict({"row": list(range(8))}), sizes)]
     assert sum(parts, []) == list(range(8)) and all(len(p) == 1 or sizes[p].sum() <= 10 for p in parts)
+
+
+def test_an_arrival_of_many_bytes_is_several_files_and_one_micro_batch(spark, monkeypatch):
+    from articlelab.plans import queries as Q
+    seen = []
+    monkeypatch.setattr(Q, "CSV_FILE_BYTES", 50_000, raising=False)
+    monkeypatch.setattr(Q.ST, "vocabulary_stream", lambda spark, source, *a, max_files=1, **k: seen.append((len(spark.read.parquet(source).inputFiles()), max_files)))
+    Q.QUERIES["vocabulary_stream"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and seen[0][1] > 1 and [n for n, _ in seen] == [2 * seen[0][1], 3 * seen[0][1]]
