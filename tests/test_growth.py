@@ -83,3 +83,17 @@ def test_an_arrival_of_many_bytes_is_several_files_and_one_micro_batch(spark, mo
     monkeypatch.setattr(Q.ST, "vocabulary_stream", lambda spark, source, *a, max_files=1, **k: seen.append((len(spark.read.parquet(source).inputFiles()), max_files)))
     Q.QUERIES["vocabulary_stream"](spark, "/root/testdata/sf0.001")
     assert len(seen) == 2 and seen[0][1] > 1 and [n for n, _ in seen] == [2 * seen[0][1], 3 * seen[0][1]]
+
+
+def test_rounds_of_word_vectors_take_two_tables_and_single_numbers(spark):
+    import glob
+
+    from articlelab.session import ensure_checkpoint_dir
+    from articlelab.train import word_vectors as WV
+    folders = lambda: set(glob.glob(ensure_checkpoint_dir(spark).removeprefix("file:") + "/cbow-vectors-*"))
+    before = folders()
+    sents = spark.range(40).select(F.col("id").cast("string").alias("sid"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), (i * 3 + F.col("id")) % 17)).alias("tokens"))
+    got = WV.fit_cbow(sents, dim=4, epochs=5, lot_tokens=100, pool=20)
+    new = folders() - before
+    assert len(new) == 2 and all(dict(spark.read.parquet(p).dtypes)["inward"] == "array<float>" for p in new)
+    assert dict(got.dtypes) == {"word": "string", "vec": "array<double>"} and got.count() == 17
