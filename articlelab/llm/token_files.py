@@ -65,7 +65,10 @@ class CachedTokenizer:
     differently are encoded whole by the tokenizer."""
 
     WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-    TAIL = re.compile(r"[.,!?;:|%$&*#]+\Z")
+    TAIL = ".,!?;:|%$&*#"
+    #: Latin letters and signs before the International Phonetic Alphabet: no marks, no
+    #: soft hyphen, and not the letter whose lower case holds a mark.
+    LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*")
 
     def __init__(self, path: str, cache_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,7 +77,6 @@ class CachedTokenizer:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache = _Filled(self._word)
         self.read = _Filled(self._as_read)
-        self.cores: dict[str, bytes] = {}
         self.limit = cache_words
         self.to_marks = _byte_marks()
 
@@ -84,28 +86,18 @@ class CachedTokenizer:
             packed.byteswap()
         return packed.tobytes()
 
-    def _core(self, word: str) -> bytes:
-        """Ids of a word without trailing punctuation. Plain Latin letters are
-        one piece, which the model itself can take in its byte alphabet."""
-        got = self.cores.get(word)
-        if got is None:
-            if word.isalpha() and max(word) < "ɐ":
-                marks = word if word.isascii() else word.encode().decode("latin-1").translate(self.to_marks)
-                got = self.pack([t.id for t in self.tokenizer.model.tokenize(marks)])
-            else:
-                got = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            if len(self.cores) >= self.limit:
-                self.cores.clear()
-            self.cores[word] = got
-        return got
-
     def _word(self, word: str) -> bytes:
-        tail = self.TAIL.search(word)
-        if tail and tail.start() and (word[tail.start() - 1].isalnum()):
-            got = self._core(word[:tail.start()]) + self._core(tail.group())
+        """Ids of a word: of what stands before trailing punctuation, and of that. Plain
+        Latin letters are one piece, which the model itself can take in its byte alphabet."""
+        core = word.rstrip(self.TAIL)
+        if len(core) < len(word) and core and core[-1].isalnum():
+            got = self.cache[core] + self.cache[word[len(core):]]
+        elif word.isalpha() and (word.isascii() or self.LATIN.fullmatch(word)):
+            marks = word if word.isascii() else word.encode().decode("latin-1").translate(self.to_marks)
+            got = self.pack([t.id for t in self.tokenizer.model.tokenize(marks)])
         else:
-            got = self._core(word)
-        if len(self.cache) >= self.limit:
+            got = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(self.cache) >= 2 * self.limit:       # words, and what stands before their punctuation
             self.cache.clear()
         return got
 
@@ -113,7 +105,7 @@ class CachedTokenizer:
         """Ids of a word before any change of form or case."""
         if word.isascii():
             got = self.cache[word.lower()]
-        elif any(c == "İ" or unicodedata.category(c)[0] in "MC" for c in word):
+        elif not self.LATIN.fullmatch(word) and any(c == "İ" or unicodedata.category(c)[0] in "MC" for c in word):
             got = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
         else:
             got = self.cache[unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()]

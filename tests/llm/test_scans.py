@@ -340,3 +340,14 @@ def test_many_base_spans_are_passed_in_order():
     text = "private key\n" + "\n".join("%040x" % (i * 7919 ** 5) for i in range(20_000))
     base, every = S.all_spans(text, S.Novelty())
     assert len(base) > 19_000 and len(every) >= len(base)
+
+
+def test_latin_words_are_read_without_a_look_at_every_character(monkeypatch):
+    own = T.CachedTokenizer(T.default_tokenizer(), cache_words=50)
+    with monkeypatch.context() as m:
+        m.setattr(T.unicodedata, "category", lambda c: pytest.fail(f"category of {c!r}"))
+        for word in ("Café", "ÉCOLE,", "naïve.", "ſtraße!?", "12é", "«là»"):
+            assert own.encode(word) == own.pack(own.tokenizer.encode(word, add_special_tokens=False).ids)
+    for c in map(chr, [*range(0x21, 0x260), 0x300, 0x1C4, 0x212B]):
+        for word in (c, f"a{c}", f"{c}B.", f"É{c},;", f"x.{c}!"):
+            assert own.encode(word) == own.pack(own.tokenizer.encode(word, add_special_tokens=False).ids), repr(word)
