@@ -97,3 +97,31 @@ def test_rounds_of_word_vectors_take_two_tables_and_single_numbers(spark):
     new = folders() - before
     assert len(new) == 2 and all(dict(spark.read.parquet(p).dtypes)["inward"] == "array<float>" for p in new)
     assert dict(got.dtypes) == {"word": "string", "vec": "array<double>"} and got.count() == 17
+
+
+def test_sentence_vectors_are_never_written(spark, monkeypatch):
+    import articlelab.session as S
+    from articlelab.operators import vectors as V
+    sents = F.transform(F.sequence(F.lit(0), F.col("id") % 7), lambda s: F.transform(F.sequence(F.lit(0), (s + F.col("id")) % 4), lambda i: F.concat(F.lit("w"), (i * 7 + s * 5 + F.col("id")) % 61)))
+    docs = spark.range(60).select("id", F.when(F.col("id") % 11 != 0, sents).alias("sentences"))
+    wv = V.hash_word_vectors(docs.select(F.explode(F.flatten("sentences")).alias("token")), 11).checkpointed()
+    vec = {r["token"]: r["vec"] for r in wv.df.collect()}
+    for pool in ("mean", "max"):
+        want = {}
+        for r in docs.collect():
+            known = [v for v in ([vec[t] for t in s if t in vec] for s in r["sentences"] or []) if v]
+            each = [[sum(x) / len(x) if pool == "mean" else max(x) for x in zip(*v)] for v in known]
+            want[r["id"]] = (len(each), [sum(x) / len(each) for x in zip(*each)] if each else [0.0] * 11)
+        rows = []
+        with monkeypatch.context() as m:
+            plain = S.materialize
+            m.setattr(S, "materialize", lambda df, name="table": [rows.append((name, t.count())) or t for t in [plain(df, name)]][0])
+            m.setattr(V, "BLOCK_DIM", 4)
+            m.setattr(V, "LOT_TOKENS", 100)
+            m.setattr(V, "SENTENCES_AT_ONCE", 2)
+            some = {r["id"]: r for r in V.article_sentence_vectors(docs, wv, ["id"], pool, budget=2000).collect()}
+        assert [n for n, _ in rows].count("lot-columns") == 3 and all(c <= 60 for n, c in rows if n != "lot-tokens")
+        whole = {r["id"]: r for r in V.article_sentence_vectors(docs, wv, ["id"], pool).collect()}
+        for i, (n, features) in want.items():
+            for got in (some[i], whole[i]):
+                assert got["n_sentences"] == n and all(abs(x - y) < 1e-12 for x, y in zip(got["features"], features, strict=True))
