@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from articlelab.functions.text import WS_CLASS
+from articlelab.operators.rows import explode_rows
 from articlelab.session import materialize
 
 # ---------------------------------------------------------------------------
@@ -33,6 +34,9 @@ STOP_CHANCE = 0.99
 # or closes around a word is not part of its type.
 TOKEN = f"[^{WS_CLASS}]+[{WS_CLASS}]*"
 OPENERS, CLOSERS = "[\"'(\\[{“‘«¿¡]", "[\"')\\]}”’»,;:]"
+# The same as characters to trim, and the characters of ``WS_CLASS``.
+OPENING, CLOSING = "\"'([{“‘«¿¡", "\"')]}”’»,;:"
+SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85 \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NUMBER = "^[0-9]+([.,:-][0-9]+)*\\.?$"
 INITIAL = "^\\p{L}\\.$"
 ELLIPSIS = "\\.\\.+$"
@@ -42,19 +46,20 @@ NUMBER_TYPE = "##number##"
 
 def core(token: Column) -> Column:
     """The token without the space after it, and what opens before and closes after it."""
-    return F.regexp_replace(token, f"^{OPENERS}+|{CLOSERS}*[{WS_CLASS}]*$", "")
+    return F.ltrim(F.rtrim(F.rtrim(token, F.lit(SPACE)), F.lit(CLOSING)), F.lit(OPENING))
 
 
 def kind(c: Column) -> Column:
     """What a core ends like: number, initial, ellipsis, stop (a word's), mark (! or ?) or none."""
-    return (F.when(c.rlike(ELLIPSIS), "ellipsis").when(c.rlike("[!?]$"), "mark")
+    return (F.when(~F.substring(c, -1, 1).isin(".", "!", "?"), "none").when(c.rlike(ELLIPSIS), "ellipsis").when(c.rlike("[!?]$"), "mark")
             .when(c.rlike(INITIAL), "initial").when(c.rlike("^[0-9]+([.,:-][0-9]+)*\\.$"), "number")
             .when(c.rlike("\\.$"), "stop").otherwise("none"))
 
 
 def type_of(c: Column) -> Column:
-    """Lower case without a last stop; all numbers are one type."""
-    return F.when(c.rlike(NUMBER), F.lit(NUMBER_TYPE)).otherwise(F.lower(F.regexp_replace(c, "\\.$", "")))
+    """Lower case without a last stop; all numbers are one type. (Only what begins with
+    a digit is held against the pattern.)"""
+    return F.when(F.ascii(c).between(48, 57) & c.rlike(NUMBER), F.lit(NUMBER_TYPE)).otherwise(F.lower(F.when(c.endswith("."), c.substr(F.lit(1), F.length(c) - 1)).otherwise(c)))
 
 
 def _tokens(text) -> Column:
@@ -80,10 +85,11 @@ def abbreviation_scores(pairs: DataFrame) -> DataFrame:
     """``type, n_with, n_without, log_likelihood, score, is_abbreviation`` of every
     type that is seen with a stop and holds a letter. ``n_with``: with a last
     stop; the likelihood compares their share with that of all tokens."""
-    tokens = pairs.where(F.col("a").isNotNull()).select(F.col("a").alias("c"), "n")
-    typed = tokens.where(kind(F.col("c")) != "ellipsis").groupBy(type_of(F.col("c")).alias("type")).agg(
-        F.sum(F.when(F.col("c").rlike("\\.$"), F.col("n")).otherwise(0)).alias("n_with"),
-        F.sum(F.when(F.col("c").rlike("\\.$"), 0).otherwise(F.col("n"))).alias("n_without"))
+    # patterns are matched once for a core, not for a pair, and the counts are read twice
+    tokens = pairs.where(F.col("a").isNotNull()).groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n"))
+    stop = F.col("c").endswith(".")
+    typed = materialize(tokens.where(kind(F.col("c")) != "ellipsis").groupBy(type_of(F.col("c")).alias("type")).agg(
+        F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("n_with"), F.sum(F.when(stop, 0).otherwise(F.col("n"))).alias("n_without")), "type-counts")
     n_all, n_stops = typed.agg(F.sum(F.col("n_with") + F.col("n_without")), F.sum("n_with")).first()
     if not n_stops or n_stops == n_all:       # no stops, or nothing else: no share to compare with
         return typed.limit(0).select("type", "n_with", "n_without", F.lit(0.0).alias("log_likelihood"), F.lit(0.0).alias("score"),
@@ -195,9 +201,11 @@ def split_learnt(docs: DataFrame, ids: Sequence[str], model: SentenceModel, text
     ids = list(ids)
     rows = materialize(docs.select(*ids, _tokens(text_col).alias("_t")), "sentence-tokens")
     cores = rows.select(*ids, F.transform("_t", core).alias("_c"))
-    at = F.filter(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.element_at("_c", i).rlike("[.!?]$"))
-    places = cores.where(F.size("_c") > 1).select(*ids, "_c", F.explode(at).alias("_at")).select(
-        *ids, "_at", F.element_at("_c", F.col("_at")).alias("a"), F.element_at("_c", F.col("_at") + 1).alias("b"))
+    # a place takes its own two cores along, not all of its text
+    inner = F.size("_c") - 1
+    pairs = F.arrays_zip(F.slice("_c", 1, inner).alias("a"), F.slice("_c", 2, inner).alias("b"), F.sequence(F.lit(1), inner).alias("_at"))
+    ending = F.filter(pairs, lambda x: F.substring(x["a"], -1, 1).isin(".", "!", "?"))
+    places = explode_rows(cores.where(F.size("_c") > 1), ids, ending, "_p").select(*ids, "_p._at", "_p.a", "_p.b")
     places = materialize(places, "sentence-places")
     cuts = places.join(decide(places, model).where("ends").select(F.col("a").alias("_a"), F.col("b").alias("_b")),
                        (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))

@@ -82,3 +82,32 @@ def test_tokens_lower(spark):
     df = spark.createDataFrame([("It ISN'T So.",)], "t string")
     assert df.select(TB.treebank_tokens("t", lower=True).alias("w")).first()["w"] == ["it", "is", "n't", "so", "."]
     assert df.select(F.size(TB.treebank_tokens("t"))).first()[0] == 5
+
+
+def test_cores_are_trimmed_as_the_pattern_says(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from articlelab.functions.text import WS_CLASS
+    from articlelab.operators import sentences as SE
+    rng = random.Random(5)
+    signs = SE.OPENING + SE.CLOSING + SE.SPACE + "aÉ.5​"
+    df = spark.createDataFrame([("".join(rng.choices(signs, k=rng.randint(0, 7))),) for _ in range(3000)] + [(None,)], "x string")
+    df = df.select(F.explode(F.concat(SE._tokens("x"), F.array("x"))).alias("x")).where(F.col("x").isNull() | F.col("x").rlike(f"^{SE.TOKEN}$"))
+    got = df.select("x", SE.core(F.col("x")).alias("new"), F.regexp_replace("x", f"^{SE.OPENERS}+|{SE.CLOSERS}*[{WS_CLASS}]*$", "").alias("old"))
+    assert got.count() > 1000 and got.where("not (new <=> old)").collect() == []
+
+
+def test_patterns_meet_cores_once_and_places_leave_their_text(spark, monkeypatch):
+    import re
+
+    from articlelab.operators import sentences as SE
+    written, plain = {}, SE.materialize
+    monkeypatch.setattr(SE, "materialize", lambda df, name="table": (written.__setitem__(name, df._jdf.queryExecution().executedPlan().toString()), plain(df, name))[1])
+    docs = spark.createDataFrame([(i, "Dr. Hill met (us). We left at 5 p.m. sharp! 'Yes.' Dr. Hill stayed.") for i in range(9)], "doc_id long, text string")
+    out = SE.split_learnt(docs, ["doc_id"], SE.fit_sentences(docs))
+    assert out.count() == 9
+    assert "type-counts" in written          # read twice, counted once
+    kept = re.findall(r"Generate explode\(.*\), \[([^\]]*)\], (?:true|false), \[", written["sentence-places"])
+    assert kept and not any("_c#" in k for k in kept)
