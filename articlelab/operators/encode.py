@@ -154,7 +154,7 @@ class SentenceEncoder(Encoder):
         sents = df.select(*ids, F.posexplode_outer(T.sentence_tokens(text_col)).alias("sent_no", "toks")).select(
             *ids, "sent_no", T.join_tokens("toks").alias("sentence"))
         fn, dim, chunk = self.fn, self.dim, self.batch_rows
-        schema = sents.drop("sentence").schema.add("vec", ArrayType(DoubleType()))
+        schema = sents.select(*ids).schema.add("_n", "long").add("_sum", ArrayType(DoubleType()))
 
         def encode(batches):
             for pdf in batches:
@@ -165,14 +165,21 @@ class SentenceEncoder(Encoder):
                     part = part.loc[part["sentence"].str.len().sort_values(ascending=False, kind="stable").index]
                     known = part["sentence"].notna().to_numpy()
                     vecs = np.asarray(fn(part["sentence"][known].tolist()), dtype=np.float64).reshape(known.sum(), dim)
-                    out = part.drop(columns=["sentence"]).copy()
-                    out["vec"] = pd.Series([None] * len(part), index=part.index, dtype=object)
-                    out.loc[known, "vec"] = pd.Series(list(vecs), index=part.index[known], dtype=object)
+                    # back in their order, an article's sentences are one stretch: a row leaves for each
+                    rows = pdf.iloc[start:start + chunk]
+                    every = np.zeros((len(rows), dim))
+                    every[part.index[known].to_numpy() - rows.index[0]] = vecs
+                    keys = rows[ids]
+                    first = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy() | (np.arange(len(rows)) == 0))
+                    out = keys.iloc[first].copy()
+                    out["_n"] = np.add.reduceat(rows["sentence"].notna().to_numpy().astype(np.int64), first)
+                    out["_sum"] = pd.Series(list(np.add.reduceat(every, first, axis=0)), index=out.index, dtype=object)
                     yield out
 
-        sent_vecs = sents.mapInPandas(encode, schema)
+        parts = sents.drop("sent_no").mapInPandas(encode, schema)
+        per = parts.groupBy(*ids).agg(F.sum("_n").alias("_n"), V.sum_vectors("_sum", dim).alias("_sum"))
         # documents without any sentence: zero vector (Q14)
-        return V.mean_of_sentences(sent_vecs, dim, ids).drop("n_sentences")
+        return per.select(*ids, F.transform("_sum", lambda x: x / F.greatest("_n", F.lit(1))).alias("features"))
 
 
 def hashed_bag_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
@@ -185,7 +192,7 @@ def hashed_bag_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
     def fn(sentences: list[str]) -> np.ndarray:
         split = [s.split(" ") for s in sentences]
         row = np.repeat(np.arange(len(split)), [len(w) for w in split])
-        words, place = np.unique(np.array([w for s in split for w in s], dtype=object).astype(str), return_inverse=True)
+        place, words = pd.factorize(np.array([w for s in split for w in s], dtype=object))
         digests = [hashlib.md5(w.encode()).hexdigest() for w in words]
         column = np.array([int(d[:7], 16) % dim for d in digests], dtype=np.int64)
         sign = np.array([0.0 if not w else 1.0 if int(d[-1], 16) % 2 else -1.0 for w, d in zip(words, digests, strict=True)])

@@ -125,3 +125,22 @@ def test_sentence_vectors_are_never_written(spark, monkeypatch):
         for i, (n, features) in want.items():
             for got in (some[i], whole[i]):
                 assert got["n_sentences"] == n and all(abs(x - y) < 1e-12 for x, y in zip(got["features"], features, strict=True))
+
+
+def test_a_sentence_encoder_sends_a_row_for_an_article(spark):
+    import numpy as np
+
+    from articlelab.operators import encode as EN
+    texts = ["One two. Three! Four five six? x.", None, " ", "Seven. Eight nine.", "Ten. " * 50]
+    docs = spark.createDataFrame([(None if i == 3 else i % 7, texts[i % 5]) for i in range(40)], "doc_id long, text string").coalesce(1)
+    enc = EN.SentenceEncoder(lambda s: np.array([[len(x), x.count(" ")] for x in s], dtype=float).reshape(-1, 2), dim=2, batch_rows=7)
+    out = enc.transform(docs, ["doc_id"])
+    want = {}
+    for i in range(40):
+        sents = {0: [("one two .")] + ["three !", "four five six ?", "x ."], 3: ["seven .", "eight nine ."], 4: ["ten ."] * 50}.get(i % 5, [])
+        want.setdefault(None if i == 3 else i % 7, []).extend([len(x), x.count(" ")] for x in sents)
+    got = {r["doc_id"]: r["features"] for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], np.mean(v, axis=0) if v else [0, 0], atol=1e-12) for k, v in want.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "sent_no" not in plan.partition("MapInPandas")[0] + plan.partition("MapInPandas")[2].split("\n")[0]
