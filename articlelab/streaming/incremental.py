@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def embed_stream(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
                  embed: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
-                 glob: str | None = None, max_files: int = 1) -> int:
+                 glob: str | None = None, max_files: int = 1, max_bytes: int | None = None) -> int:
     """Run the stream to completion (available-now); returns the number of
-    micro-batches run in this call."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    micro-batches run in this call. A micro-batch takes ``max_files`` files, or, with
+    ``max_bytes``, as many as have that many bytes (one at least)."""
+    limit = ("maxFilesPerTrigger", max_files) if max_bytes is None else ("maxBytesPerTrigger", max_bytes)
+    reader = spark.readStream.schema(schema).option(*limit)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.format(fmt).load(source)

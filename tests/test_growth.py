@@ -144,3 +144,15 @@ def test_a_sentence_encoder_sends_a_row_for_an_article(spark):
     assert all(np.allclose(got[k], np.mean(v, axis=0) if v else [0, 0], atol=1e-12) for k, v in want.items())
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and "sent_no" not in plan.partition("MapInPandas")[0] + plan.partition("MapInPandas")[2].split("\n")[0]
+
+
+def test_frequent_tokens_come_from_the_counts_of_the_vocabulary(spark, monkeypatch):
+    from articlelab.operators import vectors as V
+    docs = spark.range(30).select("id", F.transform(F.sequence(F.lit(0), F.col("id") % 9), lambda i: F.concat(F.lit("w"), (i * 7 + F.col("id")) % 23)).alias("tokens"))
+    wv = V.hash_vectors_of_lists(docs, 8)
+    plain = V.hash_word_vectors(docs.select(F.explode("tokens").alias("token")), 8)
+    assert sorted(map(str, wv.df.collect())) == sorted(map(str, plain.df.collect()))
+    want = {r["id"]: r["features"] for r in V.article_mean_vectors(docs, plain, ["id"]).collect()}
+    monkeypatch.setattr(V, "explode_rows", lambda df, keep, *a: spark.range(0).select(F.lit("").alias("token")))     # no token is counted again
+    got = V.article_mean_vectors(docs, wv, ["id"], budget=1000, written=True).collect()
+    assert len(got) == 30 and all(abs(x - y) < 1e-12 for r in got for x, y in zip(r["features"], want[r["id"]], strict=True))

@@ -35,3 +35,22 @@ def test_restart_and_new_files(spark, tmp_dir):
     ran3 = ST.embed_stream(spark, src + "/*", schema, sink, ckpt, _embed)
     assert ran3 >= 1
     assert ST.read_sink(spark, sink).count() == docs.count()
+
+
+def test_a_micro_batch_takes_many_small_files(spark, tmp_dir):
+    docs = S.table(spark, SF001, "documents").select("doc_id", "text")
+    src = os.path.join(tmp_dir, "many")
+    docs.repartition(6).write.parquet(src)
+    sink = os.path.join(tmp_dir, "sink-many")
+    assert ST.embed_stream(spark, src, docs.schema, sink, os.path.join(tmp_dir, "ckpt-many"), lambda b: b, max_bytes=1 << 30) == 1
+    assert ST.embed_stream(spark, src, docs.schema, sink + "1", os.path.join(tmp_dir, "ckpt-one"), lambda b: b, max_bytes=1) == 6
+    assert sorted(r["doc_id"] for r in ST.read_sink(spark, sink).collect()) == sorted(r["doc_id"] for r in ST.read_sink(spark, sink + "1").collect())
+
+
+def test_the_query_embeds_its_files_in_one_micro_batch(spark, monkeypatch, tmp_dir):
+    from articlelab.plans import queries as Q
+    S.table(spark, SF001, "documents").repartition(5).write.parquet(os.path.join(tmp_dir, "sf", "documents.parquet"))
+    ran, plain = [], ST.embed_stream
+    monkeypatch.setattr(Q.ST, "embed_stream", lambda *a, **k: ran.append(plain(*a, **k)))
+    out = Q.QUERIES["incremental_embed"](spark, os.path.join(tmp_dir, "sf"))
+    assert ran == [1] and out.count() == S.table(spark, SF001, "documents").count()
