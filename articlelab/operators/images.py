@@ -78,7 +78,9 @@ def read_image_folder(spark, root: str) -> tuple[DataFrame, DataFrame]:
                        F.regexp_extract("image.origin", r"/([^/]+)/[^/]+$", 1).alias("class_name"),
                        F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    labels = class_map(rows, "class_name", "label")
+    # only names are read for the classes: no image is decoded for them
+    named = spark.read.format("image").option("recursiveFileLookup", True).load(root).select("_metadata.file_path")
+    labels = class_map(named.select(F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1).alias("class_name")), "class_name", "label")
 
     @F.pandas_udf("array<double>")
     def gray(data: pd.Series, channels: pd.Series) -> pd.Series:

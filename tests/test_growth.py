@@ -156,3 +156,21 @@ def test_frequent_tokens_come_from_the_counts_of_the_vocabulary(spark, monkeypat
     monkeypatch.setattr(V, "explode_rows", lambda df, keep, *a: spark.range(0).select(F.lit("").alias("token")))     # no token is counted again
     got = V.article_mean_vectors(docs, wv, ["id"], budget=1000, written=True).collect()
     assert len(got) == 30 and all(abs(x - y) < 1e-12 for r in got for x, y in zip(r["features"], want[r["id"]], strict=True))
+
+
+def test_classes_of_an_image_folder_are_found_without_images(spark, tmp_dir, monkeypatch):
+    import os
+
+    from articlelab.operators import images as IM
+    from articlelab.operators import labels as L
+    from articlelab.sinks import image_tree as IT
+    rows = [(f, str(i), 1, 1, 1, bytearray([i])) for i, f in enumerate(["class 1", "a%b", "é+c", "x/y"])]
+    IT.write_image_tree(spark.createDataFrame(rows, IT.COLUMNS), f"{tmp_dir}/t")
+    os.makedirs(f"{tmp_dir}/t/raw & #name")
+    with open(f"{tmp_dir}/t/raw & #name/bad.png", "wb") as f:
+        f.write(b"no")
+    plans, plain = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, name="table": (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, name))[1])
+    good, bad = IM.read_image_folder(spark, f"{tmp_dir}/t")
+    assert "ReadSchema: struct<>" in plans[0]
+    assert sorted(r["label"] for r in good.collect()) == [0, 1, 2, 4] and bad.count() == 1
