@@ -99,6 +99,32 @@ def test_rounds_of_word_vectors_take_two_tables_and_single_numbers(spark):
     assert dict(got.dtypes) == {"word": "string", "vec": "array<double>"} and got.count() == 17
 
 
+def test_lots_of_a_share_fetch_a_word_once_in_any_number_of_passes(spark, monkeypatch):
+    import glob
+
+    import numpy as np
+
+    from articlelab.session import ensure_checkpoint_dir
+    from articlelab.train import word_vectors as WV
+    folders = lambda: set(glob.glob(ensure_checkpoint_dir(spark).removeprefix("file:") + "/cbow-needs-*"))
+    sents = spark.range(200).select(F.col("id").cast("string").alias("sid"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), (i * 3 + F.col("id")) % 17)).alias("tokens"))
+    conf, got = {"spark.sql.shuffle.partitions": "2", "spark.sql.execution.arrow.maxRecordsPerBatch": "5"}, []
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for pass_shares in (16, 1):
+            before = folders()
+            monkeypatch.setattr(WV, "PASS_SHARES", pass_shares, raising=False)
+            got.append({r["word"]: np.array(r["vec"]) for r in WV.fit_cbow(sents, dim=4, epochs=2, lot_tokens=100, pool=20).collect()})
+            (needs,) = folders() - before
+            assert spark.read.parquet(needs).count() <= 4 * 17       # 20 lots of nearly all words, in 4 shares
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(got[0]) == 17 and all(np.allclose(got[0][w], got[1][w], rtol=1e-5, atol=1e-7) and np.abs(v).max() > 0 for w, v in got[1].items())
+
+
 def test_sentence_vectors_are_never_written(spark, monkeypatch):
     import articlelab.session as S
     from articlelab.operators import vectors as V
