@@ -200,3 +200,23 @@ def test_classes_of_an_image_folder_are_found_without_images(spark, tmp_dir, mon
     good, bad = IM.read_image_folder(spark, f"{tmp_dir}/t")
     assert "ReadSchema: struct<>" in plans[0]
     assert sorted(r["label"] for r in good.collect()) == [0, 1, 2, 4] and bad.count() == 1
+
+
+def test_a_round_of_word_vectors_sends_matrices_and_no_words(spark, monkeypatch):
+    import numpy as np
+
+    from articlelab.train import word_vectors as WV
+    sents = spark.range(200).select(F.col("id").cast("string").alias("sid"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), (i * 3 + F.col("id")) % 37)).alias("tokens"))
+    got = []
+    for share_bytes, share_lots, block_bytes in ((96 << 20, 32, 64 << 20), (400, 3, 500)):
+        for name, v in (("SHARE_BYTES", share_bytes), ("SHARE_LOTS", share_lots), ("BLOCK_BYTES", block_bytes)):
+            monkeypatch.setattr(WV, name, v, raising=False)
+        dealt = WV.prepared(sents, 1, 42, 100, 20, 2 * 4 * 8)
+        start = dealt.vocab.select("word", *[F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i, c=c: F.pmod(F.xxhash64("word", i), F.lit(100 + c)) / 1000.0).alias(n) for c, n in enumerate(("inward", "outward"))])
+        done = WV.train_round(dealt, WV.in_blocks(dealt, start), 4, 0.5, "42:0", batch=None)
+        plan = done._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan       # nothing meets by word
+        assert dealt.rows.count() <= dealt.shares * (min(dealt.blocks, 37) + 1)
+        got.append((dealt.shares, dealt.blocks, {r["word"]: (r["n_in"], r["n_out"], np.array(r["inward"] + r["outward"])) for r in WV.by_word(done, ("inward", "outward", "n_in", "n_out")).collect()}))
+    assert got[0][0] < got[1][0] and got[0][1] < got[1][1]
+    assert len(got[0][2]) == 37 and all(a[:2] == b[:2] and np.allclose(a[2], b[2], atol=1e-12) for a, b in ((v, got[1][2][w]) for w, v in got[0][2].items()))
