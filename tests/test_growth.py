@@ -220,3 +220,10 @@ def test_a_round_of_word_vectors_sends_matrices_and_no_words(spark, monkeypatch)
         got.append((dealt.shares, dealt.blocks, {r["word"]: (r["n_in"], r["n_out"], np.array(r["inward"] + r["outward"])) for r in WV.by_word(done, ("inward", "outward", "n_in", "n_out")).collect()}))
     assert got[0][0] < got[1][0] and got[0][1] < got[1][1]
     assert len(got[0][2]) == 37 and all(a[:2] == b[:2] and np.allclose(a[2], b[2], atol=1e-12) for a, b in ((v, got[1][2][w]) for w, v in got[0][2].items()))
+
+
+def test_shares_of_word_vectors_fill_the_tasks(spark):
+    from articlelab.train import word_vectors as WV
+    vocab = spark.range(1000).select(F.col("id").cast("string").alias("word"), (100_000 / (F.col("id") + 1)).cast("long").alias("n"))
+    assert WV.shares_of(vocab, 285, 20, 128, 8)[0] == 16             # 9 hold 32 lots each, two would run alone
+    assert WV.shares_of(vocab, 5, 20, 128, 8)[0] == 5
