@@ -1,6 +1,7 @@
 """Work, files and rows held at once grow with the input, not with its square."""
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from articlelab.sinks import writers as SK
@@ -229,18 +230,19 @@ def test_shares_of_word_vectors_fill_the_tasks(spark):
     assert WV.shares_of(vocab, 5, 20, 128, 8)[0] == 5
 
 
-def test_lots_of_sentences_fetch_vectors_in_passes(spark, monkeypatch):
+@pytest.mark.parametrize("pool", ["mean", "max"])
+def test_lots_of_sentences_fetch_vectors_in_passes(spark, monkeypatch, pool):
     import articlelab.session as S
     from articlelab.operators import vectors as V
     sents = F.transform(F.sequence(F.lit(0), F.col("id") % 7), lambda s: F.transform(F.sequence(F.lit(0), (s + F.col("id")) % 4), lambda i: F.concat(F.lit("w"), (i * 7 + s * 5 + F.col("id")) % 61)))
     docs = spark.range(60).select("id", sents.alias("sentences"))
     wv = V.hash_word_vectors(docs.select(F.explode(F.flatten("sentences")).alias("token")), 11).checkpointed()
-    want = {r["id"]: r for r in V.article_sentence_vectors(docs, wv, ["id"]).collect()}
+    want = {r["id"]: r for r in V.article_sentence_vectors(docs, wv, ["id"], pool).collect()}
     rows, plain = [], S.materialize
     monkeypatch.setattr(S, "materialize", lambda df, name="table": [rows.append((name, t.count())) or t for t in [plain(df, name)]][0])
     for name, v in (("BLOCK_DIM", 4), ("LOT_TOKENS", 20), ("LOT_MOST", 2), ("LOT_PASS_BYTES", 9000), ("LOT_PASSES", 4)):
         monkeypatch.setattr(V, name, v, raising=False)
-    got = {r["id"]: r for r in V.article_sentence_vectors(docs, wv, ["id"], budget=2000).collect()}
+    got = {r["id"]: r for r in V.article_sentence_vectors(docs, wv, ["id"], pool, budget=2000).collect()}
     columns = [c for n, c in rows if n == "lot-columns"]
     assert len(columns) == 3 * 4 and max(columns) < 30 and columns[:4] == columns[4:8]      # three blocks, four passes
     assert got.keys() == want.keys()
